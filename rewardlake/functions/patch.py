@@ -71,4 +71,5 @@ def with_trailing_newline(patch) -> Column:
 
 def patch_b64(patch) -> Column:
     """base64 of the patch with its trailing newline."""
-    return F.base64(F.encode(with_trailing_newline(patch), "UTF-8"))
+    # Spark's base64 may wrap at 76 characters (MIME); Python's never does
+    return F.replace(F.base64(F.encode(with_trailing_newline(patch), "UTF-8")), F.lit("\r\n"), F.lit(""))
