@@ -82,3 +82,22 @@ def first_success(df: DataFrame, key: str, order: str, value: str, ok: Column,
     return (df.groupBy(key)
             .agg(F.min_by(F.when(ok, F.col(value)), F.when(ok, F.col(order))).alias("_first"))
             .select(key, F.coalesce(F.col("_first"), F.lit(none)).alias(value)))
+
+
+def run_until_stop(df: DataFrame, key: str, order: list[str], stop: Column, fail: Column) -> DataFrame:
+    """E9 per key: rows are processed in ``order`` until the first ``stop``
+    row (which ends the run unprocessed); other failures before it are
+    counted and skipped.  Returns processed, failed, stopped and remaining
+    per key -- one aggregation after joining the first stop position."""
+    ordering = F.struct(*[F.col(c) for c in order])
+    first_stop = df.filter(stop).groupBy(key).agg(F.min(ordering).alias("_stop"))
+    j = df.join(first_stop, key, "left")
+    before = F.col("_stop").isNull() | (ordering < F.col("_stop"))
+    g = j.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_total"),
+        F.count_if(before & ~fail).alias("processed"),
+        F.count_if(before & fail).alias("failed"),
+        F.bool_or(F.col("_stop").isNotNull()).alias("stopped"))
+    return g.select(key, F.col("processed").cast("bigint").alias("processed"),
+                    F.col("failed").cast("bigint").alias("failed"), "stopped",
+                    (F.col("_total") - F.col("processed") - F.col("failed")).cast("bigint").alias("remaining"))
