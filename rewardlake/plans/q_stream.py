@@ -1,8 +1,82 @@
-"""Queries."""
+"""Streaming queries (J1, J2, J4): each stages its input as file drops in
+the shared checkpoint folder, runs the stream to completion (availableNow)
+and returns the sink table, whose rows must equal the batch operator's."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..operators.rollout import MAX_STEPS
 from ..sources.fixtures import fixture
+from ..streaming import episodes as ST
+from ..streaming.runner import new_area, run_append, run_complete, stage_drops
+from .q_reports import _BUCKET_SQL
 from .registry import query
+
+_RAW_STEPS = ["episode", "event_id", "ts", "action", "exit_code", "stdout"]
+
+
+@query("q_stream_episodes", ops="J2, E7, D13", views=("steps",), oracle=f"""
+, term as (
+  select episode, least(coalesce(min(case when action = 'submit' then step end), {MAX_STEPS}), {MAX_STEPS}) as end_step,
+    max(step) as last_step, min(case when action = 'submit' then step end) as fs
+  from steps group by episode),
+done as (select * from term where fs is not null or last_step >= {MAX_STEPS})
+select d.episode, cast(d.end_step as bigint) as steps,
+  cast(count(*) filter (where s.step < d.end_step and s.exit_code <> 0) as bigint) as nonzero_exits,
+  cast(coalesce(sum(case when s.step < d.end_step then length(s.stdout) end), 0) as bigint) as total_output_chars,
+  case when d.end_step <= 1 then 1.0 else 0.0 end as immediate_submit,
+  case when d.fs is not null and d.fs <= {MAX_STEPS} then 'submit' else 'forced' end as end_reason
+from done d join steps s on s.episode = d.episode
+group by d.episode, d.end_step, d.fs
+""")
+def q_stream_episodes(spark, sf_dir):
+    area = new_area(spark, "episodes")
+    raw = fixture(spark, sf_dir, "steps").select(*_RAW_STEPS).withColumn("ts", F.col("ts").cast("timestamp"))
+    stage_drops(raw, f"{area}/in", "ts", 3)
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{area}/in")
+    run_append(ST.episode_stream(stream), f"{area}/out", f"{area}/ckpt")
+    return spark.read.parquet(f"{area}/out")
+
+
+@query("q_stream_report", ops="J4, D6", views=("instance_results",), oracle=f"""
+select count(*) as total_instances,
+  cast(count(*) filter (where b = 'passed') as bigint) as resolved_instances,
+  cast(count(*) filter (where b <> 'passed') as bigint) as unresolved_instances,
+  cast(count(*) filter (where b = 'error') as bigint) as error_instances,
+  cast(count(*) filter (where b = 'empty') as bigint) as empty_patch_instances,
+  case when count(*) > 0 then cast(count(*) filter (where b = 'passed') as double) / count(*) else 0.0 end as resolve_rate
+from (select {_BUCKET_SQL} as b from instance_results) t
+""")
+def q_stream_report(spark, sf_dir):
+    area = new_area(spark, "report")
+    res = fixture(spark, sf_dir, "instance_results").withColumn(
+        "k", F.substring("instance_id", 7, 1 << 20).cast("bigint"))
+    stage_drops(res, f"{area}/in", "k", 3)
+    stream = spark.readStream.schema(res.schema).option("maxFilesPerTrigger", 1).parquet(f"{area}/in")
+    run_complete(ST.running_report(stream), f"{area}/out", f"{area}/ckpt")
+    return spark.read.parquet(f"{area}/out")
+
+
+@query("q_stream_intake", ops="J1, C1, G12", views=("logs", "instance_results"), oracle="""
+select distinct l.instance_id, 'agent-model' as model_name_or_path
+from logs l
+where l.instance_id not in (select instance_id from instance_results where error is null)
+""")
+def q_stream_intake(spark, sf_dir):
+    area = new_area(spark, "intake")
+    logs = fixture(spark, sf_dir, "logs")
+    # one prediction per job log, keyed by the instance it was written for
+    p = T.log_predictions("logs", F.col("instance_id"), F.lit("agent-model"))
+    preds = logs.select("instance_id", F.substring("instance_id", 7, 1 << 20).cast("bigint").alias("k"),
+                        p["model_name_or_path"].alias("model_name_or_path"))
+    stage_drops(preds, f"{area}/in", "k", 3, fmt="json")
+    # a writer that re-sends the first drop: duplicates across drops
+    stage_drops(preds.filter(F.col("k") % 5 == 0), f"{area}/in", "k", 1, fmt="json")
+    completed = fixture(spark, sf_dir, "instance_results").filter(F.col("error").isNull())
+    stream = (spark.readStream.schema("instance_id string, k long, model_name_or_path string")
+              .option("maxFilesPerTrigger", 1).json(f"{area}/in"))
+    run_append(ST.prediction_intake(stream, completed).select("instance_id", "model_name_or_path"),
+               f"{area}/out", f"{area}/ckpt")
+    return spark.read.parquet(f"{area}/out")
