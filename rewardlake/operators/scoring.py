@@ -35,23 +35,20 @@ def with_passed(results: DataFrame) -> DataFrame:
 
 
 def validate_config(config: DataFrame) -> DataFrame:
-    """Thresholds outside [0, 1] and negative weights fail the job."""
-    bad_threshold = (F.col("pass_threshold") < 0) | (F.col("pass_threshold") > 1)
-    checked = config.withColumn(
-        "pass_threshold",
-        F.when(bad_threshold,
-               F.raise_error(F.concat(F.lit("pass_threshold must be in [0.0, 1.0], got "),
-                                      F.col("pass_threshold").cast("string"))).cast("double"))
-        .otherwise(F.col("pass_threshold")))
+    """Thresholds outside [0, 1] and negative weights fail the job.
+
+    The checks are a filter (not a projected column), so they run even when
+    a later ``select`` prunes the checked columns."""
+    t = F.col("pass_threshold")
+    problem = F.when((t < 0) | (t > 1), F.concat(F.lit("pass_threshold must be in [0.0, 1.0], got "),
+                                                  t.cast("string")))
     if "weight" in config.columns:
-        checked = checked.withColumn(
-            "weight",
-            F.when(F.col("weight") < 0,
-                   F.raise_error(F.concat(F.lit("Weight for '"), F.col("name"),
-                                          F.lit("' must be non-negative, got "),
-                                          F.col("weight").cast("string"))).cast("double"))
-            .otherwise(F.col("weight")))
-    return checked
+        w = F.col("weight")
+        problem = F.coalesce(problem, F.when(w < 0, F.concat(F.lit("Weight for '"), F.col("name"),
+                                                             F.lit("' must be non-negative, got "),
+                                                             w.cast("string"))))
+    return config.filter(F.when(problem.isNotNull(), F.raise_error(problem).cast("boolean"))
+                         .otherwise(F.lit(True)))
 
 
 def subset(config: DataFrame, which: str) -> DataFrame:
