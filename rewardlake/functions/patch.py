@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col_, py_strip, split_lines
+from .text import LINE_BREAK_CLASS, NOT_LINE_BREAK, col_, py_strip, split_lines
 
 HUNK_HEADER = r"@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
 
@@ -24,14 +24,17 @@ def extract_diff(response) -> Column:
                       F.nullif(F.split_part(r, F.lit("</s>"), F.lit(1)), F.lit("")), py_strip(r))
 
 
+# one regex pass per patch instead of split + lambda (higher-order functions
+# are interpreted, regex functions are code-generated)
+_HEADER_PATHS = rf"(?:^|{LINE_BREAK_CLASS})\+\+\+ (?:b/)?({NOT_LINE_BREAK}*)"
+_GIT_B_PATHS = rf"(?:^|{LINE_BREAK_CLASS})diff --git {NOT_LINE_BREAK}*? b/({NOT_LINE_BREAK}*)"
+
+
 def changed_files(patch) -> Column:
     """Paths on ``+++ `` lines, ``b/`` dropped, ``/dev/null`` skipped;
     duplicates kept, diff order."""
-    heads = F.filter(split_lines(patch), lambda l: F.startswith(l, F.lit("+++ ")))
-    paths = F.transform(heads, lambda l: F.when(F.startswith(F.substring(l, 5, 1 << 30), F.lit("b/")),
-                                                F.substring(l, 7, 1 << 30))
-                        .otherwise(F.substring(l, 5, 1 << 30)))
-    return F.filter(paths, lambda p: p != F.lit("/dev/null"))
+    paths = F.regexp_extract_all(col_(patch), F.lit(_HEADER_PATHS), F.lit(1))
+    return F.array_remove(paths, "/dev/null")
 
 
 def python_files(files: Column) -> Column:
@@ -52,15 +55,8 @@ def patch_lines(patch) -> Column:
 
 def files_changed(patch) -> Column:
     """Distinct paths after the first `` b/`` on ``diff --git`` lines."""
-    gits = F.filter(split_lines(py_strip(patch)), lambda l: F.startswith(l, F.lit("diff --git ")))
-    paths = F.transform(gits, lambda l: F.when(F.instr(l, " b/") > 0,
-                                               F.substring_index(l, " b/", -1)))
-    # substring_index(-1) takes the text after the *last* separator; the
-    # reference splits at the first, so rebuild from the first occurrence
-    first = F.transform(gits, lambda l: F.when(F.instr(l, " b/") > 0,
-                                               l.substr(F.instr(l, " b/") + 3, F.lit(1 << 30))))
-    del paths
-    return F.coalesce(F.size(F.array_distinct(F.filter(first, lambda p: p.isNotNull()))), F.lit(0))
+    paths = F.regexp_extract_all(py_strip(patch), F.lit(_GIT_B_PATHS), F.lit(1))
+    return F.coalesce(F.size(F.array_distinct(paths)), F.lit(0))
 
 
 def with_trailing_newline(patch) -> Column:

@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 # boundaries of str.splitlines(), written as regex classes.
 PY_SPACE = r"[\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 PY_LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+# the same two sets as plain characters (for btrim and negated classes)
+PY_SPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                  + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
+LINE_BREAK_CLASS = r"[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+NOT_LINE_BREAK = r"[^\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 
 def col_(c) -> Column:
@@ -28,8 +33,9 @@ def truthy(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """``str.strip()``: remove leading and trailing Python whitespace."""
-    return F.regexp_replace(col_(c), rf"^{PY_SPACE}+|{PY_SPACE}+$", "")
+    """``str.strip()``: remove leading and trailing Python whitespace
+    (``btrim`` with the whitespace set: no regex, stays in codegen)."""
+    return F.btrim(col_(c), F.lit(PY_SPACE_CHARS))
 
 
 def py_lstrip(c) -> Column:
