@@ -46,12 +46,22 @@ def py_rstrip(c) -> Column:
     return F.regexp_replace(col_(c), rf"{PY_SPACE}+$", "")
 
 
+LINE_BREAK_CHARS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+
+
 def split_lines(c) -> Column:
     """``str.splitlines()``: split on every Python line boundary; a trailing
-    boundary does not produce a final empty line; '' gives []."""
-    parts = F.split(col_(c), PY_LINE_BREAK, -1)
-    return F.when(F.element_at(parts, -1) == F.lit(""),
-                  F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    boundary does not produce a final empty line; '' gives [].
+
+    The trailing boundary is cut with plain string functions so the regex
+    split runs once per row."""
+    c = col_(c)
+    n = F.length(c)
+    last = F.right(c, F.lit(1))
+    body = (F.when(F.endswith(c, F.lit("\r\n")), F.left(c, n - 2))
+            .when(F.instr(F.lit(LINE_BREAK_CHARS), last) > 0, F.left(c, n - 1))
+            .otherwise(c))
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(body, PY_LINE_BREAK, -1))
 
 
 def count_char(c, ch: str) -> Column:

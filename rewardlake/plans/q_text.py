@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import answers as AN
 from ..operators import joins as J
 from ..operators import reports as R
 from ..sources.fixtures import fixture
@@ -66,16 +67,14 @@ def q_answer_number(spark, sf_dir):
 select prompt_id, sample, cast({_REWARD} as double) as reward from answers
 """)
 def q_answer_reward(spark, sf_dir):
-    return _answers(spark, sf_dir).select(
-        "prompt_id", "sample", T.answer_reward(F.col("response"), F.col("label")).alias("reward"))
+    return AN.score_answers(fixture(spark, sf_dir, "answers")).select("prompt_id", "sample", "reward")
 
 
 @query("q_answer_accuracy", ops="D11", views=("answers",), oracle=f"""
 select count(*) as n_samples, avg(cast({_REWARD} as double)) as accuracy from answers
 """)
 def q_answer_accuracy(spark, sf_dir):
-    r = _answers(spark, sf_dir).select(T.answer_reward(F.col("response"), F.col("label")).alias("reward"))
-    return r.agg(F.count(F.lit(1)).alias("n_samples"), F.avg("reward").alias("accuracy"))
+    return AN.accuracy(AN.score_answers(fixture(spark, sf_dir, "answers")))
 
 
 # ------------------------------------------------------------- responses
