@@ -2,9 +2,10 @@
 
 Rules used throughout:
 
-* Only order-dependent work uses an ordered window, and every window is
-  partitioned by an entity key (run, user, episode, conversation); no
-  un-partitioned window exists in the library.
+* Only order-dependent work uses an ordered window.  Where one key may be
+  huge (a user's events, a customer's orders) the window is partitioned by
+  (key, order-range chunk) and earlier chunks are added from a small totals
+  table (``running_sum``), so a hot key is spread over many tasks.
 * Whatever is order-*independent* (first terminal position, totals, means)
   is a ``groupBy`` (map-side partial aggregation) joined back, because AQE
   splits a skewed join partition but cannot split a window partition.
@@ -23,15 +24,44 @@ def first_n(df: DataFrame, order: str, n: int) -> DataFrame:
     return df if n <= 0 else df.orderBy(order).limit(n)
 
 
-def round_robin(df: DataFrame, key: str | None, order: str, workers: int) -> DataFrame:
+def running_sum(df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: Column,
+                out: str) -> DataFrame:
+    """Inclusive running sum of ``value`` per ``keys`` in ``order``, without
+    putting a whole key into one task.
+
+    ``chunk`` must be non-decreasing in ``order`` within a key (an order
+    range: a day of ``ts``, a block of ids).  The ordered window runs per
+    (key, chunk), so a key holding a third of the rows is spread over its
+    chunks; the sums of earlier chunks come from a per-(key, chunk) totals
+    table (one row per chunk) and are joined back on the partitioning the
+    window already produced, so only the small side moves.
+    """
+    d = df.withColumn("_chunk", chunk).withColumn("_v", value)
+    local_w = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = d.withColumn("_local", F.sum("_v").over(local_w))
+    prev_w = (Window.partitionBy(*keys) if keys else Window).orderBy("_chunk") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (d.groupBy(*keys, "_chunk").agg(F.sum("_v").alias("_tot"))
+               .select(*keys, "_chunk", F.coalesce(F.sum("_tot").over(prev_w), F.lit(0)).alias("_off")))
+    return (local.join(offsets, [*keys, "_chunk"])
+            .withColumn(out, F.col("_local") + F.col("_off"))
+            .drop("_chunk", "_v", "_local", "_off"))
+
+
+def round_robin(df: DataFrame, key: str | None, order: str, workers: int,
+                chunk_width: int = 1 << 16) -> DataFrame:
     """Row *i* (0-based, in ``order``) goes to worker ``i % workers``
-    within each ``key``.
+    within each ``key`` (or over the whole table when ``key`` is None).
 
-    For spreading *work* (not recording the assignment) use
-    ``df.repartition(n)`` instead, which is exactly round-robin.
+    The row index is a chunked running count (``running_sum``), so neither a
+    hot key nor the unkeyed case runs in a single task.  For spreading
+    *work* rather than recording the assignment, ``df.repartition(n)`` is
+    round-robin already.
     """
-    w = Window.partitionBy(key).orderBy(order) if key else Window.orderBy(order)
-    return df.withColumn("worker", ((F.row_number().over(w) - 1) % workers).cast("bigint"))
+    keys = [key] if key else []
+    chunk = F.floor(F.col(order) / F.lit(chunk_width))
+    ranked = running_sum(df, keys, [order], chunk, F.lit(1), "_rn")
+    return ranked.withColumn("worker", ((F.col("_rn") - 1) % workers).cast("bigint")).drop("_rn")
 
 
 def prefix_until(df: DataFrame, key: str, order: list[str], stop: Column) -> DataFrame:
@@ -49,26 +79,27 @@ def prefix_until(df: DataFrame, key: str, order: list[str], stop: Column) -> Dat
             .drop("_first_stop"))
 
 
-def streaks(df: DataFrame, key: str, order: list[str], is_fail: Column) -> DataFrame:
+def streaks(df: DataFrame, key: str, order: list[str], is_fail: Column, chunk: Column) -> DataFrame:
     """E10 gaps-and-islands: length of every run of consecutive failures.
 
-    Island id = running count of successes up to the row; the failures that
-    share an island are consecutive.  Returns ``(key, island, run_length)``
-    for islands with at least one failure.
+    Island id = running count of successes up to the row (a chunked running
+    sum, see ``running_sum``); the failures that share an island are
+    consecutive, and a run that crosses chunks still shares its island id.
+    Returns ``(key, island, run_length)`` for islands with failures.
     """
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    tagged = df.select(key, is_fail.alias("_fail"))
-    tagged = df.select(key, *order, is_fail.alias("_fail")).withColumn(
-        "island", F.sum(F.when(F.col("_fail"), 0).otherwise(1)).over(w))
-    return (tagged.filter(F.col("_fail")).groupBy(key, "island")
+    tagged = df.select(key, *order, is_fail.alias("_fail"), chunk.alias("_c"))
+    islands = running_sum(tagged, [key], order, F.col("_c"),
+                          F.when(F.col("_fail"), F.lit(0)).otherwise(F.lit(1)), "island")
+    return (islands.filter(F.col("_fail")).groupBy(key, "island")
             .agg(F.count(F.lit(1)).alias("run_length")))
 
 
-def breaker(df: DataFrame, key: str, order: list[str], is_fail: Column, limit: int = 10) -> DataFrame:
+def breaker(df: DataFrame, key: str, order: list[str], is_fail: Column, chunk: Column,
+            limit: int = 10) -> DataFrame:
     """Per key, the longest run of consecutive failures and whether the
     breaker trips (``limit`` in a row; a success resets the counter)."""
     keys = df.select(key).distinct()
-    runs = (streaks(df, key, order, is_fail).groupBy(key)
+    runs = (streaks(df, key, order, is_fail, chunk).groupBy(key)
             .agg(F.max("run_length").alias("max_streak")))
     return (keys.join(runs, key, "left")
             .select(key, F.coalesce(F.col("max_streak"), F.lit(0)).cast("bigint").alias("max_streak"),

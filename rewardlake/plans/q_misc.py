@@ -110,7 +110,9 @@ from (select distinct user_id from events) u left join r on r.user_id = u.user_i
 """)
 def q_error_streak(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
-    return SQ.breaker(e, "user_id", ["ts", "event_id"], F.col("event_type") == "error", 10)
+    # chunks of one day: a user with a third of all events is split by day
+    return SQ.breaker(e, "user_id", ["ts", "event_id"], F.col("event_type") == "error",
+                      F.to_date("ts"), 10)
 
 
 _FAILING = "list_sort(list(test) filter (where status in ('FAILED', 'ERROR')))"

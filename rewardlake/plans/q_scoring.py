@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import feedback as FB
 from ..operators import scoring as S
+from ..operators.joins import small_side
 from ..sources.fixtures import fixture
 from ..sources.tables import table
 from .registry import query
@@ -80,7 +81,7 @@ from (select doc_id as instance_id from documents) i left join
 """)
 def q_all_passed(spark, sf_dir):
     inter = S.subset(_cfg(spark, sf_dir), "intermediate").select("name")
-    res = _vr(spark, sf_dir).join(F.broadcast(inter), "name")
+    res = _vr(spark, sf_dir).join(small_side(inter), "name")
     return S.all_passed(_instances(spark, sf_dir), res)
 
 
@@ -96,7 +97,7 @@ def q_verifier_subset(spark, sf_dir):
     parts = []
     for which in ("intermediate", "final"):
         names = S.subset(cfg, which).select("name")
-        parts.append(vr.join(F.broadcast(names), "name")
+        parts.append(vr.join(small_side(names), "name")
                      .select(F.lit(which).alias("schedule"), "instance_id", "name"))
     return parts[0].unionByName(parts[1])
 
