@@ -54,21 +54,25 @@ def episode_summary(steps: DataFrame, patches: DataFrame, graded: DataFrame,
     exits; the submit step contributes no output.  ``patches`` is
     ``(episode, patch)``, ``graded`` is ``(episode, resolved)``; an empty
     patch is unresolved without grading.
+
+    The step log is read by two branches only: the terminal-step aggregate,
+    and one conditional aggregate over the steps joined to it.
     """
-    cut = cut_episodes(steps, max_steps)
-    done = cut.filter("is_terminal").select("episode", F.col("step").alias("steps"))
-    bash = cut.filter(~F.col("is_terminal"))
-    counts = bash.groupBy("episode").agg(
-        F.count_if(F.col("exit_code") != 0).alias("nonzero_exits"),
-        F.sum(F.length("stdout")).alias("total_output_chars"))
-    j = (done.join(counts, "episode", "left").join(patches, "episode", "left")
-         .join(graded, "episode", "left"))
+    s = steps.select("episode", "step", "action", "exit_code", "stdout")
+    term = terminal_steps(s, max_steps)
+    before = F.col("step") < F.col("end_step")
+    counts = (s.join(term, "episode")
+              .groupBy("episode")
+              .agg(F.max("end_step").alias("steps"),
+                   F.count_if(before & (F.col("exit_code") != 0)).alias("nonzero_exits"),
+                   F.sum(F.when(before, F.length("stdout"))).alias("total_output_chars")))
+    j = counts.join(patches, "episode", "left").join(graded, "episode", "left")
     patch = F.coalesce(F.col("patch"), F.lit(""))
     has_patch = patch != ""
     resolved = has_patch & F.coalesce(F.col("resolved"), F.lit(False))
     return j.select(
         "episode", F.col("steps").cast("bigint").alias("steps"),
-        F.coalesce(F.col("nonzero_exits"), F.lit(0)).cast("bigint").alias("nonzero_exits"),
+        F.col("nonzero_exits").cast("bigint").alias("nonzero_exits"),
         F.coalesce(F.col("total_output_chars"), F.lit(0)).cast("bigint").alias("total_output_chars"),
         F.when(has_patch, patch_lines(patch)).otherwise(F.lit(0)).cast("bigint").alias("patch_lines"),
         F.when(has_patch, files_changed(patch)).otherwise(F.lit(0)).cast("bigint").alias("files_changed"),
