@@ -159,3 +159,18 @@ def q_syntax_score(spark, sf_dir):
 @query("q_syntax_feedback", ops="G19, I2", views=("patches",))
 def q_syntax_feedback(spark, sf_dir):
     return OP.syntax_feedback(fixture(spark, sf_dir, "patches"))
+
+
+@query("q_context", ops="H6, G7", views=("patches", "tasks"), oracle=f"""
+select p.instance_id, p.patch, cast(len({_FILES}) as bigint) as n_changed,
+  array_to_string({_FILES}, ',') as changed_files, t.instance_id as task_id,
+  to_json(struct_pack(repo := t.repo, split := t.split)) as metadata
+from patches p join tasks t on t.instance_id = p.instance_id
+""")
+def q_context(spark, sf_dir):
+    p = fixture(spark, sf_dir, "patches")
+    t = fixture(spark, sf_dir, "tasks").select("instance_id", "repo", "split")
+    ctx = OP.patch_context(p, t)
+    return ctx.select("instance_id", "ctx.patch", F.size("ctx.changed_files").cast("bigint").alias("n_changed"),
+                      F.array_join("ctx.changed_files", ",").alias("changed_files"), "ctx.task_id",
+                      "ctx.metadata")

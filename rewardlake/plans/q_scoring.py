@@ -186,3 +186,15 @@ group by r.instance_id
 def q_feedback_message(spark, sf_dir):
     inter = S.subset(_cfg(spark, sf_dir), "intermediate")
     return FB.feedback_message(S.results_in_order(_vr(spark, sf_dir), inter))
+
+
+@query("q_final_eval", ops="C6", views=("verifier_results",), oracle="""
+select i.instance_id, r.s as status, coalesce(r.s = 'ok', false) as has_report,
+  coalesce(r.s = 'ok' and r.c >= 1.0, false) as resolved
+from (select doc_id as instance_id from documents) i left join
+  (select instance_id, min(struct_pack(s := status, c := score)) as r from verifier_results
+   where name = 'swe_test' group by instance_id) x on x.instance_id = i.instance_id
+""")
+def q_final_eval(spark, sf_dir):
+    from ..operators.reports import final_eval
+    return final_eval(_instances(spark, sf_dir), _vr(spark, sf_dir), "swe_test")
