@@ -30,6 +30,16 @@ _HEADER_PATHS = rf"(?:^|{LINE_BREAK_CLASS})\+\+\+ (?:b/)?({NOT_LINE_BREAK}*)"
 _GIT_B_PATHS = rf"(?:^|{LINE_BREAK_CLASS})diff --git {NOT_LINE_BREAK}*? b/({NOT_LINE_BREAK}*)"
 
 
+_SECTION_PATHS = (rf"(?:^|{LINE_BREAK_CLASS})--- {NOT_LINE_BREAK}*(?:\r\n|{LINE_BREAK_CLASS})"
+                  rf"\+\+\+ (?:b/)?({NOT_LINE_BREAK}*)")
+
+
+def section_files(patch) -> Column:
+    """Files that have a section in the diff: a ``+++ `` line right after a
+    ``--- `` line (the same header rule as ``operators.patches.diff_lines``)."""
+    return F.regexp_extract_all(col_(patch), F.lit(_SECTION_PATHS), F.lit(1))
+
+
 def changed_files(patch) -> Column:
     """Paths on ``+++ `` lines, ``b/`` dropped, ``/dev/null`` skipped;
     duplicates kept, diff order."""
