@@ -181,8 +181,8 @@ def q_job_outcome(spark, sf_dir):
 @query("q_test_outcome", ops="B14, B12", views=("jobs",), oracle=f"""
 select instance_id,
   case when e <> '' or coalesce(test_output, '') = '' then 'error' else 'ok' end as status,
-  case when e <> '' or coalesce(test_output, '') = '' then 0.0
-       when test_output in ('1-URGENT', '2-HIGH') then 1.0 else 0.0 end as score,
+  cast(case when e <> '' or coalesce(test_output, '') = '' then 0.0
+       when test_output in ('1-URGENT', '2-HIGH') then 1.0 else 0.0 end as double) as score,
   case when e <> '' then e when coalesce(test_output, '') = '' then
     (case when timed_out then 'K8s Job timed out' else 'No test output captured from pod logs' end) end as message
 from (select *, coalesce(case when timed_out then 'timed_out' when succeeded then null else 'job_failed' end, '') as e

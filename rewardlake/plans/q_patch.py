@@ -164,7 +164,7 @@ def q_syntax_feedback(spark, sf_dir):
 @query("q_context", ops="H6, G7", views=("patches", "tasks"), oracle=f"""
 select p.instance_id, p.patch, cast(len({_FILES}) as bigint) as n_changed,
   array_to_string({_FILES}, ',') as changed_files, t.instance_id as task_id,
-  to_json(struct_pack(repo := t.repo, split := t.split)) as metadata
+  cast(to_json(struct_pack(repo := t.repo, split := t.split)) as varchar) as metadata
 from patches p join tasks t on t.instance_id = p.instance_id
 """)
 def q_context(spark, sf_dir):

@@ -33,7 +33,7 @@ select episode, step, action, is_terminal, forced_submit from cut
 """)
 def q_episode_cut(spark, sf_dir):
     c = RO.cut_episodes(fixture(spark, sf_dir, "steps"))
-    return c.select("episode", "step", "action", "is_terminal", "forced_submit")
+    return c.select("episode", F.col("step").cast("bigint").alias("step"), "action", "is_terminal", "forced_submit")
 
 
 def _episode_patches(spark, sf_dir):
@@ -65,9 +65,9 @@ select d.episode, cast(d.steps as bigint) as steps, cast(coalesce(c.nz, 0) as bi
   cast(case when coalesce(p.patch, '') <> '' then coalesce(len(list_distinct(list_filter(list_transform({_GITS},
     lambda l: case when strpos(l, ' b/') > 0 then substring(l, strpos(l, ' b/') + 3) end), lambda x: x is not null))), 0)
     else 0 end as bigint) as files_changed,
-  case when coalesce(p.patch, '') <> '' then 0.0 else 1.0 end as empty_patch,
-  case when d.steps <= 1 then 1.0 else 0.0 end as immediate_submit,
-  case when coalesce(p.patch, '') <> '' and coalesce(gr.resolved, false) then 1.0 else 0.0 end as reward
+  cast(case when coalesce(p.patch, '') <> '' then 0.0 else 1.0 end as double) as empty_patch,
+  cast(case when d.steps <= 1 then 1.0 else 0.0 end as double) as immediate_submit,
+  cast(case when coalesce(p.patch, '') <> '' and coalesce(gr.resolved, false) then 1.0 else 0.0 end as double) as reward
 from done d left join cnt c on c.episode = d.episode left join p on p.episode = d.episode
 left join gr on gr.episode = d.episode
 """)

@@ -26,7 +26,7 @@ done as (select * from term where fs is not null or last_step >= {MAX_STEPS})
 select d.episode, cast(d.end_step as bigint) as steps,
   cast(count(*) filter (where s.step < d.end_step and s.exit_code <> 0) as bigint) as nonzero_exits,
   cast(coalesce(sum(case when s.step < d.end_step then length(s.stdout) end), 0) as bigint) as total_output_chars,
-  case when d.end_step <= 1 then 1.0 else 0.0 end as immediate_submit,
+  cast(case when d.end_step <= 1 then 1.0 else 0.0 end as double) as immediate_submit,
   case when d.fs is not null and d.fs <= {MAX_STEPS} then 'submit' else 'forced' end as end_reason
 from done d join steps s on s.episode = d.episode
 group by d.episode, d.end_step, d.fs

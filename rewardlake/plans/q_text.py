@@ -332,7 +332,8 @@ from steps
 """)
 def q_tool_output(spark, sf_dir):
     s = fixture(spark, sf_dir, "steps")
-    return s.select("episode", "step", T.tool_output("stdout", "exit_code").alias("feedback"))
+    return s.select("episode", F.col("step").cast("bigint").alias("step"),
+                    T.tool_output("stdout", "exit_code").alias("feedback"))
 
 
 # ------------------------------------------------------------- templates, keys
@@ -479,8 +480,8 @@ def q_snippet(spark, sf_dir):
 # ------------------------------------------------------------- nested records
 @query("q_train_record", ops="H4, G23", views=("tasks",), oracle=f"""
 select instance_id, {D.lit(T.TASK_PROMPT)} || problem_statement as input,
-  to_json(struct_pack(instance_id := instance_id, pos := pos, repo := repo,
-                      problem_statement := problem_statement, split := split)) as label
+  cast(to_json(struct_pack(instance_id := instance_id, pos := pos, repo := repo,
+                      problem_statement := problem_statement, split := split)) as varchar) as label
 from tasks
 """)
 def q_train_record(spark, sf_dir):
