@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import truthy
+from .sequence import chunked_scan
 
 HISTORY_SEPARATOR = "\n\n---\nPrior attempts and feedback:\n\n"
 
@@ -36,27 +37,35 @@ def turn_index(messages: DataFrame, key: str = "conv_id") -> DataFrame:
                     F.floor((F.col("n_messages") - prefix) / 2).cast("bigint").alias("turn_index"))
 
 
-def attempt_blocks(messages: DataFrame, key: str = "conv_id") -> DataFrame:
+def attempt_blocks(messages: DataFrame, key: str = "conv_id", chunk_turns: int = 1 << 12) -> DataFrame:
     """After the prefix, each assistant message opens attempt k (from 1)
     and a user message right after it is that attempt's feedback; other
-    messages are skipped.  Returns the attempt and feedback rows only."""
-    w = Window.partitionBy(key).orderBy("turn")
-    first_role = F.first("role").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    idx = F.row_number().over(w) - 1
-    m = (messages.select(key, "turn", "role", "text")
-         .withColumn("idx", idx)
-         .withColumn("start", F.when(first_role == "system", F.lit(2)).otherwise(F.lit(1)))
-         .withColumn("prev_role", F.lag("role").over(w)))
+    messages are skipped.  Returns the attempt and feedback rows only.
+
+    Positions, assistant counts and the previous role come from one chunked
+    scan (``sequence.chunked_scan``, chunks of ``chunk_turns`` turns); the
+    first role is an aggregate.  attempt = assistants so far minus the
+    assistants inside the prefix.
+    """
+    m = messages.select(key, "turn", "role", "text")
+    first = m.groupBy(key).agg(F.min_by("role", "turn").alias("first_role"))
+    is_asst = F.col("role") == "assistant"
+    scanned = chunked_scan(m, [key], ["turn"], F.floor(F.col("turn") / F.lit(chunk_turns)),
+                           sums={"_n": F.lit(1), "_asst": F.when(is_asst, 1).otherwise(0)},
+                           lags={"prev_role": "role"})
+    s = (scanned.join(first, key)
+         .withColumn("idx", F.col("_n") - 1)
+         .withColumn("start", F.when(F.col("first_role") == "system", F.lit(2)).otherwise(F.lit(1))))
+    in_prefix = (s.filter(F.col("idx") < F.col("start")).groupBy(key)
+                 .agg(F.sum(F.when(is_asst, 1).otherwise(0)).alias("_asst_prefix")))
     after = F.col("idx") >= F.col("start")
-    is_attempt = after & (F.col("role") == "assistant")
+    is_attempt = after & is_asst
     is_feedback = (after & (F.col("role") == "user") & (F.col("prev_role") == "assistant")
                    & (F.col("idx") - 1 >= F.col("start")))
-    counted = m.withColumn(
-        "attempt", F.sum(F.when(is_attempt, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return (counted.filter(is_attempt | is_feedback)
-            .select(key, "turn", F.when(F.col("role") == "assistant", F.lit("attempt"))
-                    .otherwise(F.lit("feedback")).alias("kind"),
-                    F.col("attempt").cast("bigint").alias("attempt"), "text"))
+    return (s.filter(is_attempt | is_feedback).join(in_prefix, key, "left")
+            .select(key, "turn", F.when(is_asst, F.lit("attempt")).otherwise(F.lit("feedback")).alias("kind"),
+                    (F.col("_asst") - F.coalesce(F.col("_asst_prefix"), F.lit(0))).cast("bigint").alias("attempt"),
+                    "text"))
 
 
 def history_text(messages: DataFrame, key: str = "conv_id") -> DataFrame:

@@ -24,28 +24,56 @@ def first_n(df: DataFrame, order: str, n: int) -> DataFrame:
     return df if n <= 0 else df.orderBy(order).limit(n)
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: Column,
-                out: str) -> DataFrame:
-    """Inclusive running sum of ``value`` per ``keys`` in ``order``, without
-    putting a whole key into one task.
+def chunked_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
+                 sums: dict[str, Column] | None = None, lags: dict[str, str] | None = None) -> DataFrame:
+    """Running sums and previous-row values per ``keys`` in ``order``,
+    without putting a whole key into one task.
 
     ``chunk`` must be non-decreasing in ``order`` within a key (an order
-    range: a day of ``ts``, a block of ids).  The ordered window runs per
-    (key, chunk), so a key holding a third of the rows is spread over its
-    chunks; the sums of earlier chunks come from a per-(key, chunk) totals
-    table (one row per chunk) and are joined back on the partitioning the
-    window already produced, so only the small side moves.
+    range: a day of ``ts``, a block of positions).  The ordered window runs
+    per (key, chunk), so a key holding a third of the rows is spread over
+    its chunks.  What a row needs from earlier chunks -- the sums of all
+    earlier chunks, the last value of the previous chunk -- comes from a
+    one-row-per-chunk table, joined back on the partitioning the window
+    already produced, so only that small side moves.
+
+    ``sums``: output name -> value (inclusive running sum).  ``lags``:
+    output name -> column (its value on the previous row; null on the
+    first row of the key).
     """
-    d = df.withColumn("_chunk", chunk).withColumn("_v", value)
-    local_w = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = d.withColumn("_local", F.sum("_v").over(local_w))
-    prev_w = (Window.partitionBy(*keys) if keys else Window).orderBy("_chunk") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (d.groupBy(*keys, "_chunk").agg(F.sum("_v").alias("_tot"))
-               .select(*keys, "_chunk", F.coalesce(F.sum("_tot").over(prev_w), F.lit(0)).alias("_off")))
-    return (local.join(offsets, [*keys, "_chunk"])
-            .withColumn(out, F.col("_local") + F.col("_off"))
-            .drop("_chunk", "_v", "_local", "_off"))
+    sums, lags = dict(sums or {}), dict(lags or {})
+    d = df.withColumn("_chunk", chunk)
+    for i, (name, value) in enumerate(sums.items()):
+        d = d.withColumn(f"_v{i}", value)
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    local = d.select("*", *[F.sum(f"_v{i}").over(upto).alias(f"_s{i}") for i in range(len(sums))],
+                     *[F.lag(c).over(w).alias(f"_l{j}") for j, c in enumerate(lags.values())],
+                     (F.row_number().over(w) == 1).alias("_first"))
+    ordering = F.struct(*[F.col(c) for c in order])
+    per_chunk = d.groupBy(*keys, "_chunk").agg(
+        *[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(sums))],
+        *[F.max_by(F.col(c), ordering).alias(f"_e{j}") for j, c in enumerate(lags.values())])
+    cw = Window.partitionBy(*keys).orderBy("_chunk") if keys else Window.orderBy("_chunk")
+    before = cw.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_chunk.select(
+        *keys, "_chunk",
+        *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_o{i}") for i in range(len(sums))],
+        *[F.lag(f"_e{j}").over(cw).alias(f"_p{j}") for j in range(len(lags))])
+    out = local.join(offsets, [*keys, "_chunk"])
+    for i, name in enumerate(sums):
+        out = out.withColumn(name, F.col(f"_s{i}") + F.col(f"_o{i}"))
+    for j, name in enumerate(lags):
+        out = out.withColumn(name, F.when(F.col("_first"), F.col(f"_p{j}")).otherwise(F.col(f"_l{j}")))
+    helper = ["_chunk", "_first"] + [f"_{x}{i}" for i in range(len(sums)) for x in "vso"] + \
+        [f"_{x}{j}" for j in range(len(lags)) for x in "lp"]
+    return out.drop(*helper)
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: Column,
+                out: str) -> DataFrame:
+    """Inclusive running sum of ``value`` per ``keys`` (see ``chunked_scan``)."""
+    return chunked_scan(df, keys, order, chunk, sums={out: value})
 
 
 def round_robin(df: DataFrame, key: str | None, order: str, workers: int,

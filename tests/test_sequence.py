@@ -31,3 +31,30 @@ def test_breaker_across_chunks(spark):
     got = {r.u: (r.max_streak, r.tripped)
            for r in SQ.breaker(df, "u", ["t"], F.col("fail"), F.floor(F.col("t") / 8), 10).collect()}
     assert got == {"u1": (12, True), "u2": (1, False)}
+
+
+def test_chunked_scan_lag_and_sums_cross_chunks(spark):
+    rnd = random.Random(3)
+    rows = [(k, t, rnd.choice("abc")) for k in (1, 2) for t in rnd.sample(range(200), 60)]
+    df = spark.createDataFrame(rows, "k long, t long, v string")
+    got = {(r.k, r.t): (r.n, r.na, r.prev) for r in SQ.chunked_scan(
+        df, ["k"], ["t"], F.floor(F.col("t") / 7), sums={"n": F.lit(1), "na": F.when(F.col("v") == "a", 1).otherwise(0)},
+        lags={"prev": "v"}).collect()}
+    want = {}
+    for k in (1, 2):
+        seq = sorted((t, v) for kk, t, v in rows if kk == k)
+        na = 0
+        for i, (t, v) in enumerate(seq):
+            na += v == "a"
+            want[(k, t)] = (i + 1, na, seq[i - 1][1] if i else None)
+    assert got == want
+
+
+def test_attempt_blocks_independent_of_chunking(spark):
+    from rewardlake.operators.dialog import attempt_blocks
+    from rewardlake.sources.tables import table
+    from tests.conftest import SF_SMALL
+    conv = table(spark, SF_SMALL, "conversations")
+    a = sorted(tuple(r) for r in attempt_blocks(conv, chunk_turns=1).collect())
+    b = sorted(tuple(r) for r in attempt_blocks(conv).collect())
+    assert a == b and a
