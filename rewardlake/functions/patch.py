@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import LINE_BREAK_CLASS, NOT_LINE_BREAK, col_, py_strip, split_lines
+from .text import LINE_BREAK_CLASS, NOT_LINE_BREAK, col_, py_strip
 
 HUNK_HEADER = r"@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
 

@@ -38,12 +38,8 @@ def py_strip(c) -> Column:
     return F.btrim(col_(c), F.lit(PY_SPACE_CHARS))
 
 
-def py_lstrip(c) -> Column:
-    return F.regexp_replace(col_(c), rf"^{PY_SPACE}+", "")
 
 
-def py_rstrip(c) -> Column:
-    return F.regexp_replace(col_(c), rf"{PY_SPACE}+$", "")
 
 
 LINE_BREAK_CHARS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
@@ -64,10 +60,6 @@ def split_lines(c) -> Column:
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(body, PY_LINE_BREAK, -1))
 
 
-def count_char(c, ch: str) -> Column:
-    """Occurrences of the single character ``ch`` in ``c``."""
-    c = col_(c)
-    return F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
 
 
 def last_match(c, pattern: str, group: int = 0) -> Column:

@@ -180,13 +180,6 @@ def view_sql(name: str) -> str:
     return VIEWS[name][1].strip()
 
 
-def base_tables(names) -> list[str]:
-    out: list[str] = []
-    for name in names:
-        for t in VIEWS[name][0]:
-            if t not in out:
-                out.append(t)
-    return out
 
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,3 +58,10 @@ def test_attempt_blocks_independent_of_chunking(spark):
     a = sorted(tuple(r) for r in attempt_blocks(conv, chunk_turns=1).collect())
     b = sorted(tuple(r) for r in attempt_blocks(conv).collect())
     assert a == b and a
+
+
+def test_prefix_until_keeps_rows_before_first_stop(spark):
+    rows = [("r1", 1, "ok"), ("r1", 2, "err"), ("r1", 3, "limit"), ("r1", 4, "ok"), ("r2", 1, "ok")]
+    df = spark.createDataFrame(rows, "run string, t long, what string")
+    got = sorted((r.run, r.t) for r in SQ.prefix_until(df, "run", ["t"], F.col("what") == "limit").collect())
+    assert got == [("r1", 1), ("r1", 2), ("r2", 1)]
