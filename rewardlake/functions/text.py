@@ -89,6 +89,7 @@ def substr_from(c, pos: Column) -> Column:
 
 
 # ---------------------------------------------------------------- G1-G4
+# The three answer patterns, tried in this order.
 BOXED = r"\\boxed\{([^}]+)\}"
 HASH_ANSWER = r"####" + PY_SPACE + r"*(-?[\d,]+\.?\d*)"
 LAST_NUMBER = r"-?[\d,]+\.?\d*"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.feedback import score_2dp
 
+# Failing statuses, tests listed, whole-log limit and tail size.
 FAILING = ("FAILED", "ERROR")
 SHOWN_TESTS = 20
 WHOLE_LOG_BELOW = 4000
