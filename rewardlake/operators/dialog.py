@@ -96,14 +96,21 @@ def augmented_problem(messages: DataFrame, key: str = "conv_id") -> DataFrame:
 
 
 # ------------------------------------------------------------- E3 / E4 / E13
-def replay_early_exit(turns: DataFrame, max_turns: int) -> DataFrame:
+def replay_early_exit(turns: DataFrame, max_turns: int, has_intermediate: bool = True) -> DataFrame:
     """The turns a run with early exit keeps, set-wise.
 
     A run stops at the first turn whose intermediate checks all pass, or
     after ``max_turns``.  Feedback is produced for a kept turn that neither
     exits nor is the last allowed one.  The first passing turn is an
     aggregate joined back (AQE can split a hot instance in that join).
+    Without intermediate verifiers every turn scores 1.0, none exits early
+    and none gets feedback.
     """
+    if not has_intermediate:
+        kept = turns.filter(F.col("turn") <= max_turns - 1)
+        return kept.select("instance_id", F.col("turn").cast("bigint").alias("turn"), "output",
+                           F.lit(1.0).alias("aggregate_score"), "all_passed",
+                           F.lit(False).alias("exits"), F.lit(False).alias("has_feedback"))
     first_pass = (turns.groupBy("instance_id")
                   .agg(F.min(F.when(F.col("all_passed"), F.col("turn"))).alias("first_pass")))
     last_allowed = F.lit(max_turns - 1)

@@ -133,3 +133,14 @@ def test_bad_threshold_fails_even_when_pruned(spark):
     cfg = spark.createDataFrame([(1, "a", 1.5)], "ord int, name string, pass_threshold double")
     with pytest.raises(Exception, match="pass_threshold must be in"):
         S.results_in_order(res, cfg).collect()
+
+
+def test_replay_without_intermediate_verifiers(spark):
+    from rewardlake.operators.dialog import replay_early_exit
+    t = spark.createDataFrame([(1, 0, "a", True, 0.2), (1, 1, "b", True, 0.4), (1, 2, "c", False, 0.6)],
+                              "instance_id long, turn int, output string, all_passed boolean, aggregate_score double")
+    with_set = [(r.turn, r.exits) for r in replay_early_exit(t, 3).orderBy("turn").collect()]
+    assert with_set == [(0, True)]
+    without = [(r.turn, r.exits, r.has_feedback, r.aggregate_score)
+               for r in replay_early_exit(t, 2, has_intermediate=False).orderBy("turn").collect()]
+    assert without == [(0, False, False, 1.0), (1, False, False, 1.0)]
