@@ -62,3 +62,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     on a cluster)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def cluster_conf(input_bytes: int, executor_cores: int, executors: int,
+                 target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings to submit a job with at cluster scale (e.g. 100 TB input on
+    1000 executors).  The library itself never sets them; it reads the
+    session it is given.
+
+    * scan splits of ``target_partition_bytes`` (so a task holds a bounded
+      slice of the input, whatever the table size)
+    * initial shuffle partitions so that a shuffle of the whole input gives
+      partitions of about that size, at least 3 waves of the cluster's cores;
+      AQE then coalesces small ones and splits skewed ones (a key holding a
+      third of the rows in a join is split into target-size pieces)
+    * automatic broadcast capped at 64 MB of estimated size
+    """
+    cores = max(1, executor_cores * executors)
+    parts = max(3 * cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target_partition_bytes),
+        "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    }
