@@ -73,13 +73,16 @@ def cluster_conf(input_bytes: int, executor_cores: int, executors: int,
     * scan splits of ``target_partition_bytes`` (so a task holds a bounded
       slice of the input, whatever the table size)
     * initial shuffle partitions so that a shuffle of the whole input gives
-      partitions of about that size, at least 3 waves of the cluster's cores;
+      partitions of about that size, at least 3 waves of the cluster's cores
+      and at most 100,000;
       AQE then coalesces small ones and splits skewed ones (a key holding a
       third of the rows in a join is split into target-size pieces)
     * automatic broadcast capped at 64 MB of estimated size
     """
     cores = max(1, executor_cores * executors)
-    parts = max(3 * cores, -(-input_bytes // target_partition_bytes))
+    # capped: mapper x reducer block counts grow with the product, and AQE
+    # splits the few oversized partitions anyway
+    parts = min(max(3 * cores, -(-input_bytes // target_partition_bytes)), 100_000)
     return {
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
         "spark.sql.shuffle.partitions": str(parts),
