@@ -159,7 +159,8 @@ def artifact_plan(results: DataFrame, logs: DataFrame | None = None) -> DataFram
 
     ``prediction.json`` and ``report.json`` always; the report is the eval
     report when one exists, else ``{"error": ...}``.  ``pod_logs.txt`` only
-    when the instance has non-empty logs.  Written with
+    when the instance has non-empty logs, ``<id>.traj.json`` only when the
+    log carries a non-empty trajectory block.  Written with
     ``write.partitionBy(run_id)`` as one table per kind, never one folder per
     instance.
     """
@@ -176,7 +177,12 @@ def artifact_plan(results: DataFrame, logs: DataFrame | None = None) -> DataFram
                .join(results.select("instance_id"), "instance_id", "left_semi")
                .select("instance_id", F.lit("pod_logs.txt").alias("artifact"),
                        F.lit("logs").alias("content")))
-        out = out.unionByName(pod)
+        from ..functions.text import log_trajectory
+        traj = (logs.withColumn("_traj", log_trajectory(F.col("logs"))).filter(F.col("_traj") != "")
+                .join(results.select("instance_id"), "instance_id", "left_semi")
+                .select("instance_id", F.concat(F.col("instance_id"), F.lit(".traj.json")).alias("artifact"),
+                        F.lit("trajectory").alias("content")))
+        out = out.unionByName(pod).unionByName(traj)
     return out
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 
+from ..functions import text as T
 from ..operators import reports as R
 from ..sources.fixtures import fixture
+from . import duck as D
 from .registry import query
 
 _BUCKET_SQL = """
@@ -119,7 +121,10 @@ def q_metrics_long(spark, sf_dir):
     return R.tracking_rows(fixture(spark, sf_dir, "instance_results"), "run-1", TRACKED_PARAMS)
 
 
-@query("q_artifact_plan", ops="A8", views=("instance_results", "logs"), oracle="""
+_TRAJ = D.between("l.logs", T.TRAJ_START, T.TRAJ_END)
+
+
+@query("q_artifact_plan", ops="A8", views=("instance_results", "logs"), oracle=f"""
 select instance_id, 'prediction.json' as artifact, 'prediction' as content from instance_results
 union all
 select instance_id, 'report.json', case when resolved is not null then 'eval_report' else 'error' end
@@ -128,6 +133,9 @@ union all
 select l.instance_id, 'pod_logs.txt', 'logs' from logs l
 where l.logs is not null and l.logs <> ''
   and l.instance_id in (select instance_id from instance_results)
+union all
+select l.instance_id, l.instance_id || '.traj.json', 'trajectory' from logs l
+where {_TRAJ} <> '' and l.instance_id in (select instance_id from instance_results)
 """)
 def q_artifact_plan(spark, sf_dir):
     return R.artifact_plan(fixture(spark, sf_dir, "instance_results"), fixture(spark, sf_dir, "logs"))

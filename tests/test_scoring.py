@@ -144,3 +144,15 @@ def test_replay_without_intermediate_verifiers(spark):
     without = [(r.turn, r.exits, r.has_feedback, r.aggregate_score)
                for r in replay_early_exit(t, 2, has_intermediate=False).orderBy("turn").collect()]
     assert without == [(0, False, False, 1.0), (1, False, False, 1.0)]
+
+
+def test_artifact_plan_optional_files(spark):
+    from rewardlake.functions.text import TRAJ_START, TRAJ_END
+    res = spark.createDataFrame([("a", None, True, True), ("b", "x", False, None)],
+                                "instance_id string, error string, patch_exists boolean, resolved boolean")
+    logs = spark.createDataFrame([("a", f"log {TRAJ_START}[1]{TRAJ_END}"), ("b", ""), ("zz", "orphan")],
+                                 "instance_id string, logs string")
+    got = sorted(tuple(r) for r in R.artifact_plan(res, logs).collect())
+    assert got == [("a", "a.traj.json", "trajectory"), ("a", "pod_logs.txt", "logs"),
+                   ("a", "prediction.json", "prediction"), ("a", "report.json", "eval_report"),
+                   ("b", "prediction.json", "prediction"), ("b", "report.json", "error")]
