@@ -4,9 +4,9 @@ The driver's tables are TPC-H-like; these views reshape them into the records
 the operators consume (tasks, prompts, graded instances, verifier results,
 turns, agent steps, ...).  Each view is one SQL text that runs unchanged on
 Spark and on DuckDB, so the Spark plan and the oracle start from identical
-inputs.  On Spark the base tables are registered as temp views and the view
-SQL is analysed immediately, so the returned DataFrame is bound to the files
-of the ``sf_dir`` it was built for.  Two views (``steps``, ``turn_runs``) number
+inputs.  On Spark the base tables are registered as temp views named per data
+folder and the view SQL is analysed immediately, so the returned DataFrame is
+bound to the files of the ``sf_dir`` it was built for.  Two views (``steps``, ``turn_runs``) number
 rows per user / conversation; on Spark they are built with a chunked running
 count instead of ``row_number`` so a hot key is not numbered by one task
 (``BUILDERS``); the oracle keeps the SQL, and both give the same rows.
@@ -14,6 +14,9 @@ count instead of ``row_number`` so a hot key is not numbered by one task
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -216,12 +219,22 @@ def _turn_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 BUILDERS = {"steps": _steps, "turn_runs": _turn_runs}
 
 
+def _view_names(sf_dir: str, tables) -> dict[str, str]:
+    """Temp-view names private to one data folder, so queries over
+    different folders in one session never see each other's tables."""
+    tag = hashlib.md5(sf_dir.rstrip("/").encode()).hexdigest()[:10]
+    return {t: f"{t}__{tag}" for t in tables}
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Build the derived view ``name`` from the tables under ``sf_dir``."""
     if name in BUILDERS:
         return BUILDERS[name](spark, sf_dir)
-    register_tables(spark, sf_dir, VIEWS[name][0])
-    return spark.sql(view_sql(name))
+    names = _view_names(sf_dir, VIEWS[name][0])
+    for t, v in names.items():
+        table(spark, sf_dir, t).createOrReplaceTempView(v)
+    sql = re.sub(r"(?i)\bfrom\s+(\w+)", lambda m: "from " + names.get(m.group(1), m.group(1)), view_sql(name))
+    return spark.sql(sql)
 
 
 def fixtures(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
