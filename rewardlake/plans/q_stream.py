@@ -15,6 +15,7 @@ from .q_reports import _BUCKET_SQL
 from .registry import query
 
 _RAW_STEPS = ["episode", "event_id", "ts", "action", "exit_code", "stdout"]
+FILES_PER_DROP = 4  # files (writer tasks) per staged drop = files per micro-batch
 
 
 @query("q_stream_episodes", ops="J2, E7, D13", views=("steps",), oracle=f"""
@@ -34,8 +35,9 @@ group by d.episode, d.end_step, d.fs
 def q_stream_episodes(spark, sf_dir):
     area = new_area(spark, "episodes")
     raw = fixture(spark, sf_dir, "steps").select(*_RAW_STEPS).withColumn("ts", F.col("ts").cast("timestamp"))
-    stage_drops(raw, f"{area}/in", "ts", 3)
-    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{area}/in")
+    stage_drops(raw, f"{area}/in", "ts", 3, key="episode", files_per_drop=FILES_PER_DROP)
+    stream = (spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", FILES_PER_DROP)
+              .parquet(f"{area}/in"))
     run_append(ST.episode_stream(stream), f"{area}/out", f"{area}/ckpt")
     return spark.read.parquet(f"{area}/out")
 
@@ -53,8 +55,9 @@ def q_stream_report(spark, sf_dir):
     area = new_area(spark, "report")
     res = fixture(spark, sf_dir, "instance_results").withColumn(
         "k", F.substring("instance_id", 7, 1 << 20).cast("bigint"))
-    stage_drops(res, f"{area}/in", "k", 3)
-    stream = spark.readStream.schema(res.schema).option("maxFilesPerTrigger", 1).parquet(f"{area}/in")
+    stage_drops(res, f"{area}/in", "k", 3, key="instance_id", files_per_drop=FILES_PER_DROP)
+    stream = (spark.readStream.schema(res.schema).option("maxFilesPerTrigger", FILES_PER_DROP)
+              .parquet(f"{area}/in"))
     run_complete(ST.running_report(stream), f"{area}/out", f"{area}/ckpt")
     return spark.read.parquet(f"{area}/out")
 
@@ -71,12 +74,13 @@ def q_stream_intake(spark, sf_dir):
     p = T.log_predictions("logs", F.col("instance_id"), F.lit("agent-model"))
     preds = logs.select("instance_id", F.substring("instance_id", 7, 1 << 20).cast("bigint").alias("k"),
                         p["model_name_or_path"].alias("model_name_or_path"))
-    stage_drops(preds, f"{area}/in", "k", 3, fmt="json")
-    # a writer that re-sends the first drop: duplicates across drops
-    stage_drops(preds.filter(F.col("k") % 5 == 0), f"{area}/in", "k", 1, fmt="json")
+    stage_drops(preds, f"{area}/in", "k", 3, fmt="json", key="instance_id", files_per_drop=FILES_PER_DROP)
+    # a writer that re-sends some predictions: duplicates across drops
+    stage_drops(preds.filter(F.col("k") % 5 == 0), f"{area}/in", "k", 1, fmt="json", key="instance_id",
+                files_per_drop=FILES_PER_DROP)
     completed = fixture(spark, sf_dir, "instance_results").filter(F.col("error").isNull())
     stream = (spark.readStream.schema("instance_id string, k long, model_name_or_path string")
-              .option("maxFilesPerTrigger", 1).json(f"{area}/in"))
+              .option("maxFilesPerTrigger", FILES_PER_DROP).json(f"{area}/in"))
     run_append(ST.prediction_intake(stream, completed).select("instance_id", "model_name_or_path"),
                f"{area}/out", f"{area}/ckpt")
     return spark.read.parquet(f"{area}/out")

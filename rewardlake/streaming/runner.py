@@ -19,10 +19,14 @@ def new_area(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def stage_drops(df: DataFrame, folder: str, order_col: str, drops: int = 3, fmt: str = "parquet") -> None:
+def stage_drops(df: DataFrame, folder: str, order_col: str, drops: int = 3, fmt: str = "parquet",
+                key: str | None = None, files_per_drop: int = 4) -> None:
     """Write ``df`` as ``drops`` successive file drops split at quantiles of
-    ``order_col`` (so later drops hold later rows).  Only the split points
-    reach the driver."""
+    ``order_col`` (so later drops hold later rows).  Each drop is written by
+    ``files_per_drop`` tasks, hash-partitioned by ``key`` so that one key's
+    rows of a drop sit in one file (a stream reading ``files_per_drop``
+    files per micro-batch then sees every key in order).  Only the split
+    points reach the driver."""
     qs = [i / drops for i in range(1, drops)]
     cuts = df.agg(F.percentile_approx(F.col(order_col), qs, 10000).alias("q")).first()["q"] if drops > 1 else []
     bounds = [None, *cuts, None]
@@ -33,7 +37,8 @@ def stage_drops(df: DataFrame, folder: str, order_col: str, drops: int = 3, fmt:
             part = part.filter(F.col(order_col) > F.lit(lo))
         if hi is not None:
             part = part.filter(F.col(order_col) <= F.lit(hi))
-        part.coalesce(1).write.mode("append").format(fmt).save(folder)
+        part = part.repartition(files_per_drop, key) if key else part.repartition(files_per_drop)
+        part.write.mode("append").format(fmt).save(folder)
 
 
 def run_append(stream: DataFrame, out: str, checkpoint: str, fmt: str = "parquet") -> None:

@@ -36,8 +36,8 @@ def test_forced_submit_and_idle_timeout(spark):
     df = (spark.createDataFrame(rows, "episode long, event_id long, t long, action string, exit_code int, stdout string")
           .withColumn("ts", F.timestamp_seconds("t")).drop("t"))
     area = new_area(spark, "t-idle")
-    stage_drops(df, f"{area}/in", "ts", 2)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{area}/in")
+    stage_drops(df, f"{area}/in", "ts", 2, key="episode", files_per_drop=2)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(f"{area}/in")
     run_append(ST.episode_stream(stream, max_steps=100, watermark="10 minutes", idle_ms=60_000),
                f"{area}/out", f"{area}/ckpt")
     got = {r.episode: (r.steps, r.end_reason, r.nonzero_exits) for r in spark.read.parquet(f"{area}/out").collect()}
