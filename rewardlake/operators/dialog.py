@@ -44,30 +44,27 @@ def attempt_blocks(messages: DataFrame, key: str = "conv_id", chunk_turns: int =
     and a user message right after it is that attempt's feedback; other
     messages are skipped.  Returns the attempt and feedback rows only.
 
-    Positions, assistant counts and the previous role come from one chunked
-    scan (``sequence.chunked_scan``, chunks of ``chunk_turns`` turns); the
-    first role is an aggregate.  attempt = assistants so far minus the
-    assistants inside the prefix.
+    Two chunked scans (``sequence.chunked_scan``, chunks of ``chunk_turns``
+    turns): the first gives each message its position, the previous role and
+    the conversation's first role; the second counts attempts.  The second
+    reuses the (conversation, chunk) partitioning of the first, so the
+    messages are shuffled once.
     """
     m = messages.select(key, "turn", "role", "text")
-    first = m.groupBy(key).agg(F.min_by("role", "turn").alias("first_role"))
-    is_asst = F.col("role") == "assistant"
-    scanned = chunked_scan(m, [key], ["turn"], F.floor(F.col("turn") / F.lit(chunk_turns)),
-                           sums={"_n": F.lit(1), "_asst": F.when(is_asst, 1).otherwise(0)},
-                           lags={"prev_role": "role"})
-    s = (scanned.join(first, key)
-         .withColumn("idx", F.col("_n") - 1)
-         .withColumn("start", F.when(F.col("first_role") == "system", F.lit(2)).otherwise(F.lit(1))))
-    in_prefix = (s.filter(F.col("idx") < F.col("start")).groupBy(key)
-                 .agg(F.sum(F.when(is_asst, 1).otherwise(0)).alias("_asst_prefix")))
-    after = F.col("idx") >= F.col("start")
-    is_attempt = after & is_asst
-    is_feedback = (after & (F.col("role") == "user") & (F.col("prev_role") == "assistant")
-                   & (F.col("idx") - 1 >= F.col("start")))
-    return (s.filter(is_attempt | is_feedback).join(in_prefix, key, "left")
-            .select(key, "turn", F.when(is_asst, F.lit("attempt")).otherwise(F.lit("feedback")).alias("kind"),
-                    (F.col("_asst") - F.coalesce(F.col("_asst_prefix"), F.lit(0))).cast("bigint").alias("attempt"),
-                    "text"))
+    first = chunked_scan(m, [key], ["turn"], F.floor(F.col("turn") / F.lit(chunk_turns)),
+                         sums={"_n": F.lit(1)}, lags={"prev_role": "role"}, firsts={"first_role": "role"},
+                         keep_chunk="_ck")
+    idx = F.col("_n") - 1
+    start = F.when(F.col("first_role") == "system", F.lit(2)).otherwise(F.lit(1))
+    after = idx >= start
+    is_attempt = after & (F.col("role") == "assistant")
+    is_feedback = (after & (F.col("role") == "user") & (F.col("prev_role") == "assistant") & (idx - 1 >= start))
+    flagged = first.withColumn("_att", is_attempt).withColumn("_fb", is_feedback)
+    counted = chunked_scan(flagged, [key], ["turn"], "_ck",
+                           sums={"attempt": F.when(F.col("_att"), 1).otherwise(0)})
+    return (counted.filter(F.col("_att") | F.col("_fb"))
+            .select(key, "turn", F.when(F.col("_att"), F.lit("attempt")).otherwise(F.lit("feedback")).alias("kind"),
+                    F.col("attempt").cast("bigint").alias("attempt"), "text"))
 
 
 def history_text(messages: DataFrame, key: str = "conv_id") -> DataFrame:

@@ -24,8 +24,9 @@ def first_n(df: DataFrame, order: str, n: int) -> DataFrame:
     return df if n <= 0 else df.orderBy(order).limit(n)
 
 
-def chunked_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
-                 sums: dict[str, Column] | None = None, lags: dict[str, str] | None = None) -> DataFrame:
+def chunked_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column | str,
+                 sums: dict[str, Column] | None = None, lags: dict[str, str] | None = None,
+                 firsts: dict[str, str] | None = None, keep_chunk: str | None = None) -> DataFrame:
     """Running sums and previous-row values per ``keys`` in ``order``,
     without putting a whole key into one task.
 
@@ -39,10 +40,13 @@ def chunked_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column
 
     ``sums``: output name -> value (inclusive running sum).  ``lags``:
     output name -> column (its value on the previous row; null on the
-    first row of the key).
+    first row of the key).  ``firsts``: output name -> column (its value on
+    the key's first row).  ``keep_chunk`` keeps the chunk under that name,
+    and ``chunk`` may name such a column: a second scan over the output then
+    reuses the (key, chunk) partitioning the first one produced.
     """
-    sums, lags = dict(sums or {}), dict(lags or {})
-    d = df.withColumn("_chunk", chunk)
+    sums, lags, firsts = dict(sums or {}), dict(lags or {}), dict(firsts or {})
+    d = df.withColumn("_chunk", F.col(chunk) if isinstance(chunk, str) else chunk)
     for i, (name, value) in enumerate(sums.items()):
         d = d.withColumn(f"_v{i}", value)
     w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
@@ -53,18 +57,25 @@ def chunked_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column
     ordering = F.struct(*[F.col(c) for c in order])
     per_chunk = d.groupBy(*keys, "_chunk").agg(
         *[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(sums))],
-        *[F.max_by(F.col(c), ordering).alias(f"_e{j}") for j, c in enumerate(lags.values())])
+        *[F.max_by(F.col(c), ordering).alias(f"_e{j}") for j, c in enumerate(lags.values())],
+        *[F.min_by(F.col(c), ordering).alias(f"_b{j}") for j, c in enumerate(firsts.values())])
     cw = Window.partitionBy(*keys).orderBy("_chunk") if keys else Window.orderBy("_chunk")
     before = cw.rowsBetween(Window.unboundedPreceding, -1)
+    whole = cw.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = per_chunk.select(
         *keys, "_chunk",
         *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_o{i}") for i in range(len(sums))],
-        *[F.lag(f"_e{j}").over(cw).alias(f"_p{j}") for j in range(len(lags))])
+        *[F.lag(f"_e{j}").over(cw).alias(f"_p{j}") for j in range(len(lags))],
+        *[F.first(f"_b{j}").over(whole).alias(f"_g{j}") for j in range(len(firsts))])
     out = local.join(offsets, [*keys, "_chunk"])
     for i, name in enumerate(sums):
         out = out.withColumn(name, F.col(f"_s{i}") + F.col(f"_o{i}"))
     for j, name in enumerate(lags):
         out = out.withColumn(name, F.when(F.col("_first"), F.col(f"_p{j}")).otherwise(F.col(f"_l{j}")))
+    for j, name in enumerate(firsts):
+        out = out.withColumnRenamed(f"_g{j}", name)
+    if keep_chunk:
+        out = out.withColumnRenamed("_chunk", keep_chunk)
     helper = ["_chunk", "_first"] + [f"_{x}{i}" for i in range(len(sums)) for x in "vso"] + \
         [f"_{x}{j}" for j in range(len(lags)) for x in "lp"]
     return out.drop(*helper)
