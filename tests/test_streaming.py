@@ -43,3 +43,21 @@ def test_forced_submit_and_idle_timeout(spark):
     got = {r.episode: (r.steps, r.end_reason, r.nonzero_exits) for r in spark.read.parquet(f"{area}/out").collect()}
     assert got[1] == (100, "forced", 0)
     assert got[2] == (1, "timeout", 1)
+
+
+def test_late_rows_and_unsubmitted_episodes(spark):
+    schema = "episode long, event_id long, t long, action string, exit_code int, stdout string"
+    drop1 = [(1, 10, 100, "bash", 0, "a"), (1, 11, 200, "bash", 0, "bb"), (1, 12, 300, "bash", 0, "c"),
+             (2, 20, 100, "bash", 1, "x")]                                   # episode 2 never submits
+    drop2 = [(1, 13, 250, "bash", 1, "late"),                                 # before step 3 -> ignored
+             (1, 14, 400, "submit", 0, "")]
+    area = new_area(spark, "t-late")
+    for rows in (drop1, drop2):
+        (spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("t")).drop("t")
+         .coalesce(1).write.mode("append").parquet(f"{area}/in"))
+    sch = spark.read.parquet(f"{area}/in").schema
+    stream = spark.readStream.schema(sch).option("maxFilesPerTrigger", 1).parquet(f"{area}/in")
+    run_append(ST.episode_stream(stream, watermark="1 hour"), f"{area}/out", f"{area}/ckpt")
+    got = {r.episode: (r.steps, r.nonzero_exits, r.total_output_chars, r.end_reason)
+           for r in spark.read.parquet(f"{area}/out").collect()}
+    assert got == {1: (4, 0, 4, "submit")}
