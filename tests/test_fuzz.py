@@ -60,3 +60,10 @@ def test_fuzz_against_python(spark):
         assert r.ans == _py_answer(s), repr(s)
         assert tuple(r.tool) == _py_tool(s), repr(s)
         assert tuple(r.rc) == _py_rc(s), repr(s)
+
+
+def test_character_sets_equal_pythons():
+    space = {chr(c) for c in range(0x110000) if chr(c).isspace()}
+    assert space == set(T.PY_SPACE_CHARS)
+    breaks = {chr(c) for c in range(0x110000) if len(("a" + chr(c) + "b").splitlines()) == 2}
+    assert breaks == set(T.LINE_BREAK_CHARS)
