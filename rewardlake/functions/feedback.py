@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The wording of the multi-turn feedback message.
-FEEDBACK_HEADER = "Your solution was evaluated. Here is the feedback:\n"
-ALL_PASSED = "\nAll checks passed."
-PLEASE_REVISE = "\nPlease revise your solution to address the issues above."
+from ..constants import ALL_PASSED, FEEDBACK_HEADER, PLEASE_REVISE
+
 
 
 def score_2dp(score: Column) -> Column:

@@ -11,7 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters Python's str.isspace() accepts, and the line
+from ..constants import (ANSWER_BOXED, ANSWER_HASH, ANSWER_NUMBER, ANSWER_TOLERANCE, APPLIED,  # noqa: F401
+                         APPLY_FAILED, EVAL_END, EVAL_START, FENCE, MAX_OUTPUT_CHARS, PATCH_END,
+                         PATCH_START, PREDS_END, PREDS_START, PY_FENCE, RC_SENTINEL, TOOL_BASH, TOOL_SUBMIT,
+                         TRAJ_END, TRAJ_START)
+
+# Python's definitions: the characters str.isspace() accepts, and the line
 # boundaries of str.splitlines(), written as regex classes.
 PY_SPACE = r"[\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 PY_LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
@@ -89,10 +94,10 @@ def substr_from(c, pos: Column) -> Column:
 
 
 # ---------------------------------------------------------------- G1-G4
-# The three answer patterns, tried in this order.
-BOXED = r"\\boxed\{([^}]+)\}"
-HASH_ANSWER = r"####" + PY_SPACE + r"*(-?[\d,]+\.?\d*)"
-LAST_NUMBER = r"-?[\d,]+\.?\d*"
+# the answer patterns (constants.ANSWER_*), with Python's whitespace class for \s
+BOXED = ANSWER_BOXED
+HASH_ANSWER = ANSWER_HASH.replace(r"\s", PY_SPACE)
+LAST_NUMBER = ANSWER_NUMBER
 # what Python float() accepts once commas and whitespace are gone (ASCII
 # digits only, no underscores: SURVEY Q17)
 FLOAT_TEXT = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])$"
@@ -127,14 +132,12 @@ def answer_reward(response: Column, label: Column) -> Column:
     pred = normalize_number(extract_answer(response))
     gold_text = F.when(truthy(label), extract_answer(label))
     gold = F.when(truthy(gold_text), normalize_number(gold_text)).otherwise(normalize_number(label))
-    ok = F.abs(pred - gold) < F.lit(1e-6)
+    ok = F.abs(pred - gold) < F.lit(ANSWER_TOLERANCE)
     return F.when(pred.isNotNull() & gold.isNotNull() & ~F.isnan(pred) & ~F.isnan(gold)
                   & F.coalesce(ok, F.lit(False)), F.lit(1.0)).otherwise(F.lit(0.0))
 
 
 # ---------------------------------------------------------------- G5
-PY_FENCE = "```python"
-FENCE = "```"
 
 
 def code_fence(c) -> Column:
@@ -151,17 +154,6 @@ def code_fence(c) -> Column:
 
 
 # ---------------------------------------------------------------- G11-G13
-# Log delimiters written by the agent job.
-PREDS_START = "<<PREDS_JSON_START_7829361>>"
-PREDS_END = "<<PREDS_JSON_END_7829361>>"
-PATCH_START = "<<PATCH_START_7829361>>"
-PATCH_END = "<<PATCH_END_7829361>>"
-EVAL_START = "<<EVAL_OUTPUT_START_7829361>>"
-EVAL_END = "<<EVAL_OUTPUT_END_7829361>>"
-TRAJ_START = "<<TRAJ_JSON_START_7829361>>"
-TRAJ_END = "<<TRAJ_JSON_END_7829361>>"
-APPLIED = ">>>>> Applied Patch"
-APPLY_FAILED = ">>>>> Patch Apply Failed"
 
 PREDS_SCHEMA = "map<string, struct<instance_id: string, model_patch: string, model_name_or_path: string>>"
 
@@ -221,8 +213,8 @@ def apply_status(logs) -> Column:
 
 
 # ---------------------------------------------------------------- G14-G17
-BASH_CALL = r"(?s)<bash>(.*?)</bash>"
-SUBMIT_CALL = r"<submit" + PY_SPACE + r"*/>"
+BASH_CALL = "(?s)" + TOOL_BASH
+SUBMIT_CALL = TOOL_SUBMIT.replace(r"\s", PY_SPACE)
 
 
 def tool_call(text) -> Column:
@@ -248,7 +240,7 @@ def tool_call(text) -> Column:
     return F.struct(kind.alias("type"), content.alias("content"))
 
 
-def truncate_middle(c, limit: int = 8000) -> Column:
+def truncate_middle(c, limit: int = MAX_OUTPUT_CHARS) -> Column:
     """Texts longer than ``limit`` keep the first and last ``limit//2``
     characters around a dropped-count marker (``limit >= 2``, SURVEY Q18)."""
     if limit < 2:
@@ -260,14 +252,13 @@ def truncate_middle(c, limit: int = 8000) -> Column:
     return F.when(n <= limit, c).otherwise(F.concat(F.left(c, F.lit(half)), marker, F.right(c, F.lit(half))))
 
 
-def tool_output(stdout, exit_code, limit: int = 8000) -> Column:
+def tool_output(stdout, exit_code, limit: int = MAX_OUTPUT_CHARS) -> Column:
     """Truncated output plus an exit-code line when it is non-zero."""
     code = col_(exit_code)
     return F.concat_ws("\n", truncate_middle(stdout, limit),
                        F.when(code != 0, F.concat(F.lit("[exit code: "), code.cast("string"), F.lit("]"))))
 
 
-RC_SENTINEL = r"__RC_8372916__:(\d+)\n?"
 
 
 def exit_code_split(raw) -> Column:

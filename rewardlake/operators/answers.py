@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import ANSWER_TOLERANCE
 from ..functions.text import extract_answer, normalize_number, strip_prompt, truthy
 
 
@@ -24,7 +25,7 @@ def score_answers(df: DataFrame, query: str = "query", prompt: str = "prompt", l
               .withColumn("gold_num", F.when(truthy(F.col("gold_text")), normalize_number("gold_text"))
                           .otherwise(normalize_number(label))))
     p, g = F.col("pred_num"), F.col("gold_num")
-    ok = p.isNotNull() & g.isNotNull() & ~F.isnan(p) & ~F.isnan(g) & F.coalesce(F.abs(p - g) < 1e-6, F.lit(False))
+    ok = p.isNotNull() & g.isNotNull() & ~F.isnan(p) & ~F.isnan(g) & F.coalesce(F.abs(p - g) < ANSWER_TOLERANCE, F.lit(False))
     return staged.withColumn("reward", F.when(ok, F.lit(1.0)).otherwise(F.lit(0.0))).drop("gold_text")
 
 

@@ -14,12 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..constants import HISTORY_SEPARATOR  # noqa: F401
+
 from ..functions.text import truthy
 from .sequence import chunked_scan
 
-# Separator between the problem statement and the history of
-# attempts, and the block headings ("### Attempt k", "### Feedback on Attempt k").
-HISTORY_SEPARATOR = "\n\n---\nPrior attempts and feedback:\n\n"
 
 
 def conversation_array(messages: DataFrame, key: str = "conv_id") -> DataFrame:

@@ -10,13 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import FAILING_STATUSES, LOG_TAIL, SHOWN_TESTS, WHOLE_LOG_BELOW
+
 from ..functions.feedback import score_2dp
 
-# Failing statuses, tests listed, whole-log limit and tail size.
-FAILING = ("FAILED", "ERROR")
-SHOWN_TESTS = 20
-WHOLE_LOG_BELOW = 4000
-LOG_TAIL = 3000
+FAILING = FAILING_STATUSES
 
 
 def job_outcome(jobs: DataFrame) -> DataFrame:

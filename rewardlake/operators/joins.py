@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import DATASET_ALIASES, NO_PROMPT  # noqa: F401
+
 from ..functions.text import truthy
 
 # A broadcast side must stay below this many rows (config tables, alias
@@ -79,7 +81,6 @@ def first_missing(pending: DataFrame, prompts: DataFrame, n: int = 5) -> DataFra
     return missing_prompts(pending, prompts).orderBy("pos").limit(n).select("pos", "instance_id")
 
 
-NO_PROMPT = "No prompt found for instance"
 
 
 def prompt_or_error(pending: DataFrame, prompts: DataFrame, model_name: str) -> DataFrame:
@@ -132,22 +133,6 @@ def patches_generated(dataset: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- B8
-# Dataset name -> short subset name used by the agent runner.
-DATASET_ALIASES = [
-    ("princeton-nlp/SWE-Bench", "full"),
-    ("princeton-nlp/SWE-bench", "full"),
-    ("princeton-nlp/SWE-Bench_Verified", "verified"),
-    ("princeton-nlp/SWE-bench_Verified", "verified"),
-    ("princeton-nlp/SWE-Bench_Lite", "lite"),
-    ("princeton-nlp/SWE-bench_Lite", "lite"),
-    ("SWE-bench/SWE-bench_Lite", "lite"),
-    ("SWE-bench/SWE-bench_Verified", "verified"),
-    ("SWE-bench/SWE-Bench_Verified", "verified"),
-    ("princeton-nlp/SWE-Bench_Multimodal", "multimodal"),
-    ("swe-bench/SWE-Bench_Multilingual", "multilingual"),
-    ("SWE-bench/SWE-smith", "smith"),
-    ("nebius/SWE-rebench", "rebench"),
-]
 
 
 def resolve_alias(df: DataFrame, name_col: str, out: str = "subset") -> DataFrame:

@@ -14,11 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import MAX_RETRIES, MAX_STEPS
+
 from ..functions.patch import files_changed, patch_lines
 
-# Training step cap, extra attempts after an infrastructure error.
-MAX_STEPS = 100       # training step cap (forced submit)
-MAX_RETRIES = 2       # extra rollout attempts after an infrastructure error
 ADV_EPS = 1e-9        # our choice; the trainer's epsilon is not in the reference
 
 

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import DEFAULT_TIMEOUT, VERIFIER_TIMEOUTS  # noqa: F401
+
 from .joins import small_side
 
 STATUSES = ("ok", "error", "timeout", "skipped")
@@ -80,7 +82,7 @@ def normalise_outcomes(results: DataFrame, config: DataFrame,
     cfg = small_side(validate_config(config).select("name", F.col("pass_threshold").alias("cfg_threshold")))
     lim = small_side(timeouts)
     j = results.join(cfg, "name", "left").join(lim, "name", "left")
-    over = F.col("wall_clock_seconds") > F.coalesce(F.col("timeout_seconds"), F.lit(60.0))
+    over = F.col("wall_clock_seconds") > F.coalesce(F.col("timeout_seconds"), F.lit(DEFAULT_TIMEOUT))
     status = (F.when(over, F.lit("timeout"))
               .when(F.col("status") == "error", F.lit("error"))
               .otherwise(F.col("status")))
@@ -153,9 +155,6 @@ def all_passed(instances: DataFrame, results: DataFrame) -> DataFrame:
             .select("instance_id", F.coalesce(F.col("ap"), F.lit(True)).alias("all_passed")))
 
 
-# Per-verifier time limits in seconds (base verifier default,
-# syntax-check verifier).
-VERIFIER_TIMEOUTS = {"ast_check": 120.0, "swe_test": 60.0}
 
 
 def split_by_mode(results: DataFrame, config: DataFrame) -> DataFrame:

@@ -24,10 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import DEFAULT_FINAL_VERIFIERS
+
 RESULT_SCHEMA = ("instance_id string, name string, status string, score double, pass_threshold double, "
                  "wall_clock_seconds double, details string")
 
-DEFAULT_FINAL = ("swe_test",)
+DEFAULT_FINAL = DEFAULT_FINAL_VERIFIERS
 
 
 @dataclass(frozen=True)
