@@ -20,7 +20,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import register_tables, table
+from .tables import table
 
 # name -> (base tables, SQL text)
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {

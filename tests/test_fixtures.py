@@ -5,7 +5,8 @@ from __future__ import annotations
 
 import pytest
 
-from rewardlake.sources.fixtures import BUILDERS, VIEWS, fixture, register_tables, view_sql
+from rewardlake.sources.fixtures import BUILDERS, VIEWS, fixture, view_sql
+from rewardlake.sources.tables import register_tables
 from tests.conftest import SF_ORACLE
 
 
