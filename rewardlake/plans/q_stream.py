@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators.rollout import MAX_STEPS
 from ..sources.fixtures import fixture
 from ..streaming import episodes as ST
-from ..streaming.runner import new_area, run_append, run_complete, stage_drops
+from ..streaming.runner import new_area, run_append, run_complete, stage_drops, stream_session
 from .q_reports import _BUCKET_SQL
 from .registry import query
 
@@ -36,7 +36,8 @@ def q_stream_episodes(spark, sf_dir):
     area = new_area(spark, "episodes")
     raw = fixture(spark, sf_dir, "steps").select(*_RAW_STEPS).withColumn("ts", F.col("ts").cast("timestamp"))
     stage_drops(raw, f"{area}/in", "ts", 3, key="episode", files_per_drop=FILES_PER_DROP)
-    stream = (spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", FILES_PER_DROP)
+    ss = stream_session(spark)
+    stream = (ss.readStream.schema(raw.schema).option("maxFilesPerTrigger", FILES_PER_DROP)
               .parquet(f"{area}/in"))
     run_append(ST.episode_stream(stream), f"{area}/out", f"{area}/ckpt")
     return spark.read.parquet(f"{area}/out")
@@ -56,7 +57,8 @@ def q_stream_report(spark, sf_dir):
     res = fixture(spark, sf_dir, "instance_results").withColumn(
         "k", F.substring("instance_id", 7, 1 << 20).cast("bigint"))
     stage_drops(res, f"{area}/in", "k", 3, key="instance_id", files_per_drop=FILES_PER_DROP)
-    stream = (spark.readStream.schema(res.schema).option("maxFilesPerTrigger", FILES_PER_DROP)
+    ss = stream_session(spark)
+    stream = (ss.readStream.schema(res.schema).option("maxFilesPerTrigger", FILES_PER_DROP)
               .parquet(f"{area}/in"))
     run_complete(ST.running_report(stream), f"{area}/out", f"{area}/ckpt")
     return spark.read.parquet(f"{area}/out")
@@ -78,8 +80,9 @@ def q_stream_intake(spark, sf_dir):
     # a writer that re-sends some predictions: duplicates across drops
     stage_drops(preds.filter(F.col("k") % 5 == 0), f"{area}/in", "k", 1, fmt="json", key="instance_id",
                 files_per_drop=FILES_PER_DROP)
-    completed = fixture(spark, sf_dir, "instance_results").filter(F.col("error").isNull())
-    stream = (spark.readStream.schema("instance_id string, k long, model_name_or_path string")
+    ss = stream_session(spark)
+    completed = fixture(ss, sf_dir, "instance_results").filter(F.col("error").isNull())
+    stream = (ss.readStream.schema("instance_id string, k long, model_name_or_path string")
               .option("maxFilesPerTrigger", FILES_PER_DROP).json(f"{area}/in"))
     run_append(ST.prediction_intake(stream, completed).select("instance_id", "model_name_or_path"),
                f"{area}/out", f"{area}/ckpt")

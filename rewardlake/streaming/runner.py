@@ -15,6 +15,20 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A sibling session (same SparkContext, own SQL settings) for running a
+    stateful stream: its state is split into one partition per core
+    (``defaultParallelism``) instead of the generic shuffle default, a
+    count fixed at the query's first start and kept in its checkpoint."""
+    s = spark.newSession()
+    s.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    for key in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled"):
+        value = spark.conf.get(key, None)
+        if value is not None:
+            s.conf.set(key, value)
+    return s
+
+
 def new_area(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
@@ -25,8 +39,12 @@ def stage_drops(df: DataFrame, folder: str, order_col: str, drops: int = 3, fmt:
     ``order_col`` (so later drops hold later rows).  Each drop is written by
     ``files_per_drop`` tasks, hash-partitioned by ``key`` so that one key's
     rows of a drop sit in one file (a stream reading ``files_per_drop``
-    files per micro-batch then sees every key in order).  Only the split
-    points reach the driver."""
+    files per micro-batch then sees every key in order).  The input is
+    written once to ``folder + "_src"`` (a table in the shared checkpoint
+    folder) so the quantiles and the drops read it instead of recomputing
+    its plan.  Only the split points reach the driver."""
+    df.write.mode("overwrite").parquet(folder + "_src")
+    df = df.sparkSession.read.parquet(folder + "_src")
     qs = [i / drops for i in range(1, drops)]
     cuts = df.agg(F.percentile_approx(F.col(order_col), qs, 10000).alias("q")).first()["q"] if drops > 1 else []
     bounds = [None, *cuts, None]
