@@ -133,12 +133,18 @@ def with_weights(results: DataFrame, weights: DataFrame | None) -> DataFrame:
 
 
 def aggregate_scores(instances: DataFrame, results: DataFrame, aggregator: str = "mean",
-                     weights: DataFrame | None = None) -> DataFrame:
+                     weights: DataFrame | None = None, skipped: str = "zero") -> DataFrame:
     """Per-instance aggregate score; an instance with no results scores 1.0.
 
     ``groupBy`` never emits an empty group, so the empty set comes from the
-    left join from ``instances``.
+    left join from ``instances``.  ``skipped='zero'`` (default) scores a
+    skipped verifier 0.0 as the recorded runs do (SURVEY Q8);
+    ``skipped='exclude'`` leaves skipped results out of the aggregate.
     """
+    if skipped not in ("zero", "exclude"):
+        raise ValueError("skipped must be 'zero' or 'exclude'")
+    if skipped == "exclude":
+        results = results.filter(F.col("status") != "skipped")
     agg = build_aggregator(aggregator)
     if aggregator == "weighted_sum":
         results = with_weights(results, weights)

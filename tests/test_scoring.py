@@ -156,3 +156,11 @@ def test_artifact_plan_optional_files(spark):
     assert got == [("a", "a.traj.json", "trajectory"), ("a", "pod_logs.txt", "logs"),
                    ("a", "prediction.json", "prediction"), ("a", "report.json", "eval_report"),
                    ("b", "prediction.json", "prediction"), ("b", "report.json", "error")]
+
+
+def test_skipped_exclude_option(spark):
+    res = spark.createDataFrame([(1, "a", "skipped", 1.0, 1.0), (1, "b", "ok", 1.0, 1.0),
+                                 (2, "a", "skipped", 1.0, 1.0)], RES)
+    inst = _inst(spark, [1, 2])
+    assert dict(S.aggregate_scores(inst, res, "mean").collect()) == {1: 0.5, 2: 0.0}
+    assert dict(S.aggregate_scores(inst, res, "mean", skipped="exclude").collect()) == {1: 1.0, 2: 1.0}
