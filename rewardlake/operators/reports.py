@@ -205,3 +205,16 @@ def final_eval(instances: DataFrame, results: DataFrame, verifier: str = "swe_te
                     F.col("r.status").alias("status"),
                     F.coalesce(ok, F.lit(False)).alias("has_report"),
                     F.coalesce(ok & (F.col("r.score") >= 1.0), F.lit(False)).alias("resolved")))
+
+
+def final_eval_report(evals: DataFrame) -> DataFrame:
+    """C6 + SURVEY Q19: instances, resolved, and -- since a failed test
+    verifier yields an empty report that counts as evaluated and unresolved
+    -- how many of those unresolved ones are verifier failures rather than
+    model failures."""
+    err = F.col("status").isNotNull() & (F.col("status") != "ok")
+    return evals.agg(F.count(F.lit(1)).alias("instances"),
+                     count_where(F.col("resolved")).alias("resolved_instances"),
+                     count_where(~F.col("resolved")).alias("unresolved_instances"),
+                     count_where(err).alias("verifier_error_instances"),
+                     count_where(F.col("status").isNull()).alias("no_result_instances"))

@@ -198,3 +198,20 @@ from (select doc_id as instance_id from documents) i left join
 def q_final_eval(spark, sf_dir):
     from ..operators.reports import final_eval
     return final_eval(_instances(spark, sf_dir), _vr(spark, sf_dir), "swe_test")
+
+
+@query("q_final_eval_report", ops="C6, D7 (Q19)", views=("verifier_results",), oracle="""
+, e as (
+  select i.instance_id, r.s as status, coalesce(r.s = 'ok' and r.c >= 1.0, false) as resolved
+  from (select doc_id as instance_id from documents) i left join
+    (select instance_id, min(struct_pack(s := status, c := score)) as r from verifier_results
+     where name = 'swe_test' group by instance_id) x on x.instance_id = i.instance_id)
+select count(*) as instances, count(*) filter (where resolved) as resolved_instances,
+  count(*) filter (where not resolved) as unresolved_instances,
+  count(*) filter (where status is not null and status <> 'ok') as verifier_error_instances,
+  count(*) filter (where status is null) as no_result_instances
+from e
+""")
+def q_final_eval_report(spark, sf_dir):
+    from ..operators.reports import final_eval, final_eval_report
+    return final_eval_report(final_eval(_instances(spark, sf_dir), _vr(spark, sf_dir), "swe_test"))
