@@ -1,11 +1,13 @@
-"""Order-dependent operators.
+"""Order-dependent operators and the chunked
+scan they share.
 
 Rules used throughout:
 
 * Only order-dependent work uses an ordered window.  Where one key may be
-  huge (a user's events, a customer's orders) the window is partitioned by
-  (key, order-range chunk) and earlier chunks are added from a small totals
-  table (``running_sum``), so a hot key is spread over many tasks.
+  huge (a user's events, a customer's orders, an episode's steps) the
+  window is partitioned by (key, order-range chunk) and what a row needs from
+  earlier chunks comes from a small per-chunk table (``chunked_scan``), so a
+  hot key is spread over many tasks.
 * Whatever is order-*independent* (first terminal position, totals, means)
   is a ``groupBy`` (map-side partial aggregation) joined back, because AQE
   splits a skewed join partition but cannot split a window partition.
