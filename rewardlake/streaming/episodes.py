@@ -81,11 +81,17 @@ def _reducer(max_steps: int, idle_ms: int | None):
 def episode_stream(steps: DataFrame, max_steps: int = MAX_STEPS, watermark: str = "1 hour",
                    idle_ms: int | None = None) -> DataFrame:
     """J2/J3 on a streaming (or batch) DataFrame of raw steps
-    ``(episode, event_id, ts, action, exit_code, stdout)``."""
+    ``(episode, event_id, ts, action, exit_code, stdout)``.
+
+    Steps first pass a watermark-aware de-duplication on ``event_id``:
+    a re-delivered step is applied once, and a step that arrives behind the
+    watermark is dropped there and counted by Spark
+    (``numRowsDroppedByWatermark``, see ``runner.late_rows_dropped``)."""
     timeout = GroupStateTimeout.EventTimeTimeout if idle_ms is not None else GroupStateTimeout.NoTimeout
     s = (steps.select("episode", "event_id", F.col("ts").cast("timestamp").alias("ts"), "action",
                       "exit_code", "stdout")
-         .withWatermark("ts", watermark))
+         .withWatermark("ts", watermark)
+         .dropDuplicatesWithinWatermark(["event_id"]))
     return (s.groupBy("episode")
             .applyInPandasWithState(_reducer(max_steps, idle_ms), EPISODE_OUT, EPISODE_STATE,
                                     "append", timeout))

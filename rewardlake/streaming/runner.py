@@ -7,6 +7,7 @@ the stream reads one drop per micro-batch and writes its sink there too.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,10 +60,20 @@ def stage_drops(df: DataFrame, folder: str, order_col: str, drops: int = 3, fmt:
         part.write.mode("append").format(fmt).save(folder)
 
 
-def run_append(stream: DataFrame, out: str, checkpoint: str, fmt: str = "parquet") -> None:
+def run_append(stream: DataFrame, out: str, checkpoint: str, fmt: str = "parquet") -> list[dict]:
+    """Run to completion; returns the per-micro-batch progress reports (one
+    small dict per batch, e.g. for ``late_rows_dropped``)."""
     q = (stream.writeStream.format(fmt).outputMode("append")
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out))
     q.awaitTermination()
+    return [p if isinstance(p, dict) else json.loads(p.json) for p in q.recentProgress]
+
+
+def late_rows_dropped(progress: list[dict]) -> int:
+    """Rows that arrived behind the watermark and were dropped by the
+    stateful operators, summed over the run's micro-batches."""
+    return sum(op.get("numRowsDroppedByWatermark", 0)
+               for p in progress for op in p.get("stateOperators", []))
 
 
 def run_complete(stream: DataFrame, out: str, checkpoint: str) -> None:

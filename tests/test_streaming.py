@@ -61,3 +61,24 @@ def test_late_rows_and_unsubmitted_episodes(spark):
     got = {r.episode: (r.steps, r.nonzero_exits, r.total_output_chars, r.end_reason)
            for r in spark.read.parquet(f"{area}/out").collect()}
     assert got == {1: (4, 0, 4, "submit")}
+
+
+def test_rows_behind_watermark_are_dropped_and_counted(spark):
+    from rewardlake.streaming.runner import late_rows_dropped
+    schema = "episode long, event_id long, t long, action string, exit_code int, stdout string"
+    drop1 = [(1, 1, 10_000, "bash", 0, "a"), (2, 2, 20_000, "bash", 0, "b")]
+    filler = [(1, 5, 20_050, "bash", 0, "c")]
+    late = [(3, 3, 20_000 - 7_200, "submit", 0, "")]        # two hours behind the newest event
+    drop3 = [(2, 4, 20_100, "submit", 0, "")]
+    area = new_area(spark, "t-wm")
+    # late rows are judged against the watermark of the previous micro-batch
+    # (as Spark does for chained stateful operators), hence the filler drop
+    for rows in (drop1, filler, late, drop3):
+        (spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("t")).drop("t")
+         .coalesce(1).write.mode("append").parquet(f"{area}/in"))
+    sch = spark.read.parquet(f"{area}/in").schema
+    stream = spark.readStream.schema(sch).option("maxFilesPerTrigger", 1).parquet(f"{area}/in")
+    progress = run_append(ST.episode_stream(stream, watermark="1 hour"), f"{area}/out", f"{area}/ckpt")
+    got = {r.episode: r.steps for r in spark.read.parquet(f"{area}/out").collect()}
+    assert got == {2: 2}          # episode 3's only step came too late
+    assert late_rows_dropped(progress) == 1
