@@ -87,3 +87,33 @@ def artifact_manifest(spark: SparkSession, root: str, prefix: str) -> DataFrame:
 def write_text_list(df: DataFrame, column: str, path: str) -> None:
     """One value per line, sorted."""
     df.select(column).orderBy(column).write.mode("overwrite").text(path)
+
+
+def write_artifacts(results: DataFrame, predictions: DataFrame, logs: DataFrame | None, root: str,
+                    run_id: str) -> None:
+    """A run's per-instance artifacts as one table per kind, partitioned
+    by ``run_id`` (never one folder per instance):
+
+    * ``predictions``  -- every instance's prediction
+    * ``reports``      -- the eval report as JSON, or ``{"error": ...}`` when
+      there is none
+    * ``pod_logs``     -- only instances with non-empty logs
+    * ``trajectories`` -- only logs that carry a non-empty trajectory block
+    """
+    from ..functions.text import log_trajectory
+    base = root.rstrip("/")
+    tag = F.lit(run_id).alias("run_id")
+    (predictions.select(tag, "instance_id", "model_patch", "model_name_or_path")
+     .write.mode("append").partitionBy("run_id").parquet(f"{base}/predictions"))
+    report = F.when(F.col("resolved").isNotNull(),
+                    F.to_json(F.struct("resolved", "patch_exists"))
+                    ).otherwise(F.to_json(F.struct(F.col("error").alias("error")), {"ignoreNullFields": "false"}))
+    (results.select(tag, "instance_id", report.alias("report"))
+     .write.mode("append").partitionBy("run_id").parquet(f"{base}/reports"))
+    if logs is not None:
+        kept = logs.join(results.select("instance_id"), "instance_id", "left_semi")
+        (kept.filter(F.col("logs").isNotNull() & (F.col("logs") != "")).select(tag, "instance_id", "logs")
+         .write.mode("append").partitionBy("run_id").parquet(f"{base}/pod_logs"))
+        traj = log_trajectory(F.col("logs"))
+        (kept.select(tag, "instance_id", traj.alias("trajectory")).filter(F.col("trajectory") != "")
+         .write.mode("append").partitionBy("run_id").parquet(f"{base}/trajectories"))

@@ -83,3 +83,21 @@ def test_manifest_and_text_list(spark, tmp_dir):
     txt = "".join(open(os.path.join(f"{tmp_dir}/list", f)).read()
                   for f in sorted(os.listdir(f"{tmp_dir}/list")) if f.startswith("part"))
     assert txt.split() == ["a:latest", "b:latest"]
+
+
+def test_artifact_tables(spark, tmp_dir):
+    from rewardlake.functions.text import TRAJ_END, TRAJ_START
+    res = spark.createDataFrame([("a", None, True, True), ("b", "boom", False, None)],
+                                "instance_id string, error string, patch_exists boolean, resolved boolean")
+    preds = spark.createDataFrame([("a", "p", "m"), ("b", "", "m")],
+                                  "instance_id string, model_patch string, model_name_or_path string")
+    logs = spark.createDataFrame([("a", f"x {TRAJ_START}[1]{TRAJ_END}"), ("b", "")], "instance_id string, logs string")
+    FS.write_artifacts(res, preds, logs, f"{tmp_dir}/art", "run-1")
+    rd = lambda t: {r.instance_id: r for r in spark.read.parquet(f"{tmp_dir}/art/{t}").collect()}
+    assert set(rd("predictions")) == {"a", "b"} and rd("predictions")["a"].run_id == "run-1"
+    reports = rd("reports")
+    assert json.loads(reports["a"].report) == {"resolved": True, "patch_exists": True}
+    assert json.loads(reports["b"].report) == {"error": "boom"}
+    assert set(rd("pod_logs")) == {"a"}
+    assert rd("trajectories")["a"].trajectory == "[1]"
+    assert os.path.isdir(f"{tmp_dir}/art/reports/run_id=run-1")
