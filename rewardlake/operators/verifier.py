@@ -112,3 +112,9 @@ def run_verifier_set(contexts: DataFrame, verifiers, names: list[str]) -> DataFr
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# worker-side functions of this module travel with the task (see shipping.py)
+from ..shipping import ship_by_value  # noqa: E402
+
+ship_by_value(__name__)

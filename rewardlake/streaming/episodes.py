@@ -117,3 +117,9 @@ def prediction_intake(predictions: DataFrame, completed: DataFrame, watermark: s
          .withWatermark("_arrived", watermark)
          .dropDuplicatesWithinWatermark(["instance_id"]))
     return p.join(completed.select("instance_id"), "instance_id", "left_anti").drop("_arrived")
+
+
+# worker-side functions of this module travel with the task (see shipping.py)
+from ..shipping import ship_by_value  # noqa: E402
+
+ship_by_value(__name__)
