@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from rewardlake.operators import scoring as S
 from rewardlake.operators import verifier as V
+from rewardlake.shipping import ship_by_value
+
+# the check functions below run in Python workers; ship them with the task
+ship_by_value(__name__)
 
 
 def _contexts(spark):
