@@ -45,14 +45,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     A cluster names a shared (HDFS/object-store) folder there and we use it
     as is.  Only when it is unset -- local tests -- do we create one.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
         current = tempfile.mkdtemp(prefix="rewardlake-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(current)
+        try:  # core settings cannot always be changed at run time; the context's dir is enough
+            spark.conf.set("spark.checkpoint.dir", current)
+        except Exception:  # noqa: BLE001
+            pass
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
     return current
 
 
