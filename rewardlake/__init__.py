@@ -8,6 +8,10 @@ Every public function is either ``DataFrame -> DataFrame`` or
 * ``operators`` – relational operators (scoring, reports, joins, windows, ...)
 * ``plans``     – the registered ``q_*`` queries and their DuckDB oracles
 * ``streaming`` – Structured Streaming versions of the incremental operators
+
+plus ``constants`` (values that must equal the producing code), ``session``
+(local sessions, the shared checkpoint folder, cluster sizing) and
+``shipping`` (worker-side functions pickled by value).
 """
 
 __version__ = "0.1.0"
