@@ -10,13 +10,15 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-# ids verified by tests rather than by a registered query
+# tests that cover an id (alone, or beside its registered queries)
 TEST_ONLY = {
     "A2": "tests/test_sources.py::test_json_array",
+    "A3": "tests/test_sources.py::test_prompt_jsonl (blank lines, empty text, duplicates, malformed line raises)",
     "A4": "tests/test_sources.py::test_prediction_store",
     "A5": "no code: readers/writers take s3a:// and hdfs:// URIs directly",
     "A6": "tests/test_sources.py::test_logs_wholetext",
     "A7": "tests/test_sources.py::test_jsonl_and_summary_sinks",
+    "A8": "tests/test_sources.py::test_artifact_tables (one table per kind, partitioned by run)",
     "A9": "tests/test_sources.py::test_jsonl_and_summary_sinks",
     "A10": "tests/test_sources.py::test_manifest_and_text_list",
     "A11": "tests/test_sources.py::test_manifest_and_text_list",
@@ -31,6 +33,7 @@ TEST_ONLY = {
     "I5": "every operator is DataFrame -> DataFrame (composes with df.transform)",
     "I6": "extract/intermediate/final as DataFrame stages over recorded turns (q_early_exit, q_final_turn)",
     "J3": "tests/test_streaming.py::test_forced_submit_and_idle_timeout",
+    "J2": "tests/test_streaming.py (late rows, unsubmitted episodes, watermark drops counted)",
 }
 
 
