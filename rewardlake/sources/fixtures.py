@@ -167,14 +167,15 @@ select cast(floor(event_id / 3) as bigint) as rollout_id, cast(event_id % 3 + 1
   (event_type = 'error' or event_type = 'signup') as infra_error, value as reward
 from events
 """),
-    # patch-apply attempts in fixed method order; the order of methods is
-    # (1 git apply, 2 git apply --reject, 3 patch --fuzz)
+    # patch-apply attempts: every line item is one recorded attempt of an
+    # order's patch; its line number picks the method in the fixed order
+    # (1 git apply, 2 git apply --reject, 3 patch --fuzz), repeating
     "apply_attempts": (("lineitem",), """
-select concat('inst__', cast(l_orderkey as string)) as instance_id, l_linenumber as ord,
-  case l_linenumber when 1 then 'git apply --verbose' when 2 then 'git apply --verbose --reject'
+select concat('inst__', cast(l_orderkey as string)) as instance_id, (l_linenumber - 1) % 3 + 1 as ord,
+  case (l_linenumber - 1) % 3 when 0 then 'git apply --verbose' when 1 then 'git apply --verbose --reject'
        else 'patch --batch --fuzz=5 -p1 -i' end as method,
   (l_returnflag = 'R' or l_linestatus = 'O') as ok
-from lineitem where l_linenumber <= 3
+from lineitem
 """),
 }
 
