@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, shards, sketch
+from . import caps, licenses, shards, simhash, sketch
 from .common import read_table
 
 SHARDS = 8
@@ -41,10 +41,23 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
                     licenses.labels_of(F.col("places"), False).alias("labels"), "score")
 
 
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and kept representatives of all embeddings."""
+    return caps.near_vectors(read_table(spark, sf_dir, "embeddings"), 0.93)
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints and near-duplicate components of all documents."""
+    d = simhash.simhash_components(read_table(spark, sf_dir, "documents"), words=3, max_bits=3)
+    return d.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op5_shards": op5_shards,
     "op6_licenses": op6_licenses,
+    "op8_near_vectors": op8_near_vectors,
+    "op9_simhash": op9_simhash,
 }
 
 
