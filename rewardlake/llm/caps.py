@@ -60,7 +60,7 @@ class Code:
         return out
 
 
-def plan_code(rows: int, dim: int, cosine: float, meet: float = 14.0, rotations: int = 2) -> Code:
+def plan_code(rows: int, dim: int, cosine: float, meet: float = 18.0, rotations: int = 2) -> Code:
     """Parameters for ``rows`` vectors a label (see the module's text).  The
     projections of random unit vectors are taken as normal; the result only
     steers work and recall, verification is exact."""

@@ -8,12 +8,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import caps, licenses, shards, simhash, sketch
+from . import caps, licenses, mix, pack, secrets, shards, simhash, sketch
 from .common import read_table
 
 SHARDS = 8
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of all documents: patterns and randomness battery."""
+    d = secrets.scan_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] < secrets.KINDS.index("random"))
+    counts = [F.size(_of_kind(i)).cast("bigint").alias(f"n_{k}") for i, k in enumerate(secrets.KINDS)]
+    return d.select("doc_id", *counts, F.sha2(secrets.spans_text(base).cast("binary"), 256).alias("base_sha256"),
+                    secrets.spans_text(F.col("spans")).alias("spans"))
+
+
+def _of_kind(kind: int):
+    return F.filter("spans", lambda s: s["kind"] == kind)
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bottom-k fingerprints of all texts, their edited texts and likeness."""
     d = sketch.fingerprint_documents(read_table(spark, sf_dir, "documents"))
@@ -41,6 +54,12 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
                     licenses.labels_of(F.col("places"), False).alias("labels"), "score")
 
 
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of each document, with its source's target."""
+    d = mix.mix_plan(read_table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
 def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, components and kept representatives of all embeddings."""
     return caps.near_vectors(read_table(spark, sf_dir, "embeddings"), 0.93)
@@ -52,12 +71,21 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents packed into windows of 2048 tokens."""
+    d = pack.pack_documents(read_table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secrets": op2_secrets,
     "op3_fingerprints": op3_fingerprints,
     "op5_shards": op5_shards,
     "op6_licenses": op6_licenses,
+    "op7_mix": op7_mix,
     "op8_near_vectors": op8_near_vectors,
     "op9_simhash": op9_simhash,
+    "op10_pack": op10_pack,
 }
 
 
