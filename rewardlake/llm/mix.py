@@ -127,7 +127,7 @@ def mix_items(items: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
         done.append(out.where(F.col("up").isNotNull()))
         rest = out.where(F.col("up").isNull())
         if nodes == 1:
-            done.append(rest.withColumn("up", (F.col("u") < F.col("p")).cast("int")))
+            done.append(rest.withColumn("up", (F.col("p") >= 0.5).cast("int")))
             break
         nodes = -(-nodes // FAN_IN)
         left = rest.withColumn("node", F.floor(F.col("node") / FAN_IN).cast("int"))

@@ -8,12 +8,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import caps, licenses, mix, pack, secrets, shards, simhash, sketch
+from . import caps, licenses, mix, pack, quality, secrets, shards, simhash, sketch, toxicity
 from .common import read_table
+from .labelled import held_out
 
 SHARDS = 8
 
 
+TOXIC, GOOD = 0.3, 0.7
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of all documents."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, read_table(spark, sf_dir, "labels"))
+    return _judged(toxicity.score_toxicity(docs, model), TOXIC)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of all documents."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = quality.fit_quality(docs, read_table(spark, sf_dir, "labels"))
+    return _judged(quality.score_quality(docs, chain), GOOD)
+
+
+def _judged(d: DataFrame, least: float) -> DataFrame:
+    return d.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                    (F.col("score") >= least).cast("int").alias("predicted"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of all documents: patterns and randomness battery."""
     d = secrets.scan_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -78,8 +101,10 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_secrets": op2_secrets,
     "op3_fingerprints": op3_fingerprints,
+    "op4_quality": op4_quality,
     "op5_shards": op5_shards,
     "op6_licenses": op6_licenses,
     "op7_mix": op7_mix,
