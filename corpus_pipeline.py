@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rewardlake.llm import mix, pack, secrets, simhash, toxicity
-from rewardlake.llm.common import read_table, staged
+from rewardlake.llm.common import fresh, read_table, staged
 
 #: texts that score at least this are toxic
 TOXIC = 0.3
@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below ``TOXIC`` (null texts have the
     base score and stay)."""
     model = toxicity.fit_toxicity(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model, "_toxic").where(F.col("_toxic") < TOXIC).select(*docs.columns)
+    return docs.where(toxicity.toxicity_score(model, F.col("text")) < TOXIC)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = simhash.simhash_components(docs.select("doc_id", "text"), WORDS, BITS)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     named = docs.join(kept, "doc_id")
-    one = named.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return one.where(F.col("_n") == 1).select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    [nth] = fresh(docs, "nth")
+    one = named.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    return one.where(F.col(nth) == 1).select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

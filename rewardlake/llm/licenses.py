@@ -106,7 +106,8 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
         posted.append((t, _offset(key, words), ranked[:rare]))
     looked_up = sorted({t.key.split()[i] for t, _, best in posted for i in best})
 
-    d = docs.withColumn("_words", license_words(F.col("text"))).drop("text", "n_words", "places", "score")
+    rest = [c for c in docs.columns if c not in ("text", "n_words", "places", "score")]
+    d = docs.select(F.struct(F.lit(None).alias("_none"), *rest).alias("row"), license_words(F.col("text")).alias("_words"))
     d = d.withColumn("n_words", F.size("_words").cast("bigint"))
     words = F.col("_words")
     d = d.withColumn("_pos", F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(looked_up), i))))
@@ -117,7 +118,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     shares = [_best_share(words, F.col(f"_p{n}"), t.words.split(), at, idf) for n, (t, at, _) in enumerate(posted)]
     lists = [_labelled(F.col(f"_p{n}"), t) for n, (t, _, _) in enumerate(posted)]
     d = d.withColumn("places", F.sort_array(F.concat(*lists))).withColumn("score", F.greatest(*shares))
-    return d.drop("_words", "_pos", *[f"_{x}{n}" for x in "cp" for n in range(len(posted))])
+    return d.select(*[F.col(f"row.`{c}`").alias(c) for c in rest], "n_words", "places", "score")
 
 
 def _candidates(words: Column, pos: Column, key: list[str], best: list[int]) -> Column:

@@ -113,7 +113,7 @@ def mix_items(items: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
     The draws depend on ids, sources and sizes alone, so reruns agree."""
     d = items.join(source_targets(items, weights, share, most).withColumnRenamed("source", "_s"),
                    F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    c = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
+    c = F.when(F.col("size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     d = d.withColumn("_c", c).withColumn("whole", F.floor("_c").cast("bigint"))
     d = d.withColumn("_t", (F.col("_c") - F.col("whole")) * F.col("n")).withColumn("_k", F.floor(F.col("_t") + EPS).cast("bigint"))
     d = d.withColumn("p", F.greatest(F.lit(0.0), F.col("_t") - F.col("_k")))
@@ -164,12 +164,13 @@ def mix_documents(docs: DataFrame, **settings) -> DataFrame:
     Rows that share id, source and size are told apart by a row number."""
     plan = mix_items(document_items(docs), **settings).select(
         F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "n", "whole", "extra")
-    d = docs.withColumn("_size", F.size(words_of(F.coalesce(F.col("text"), F.lit("")))).cast("bigint"))
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
+    d = docs.select(F.struct(*docs.columns).alias("row"))
+    d = d.withColumn("_size", F.size(words_of(F.coalesce(F.col("row.text"), F.lit("")))).cast("bigint"))
+    on = F.col("row.doc_id").eqNullSafe(F.col("_d")) & F.col("row.source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
     d = d.join(plan, on)
-    same = Window.partitionBy("doc_id", "source", "_size").orderBy("text")
+    same = Window.partitionBy("_d", "_s", "_z").orderBy("row.text")
     single = d.where(F.col("n") == 1).withColumn("_i", F.lit(0))
     many = d.where(F.col("n") > 1).withColumn("_i", F.row_number().over(same) - 1)
     d = single.unionByName(many).withColumn("_copies", F.col("whole") + (F.col("_i") < F.col("extra")).cast("bigint"))
     d = d.where(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
-    return d.select(*docs.columns)
+    return d.select("row.*")

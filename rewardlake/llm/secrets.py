@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..shipping import ship_by_value
-from .common import cut_lineage
+from .common import cut_lineage, fresh
 
 ship_by_value(__name__)
 
@@ -161,11 +161,11 @@ def _find(text: Column) -> Column:
     return run(F.coalesce(text, F.lit("")))
 
 
-def random_cut(found: DataFrame) -> float:
+def random_cut(found: DataFrame, held: str = "found") -> float:
     """Weighted Benjamini-Hochberg over all candidates: the largest value of
     p / weight (weights of mean 1) that is rejected, taken over log-spaced
     bins; -1 if none is.  One row per bin reaches the driver."""
-    c = found.select(F.inline("_found.more"))
+    c = found.select(F.inline(f"{held}.more"))
     edge = F.ceil(F.log10(F.greatest("x", F.lit(10.0 ** FLOOR))) * BINS).cast("int")
     bins = c.groupBy(edge.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")).collect()
     total, mean = sum(r["n"] for r in bins), sum(r["w"] for r in bins) / max(1, sum(r["n"] for r in bins))
@@ -187,10 +187,11 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     scanned alike; an input column named ``spans`` is replaced; without
     candidates nothing is rejected.  The texts are read once.
     """
-    found = cut_lineage(docs.select(*[c for c in docs.columns if c not in ("text", "spans", "_found")],
-                                    _find(F.col("text")).alias("_found")))
-    cut = random_cut(found)
-    return found.withColumn("spans", _kept(F.col("_found"), cut)).drop("_found")
+    rest = [c for c in docs.columns if c not in ("text", "spans")]
+    [held] = fresh(docs, "found")
+    found = cut_lineage(docs.select(*rest, _find(F.col("text")).alias(held)))
+    cut = random_cut(found.select(held), held)
+    return found.select(*rest, _kept(F.col(held), cut).alias("spans"))
 
 
 def _kept(found: Column, cut: float) -> Column:
@@ -211,7 +212,7 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
     ``n_chars`` (if present) counted anew; no row is dropped, texts without
     secrets stay as they are (null stays null).  Overlapping spans become one
     mask.  The texts are read twice: for the rejection cut, and to replace."""
-    cut = random_cut(docs.select(_find(F.col("text")).alias("_found")))
+    cut = random_cut(docs.select(_find(F.col("text")).alias("found")))
 
     @arrow_udf("string")
     def masked(texts: pa.Array) -> pa.Array:

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -169,7 +169,7 @@ def mine_voters(sample: DataFrame, fixed: list[bytes], most: int = MINED) -> tup
     for w in found:
         if len(mined) < most and not any(w.startswith(m) or m.startswith(w) for m in [*fixed, *mined]):
             mined.append(w)
-    further = [bytes(r["w"]) for r in c.orderBy(F.abs(z).desc(), "w").limit(VOCABULARY).collect()]
+    further = [bytes(r["w"]) for r in c.where(F.abs(z) > 4).orderBy(F.abs(z).desc(), "w").limit(VOCABULARY).collect()]
     counts.unpersist()
     return mined, further, min(0.5, max(0.01, rate))
 
@@ -282,7 +282,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mo
         fired[k, f[f < size]] = 1
     known_corr = np.zeros(size)
     if len(sets) > 1 and y.std() > 0:
-        known_corr = ((fired - fired.mean(axis=0)).T @ (y - y.mean())) / len(y) / np.maximum(fired.std(axis=0) * y.std(), 1e-9)
+        # what a small sample says is shrunk towards nothing
+        known_corr = len(y) / (len(y) + 100) * ((fired - fired.mean(axis=0)).T @ (y - y.mean())) / len(y) / np.maximum(fired.std(axis=0) * y.std(), 1e-9)
     n, both = vote_moments(docs, voters)
     label_model = fit_label_model(n, both, base, known_corr)
     weights, bias = {}, math.log(base / (1 - base))
@@ -292,12 +293,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mo
     return Model(voters, label_model, weights, bias)
 
 
-def score_toxicity(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
-    """``docs`` with the probability that the text is toxic.
+def toxicity_score(model: Model, text: Column) -> Column:
+    """Probability that a text is toxic.
 
     Defined cases: null and empty texts have the classifier's base score;
-    whole texts are read, whatever their length; equal texts score equally;
-    an input column named like the output is replaced."""
+    whole texts are read, whatever their length; equal texts score equally."""
     weights, bias, known = model.weights, model.bias, Stems(model.voters)
     weighted = Stems([w for w in weights if isinstance(w, bytes)])
 
@@ -311,4 +311,10 @@ def score_toxicity(docs: DataFrame, model: Model, out: str = "score") -> DataFra
             z = bias + sum(weights[w] for w in sorted(weighted.find(distinct)[0])) + sum(weights.get(p, 0.0) for p in patterns)
             scores.append(1 / (1 + math.exp(-max(-40.0, min(40.0, z)))))
         return pa.array(scores, pa.float64())
-    return docs.withColumn(out, score(F.coalesce("text", F.lit(""))))
+    return score(F.coalesce(text, F.lit("")))
+
+
+def score_toxicity(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
+    """``docs`` with ``toxicity_score`` of its texts; an input column named
+    like the output is replaced."""
+    return docs.withColumn(out, toxicity_score(model, F.col("text")))
