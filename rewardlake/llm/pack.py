@@ -26,7 +26,7 @@ WINDOW, OPEN, END_ID = 2048, 32, 1
 #: the shortest head worth cutting off to fill a window; tasks that meet in a node of the tree
 LEAST_CUT, FAN_IN = 16, 16
 #: entries of the word caches of a task; pieces and bytes of an output batch
-CACHE, ROWS, BYTES = 400_000, 4096, 16 << 20
+CACHE, ROWS, BYTES = 300_000, 1024, 2 << 20
 
 PIECES = ("doc_id {id}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, "
           "offset bigint, node int")

@@ -34,6 +34,8 @@ ship_by_value(__name__)
 
 #: labelled documents that are used, mined voters, further stems of the classifier, bytes of a stem
 SAMPLE, MINED, VOCABULARY, STEMS = 12_000, 64, 1500, range(4, 11)
+#: different stems a task counts before it hands them on
+HELD = 100_000
 #: fixed lexicon
 LEXICON = (
     "idiot", "idiots", "idiotic", "moron", "morons", "moronic", "stupid", "dumb", "dumbass", "imbecile", "fool", "loser",
@@ -140,21 +142,22 @@ def mine_voters(sample: DataFrame, fixed: list[bytes], most: int = MINED) -> tup
     """Stems the label goes with, further stems of words it goes with or
     against, and the label's rate.  Counts are summed per task first; the
     short lists reach the driver."""
+    def batch(n: Counter, toxic: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64()),
+                                           pa.array([toxic[w] for w in n], pa.int64())], ["w", "n", "t"])
+
     def count(batches):
         n, toxic = Counter(), Counter()
-        docs = bad = 0
         for b in batches:
             for raw, y in zip(_raw(b.column("text")), b.column("y").to_pylist(), strict=True):
-                w = stems_of(set(text_words(raw))).keys()
+                w = [b"", *stems_of(set(text_words(raw)))]
                 n.update(w)
-                docs += 1
                 if y:
-                    bad += 1
                     toxic.update(w)
-        rows = [(b"", docs, bad), *((w, c, toxic[w]) for w, c in n.items())]
-        for s in range(0, len(rows), 20_000):
-            w, c, t = zip(*rows[s:s + 20_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(c, pa.int64()), pa.array(t, pa.int64())], ["w", "n", "t"])
+                if len(n) > HELD:
+                    yield batch(n, toxic)
+                    n, toxic = Counter(), Counter()
+        yield batch(n, toxic)
 
     counts = sample.select("text", "y").mapInArrow(count, "w binary, n bigint, t bigint") \
                    .groupBy("w").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where("n >= 8 or length(w) = 0").cache()
