@@ -44,32 +44,37 @@ def chunked_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column
     output name -> column (its value on the previous row; null on the
     first row of the key).  ``firsts``: output name -> column (its value on
     the key's first row).  ``keep_chunk`` keeps the chunk under that name,
-    and ``chunk`` may name such a column: a second scan over the output then
-    reuses the (key, chunk) partitioning the first one produced.
+    and ``chunk`` may name such a column in a second scan.  Null keys and null
+    chunks are groups of their own, as in SQL windows.
     """
     sums, lags, firsts = dict(sums or {}), dict(lags or {}), dict(firsts or {})
     d = df.withColumn("_chunk", F.col(chunk) if isinstance(chunk, str) else chunk)
+    # a struct is never null itself, so rows with a null key or chunk are a
+    # group like any other, in the window and in the join
+    d = d.withColumn("_group", F.struct(*keys, "_chunk"))
     for i, (name, value) in enumerate(sums.items()):
         d = d.withColumn(f"_v{i}", value)
-    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    w = Window.partitionBy("_group").orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     local = d.select("*", *[F.sum(f"_v{i}").over(upto).alias(f"_s{i}") for i in range(len(sums))],
                      *[F.lag(c).over(w).alias(f"_l{j}") for j, c in enumerate(lags.values())],
                      (F.row_number().over(w) == 1).alias("_first"))
     ordering = F.struct(*[F.col(c) for c in order])
-    per_chunk = d.groupBy(*keys, "_chunk").agg(
+    per_chunk = d.groupBy("_group").agg(
         *[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(sums))],
         *[F.max_by(F.col(c), ordering).alias(f"_e{j}") for j, c in enumerate(lags.values())],
         *[F.min_by(F.col(c), ordering).alias(f"_b{j}") for j, c in enumerate(firsts.values())])
-    cw = Window.partitionBy(*keys).orderBy("_chunk") if keys else Window.orderBy("_chunk")
+    per_chunk = per_chunk.withColumn("_chunk", F.col("_group._chunk"))
+    inside = [F.col(f"_group.{k}") for k in keys]
+    cw = Window.partitionBy(*inside).orderBy("_chunk") if keys else Window.orderBy("_chunk")
     before = cw.rowsBetween(Window.unboundedPreceding, -1)
     whole = cw.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = per_chunk.select(
-        *keys, "_chunk",
+        "_group",
         *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_o{i}") for i in range(len(sums))],
         *[F.lag(f"_e{j}").over(cw).alias(f"_p{j}") for j in range(len(lags))],
         *[F.first(f"_b{j}").over(whole).alias(f"_g{j}") for j in range(len(firsts))])
-    out = local.join(offsets, [*keys, "_chunk"])
+    out = local.join(offsets, "_group")
     for i, name in enumerate(sums):
         out = out.withColumn(name, F.col(f"_s{i}") + F.col(f"_o{i}"))
     for j, name in enumerate(lags):
@@ -78,7 +83,7 @@ def chunked_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column
         out = out.withColumnRenamed(f"_g{j}", name)
     if keep_chunk:
         out = out.withColumnRenamed("_chunk", keep_chunk)
-    helper = ["_chunk", "_first"] + [f"_{x}{i}" for i in range(len(sums)) for x in "vso"] + \
+    helper = ["_group", "_chunk", "_first"] + [f"_{x}{i}" for i in range(len(sums)) for x in "vso"] + \
         [f"_{x}{j}" for j in range(len(lags)) for x in "lp"]
     return out.drop(*helper)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -43,11 +44,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared (HDFS/object-store) folder there and we use it
-    as is.  Only when it is unset -- local tests -- do we create one.
+    as is.  Only when it is unset on a local master -- tests -- do we create
+    one; anywhere else executors would not see it, so that is an error.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="rewardlake-ckpt-")
         try:  # core settings cannot always be changed at run time; the context's dir is enough
             spark.conf.set("spark.checkpoint.dir", current)

@@ -27,9 +27,10 @@ def read_json_array(spark: SparkSession, path: str, schema: str = PROBLEM_SCHEMA
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     """A3: prompt JSONL.  Blank lines are skipped, a malformed line fails the
     read (FAILFAST), records without an id or text are dropped and the last
-    record per id in file order wins."""
+    record per id wins: files by path, lines by position."""
     raw = (spark.read.schema(PROMPT_SCHEMA).option("mode", "FAILFAST").json(path)
-           .withColumn("pos", F.monotonically_increasing_id()))
+           .withColumn("pos", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+                                       F.monotonically_increasing_id().alias("line"))))
     kept = raw.filter(truthy(F.col("instance_id")) & truthy(F.col("text_inputs")))
     return last_wins(kept.select("instance_id", "pos", "text_inputs"), "instance_id", "pos")
 
@@ -75,10 +76,11 @@ def artifact_manifest(spark: SparkSession, root: str, prefix: str) -> DataFrame:
     """A10: files below an instance sub-directory (any depth), skipping the
     top-level bulk files, with their object-store key ``prefix/<relative
     path>``.  Only path and length are read, never the content."""
-    base = root.rstrip("/")
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
              .select("path", "length"))
-    rel = F.regexp_replace(F.col("path"), r"^(file:)?" + base.replace(".", r"\.") + "/", "")
+    rel = F.expr(f"substring(path, {len(whole) + 2})")  # what follows the qualified root and its slash
     return (files.select(rel.alias("rel"), "length")
             .filter(F.instr(F.col("rel"), "/") > 0)
             .select(F.concat(F.lit(prefix.rstrip("/") + "/"), F.col("rel")).alias("key"), "rel", "length"))

@@ -15,22 +15,11 @@ TABLES = (
 )
 
 
-_READERS: dict[tuple[int, str], DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The scan of one table.  The reader (file listing and footer schema)
-    is built once per session and path; DataFrames are immutable, so every
-    query can start from the same one."""
+    """The scan of one table as its files are now."""
     if name not in TABLES:
         raise KeyError(f"unknown table {name!r}")
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark._jsparkSession.hashCode(), path)
-    df = _READERS.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(path)
-        _READERS[key] = df
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names) -> None:

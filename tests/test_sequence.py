@@ -65,3 +65,16 @@ def test_prefix_until_keeps_rows_before_first_stop(spark):
     df = spark.createDataFrame(rows, "run string, t long, what string")
     got = sorted((r.run, r.t) for r in SQ.prefix_until(df, "run", ["t"], F.col("what") == "limit").collect())
     assert got == [("r1", 1), ("r1", 2), ("r2", 1)]
+
+
+def test_null_keys_and_chunks_stay(spark):
+    from pyspark.sql import functions as F
+
+    from rewardlake.operators.sequence import chunked_scan
+
+    rows = [("a", 1, 0), ("a", 2, None), (None, 3, 0), (None, 4, 1), ("a", 5, 1)]
+    d = spark.createDataFrame(rows, "k string, v int, c int")
+    out = chunked_scan(d, ["k"], ["v"], "c", sums={"s": F.col("v")}, lags={"before": "v"}).collect()
+    assert len(out) == 5
+    assert {r.v: r.s for r in out if r.k is None} == {3: 3, 4: 7}
+    assert {r.v: r.before for r in out if r.k is None} == {3: None, 4: 3}

@@ -101,3 +101,53 @@ def test_artifact_tables(spark, tmp_dir):
     assert set(rd("pod_logs")) == {"a"}
     assert rd("trajectories")["a"].trajectory == "[1]"
     assert os.path.isdir(f"{tmp_dir}/art/reports/run_id=run-1")
+
+
+def test_files_added_later_are_read(spark, tmp_dir):
+    from rewardlake.sources.tables import table
+
+    spark.range(5).write.parquet(f"{tmp_dir}/region.parquet")
+    assert table(spark, tmp_dir, "region").count() == 5
+    spark.range(5).write.mode("append").parquet(f"{tmp_dir}/region.parquet")
+    assert table(spark, tmp_dir, "region").count() == 10
+
+
+def test_last_prompt_wins_over_files_of_unequal_size(spark, tmp_dir):
+    import json
+
+    from rewardlake.sources.files import read_prompts
+
+    with open(f"{tmp_dir}/a.jsonl", "w") as f:
+        f.write(json.dumps({"instance_id": "x", "text_inputs": "old"}) + "\n")
+    with open(f"{tmp_dir}/b.jsonl", "w") as f:
+        f.write(json.dumps({"instance_id": "x", "text_inputs": "new"}) + "\n")
+        f.writelines(json.dumps({"instance_id": f"y{i}", "text_inputs": "z" * 500}) + "\n" for i in range(400))
+    got = {r.instance_id: r.text_inputs for r in read_prompts(spark, tmp_dir).collect()}
+    assert got["x"] == "new" and len(got) == 401
+
+
+def test_manifest_root_is_literal(spark, tmp_dir):
+    import os
+
+    from rewardlake.sources.files import artifact_manifest
+
+    root = f"{tmp_dir}/run+(1)"
+    os.makedirs(f"{root}/inst")
+    for p in ("top.json", "inst/log.txt"):
+        with open(f"{root}/{p}", "w") as f:
+            f.write("x")
+    for given in (root, "file:" + root + "/"):
+        [r] = artifact_manifest(spark, given, "pre").collect()
+        assert (r.key, r.rel) == ("pre/inst/log.txt", "inst/log.txt")
+
+
+def test_no_local_scratch_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from rewardlake.session import ensure_checkpoint_dir
+
+    sc = SimpleNamespace(master="yarn", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None)))
