@@ -48,8 +48,12 @@ def test_outcome(outcomes: DataFrame, resolved: Column) -> DataFrame:
 
 
 def tests_status(tests: DataFrame) -> DataFrame:
-    """Per instance ``map<test, status>`` (tests that did not run are absent)."""
-    return (tests.filter(F.col("status").isNotNull()).groupBy("instance_id")
+    """Per instance ``map<test, status>`` (tests that did not run are absent).
+    A test recorded more than once has its last status by ``pos`` if the
+    table has that column, else the largest status text."""
+    one = F.max_by("status", "pos") if "pos" in tests.columns else F.max("status")
+    return (tests.filter(F.col("status").isNotNull()).groupBy("instance_id", "test").agg(one.alias("status"))
+            .groupBy("instance_id")
             .agg(F.map_from_entries(F.collect_list(F.struct("test", "status"))).alias("tests_status")))
 
 
