@@ -17,6 +17,8 @@ from rewardlake.llm.common import fresh, read_table, staged
 TOXIC = 0.3
 #: words of a shingle and differing bits of near duplicates
 WORDS, BITS = 3, 3
+#: word cache of a packing task; the workers of a long session have little memory left
+CACHE = 80_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences, with their token ids."""
-    return pack.pack_documents(docs)
+    return pack.pack_documents(docs, cache=CACHE)
 
 
 STAGES = [

@@ -10,6 +10,7 @@ root fills what remains window by window.
 
 from __future__ import annotations
 
+import gc
 import struct
 
 import pyarrow as pa
@@ -42,10 +43,11 @@ class Words:
     whole text (``check`` compares the two on a sample when a task starts).
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         import regex
         from tokenizers import Tokenizer
 
+        self.cache = cache
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.plain = regex.compile("[\\x21-\\x7e\\xa1-\\xac\\xae-\\u012f\\u0131-\\u0148\\u014a-\\u017f]+")
@@ -66,7 +68,7 @@ class Words:
     def part(self, p: str) -> bytes:
         r = self.parts.get(p)
         if r is None:
-            if len(self.parts) >= CACHE:
+            if len(self.parts) >= self.cache:
                 self.parts.clear()
             shown = p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode()))
             r = self.parts[p] = self.pack([t.id for t in self.model.tokenize(shown)])
@@ -78,7 +80,7 @@ class Words:
             r = b"".join(map(self.part, self.split(text.lower())))
         else:
             r = self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if len(self.words) >= CACHE:
+        if len(self.words) >= self.cache:
             self.words.clear()
         self.words[w] = r
         return r
@@ -164,7 +166,7 @@ def _batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
-def _pack_task(path: str | None, window: int, open_windows: int, least_cut: int):
+def _pack_task(path: str | None, window: int, open_windows: int, least_cut: int, cache: int):
     def run(batches):
         import os
 
@@ -174,7 +176,7 @@ def _pack_task(path: str | None, window: int, open_windows: int, least_cut: int)
         end = struct.pack("<I", END_ID)
         kind = None
         for batch in batches:
-            words = words or Words(path or default_tokenizer())
+            words = words or Words(path or default_tokenizer(), cache)
             kind = batch.schema.field("doc_id").type
             rows, held = [], 0
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -187,6 +189,9 @@ def _pack_task(path: str | None, window: int, open_windows: int, least_cut: int)
                     yield _batch(rows, kind)
                     rows, held = [], 0
             yield _batch(rows, kind)
+        words = batch = None  # the worker lives on: give back what the caches and batches took
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         if kind is not None:
             yield _batch(_rows([w[1] for w in packer.windows], None, node), kind)
     return run
@@ -214,13 +219,14 @@ def default_tokenizer() -> str:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, open_windows: int = OPEN,
-                   least_cut: int = LEAST_CUT) -> DataFrame:
+                   least_cut: int = LEAST_CUT, cache: int = CACHE) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids`` (little-endian
     unsigned 32-bit), ``doc_tokens, sequence_id, offset``.
 
     A document is its token ids and then ``END_ID``; each of its ids lies in
     one piece, a sequence's pieces lie gapless from offset 0.  ``tokenizer``
-    is a file every executor can read (default: the public word BPE).  All
+    is a file every executor can read (default: the public word BPE);
+    ``cache`` bounds the entries of a task's two word caches, nothing else.  All
     sequences but one are filled to ``window`` less ``least_cut`` or more.
 
     Defined cases: null and empty texts are the end id alone; texts longer
@@ -232,7 +238,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int =
     id_type = dict(docs.dtypes)["doc_id"]
     schema = PIECES.format(id=id_type)
     first = staged(docs.select("doc_id", "text").mapInArrow(
-        _pack_task(tokenizer, window, open_windows, least_cut), schema), "pieces")
+        _pack_task(tokenizer, window, open_windows, least_cut, cache), schema), "pieces")
     out = first.where(F.col("sequence_id").isNotNull())
     left = first.where(F.col("sequence_id").isNull())
     top = left.agg(F.max("node").alias("n")).first()["n"]
