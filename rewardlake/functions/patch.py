@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .text import LINE_BREAK_CLASS, NOT_LINE_BREAK, col_, py_strip
 
-HUNK_HEADER = r"@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
+#: groups: old line count, new start, new line count
+HUNK_LENGTHS = r"@@ -\d+(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
 
 def extract_diff(response) -> Column:
@@ -30,16 +31,6 @@ _HEADER_PATHS = rf"(?:^|{LINE_BREAK_CLASS})\+\+\+ (?:b/)?({NOT_LINE_BREAK}*)"
 _GIT_B_PATHS = rf"(?:^|{LINE_BREAK_CLASS})diff --git {NOT_LINE_BREAK}*? b/({NOT_LINE_BREAK}*)"
 
 
-_SECTION_PATHS = (rf"(?:^|{LINE_BREAK_CLASS})--- {NOT_LINE_BREAK}*(?:\r\n|{LINE_BREAK_CLASS})"
-                  rf"\+\+\+ (?:b/)?({NOT_LINE_BREAK}*)")
-
-
-def section_files(patch) -> Column:
-    """Files that have a section in the diff: a ``+++ `` line right after a
-    ``--- `` line (the same header rule as ``operators.patches.diff_lines``)."""
-    return F.regexp_extract_all(col_(patch), F.lit(_SECTION_PATHS), F.lit(1))
-
-
 def changed_files(patch) -> Column:
     """Paths on ``+++ `` lines, ``b/`` dropped, ``/dev/null`` skipped;
     duplicates kept, diff order."""
@@ -52,11 +43,6 @@ def python_files(files: Column) -> Column:
     return F.filter(files, lambda f: F.endswith(f, F.lit(".py")))
 
 
-def hunk_new_start(header) -> Column:
-    """New-file start line of a hunk header; 1 when it does not parse."""
-    return F.coalesce(F.regexp_extract(col_(header), HUNK_HEADER, 1).try_cast("int"), F.lit(1))
-
-
 def patch_lines(patch) -> Column:
     """Number of newlines in the (stripped) patch; 0 when empty."""
     p = py_strip(patch)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..constants import HISTORY_SEPARATOR  # noqa: F401
 
 from ..functions.text import truthy
+from .joins import join_back
 from .sequence import chunked_scan
 
 
@@ -111,7 +112,7 @@ def replay_early_exit(turns: DataFrame, max_turns: int, has_intermediate: bool =
                   .agg(F.min(F.when(F.col("all_passed"), F.col("turn"))).alias("first_pass")))
     last_allowed = F.lit(max_turns - 1)
     cut = F.least(F.coalesce(F.col("first_pass"), last_allowed), last_allowed)
-    kept = turns.join(first_pass, "instance_id").filter(F.col("turn") <= cut)
+    kept = join_back(turns, first_pass, "instance_id").filter(F.col("turn") <= cut)
     exits = F.coalesce(F.col("turn") == F.col("first_pass"), F.lit(False))
     return kept.select(
         "instance_id", F.col("turn").cast("bigint").alias("turn"), "output", "aggregate_score",
@@ -145,11 +146,11 @@ def turn_rewards(turns: DataFrame, max_turns: int) -> DataFrame:
     """Sparse reward (the outcome on the last kept turn only) and dense
     reward (per-turn score minus the previous turn's)."""
     kept = replay_early_exit(turns, max_turns)
-    last = kept.groupBy("instance_id").agg(F.max("turn").alias("last_turn"))
+    # at most max_turns turns of an instance are kept, so the window is bounded
     w = Window.partitionBy("instance_id").orderBy("turn")
-    return (kept.join(last, "instance_id")
+    return (kept
             .select("instance_id", "turn",
-                    F.when(F.col("turn") == F.col("last_turn"), F.col("aggregate_score"))
+                    F.when(F.lead("turn").over(w).isNull(), F.col("aggregate_score"))
                     .otherwise(F.lit(0.0)).alias("sparse_reward"),
                     (F.col("aggregate_score") - F.coalesce(F.lag("aggregate_score").over(w), F.lit(0.0)))
                     .alias("dense_reward")))
@@ -172,12 +173,21 @@ def unnest_turns(nested: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------- D8
-def run_summary(instances: DataFrame, turns: DataFrame, max_turns: int) -> DataFrame:
+def run_summary(instances: DataFrame, turns: DataFrame, max_turns: int, finals: DataFrame | None = None) -> DataFrame:
     """Run summary over the *dataset*: instances whose run produced no
     turns are error rows; completion = evaluated / dataset size; average
     turns over non-error rows (default 1); early exits counted over all
-    rows, reported beside the non-error count."""
-    r = run_outcomes(instances, turns, max_turns).withColumnRenamed("final_passed", "resolved")
+    rows, reported beside the non-error count.
+
+    ``finals`` is ``(instance_id, resolved)``: what the final unit-test result
+    of a run says; a run without one is unresolved.  Without the table the
+    last turn's checks stand in for it."""
+    r = run_outcomes(instances, turns, max_turns)
+    if finals is None:
+        r = r.withColumnRenamed("final_passed", "resolved")
+    else:
+        r = r.join(finals.select("instance_id", "resolved"), "instance_id", "left") \
+             .withColumn("resolved", F.coalesce("resolved", F.lit(False)))
     is_error = F.col("num_turns") == 0
     evaluated = ~is_error & F.col("resolved").isNotNull()
     n = F.count(F.lit(1))

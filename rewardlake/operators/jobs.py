@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import FAILING_STATUSES, LOG_TAIL, SHOWN_TESTS, WHOLE_LOG_BELOW
+from ..constants import SHOWN_TESTS
 
-from ..functions.feedback import score_2dp
+from ..functions.feedback import failing_tests, unit_test_line
 
-FAILING = FAILING_STATUSES
+#: G20, the unit-test verifier's feedback text
+test_feedback = unit_test_line
 
 
 def job_outcome(jobs: DataFrame) -> DataFrame:
@@ -49,17 +50,18 @@ def test_outcome(outcomes: DataFrame, resolved: Column) -> DataFrame:
 
 def tests_status(tests: DataFrame) -> DataFrame:
     """Per instance ``map<test, status>`` (tests that did not run are absent).
-    A test recorded more than once has its last status by ``pos`` if the
-    table has that column, else the largest status text."""
-    one = F.max_by("status", "pos") if "pos" in tests.columns else F.max("status")
-    return (tests.filter(F.col("status").isNotNull()).groupBy("instance_id", "test").agg(one.alias("status"))
-            .groupBy("instance_id")
-            .agg(F.map_from_entries(F.collect_list(F.struct("test", "status"))).alias("tests_status")))
 
-
-def failing_tests(status_map: Column) -> Column:
-    """Names of tests whose status is FAILED or ERROR, sorted."""
-    return F.array_sort(F.map_keys(F.map_filter(status_map, lambda k, v: v.isin(*FAILING))))
+    With a column ``pos`` (the order of recording) a test recorded more than
+    once has its last status, and the map is in the order in which the tests
+    were first recorded; without it, the largest status text, by name."""
+    ran = tests.filter(F.col("status").isNotNull()).groupBy("instance_id", "test")
+    if "pos" in tests.columns:
+        one = ran.agg(F.max_by("status", "pos").alias("status"), F.min("pos").alias("at"))
+    else:
+        one = ran.agg(F.max("status").alias("status")).withColumn("at", F.col("test"))
+    return (one.groupBy("instance_id")
+            .agg(F.sort_array(F.collect_list(F.struct("at", "test", "status"))).alias("_t"))
+            .select("instance_id", F.map_from_arrays("_t.test", "_t.status").alias("tests_status")))
 
 
 def failing_top(tests: DataFrame, n: int = SHOWN_TESTS) -> DataFrame:
@@ -68,29 +70,3 @@ def failing_top(tests: DataFrame, n: int = SHOWN_TESTS) -> DataFrame:
     return f.select("instance_id", F.size("failing").cast("bigint").alias("n_failing"),
                     F.array_join(F.slice("failing", 1, n), ",").alias("shown"),
                     F.greatest(F.size("failing") - n, F.lit(0)).cast("bigint").alias("n_more"))
-
-
-def test_feedback(status: Column, score: Column, threshold: Column, error: Column, applied: Column,
-                  failing: Column, stdout: Column) -> Column:
-    """The unit-test verifier's feedback text."""
-    passed = (status == "ok") & (score >= threshold)
-    head = F.concat(F.lit("[swe_test] FAILED (score: "), score_2dp(score), F.lit(")"))
-    n = F.size(failing)
-    listed = F.when(n > 0, F.concat(
-        F.lit("\n  Failing tests ("), n.cast("string"), F.lit("):\n"),
-        F.array_join(F.transform(F.slice(failing, 1, SHOWN_TESTS), lambda t: F.concat(F.lit("    - "), t)), "\n"),
-        F.when(n > SHOWN_TESTS, F.concat(F.lit("\n    ... and "), (n - SHOWN_TESTS).cast("string"),
-                                         F.lit(" more"))).otherwise(F.lit("")))).otherwise(F.lit(""))
-    out = F.coalesce(stdout, F.lit(""))
-    log = (F.when(out == "", F.lit(""))
-           .when(F.length(out) < WHOLE_LOG_BELOW,
-                 F.concat(F.lit("\n\n  Test output:\n  "), F.replace(out, F.lit("\n"), F.lit("\n  "))))
-           .otherwise(F.concat(F.lit(f"\n\n  Test output (last {LOG_TAIL} chars):\n  "),
-                               F.replace(F.right(out, F.lit(LOG_TAIL)), F.lit("\n"), F.lit("\n  ")))))
-    failed = F.when(~F.coalesce(applied, F.lit(False)),
-                    F.concat(head, F.lit("\n  The patch could not be applied to the repository."))
-                    ).otherwise(F.concat(head, listed, log))
-    return (F.when(status != "ok", F.concat(F.lit("[swe_test] "), F.upper(status), F.lit(": "),
-                                           F.coalesce(error, F.lit("unknown error"))))
-            .when(passed, F.lit("[swe_test] PASSED: issue resolved"))
-            .otherwise(failed))

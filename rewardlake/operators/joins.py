@@ -28,13 +28,26 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
+def join_back(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``facts``, an aggregate of one row per
+    ``key``.  Null keys meet like any other key.
+
+    The join is on the key wrapped in a struct.  An aggregate is partitioned
+    by its key, and joined on the bare key it would be read straight from
+    its own shuffle, a shape in which AQE does not split a hot key of
+    ``rows``; on the wrapped key the (small) aggregate is shuffled anew and
+    AQE can split."""
+    facts = facts.select(F.struct(F.col(key)).alias("_key"), *[c for c in facts.columns if c != key])
+    return rows.join(facts, F.struct(rows[key]) == F.col("_key"), how).drop("_key")
+
+
 # ---------------------------------------------------------------- A3 / D17
 def last_wins(df: DataFrame, key: str | list[str], order: list[str] | str) -> DataFrame:
     """Keep the last row per key in ``order`` (a dict build where later
     rows overwrite earlier ones).
 
-    ``max_by`` over a struct is a hash aggregate with partial aggregation, so
-    a key holding a third of the rows is reduced map-side before the
+    ``max_by`` over a struct aggregates partially before the shuffle, so a
+    key holding a third of the rows is reduced map-side before the
     shuffle (``dropDuplicates`` would keep an arbitrary row instead).
     """
     keys = [key] if isinstance(key, str) else list(key)

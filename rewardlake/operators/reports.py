@@ -193,12 +193,10 @@ def final_eval(instances: DataFrame, results: DataFrame, verifier: str = "swe_te
     The unit-test verifier scores 1.0 exactly when the instance is resolved
     and records ``resolved`` only when its status is ok; a missing result or
     a non-ok one gives an empty report whose ``resolved`` defaults to false.
-    Several results with that name (not expected) resolve to the smallest
-    ``(status, score)`` so the answer is deterministic.
+    Of several results with that name the first recorded one counts.
     """
-    named = (results.filter(F.col("name") == verifier)
-             .groupBy("instance_id")
-             .agg(F.min(F.struct("status", "score")).alias("r")))
+    from .scoring import first_recorded
+    named = first_recorded(results.filter(F.col("name") == verifier), ["instance_id"], ["status", "score"])
     ok = F.col("r.status") == "ok"
     return (instances.select("instance_id").join(named, "instance_id", "left")
             .select("instance_id",

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..constants import MAX_RETRIES, MAX_STEPS
 
 from ..functions.patch import files_changed, patch_lines
+from .joins import join_back
 
 ADV_EPS = 1e-9        # our choice; the trainer's epsilon is not in the reference
 
@@ -38,7 +39,7 @@ def cut_episodes(steps: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
     """Every step up to and including the terminal one; running
     episodes keep all their steps with ``is_terminal`` false."""
     term = terminal_steps(steps, max_steps)
-    j = steps.join(term, "episode", "left")
+    j = join_back(steps, term, "episode", "left")
     return (j.filter(F.col("end_step").isNull() | (F.col("step") <= F.col("end_step")))
             .select("episode", "step", "action", "exit_code", "stdout", "ts",
                     F.coalesce(F.col("step") == F.col("end_step"), F.lit(False)).alias("is_terminal"),
@@ -61,7 +62,7 @@ def episode_summary(steps: DataFrame, patches: DataFrame, graded: DataFrame,
     s = steps.select("episode", "step", "action", "exit_code", "stdout")
     term = terminal_steps(s, max_steps)
     before = F.col("step") < F.col("end_step")
-    counts = (s.join(term, "episode")
+    counts = (join_back(s, term, "episode")
               .groupBy("episode")
               .agg(F.max("end_step").alias("steps"),
                    F.count_if(before & (F.col("exit_code") != 0)).alias("nonzero_exits"),
@@ -95,10 +96,10 @@ def group_advantage(rollouts: DataFrame, key: str = "prompt_id", eps: float = AD
     """(reward - group mean) / (group sample std + eps); a group of one
     has std 0.  Group statistics are a partial aggregation joined back,
     so a prompt with a huge number of samples is reduced map-side and its
-    join partition can be split by AQE."""
+    join partition is split by AQE (``joins.join_back``)."""
     stats = rollouts.groupBy(key).agg(F.avg("reward").alias("g_mean"),
                                       F.coalesce(F.stddev_samp("reward"), F.lit(0.0)).alias("g_std"))
-    return (rollouts.join(stats, key)
+    return (join_back(rollouts, stats, key)
             .withColumn("advantage", (F.col("reward") - F.col("g_mean")) / (F.col("g_std") + F.lit(eps)))
             .drop("g_mean", "g_std"))
 

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_TIMEOUT, VERIFIER_TIMEOUTS  # noqa: F401
 
-from .joins import small_side
-
 STATUSES = ("ok", "error", "timeout", "skipped")
 
 
@@ -59,15 +57,24 @@ def subset(config: DataFrame, which: str) -> DataFrame:
     return config.filter(F.col(flag))
 
 
+def first_recorded(results: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """The first recorded result per ``keys`` by ``pos`` (the order of
+    recording).  Tables without ``pos`` hold one result per key; should there
+    be more, the smallest record is taken so that the answer is stable."""
+    record = F.struct(*fields)
+    one = F.min_by(record, F.struct("pos", record)) if "pos" in results.columns else F.min(record)
+    return results.groupBy(*keys).agg(one.alias("r"))
+
+
 def results_in_order(results: DataFrame, config: DataFrame) -> DataFrame:
     """Results aligned to the configured verifiers: joined by name, in
-    config order, results of unconfigured verifiers dropped, one result per
-    name (the smallest ``(status, score)`` if several were recorded)."""
-    cfg = small_side(validate_config(config).select("ord", "name"))
-    first = (results.groupBy("instance_id", "name")
-             .agg(F.min(F.struct("status", "score", "pass_threshold")).alias("r")))
-    return (first.join(cfg, "name")
-            .select("instance_id", "ord", "name", "r.status", "r.score", "r.pass_threshold"))
+    config order, results of unconfigured verifiers dropped, the first
+    recorded result per name.  ``details`` and ``stdout`` come along where
+    the results have them."""
+    cfg = validate_config(config).select("ord", "name")
+    fields = ["status", "score", "pass_threshold", *[c for c in ("details", "stdout") if c in results.columns]]
+    first = first_recorded(results, ["instance_id", "name"], fields)
+    return first.join(cfg, "name").select("instance_id", "ord", "name", "r.*")
 
 
 def normalise_outcomes(results: DataFrame, config: DataFrame,
@@ -79,8 +86,8 @@ def normalise_outcomes(results: DataFrame, config: DataFrame,
     * the configured threshold overwrites the one the result carried
     ``timeouts`` is ``(name, timeout_seconds)``.
     """
-    cfg = small_side(validate_config(config).select("name", F.col("pass_threshold").alias("cfg_threshold")))
-    lim = small_side(timeouts)
+    cfg = (validate_config(config).select("name", F.col("pass_threshold").alias("cfg_threshold")))
+    lim = timeouts
     j = results.join(cfg, "name", "left").join(lim, "name", "left")
     over = F.col("wall_clock_seconds") > F.coalesce(F.col("timeout_seconds"), F.lit(DEFAULT_TIMEOUT))
     status = (F.when(over, F.lit("timeout"))
@@ -126,7 +133,7 @@ def with_weights(results: DataFrame, weights: DataFrame | None) -> DataFrame:
     """Name -> weight lookup, default 1.0; a negative weight fails."""
     if weights is None:
         return results.withColumn("w", F.lit(1.0))
-    wt = small_side(validate_config(weights.select("name", "weight", F.lit(0.5).alias("pass_threshold")))
+    wt = (validate_config(weights.select("name", "weight", F.lit(0.5).alias("pass_threshold")))
                     .select("name", F.col("weight").alias("w_cfg")))
     return (results.join(wt, "name", "left")
             .withColumn("w", F.coalesce(F.col("w_cfg"), F.lit(1.0))).drop("w_cfg"))
@@ -166,7 +173,7 @@ def all_passed(instances: DataFrame, results: DataFrame) -> DataFrame:
 def split_by_mode(results: DataFrame, config: DataFrame) -> DataFrame:
     """Per instance, how many results came from static (inline) and from
     dynamic (isolated) verifiers, and whether its set is dynamic at all."""
-    cfg = small_side(config.select("name", "mode"))
+    cfg = (config.select("name", "mode"))
     j = results.join(cfg, "name")
     return (j.groupBy("instance_id")
             .agg(F.count_if(F.col("mode") == "static").alias("static_results"),
@@ -177,7 +184,7 @@ def split_by_mode(results: DataFrame, config: DataFrame) -> DataFrame:
 def static_then_dynamic(results: DataFrame, config: DataFrame) -> DataFrame:
     """static results (run inline) and dynamic results (run isolated)
     are produced separately, unioned, and put back in config order (C5)."""
-    cfg = small_side(config.select("ord", "name", "mode"))
+    cfg = (config.select("ord", "name", "mode"))
     j = with_passed(results).join(cfg, "name")
     static = j.filter(F.col("mode") == "static")
     dynamic = j.filter(F.col("mode") == "dynamic")

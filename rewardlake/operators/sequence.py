@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import join_back
+
 
 def first_n(df: DataFrame, order: str, n: int) -> DataFrame:
     """B1: first ``n`` rows in dataset order; ``n == 0`` means all."""
@@ -120,7 +122,7 @@ def prefix_until(df: DataFrame, key: str, order: list[str], stop: Column) -> Dat
     ordering = F.struct(*[F.col(c) for c in order])
     first_stop = (df.filter(stop).groupBy(key)
                   .agg(F.min(ordering).alias("_first_stop")))
-    return (df.join(first_stop, key, "left")
+    return (join_back(df, first_stop, key, "left")
             .filter(F.col("_first_stop").isNull() | (ordering < F.col("_first_stop")))
             .drop("_first_stop"))
 
@@ -168,7 +170,7 @@ def run_until_stop(df: DataFrame, key: str, order: list[str], stop: Column, fail
     per key -- one aggregation after joining the first stop position."""
     ordering = F.struct(*[F.col(c) for c in order])
     first_stop = df.filter(stop).groupBy(key).agg(F.min(ordering).alias("_stop"))
-    j = df.join(first_stop, key, "left")
+    j = join_back(df, first_stop, key, "left")
     before = F.col("_stop").isNull() | (ordering < F.col("_stop"))
     g = j.groupBy(key).agg(
         F.count(F.lit(1)).alias("_total"),

@@ -22,12 +22,14 @@ def _instances(spark, sf_dir):
 
 
 @query("q_conv_array", ops="H1", oracle="""
-select conv_id, count(*) as n_messages, string_agg(role, ',' order by turn) as roles from conversations group by conv_id
+select conv_id, count(*) as n_messages, string_agg(role, ',' order by turn) as roles,
+  string_agg(text, chr(10) order by turn) as texts
+from conversations group by conv_id
 """)
 def q_conv_array(spark, sf_dir):
     c = DG.conversation_array(_conv(spark, sf_dir))
     return c.select("conv_id", F.size("messages").cast("bigint").alias("n_messages"),
-                    F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"))
+                    F.array_join("messages.role", ",").alias("roles"), F.array_join("messages.text", "\n").alias("texts"))
 
 
 @query("q_turn_index", ops="E1", oracle="""
@@ -167,9 +169,10 @@ def q_unnest_turns(spark, sf_dir):
     return DG.unnest_turns(DG.nest_turns(fixture(spark, sf_dir, "turn_runs")))
 
 
-@query("q_run_summary", ops="D8, E3, E4, B11", views=("turn_runs",), oracle=f"""
+@query("q_run_summary", ops="D8, E3, E4, B11, C6", views=("turn_runs", "final_results"), oracle=f"""
 , {_KEPT_SQL}, {_OUTCOMES_SQL},
-r as (select *, num_turns = 0 as is_error, final_passed as resolved from o)
+r as (select o.*, num_turns = 0 as is_error, coalesce(f.resolved, false) as resolved
+  from o left join final_results f on f.instance_id = o.instance_id)
 select count(*) as total, count(*) filter (where is_error) as errors,
   count(*) filter (where not is_error and resolved is not null) as evaluated,
   case when count(*) > 0 then (count(*) filter (where not is_error and resolved is not null)) / count(*) else 0.0 end
@@ -184,4 +187,5 @@ select count(*) as total, count(*) filter (where is_error) as errors,
 from r
 """)
 def q_run_summary(spark, sf_dir):
-    return DG.run_summary(_instances(spark, sf_dir), fixture(spark, sf_dir, "turn_runs"), MAX_TURNS)
+    return DG.run_summary(_instances(spark, sf_dir), fixture(spark, sf_dir, "turn_runs"), MAX_TURNS,
+                          fixture(spark, sf_dir, "final_results"))

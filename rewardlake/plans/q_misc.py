@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import images as IM
 from ..operators import jobs as JB
-from ..operators import joins as J
 from ..operators import sequence as SQ
 from ..sources.fixtures import fixture
 from ..sources.tables import table
@@ -115,50 +114,59 @@ def q_error_streak(spark, sf_dir):
                       F.to_date("ts"), 10)
 
 
-_FAILING = "list_sort(list(test) filter (where status in ('FAILED', 'ERROR')))"
+# last status of every test that ran, and where it was first recorded
+_SUITE = """
+s as (select instance_id, test, min(pos) as first_pos, arg_max(status, pos) as status
+      from suite_tests where status is not null group by instance_id, test)
+"""
+_FAILING = "list(test order by first_pos) filter (where status in ('FAILED', 'ERROR'))"
 
 
-@query("q_failing_tests", ops="G36", views=("tests",), oracle="""
-select instance_id, test from tests where status in ('FAILED', 'ERROR')
+@query("q_failing_tests", ops="G36", views=("suite_tests",), oracle=f"""
+, {_SUITE}
+select instance_id, test from s where status in ('FAILED', 'ERROR')
 """)
 def q_failing_tests(spark, sf_dir):
-    m = JB.tests_status(fixture(spark, sf_dir, "tests"))
+    m = JB.tests_status(fixture(spark, sf_dir, "suite_tests"))
     return m.select("instance_id", F.explode(JB.failing_tests(F.col("tests_status"))).alias("test"))
 
 
-@query("q_failing_top", ops="E11, G36", views=("tests",), oracle=f"""
+@query("q_failing_top", ops="E11, G36", views=("suite_tests",), oracle=f"""
+, {_SUITE}
 select instance_id, count(*) filter (where status in ('FAILED', 'ERROR')) as n_failing,
   coalesce(array_to_string(list_slice({_FAILING}, 1, 20), ','), '') as shown,
   cast(greatest(count(*) filter (where status in ('FAILED', 'ERROR')) - 20, 0) as bigint) as n_more
-from tests where status is not null group by instance_id
+from s group by instance_id
 """)
 def q_failing_top(spark, sf_dir):
-    return JB.failing_top(fixture(spark, sf_dir, "tests"))
+    return JB.failing_top(fixture(spark, sf_dir, "suite_tests"))
 
 
-@query("q_test_feedback", ops="G20, C8, G36, E11", views=("tests",), oracle=f"""
-, g as (
-  select instance_id, bool_and(coalesce(status = 'PASSED', false)) as resolved,
-    coalesce({_FAILING}, []) as failing
-  from tests group by instance_id)
-select instance_id, case when resolved then '[swe_test] PASSED: issue resolved'
+@query("q_test_feedback", ops="G20, G36, E11", views=("suite_tests", "test_runs"), oracle=f"""
+, {_SUITE},
+g as (select instance_id, {_FAILING} as failing from s group by instance_id),
+j as (select r.*, coalesce(g.failing, []) as failing from test_runs r left join g on g.instance_id = r.instance_id)
+select instance_id, case when status <> 'ok' then '[swe_test] ' || upper(status) || ': ' || coalesce(error, 'unknown error')
+  when score >= 1.0 then '[swe_test] PASSED: issue resolved'
+  when not applied then '[swe_test] FAILED (score: 0.00)' || chr(10) || '  The patch could not be applied to the repository.'
   else '[swe_test] FAILED (score: 0.00)' || case when len(failing) > 0 then
     chr(10) || '  Failing tests (' || cast(len(failing) as varchar) || '):' || chr(10)
     || array_to_string(list_transform(list_slice(failing, 1, 20), lambda t: '    - ' || t), chr(10))
     || case when len(failing) > 20 then chr(10) || '    ... and ' || cast(len(failing) - 20 as varchar) || ' more'
             else '' end
-    else '' end end as feedback
-from g
+    else '' end || case when stdout = '' then ''
+      when length(stdout) < 4000 then chr(10) || chr(10) || '  Test output:' || chr(10) || '  ' || replace(stdout, chr(10), chr(10) || '  ')
+      else chr(10) || chr(10) || '  Test output (last 3000 chars):' || chr(10) || '  ' || replace(right(stdout, 3000), chr(10), chr(10) || '  ')
+      end end as feedback
+from j
 """)
 def q_test_feedback(spark, sf_dir):
-    tests = fixture(spark, sf_dir, "tests")
-    graded = J.grade_tests(tests).select("instance_id", "resolved")
-    failing = JB.tests_status(tests).select("instance_id", JB.failing_tests(F.col("tests_status")).alias("failing"))
-    j = graded.join(failing, "instance_id", "left")
-    score = F.when(F.col("resolved"), F.lit(1.0)).otherwise(F.lit(0.0))
-    fb = JB.test_feedback(F.lit("ok"), score, F.lit(1.0), F.lit(None).cast("string"), F.lit(True),
-                          F.coalesce(F.col("failing"), F.array().cast("array<string>")), F.lit(""))
-    return j.select("instance_id", fb.alias("feedback"))
+    runs = fixture(spark, sf_dir, "test_runs")
+    failing = JB.tests_status(fixture(spark, sf_dir, "suite_tests")) \
+                .select("instance_id", JB.failing_tests(F.col("tests_status")).alias("failing"))
+    fb = JB.test_feedback(F.col("status"), F.col("score"), F.lit(1.0), F.col("error"), F.col("applied"),
+                          F.coalesce(F.col("failing"), F.array().cast("array<string>")), F.col("stdout"))
+    return runs.join(failing, "instance_id", "left").select("instance_id", fb.alias("feedback"))
 
 
 _JOB_SQL = """

@@ -11,15 +11,28 @@ from . import duck as D
 from .registry import query
 
 _LINES = D.split_lines("patch")
-_HUNK = P.HUNK_HEADER
+_HUNK = r"@@ -\d+(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
 _DIFF_LINES_SQL = f"""
 l as (
   select instance_id, unnest(range(len(arr))) as pos, unnest(arr) as line
   from (select instance_id, {_LINES} as arr from patches where patch is not null and patch <> '') x),
+g as (
+  select *, sum(case when starts_with(line, '@@') then 1 else 0 end)
+    over (partition by instance_id order by pos rows between unbounded preceding and current row) as seg,
+    lag(line) over (partition by instance_id order by pos) as before
+  from l),
+n as (
+  select *, first_value(coalesce(try_cast(nullif(regexp_extract(line, {D.lit(_HUNK)}, 1), '') as integer), 1)) over s as olen,
+    first_value(coalesce(try_cast(nullif(regexp_extract(line, {D.lit(_HUNK)}, 3), '') as integer), 1)) over s as nlen,
+    coalesce(sum(case when line = '' or line[1] in ('-', ' ') then 1 else 0 end) over p, 0) as oldn,
+    coalesce(sum(case when line = '' or line[1] in ('+', ' ') then 1 else 0 end) over p, 0) as newn
+  from g window s as (partition by instance_id, seg order by pos),
+    p as (partition by instance_id, seg order by pos rows between unbounded preceding and 1 preceding)),
 k as (
   select *, case when starts_with(line, 'diff --git ') then 'git'
-    when starts_with(line, '+++ ') and coalesce(starts_with(lag(line) over (partition by instance_id order by pos), '--- '), false) then 'header'
+    when starts_with(line, '+++ ') and coalesce(starts_with(before, '--- '), false)
+      and not (seg > 0 and oldn - 1 < olen and newn < nlen) then 'header'
     when starts_with(line, '@@') then 'hunk'
     when starts_with(line, '+') then '+'
     when starts_with(line, ' ') then ' '
@@ -27,7 +40,7 @@ k as (
     when starts_with(line, '-') then '-'
     when starts_with(line, chr(92)) then chr(92)
     else 'other' end as kind
-  from l),
+  from n),
 f as (
   select *, last_value(case when kind = 'header' then
       (case when starts_with(substring(line, 5), 'b/') then substring(line, 7) else substring(line, 5) end)
@@ -45,7 +58,7 @@ h as (
 s as (
   select *,
     last_value(case when kind = 'hunk' and coalesce(file <> '', false)
-                    then coalesce(try_cast(regexp_extract(line, {D.lit(_HUNK)}, 1) as integer), 1) end ignore nulls)
+                    then coalesce(try_cast(regexp_extract(line, {D.lit(_HUNK)}, 2) as integer), 1) end ignore nulls)
       over (partition by instance_id order by pos rows between unbounded preceding and current row) as h_start,
     last_value(case when kind = 'hunk' and coalesce(file <> '', false) then cnt end ignore nulls)
       over (partition by instance_id order by pos rows between unbounded preceding and current row) as h_cnt
@@ -84,7 +97,7 @@ from dl where hunk_pos is not null and kind in ('+', ' ', '')
 group by instance_id, file, hunk_pos
 """)
 def q_hunk_text(spark, sf_dir):
-    f = OP.hunk_fragments(_lines(spark, sf_dir))
+    f = OP.hunk_fragments(fixture(spark, sf_dir, "patches"))
     return f.select("instance_id", "file", F.col("hunk_pos").cast("bigint").alias("hunk_pos"),
                     F.col("new_start").cast("bigint").alias("new_start"),
                     F.col("n_lines").cast("bigint").alias("n_lines"), "fragment")
@@ -149,14 +162,41 @@ def q_patch_b64(spark, sf_dir):
     return p.select("instance_id", P.patch_b64("patch").alias("b64"))
 
 
-# Python's ast decides syntax errors, so these two have no SQL oracle; the
-# tests compare them with a direct per-patch computation.
-@query("q_syntax_score", ops="D12, I2, B7, E8, G9", views=("patches",))
+# The oracle knows the hunks the view plants: 'def f(:' and the unclosed 'w = ('
+# do not parse, everything else does, and the other sections are not Python.
+_PLANTED = """
+p as (
+  select instance_id, patch, patch <> '' as py, contains(patch, '+def f(:') as bad1, contains(patch, ' w = (') as bad2,
+    regexp_extract(patch, 'pkg/a[0-9]') || '.py' as file, regexp_extract(patch, 'z = ([0-9]+)', 1) as num
+  from patches)
+"""
+
+
+@query("q_syntax_score", ops="D12, I2, B7, E8, G9", views=("patches",), oracle=f"""
+, {_PLANTED}
+select instance_id, case when py then 'ok' else 'skipped' end as status,
+  cast(case when bad1 or bad2 then 0.0 else 1.0 end as double) as score, cast(py as bigint) as files_total,
+  cast(py and not (bad1 or bad2) as bigint) as files_parsed, cast(bad1 or bad2 as bigint) as files_errored,
+  cast(0 as bigint) as files_skipped
+from p
+""")
 def q_syntax_score(spark, sf_dir):
     return OP.syntax_scores(fixture(spark, sf_dir, "patches"))
 
 
-@query("q_syntax_feedback", ops="G19, I2", views=("patches",))
+@query("q_syntax_feedback", ops="G19, I2", views=("patches",), oracle=f"""
+, {_PLANTED}
+select instance_id, case when py then 'ok' else 'skipped' end as status,
+  cast(case when bad1 or bad2 then 0.0 else 1.0 end as double) as score,
+  case when not py then '[ast_check] SKIPPED' when not (bad1 or bad2) then '[ast_check] PASSED: no syntax errors detected'
+  else '[ast_check] FAILED: syntax errors in the following files:'
+    || case when bad1 then chr(10) || '  - ' || file || ': line 2, offset 7: invalid syntax' || chr(10)
+         || '           1   x = 1' || chr(10) || '    -->    2 + def f(:' else '' end
+    || case when bad2 then chr(10) || '  - ' || file || ': line 22, offset 5: ''('' was never closed' || chr(10)
+         || '          20   z = ' || num || chr(10) || '          21 + ++ z' || chr(10) || '    -->   22   w = (' else '' end
+  end as feedback
+from p
+""")
 def q_syntax_feedback(spark, sf_dir):
     return OP.syntax_feedback(fixture(spark, sf_dir, "patches"))
 

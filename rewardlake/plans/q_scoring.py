@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import feedback as FB
 from ..operators import scoring as S
-from ..operators.joins import small_side
 from ..sources.fixtures import fixture
 from ..sources.tables import table
 from .registry import query
@@ -81,7 +80,7 @@ from (select doc_id as instance_id from documents) i left join
 """)
 def q_all_passed(spark, sf_dir):
     inter = S.subset(_cfg(spark, sf_dir), "intermediate").select("name")
-    res = _vr(spark, sf_dir).join(small_side(inter), "name")
+    res = _vr(spark, sf_dir).join(inter, "name")
     return S.all_passed(_instances(spark, sf_dir), res)
 
 
@@ -97,7 +96,7 @@ def q_verifier_subset(spark, sf_dir):
     parts = []
     for which in ("intermediate", "final"):
         names = S.subset(cfg, which).select("name")
-        parts.append(vr.join(small_side(names), "name")
+        parts.append(vr.join(names, "name")
                      .select(F.lit(which).alias("schedule"), "instance_id", "name"))
     return parts[0].unionByName(parts[1])
 
@@ -132,19 +131,23 @@ def q_safe_outcome(spark, sf_dir):
     return S.normalise_outcomes(_vr(spark, sf_dir), _cfg(spark, sf_dir), timeouts)
 
 
-_IN_ORDER_SQL = """
-select r.instance_id, c.ord, r.name, min(struct_pack(s := r.status, c := r.score, t := r.pass_threshold)) as r
-from verifier_results r join verifier_config c on c.name = r.name
-group by r.instance_id, c.ord, r.name
+def _recorded(spark, sf_dir):
+    return fixture(spark, sf_dir, "recorded_results")
+
+
+_FIRST = """
+first as (
+  select * from recorded_results qualify row_number() over (partition by instance_id, name order by pos) = 1)
 """
 
 
-@query("q_results_in_order", ops="C5", views=("verifier_results", "verifier_config"), oracle=f"""
-select instance_id, ord, name, r.s as status, r.c as score, r.t as pass_threshold
-from ({_IN_ORDER_SQL}) x
+@query("q_results_in_order", ops="C5", views=("recorded_results", "verifier_config"), oracle=f"""
+, {_FIRST}
+select r.instance_id, c.ord, r.name, r.status, r.score, r.pass_threshold, r.details
+from first r join verifier_config c on c.name = r.name
 """)
 def q_results_in_order(spark, sf_dir):
-    return S.results_in_order(_vr(spark, sf_dir), _cfg(spark, sf_dir))
+    return S.results_in_order(_recorded(spark, sf_dir), _cfg(spark, sf_dir))
 
 
 @query("q_union_verifiers", ops="F2, B4, C5", views=("verifier_results", "verifier_config"), oracle="""
@@ -173,39 +176,57 @@ def q_feedback_line(spark, sf_dir):
                                       F.col("pass_threshold")).alias("feedback"))
 
 
-@query("q_feedback_message", ops="G21, C5", views=("verifier_results", "verifier_config"), oracle=f"""
+_OWN_LINE_SQL = """
+case when r.name = 'ast_check' then
+  case when r.status <> 'ok' then '[ast_check] ' || upper(r.status)
+    when r.score >= r.pass_threshold then '[ast_check] PASSED: no syntax errors detected'
+    else '[ast_check] FAILED: syntax errors in the following files:' || chr(10) || '  - pkg/a' || r.instance_id || '.py: '
+      || case when r.instance_id % 4 = 0 then '' else 'line ' || (r.instance_id % 4) end || ', offset 3: invalid syntax' end
+else
+  case when r.status <> 'ok' then '[swe_test] TIMEOUT: '
+      || case when r.instance_id % 2 = 0 then 'no answer in time' else 'unknown error' end
+    when r.score >= r.pass_threshold then '[swe_test] PASSED: issue resolved'
+    else '[swe_test] FAILED (score: 0.29)' || chr(10) || case when r.instance_id % 2 = 0
+      then '  Failing tests (2):' || chr(10) || '    - z' || chr(10) || '    - a'
+      else '  The patch could not be applied to the repository.' end end
+end
+"""
+
+
+@query("q_feedback_message", ops="G21, I1, C5", views=("recorded_results", "verifier_config"), oracle=f"""
+, {_FIRST}
 select r.instance_id,
   'Your solution was evaluated. Here is the feedback:' || chr(10) || chr(10)
-  || string_agg({_LINE_SQL}, chr(10) order by c.ord) || chr(10) || chr(10)
+  || string_agg({_OWN_LINE_SQL}, chr(10) order by c.ord) || chr(10) || chr(10)
   || case when bool_and(coalesce(r.status = 'ok' and r.score >= r.pass_threshold, false))
           then 'All checks passed.' else 'Please revise your solution to address the issues above.' end
   as feedback
-from verifier_results r join verifier_config c on c.name = r.name and c.run_intermediate
+from first r join verifier_config c on c.name = r.name and c.run_intermediate
 group by r.instance_id
 """)
 def q_feedback_message(spark, sf_dir):
     inter = S.subset(_cfg(spark, sf_dir), "intermediate")
-    return FB.feedback_message(S.results_in_order(_vr(spark, sf_dir), inter))
+    return FB.feedback_message(S.results_in_order(_recorded(spark, sf_dir), inter))
 
 
-@query("q_final_eval", ops="C6", views=("verifier_results",), oracle="""
-select i.instance_id, r.s as status, coalesce(r.s = 'ok', false) as has_report,
-  coalesce(r.s = 'ok' and r.c >= 1.0, false) as resolved
+@query("q_final_eval", ops="C6", views=("recorded_results",), oracle=f"""
+, {_FIRST}
+select i.instance_id, x.status, coalesce(x.status = 'ok', false) as has_report,
+  coalesce(x.status = 'ok' and x.score >= 1.0, false) as resolved
 from (select doc_id as instance_id from documents) i left join
-  (select instance_id, min(struct_pack(s := status, c := score)) as r from verifier_results
-   where name = 'swe_test' group by instance_id) x on x.instance_id = i.instance_id
+  (select * from first where name = 'swe_test') x on x.instance_id = i.instance_id
 """)
 def q_final_eval(spark, sf_dir):
     from ..operators.reports import final_eval
-    return final_eval(_instances(spark, sf_dir), _vr(spark, sf_dir), "swe_test")
+    return final_eval(_instances(spark, sf_dir), _recorded(spark, sf_dir), "swe_test")
 
 
-@query("q_final_eval_report", ops="C6, D7 (Q19)", views=("verifier_results",), oracle="""
-, e as (
-  select i.instance_id, r.s as status, coalesce(r.s = 'ok' and r.c >= 1.0, false) as resolved
+@query("q_final_eval_report", ops="C6, D7 (Q19)", views=("recorded_results",), oracle=f"""
+, {_FIRST},
+e as (
+  select i.instance_id, x.status, coalesce(x.status = 'ok' and x.score >= 1.0, false) as resolved
   from (select doc_id as instance_id from documents) i left join
-    (select instance_id, min(struct_pack(s := status, c := score)) as r from verifier_results
-     where name = 'swe_test' group by instance_id) x on x.instance_id = i.instance_id)
+    (select * from first where name = 'swe_test') x on x.instance_id = i.instance_id)
 select count(*) as instances, count(*) filter (where resolved) as resolved_instances,
   count(*) filter (where not resolved) as unresolved_instances,
   count(*) filter (where status is not null and status <> 'ok') as verifier_error_instances,
@@ -214,4 +235,4 @@ from e
 """)
 def q_final_eval_report(spark, sf_dir):
     from ..operators.reports import final_eval, final_eval_report
-    return final_eval_report(final_eval(_instances(spark, sf_dir), _vr(spark, sf_dir), "swe_test"))
+    return final_eval_report(final_eval(_instances(spark, sf_dir), _recorded(spark, sf_dir), "swe_test"))

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators.rollout import MAX_STEPS
 from ..sources.fixtures import fixture
 from ..streaming import episodes as ST
-from ..streaming.runner import new_area, run_append, run_complete, stage_drops, stream_session
+from ..streaming.runner import new_area, run_append, run_complete, run_intake, stage_drops, stream_session
 from .q_reports import _BUCKET_SQL
 from .registry import query
 
@@ -35,7 +35,17 @@ group by d.episode, d.end_step, d.fs
 def q_stream_episodes(spark, sf_dir):
     area = new_area(spark, "episodes")
     raw = fixture(spark, sf_dir, "steps").select(*_RAW_STEPS).withColumn("ts", F.col("ts").cast("timestamp"))
-    stage_drops(raw, f"{area}/in", "ts", 3, key="episode", files_per_drop=FILES_PER_DROP)
+    # half of the steps of every 20 minutes arrive up to half an hour late:
+    # out of order, but within the watermark
+    late = F.when(F.col("event_id") % 2 == 0, F.expr("interval 30 minutes")).otherwise(F.expr("interval 0 minutes"))
+    stage_drops(raw.withColumn("_arrives", F.col("ts") + late), f"{area}/in", "_arrives", 3, key="episode",
+                files_per_drop=FILES_PER_DROP)
+    # a heartbeat past the last step moves the watermark over it
+    last = spark.read.parquet(f"{area}/in_src").agg(F.max("ts").alias("ts"))
+    last.select(F.lit(None).cast("bigint").alias("episode"), F.lit(-1).cast("bigint").alias("event_id"),
+                (F.col("ts") + F.expr("interval 2 hours")).alias("ts"), F.lit(ST.HEARTBEAT).alias("action"),
+                F.lit(0).alias("exit_code"), F.lit("").alias("stdout")) \
+        .coalesce(1).write.mode("append").parquet(f"{area}/in")
     ss = stream_session(spark)
     stream = (ss.readStream.schema(raw.schema).option("maxFilesPerTrigger", FILES_PER_DROP)
               .parquet(f"{area}/in"))
@@ -81,9 +91,11 @@ def q_stream_intake(spark, sf_dir):
     stage_drops(preds.filter(F.col("k") % 5 == 0), f"{area}/in", "k", 1, fmt="json", key="instance_id",
                 files_per_drop=FILES_PER_DROP)
     ss = stream_session(spark)
-    completed = fixture(ss, sf_dir, "instance_results").filter(F.col("error").isNull())
+
+    def completed():
+        return fixture(ss, sf_dir, "instance_results").filter(F.col("error").isNull())
+
     stream = (ss.readStream.schema("instance_id string, k long, model_name_or_path string")
               .option("maxFilesPerTrigger", FILES_PER_DROP).json(f"{area}/in"))
-    run_append(ST.prediction_intake(stream, completed).select("instance_id", "model_name_or_path"),
-               f"{area}/out", f"{area}/ckpt")
-    return spark.read.parquet(f"{area}/out")
+    run_intake(stream.select("instance_id", "model_name_or_path"), completed, f"{area}/out", f"{area}/ckpt")
+    return spark.read.parquet(f"{area}/out").select("instance_id", "model_name_or_path")

@@ -53,6 +53,31 @@ union all
 select doc_id as instance_id, 'swe_test' as name, case when doc_id % 13 = 0 then 'timeout' else 'ok' end as status,
   cast(1.0 - toxic * 0.5 as double) as score, cast(0.5 as double) as pass_threshold, cast(doc_id % 70 as double) as wall_clock_seconds
 from labels
+"""),
+    # results in the order of recording, some recorded again, with what the verifiers noted
+    "recorded_results": (("labels",), """
+select doc_id as instance_id, 'ast_check' as name, cast(0 as int) as pos,
+  case when doc_id % 11 = 0 then 'error' when doc_id % 7 = 0 then 'skipped' else 'ok' end as status,
+  cast(quality as double) as score, cast(1.0 as double) as pass_threshold,
+  case when quality = 1 then '{}' else concat('{"errors":[{"file":"pkg/a', cast(doc_id as string), '.py","line":',
+    cast(doc_id % 4 as string), ',"offset":3,"message":"invalid syntax"}]}') end as details
+from labels
+union all
+select doc_id as instance_id, 'swe_test' as name, cast(0 as int) as pos,
+  case when doc_id % 13 = 0 then 'timeout' else 'ok' end as status,
+  case when toxic = 1 then cast(0.295 as double) else cast(1.0 as double) end as score, cast(0.5 as double) as pass_threshold,
+  case when doc_id % 13 = 0 then (case when doc_id % 2 = 0 then '{"error":"no answer in time"}' else '{}' end)
+    when doc_id % 2 = 0 then '{"patch_successfully_applied":true,"tests_status":{"z":"FAILED","m":"PASSED","a":"ERROR"}}'
+    else '{"patch_successfully_applied":false}' end as details
+from labels
+union all
+select doc_id as instance_id, 'ast_check' as name, cast(1 as int) as pos, 'error' as status, cast(0.0 as double) as score,
+  cast(1.0 as double) as pass_threshold, '{}' as details
+from labels where doc_id % 5 = 0
+union all
+select doc_id as instance_id, 'swe_test' as name, cast(1 as int) as pos, 'error' as status, cast(0.0 as double) as score,
+  cast(0.5 as double) as pass_threshold, '{}' as details
+from labels where doc_id % 3 = 0
 """),
     "verifier_config": ((), """
 select * from (values
@@ -108,6 +133,8 @@ select concat('inst__', cast(o_orderkey as string)) as instance_id,
     '--- a/pkg/a', cast(o_orderkey % 5 as string), '.py', chr(10), '+++ b/pkg/a', cast(o_orderkey % 5 as string), '.py', chr(10),
     '@@ -1,2 +1,2 @@', chr(10), ' x = 1', chr(10), '-y = 1', chr(10),
     case when o_orderkey % 7 = 0 then '+def f(:' else '+y = 2' end,
+    case when o_orderkey % 2 = 0 then concat(chr(10), '@@ -20,3 +20,3 @@ def g', chr(10), ' z = ', cast(o_orderkey as string), chr(10),
+      '--- gone', chr(10), '+++ z', chr(10), case when o_orderkey % 11 = 0 then ' w = (' else ' w = 1' end) else '' end,
     case when o_orderkey % 3 = 0 then concat(chr(10), 'diff --git a/doc.md b/doc.md', chr(10), '--- a/doc.md', chr(10),
       '+++ b/doc.md', chr(10), '@@ -5 +5,2 @@', chr(10), ' intro', chr(10), '+', o_orderpriority) else '' end) end as patch
 from orders
@@ -118,6 +145,26 @@ select cast(floor(event_id / 4) as bigint) as instance_id, concat('t', cast(even
   case when event_id % 11 = 0 then null when event_type = 'error' then 'FAILED'
        when event_type = 'signup' and event_id % 6 = 0 then 'ERROR' else 'PASSED' end as status
 from events
+"""),
+    # suites of up to 50 tests in the order of recording, some recorded twice
+    "suite_tests": (("events",), """
+select cast(floor(event_id / 64) as bigint) as instance_id, concat('t', cast((event_id * 7) % 50 as string)) as test,
+  event_id as pos, case when event_id % 13 = 0 then null when event_id % 11 = 0 then 'ERROR'
+    when event_id % 3 <> 0 then 'FAILED' else 'PASSED' end as status
+from events
+"""),
+    "test_runs": (("events",), """
+select cast(floor(event_id / 64) as bigint) as instance_id,
+  case when event_id % 448 = 0 then 'error' when event_id % 704 = 0 then 'timeout' else 'ok' end as status,
+  case when event_id % 256 = 0 then cast(1.0 as double) else cast(0.0 as double) end as score,
+  case when event_id % 896 = 0 then null else 'job_failed' end as error, event_id % 320 <> 0 as applied,
+  case when event_id % 192 = 0 then '' when event_id % 192 = 64 then concat('line1', chr(10), 'line', cast(event_id as string))
+    else repeat(concat('log ', cast(event_id as string), chr(10)), 700) end as stdout
+from events where event_id % 64 = 0
+"""),
+    # the unit-test result of a run's final verification, where there is one
+    "final_results": (("conversations",), """
+select distinct conv_id as instance_id, conv_id % 3 = 0 as resolved from conversations where conv_id % 5 <> 0
 """),
     "jobs": (("orders",), """
 select concat('inst__', cast(o_orderkey as string)) as instance_id,

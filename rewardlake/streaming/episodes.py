@@ -1,23 +1,26 @@
 """Structured Streaming versions of the incremental operators.
 
 * ``episode_stream``   J2/J3: stateful episode reducer keyed by episode
-  (``applyInPandasWithState``): steps are numbered in (ts, event_id) order,
-  the episode ends at its first submit or at the step cap and emits its
-  summary once; an idle episode can be closed by an event-time timeout.
-  State per episode is a handful of counters, so it stays bounded however
-  long the stream runs.
+  (``applyInPandasWithState``).  An episode's first steps in (ts, event_id)
+  order -- up to its first submit or the step cap -- are kept as short
+  entries; once the watermark has passed the last of them nothing can come
+  before it any more, and the summary is emitted once.  An idle episode can be
+  closed by an event-time timeout.  A closed episode leaves a mark that
+  ignores its further steps, and that is removed after ``closed_ms``.
 * ``running_report``   J4: the precedence report (D6) as a streaming
   aggregation; each epoch rewrites the (one-row) result table.
-* ``prediction_intake`` J1: new prediction files minus completed instances
-  (stream-static anti join), de-duplicated within a watermark.
+* ``new_predictions``  J1: a batch of incoming predictions less completed
+  and already taken instances; ``runner.run_intake`` applies it per epoch.
 
-Rows older than the watermark are dropped by Spark (late data); within a
-micro-batch the reducer sorts its rows, so a stream that delivers each
-episode's steps in time order gives exactly the batch result.
+Rows older than the watermark are dropped and counted by Spark (late data);
+all others count, in whatever order they arrive, so the stream gives the
+batch result.  A source that may fall silent should send heartbeats (rows with
+action ``HEARTBEAT``) to keep the watermark moving; they touch no episode.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,73 +31,92 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.reports import count_where, safe_ratio, with_bucket
 from ..operators.rollout import MAX_STEPS
 
+HEARTBEAT = "heartbeat"
+#: how long after its end a closed episode's further steps are still recognised
+CLOSED_MS = 24 * 3_600_000
 EPISODE_OUT = ("episode long, steps long, nonzero_exits long, total_output_chars long, "
                "immediate_submit double, end_reason string")
-EPISODE_STATE = ("steps long, nonzero_exits long, total_output_chars long, done boolean, "
-                 "last_ts long, last_id long")
+_OUT_NAMES = [c.split()[0] for c in EPISODE_OUT.split(", ")]
+#: ``entries``: JSON list of [ts in microseconds, event_id, output chars, non-zero exit, submit]
+EPISODE_STATE = "entries string, closed boolean"
 
 
-def _reducer(max_steps: int, idle_ms: int | None):
+def _first_steps(entries: list, max_steps: int) -> tuple[list, str | None]:
+    """The entries up to the terminal step, and why it is terminal."""
+    entries = sorted(entries, key=lambda e: (e[0], e[1]))[:max_steps]
+    for i, e in enumerate(entries):
+        if e[4]:
+            return entries[:i + 1], "submit"
+    return entries, "forced" if len(entries) == max_steps else None
+
+
+def _summary(episode, entries: list, reason: str) -> pd.DataFrame:
+    counted = entries if reason == "timeout" else entries[:-1]  # the terminal step has no output
+    row = (episode, len(entries), sum(e[3] for e in counted), sum(e[2] for e in counted),
+           1.0 if len(entries) <= 1 else 0.0, reason)
+    return pd.DataFrame([row], columns=_OUT_NAMES)
+
+
+def _reducer(max_steps: int, idle_ms: int | None, closed_ms: int):
+    def close(state: GroupState) -> None:
+        state.update(("[]", True))
+        state.setTimeoutTimestamp(max(0, state.getCurrentWatermarkMs()) + closed_ms)
+
     def reduce(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (episode,) = key
+        text, closed = state.get if state.exists else ("[]", False)
         if state.hasTimedOut:
-            steps, nz, chars, done, _, _ = state.get
-            state.remove()
-            if not done:
-                yield pd.DataFrame([(episode, steps, nz, chars, 1.0 if steps <= 1 else 0.0, "timeout")],
-                                   columns=["episode", "steps", "nonzero_exits", "total_output_chars",
-                                            "immediate_submit", "end_reason"])
+            if closed:
+                state.remove()
+                return
+            entries, reason = _first_steps(json.loads(text), max_steps)
+            close(state)
+            yield _summary(episode, entries, reason or "timeout")
+            return
+        entries = json.loads(text)
+        for pdf in batches:
+            if closed:
+                continue
+            ts = pdf["ts"].astype("datetime64[us]").astype("int64")
+            for t, eid, action, code, out in zip(ts, pdf["event_id"], pdf["action"], pdf["exit_code"], pdf["stdout"]):
+                if action != HEARTBEAT:
+                    entries.append([int(t), int(eid), len(out or ""), int(code != 0), action == "submit"])
+        if closed or not entries:
             return
-        if state.exists:
-            steps, nz, chars, done, last_ts, last_id = state.get
-        else:
-            steps, nz, chars, done, last_ts, last_id = 0, 0, 0, False, None, None
-        out = []
-        if not done:
-            pdf = pd.concat(list(batches), ignore_index=True)
-            pdf = pdf.assign(_t=pdf["ts"].astype("int64") // 1000).sort_values(["_t", "event_id"])
-            for t, eid, action, code, text in zip(pdf["_t"], pdf["event_id"], pdf["action"],
-                                                  pdf["exit_code"], pdf["stdout"]):
-                if last_ts is not None and (t, eid) <= (last_ts, last_id):
-                    continue  # arrived after a later step was already applied
-                steps += 1
-                last_ts, last_id = int(t), int(eid)
-                if action == "submit" or steps >= max_steps:
-                    reason = "submit" if action == "submit" else "forced"
-                    out.append((episode, steps, nz, chars, 1.0 if steps <= 1 else 0.0, reason))
-                    done = True
-                    break
-                chars += len(text or "")
-                nz += int(code != 0)
-        else:
-            for _ in batches:
-                pass
-        state.update((steps, nz, chars, done, last_ts, last_id))
-        if idle_ms is not None and not done and last_ts is not None:
-            state.setTimeoutTimestamp(max(last_ts // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["episode", "steps", "nonzero_exits", "total_output_chars",
-                                             "immediate_submit", "end_reason"])
+        entries, reason = _first_steps(entries, max_steps)
+        now, last = max(0, state.getCurrentWatermarkMs()), -(-entries[-1][0] // 1000)
+        if reason and now >= last:
+            close(state)
+            yield _summary(episode, entries, reason)
+            return
+        state.update((json.dumps(entries), False))
+        if reason:
+            state.setTimeoutTimestamp(last)
+        elif idle_ms is not None:
+            state.setTimeoutTimestamp(max(last + idle_ms, now))
     return reduce
 
 
 def episode_stream(steps: DataFrame, max_steps: int = MAX_STEPS, watermark: str = "1 hour",
-                   idle_ms: int | None = None) -> DataFrame:
-    """J2/J3 on a streaming (or batch) DataFrame of raw steps
+                   idle_ms: int | None = None, closed_ms: int = CLOSED_MS) -> DataFrame:
+    """J2/J3 on a streaming DataFrame of raw steps
     ``(episode, event_id, ts, action, exit_code, stdout)``.
 
     Steps first pass a watermark-aware de-duplication on ``event_id``:
     a re-delivered step is applied once, and a step that arrives behind the
     watermark is dropped there and counted by Spark
-    (``numRowsDroppedByWatermark``, see ``runner.late_rows_dropped``)."""
-    timeout = GroupStateTimeout.EventTimeTimeout if idle_ms is not None else GroupStateTimeout.NoTimeout
+    (``numRowsDroppedByWatermark``, see ``runner.late_rows_dropped``).
+
+    State: at most ``max_steps`` short entries per running episode, a mark per
+    episode closed within ``closed_ms``; running episodes without
+    ``idle_ms`` stay until they end."""
     s = (steps.select("episode", "event_id", F.col("ts").cast("timestamp").alias("ts"), "action",
                       "exit_code", "stdout")
          .withWatermark("ts", watermark)
          .dropDuplicatesWithinWatermark(["event_id"]))
     return (s.groupBy("episode")
-            .applyInPandasWithState(_reducer(max_steps, idle_ms), EPISODE_OUT, EPISODE_STATE,
-                                    "append", timeout))
+            .applyInPandasWithState(_reducer(max_steps, idle_ms, closed_ms), EPISODE_OUT, EPISODE_STATE,
+                                    "append", GroupStateTimeout.EventTimeTimeout))
 
 
 def running_report(results: DataFrame) -> DataFrame:
@@ -109,14 +131,14 @@ def running_report(results: DataFrame) -> DataFrame:
             .withColumn("resolve_rate", safe_ratio(F.col("resolved_instances"), F.col("total_instances"))))
 
 
-def prediction_intake(predictions: DataFrame, completed: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Incoming predictions for instances not completed yet, each id
-    once.  Predictions carry no event time, so the file's modification time
-    is used for the de-duplication watermark."""
-    p = (predictions.withColumn("_arrived", F.col("_metadata.file_modification_time"))
-         .withWatermark("_arrived", watermark)
-         .dropDuplicatesWithinWatermark(["instance_id"]))
-    return p.join(completed.select("instance_id"), "instance_id", "left_anti").drop("_arrived")
+def new_predictions(batch: DataFrame, completed: DataFrame, taken: DataFrame) -> DataFrame:
+    """The predictions of a batch for instances that are neither
+    completed nor taken by an earlier batch, one per id (the smallest record
+    of a batch that holds several)."""
+    fields = [c for c in batch.columns if c != "instance_id"]
+    one = batch.groupBy("instance_id").agg(F.min(F.struct(*fields)).alias("r")).select("instance_id", "r.*")
+    return (one.join(completed.select("instance_id"), "instance_id", "left_anti")
+            .join(taken.select("instance_id"), "instance_id", "left_anti"))
 
 
 # worker-side functions of this module travel with the task (see shipping.py)

@@ -12,8 +12,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import scratch_path
+from .episodes import new_predictions
 
 
 def stream_session(spark: SparkSession) -> SparkSession:
@@ -76,6 +78,24 @@ def late_rows_dropped(progress: list[dict]) -> int:
                for p in progress for op in p.get("stateOperators", []))
 
 
+def run_intake(stream: DataFrame, completed, out: str, checkpoint: str, fmt: str = "parquet") -> None:
+    """Every epoch reads the completed instances anew (``completed()``) and
+    writes what is new to its own folder ``out/epoch=N``, so an id is taken
+    once however late it is sent again, and an epoch that is run again after a
+    failure replaces its own rows only."""
+    schema = StructType([*stream.schema.fields, StructField("epoch", LongType())])
+    # an empty first folder, so that there is always a table to read
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("overwrite").format(fmt).save(f"{out}/epoch=-1")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        taken = batch.sparkSession.read.schema(schema).format(fmt).load(out).filter(F.col("epoch") < epoch)
+        new_predictions(batch, completed(), taken).write.mode("overwrite").format(fmt).save(f"{out}/epoch={epoch}")
+
+    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 def run_complete(stream: DataFrame, out: str, checkpoint: str) -> None:
     """Complete-mode aggregate: every epoch overwrites the result table."""
     def write(batch: DataFrame, _epoch: int) -> None:

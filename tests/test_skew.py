@@ -44,3 +44,34 @@ def _check(spark):
     a = {(r.k, r.t): r.n for r in plain.select("k", "t", "n").collect()}
     b = {(r.k, r.t): r.n for r in chunked.select("k", "t", "n").collect()}
     assert a == b
+
+
+def test_join_back_is_split_by_aqe(spark):
+    from rewardlake.operators.rollout import group_advantage
+    rows = _hot(spark, 300_000).select(F.col("k").alias("prompt_id"), F.col("t").alias("sample"),
+                                       (F.col("t") % 7).cast("double").alias("reward"), F.repeat(F.lit("x"), 100).alias("text"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = group_advantage(rows)
+        n = out.count()
+        out = group_advantage(rows)
+        out.write.format("noop").mode("overwrite").save()
+        share = out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("advantage").alias("c"))
+        counts = [r["c"] for r in share.collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert n == 300_000 and max(counts) < 0.25 * n
+
+
+def test_null_keys_are_groups_in_joins_back(spark):
+    from rewardlake.operators.rollout import group_advantage
+    df = spark.createDataFrame([(None, 0, 1.0), (None, 1, 0.0), (1, 0, 1.0)], "prompt_id long, sample int, reward double")
+    got = {(r.prompt_id, r.sample): round(r.advantage, 3) for r in group_advantage(df).collect()}
+    assert got == {(None, 0): 0.707, (None, 1): -0.707, (1, 0): 0.0}

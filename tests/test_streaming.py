@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from rewardlake.operators import rollout as RO
 from rewardlake.sources.fixtures import fixture
 from rewardlake.streaming import episodes as ST
-from rewardlake.streaming.runner import new_area, run_append, stage_drops
+from rewardlake.streaming.runner import late_rows_dropped, new_area, run_append, run_intake
 from tests.conftest import SF_SMALL
 
 
@@ -26,59 +26,88 @@ def test_stream_equals_batch_summary(spark):
             (b.steps, b.nonzero_exits, b.total_output_chars, b.immediate_submit)
 
 
-def test_forced_submit_and_idle_timeout(spark):
-    rows = []
-    base = 1_700_000_000
-    for i in range(1, 106):          # episode 1: never submits -> forced at the cap
-        rows.append((1, i, base + i, "bash", 0, "x"))
-    rows.append((2, 1000, base + 1, "bash", 1, "yy"))    # episode 2: goes idle
-    rows.append((3, 2000, base + 10_000, "bash", 0, ""))  # a late-day event advances the watermark
-    df = (spark.createDataFrame(rows, "episode long, event_id long, t long, action string, exit_code int, stdout string")
-          .withColumn("ts", F.timestamp_seconds("t")).drop("t"))
-    area = new_area(spark, "t-idle")
-    stage_drops(df, f"{area}/in", "ts", 2, key="episode", files_per_drop=2)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(f"{area}/in")
-    run_append(ST.episode_stream(stream, max_steps=100, watermark="10 minutes", idle_ms=60_000),
-               f"{area}/out", f"{area}/ckpt")
-    got = {r.episode: (r.steps, r.end_reason, r.nonzero_exits) for r in spark.read.parquet(f"{area}/out").collect()}
-    assert got[1] == (100, "forced", 0)
-    assert got[2] == (1, "timeout", 1)
-
-
-def test_late_rows_and_unsubmitted_episodes(spark):
-    schema = "episode long, event_id long, t long, action string, exit_code int, stdout string"
-    drop1 = [(1, 10, 100, "bash", 0, "a"), (1, 11, 200, "bash", 0, "bb"), (1, 12, 300, "bash", 0, "c"),
-             (2, 20, 100, "bash", 1, "x")]                                   # episode 2 never submits
-    drop2 = [(1, 13, 250, "bash", 1, "late"),                                 # before step 3 -> ignored
-             (1, 14, 400, "submit", 0, "")]
-    area = new_area(spark, "t-late")
-    for rows in (drop1, drop2):
-        (spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("t")).drop("t")
+STEP = "episode long, event_id long, t long, action string, exit_code int, stdout string"
+
+
+def _run(spark, name, drops, **settings):
+    """Run the drops as one micro-batch each; the summaries in order of emission, and the progress."""
+    area = new_area(spark, name)
+    for rows in drops:
+        (spark.createDataFrame(rows, STEP).withColumn("ts", F.timestamp_seconds("t")).drop("t")
          .coalesce(1).write.mode("append").parquet(f"{area}/in"))
     sch = spark.read.parquet(f"{area}/in").schema
     stream = spark.readStream.schema(sch).option("maxFilesPerTrigger", 1).parquet(f"{area}/in")
-    run_append(ST.episode_stream(stream, watermark="1 hour"), f"{area}/out", f"{area}/ckpt")
-    got = {r.episode: (r.steps, r.nonzero_exits, r.total_output_chars, r.end_reason)
-           for r in spark.read.parquet(f"{area}/out").collect()}
-    assert got == {1: (4, 0, 4, "submit")}
+    progress = run_append(ST.episode_stream(stream, **settings), f"{area}/out", f"{area}/ckpt")
+    out = [(r.episode, r.steps, r.nonzero_exits, r.total_output_chars, r.end_reason)
+           for r in spark.read.parquet(f"{area}/out").collect()]
+    return sorted(out), progress
+
+
+def _beat(t):
+    return [(None, -t, t, ST.HEARTBEAT, 0, "")]
+
+
+def _reducer_rows(progress):
+    return next(op["numRowsTotal"] for op in progress[-1]["stateOperators"]
+                if op["operatorName"] == "applyInPandasWithState" or "Group" in op["operatorName"] or "flatMap" in op["operatorName"])
+
+
+def test_forced_submit_and_idle_timeout(spark):
+    base = 1_700_000_000
+    rows = [(1, i, base + i, "bash", 0, "x") for i in range(1, 106)]   # never submits -> forced at the cap
+    rows.append((2, 1000, base + 1, "bash", 1, "yy"))                  # goes idle
+    got, _ = _run(spark, "t-idle", [rows, _beat(base + 10_000), _beat(base + 10_001)],
+                  max_steps=100, watermark="10 minutes", idle_ms=60_000)
+    assert got == [(1, 100, 0, 99, "forced"), (2, 1, 1, 2, "timeout")]
+
+
+def test_a_closed_episode_does_not_start_again(spark):
+    base = 1_700_000_000
+    drops = [[(1, 1, base, "bash", 1, "a")], _beat(base + 5_000), _beat(base + 5_001),      # closed as idle
+             [(1, 2, base + 6_000, "bash", 0, "b"), (1, 3, base + 6_001, "submit", 0, "")],  # comes back
+             _beat(base + 20_000), _beat(base + 20_001)]
+    got, _ = _run(spark, "t-back", drops, watermark="10 minutes", idle_ms=60_000)
+    assert got == [(1, 1, 1, 1, "timeout")]
+
+
+def test_steps_out_of_order_within_the_watermark_count(spark):
+    drops = [[(1, 10, 100, "bash", 0, "a"), (1, 11, 200, "bash", 0, "bb"), (1, 12, 300, "bash", 0, "c"),
+              (2, 20, 100, "bash", 1, "x")],                                # episode 2 never submits
+             [(1, 14, 400, "submit", 0, ""), (1, 15, 450, "bash", 1, "after")],
+             [(1, 13, 250, "bash", 1, "late")],                             # before step 3, after the submit was seen
+             _beat(9_000), _beat(9_001)]
+    got, progress = _run(spark, "t-late", drops, watermark="1 hour")
+    assert got == [(1, 5, 1, 8, "submit")]
+    assert late_rows_dropped(progress) == 0
+
+
+def test_state_of_closed_episodes_is_removed(spark):
+    drops = [[(e, e, 100 + e, "submit", 0, "") for e in range(1, 6)], _beat(10_000), _beat(10_001),
+             _beat(200_000), _beat(200_001), _beat(200_002)]
+    got, progress = _run(spark, "t-state", drops, watermark="10 minutes", closed_ms=3_600_000)
+    assert [g[:2] for g in got] == [(e, 1) for e in range(1, 6)]
+    assert _reducer_rows(progress) == 0
 
 
 def test_rows_behind_watermark_are_dropped_and_counted(spark):
-    from rewardlake.streaming.runner import late_rows_dropped
-    schema = "episode long, event_id long, t long, action string, exit_code int, stdout string"
-    drop1 = [(1, 1, 10_000, "bash", 0, "a"), (2, 2, 20_000, "bash", 0, "b")]
-    filler = [(1, 5, 20_050, "bash", 0, "c")]
-    late = [(3, 3, 20_000 - 7_200, "submit", 0, "")]        # two hours behind the newest event
-    drop3 = [(2, 4, 20_100, "submit", 0, "")]
-    area = new_area(spark, "t-wm")
-    # late rows are judged against the watermark of the previous micro-batch
-    # (as Spark does for chained stateful operators), hence the filler drop
-    for rows in (drop1, filler, late, drop3):
-        (spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("t")).drop("t")
-         .coalesce(1).write.mode("append").parquet(f"{area}/in"))
-    sch = spark.read.parquet(f"{area}/in").schema
-    stream = spark.readStream.schema(sch).option("maxFilesPerTrigger", 1).parquet(f"{area}/in")
-    progress = run_append(ST.episode_stream(stream, watermark="1 hour"), f"{area}/out", f"{area}/ckpt")
-    got = {r.episode: r.steps for r in spark.read.parquet(f"{area}/out").collect()}
-    assert got == {2: 2}          # episode 3's only step came too late
+    drops = [[(1, 1, 10_000, "bash", 0, "a"), (2, 2, 20_000, "bash", 0, "b")],
+             # late rows are judged against the watermark of the previous micro-batch
+             # (as Spark does for chained stateful operators), hence the filler drop
+             [(1, 5, 20_050, "bash", 0, "c")],
+             [(3, 3, 20_000 - 7_200, "submit", 0, "")],        # two hours behind the newest event
+             [(2, 4, 20_100, "submit", 0, "")], _beat(30_000), _beat(30_001)]
+    got, progress = _run(spark, "t-wm", drops, watermark="1 hour")
+    assert [g[:2] for g in got] == [(2, 2)]          # episode 3's only step came too late
     assert late_rows_dropped(progress) == 1
+
+
+def test_intake_takes_an_id_once_however_late_it_comes_again(spark):
+    area = new_area(spark, "t-intake")
+    schema = "instance_id string, model_name_or_path string"
+    for rows in ([("a", "m"), ("b", "m"), ("a", "m")], [("b", "m"), ("c", "m")], [("a", "n"), ("d", "m")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{area}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{area}/in")
+    done = spark.createDataFrame([("c",)], "instance_id string")
+    run_intake(stream, lambda: done, f"{area}/out", f"{area}/ckpt")
+    got = [(r.instance_id, r.model_name_or_path) for r in spark.read.parquet(f"{area}/out").collect()]
+    assert sorted(got) == [("a", "m"), ("b", "m"), ("d", "m")]
