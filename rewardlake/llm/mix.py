@@ -26,6 +26,8 @@ ship_by_value(__name__)
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 #: documents of a bucket, buckets that meet in a node of the tree, seed of the draws
 BUCKET, FAN_IN, SEED = 50_000, 16, 11
+#: copies of one row that are expanded at once
+COPIES = 65_536
 EPS = 1e-9
 
 
@@ -153,24 +155,30 @@ def mix_plan(docs: DataFrame, **settings) -> DataFrame:
     one source, last in order; rows equal in id, source and size share their
     copies evenly; an empty table gives an empty result."""
     d = mix_items(document_items(docs), **settings)
-    d = d.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(n - 1) div 65536"))))
-    d = d.withColumn("_i", F.explode(F.sequence(F.col("_b") * 65536, F.least(F.col("n"), (F.col("_b") + 1) * 65536) - 1)))
+    d = d.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {COPIES}"))))
+    d = d.withColumn("_i", F.explode(F.sequence(F.col("_b") * COPIES, F.least(F.col("n"), (F.col("_b") + 1) * COPIES) - 1)))
     return d.select("doc_id", "source", "size", "source_size", "target",
                     (F.col("whole") + (F.col("_i") < F.col("extra")).cast("bigint")).alias("copies"))
 
 
 def mix_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken.
-    Rows that share id, source and size are told apart by a row number."""
+    Rows that share id, source and size take their extra copies in text
+    order; wholly equal ones are counted first, so a row repeated over a
+    third of the table is one row in the shuffle."""
     plan = mix_items(document_items(docs), **settings).select(
         F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "n", "whole", "extra")
     d = docs.select(F.struct(*docs.columns).alias("row"))
     d = d.withColumn("_size", F.size(words_of(F.coalesce(F.col("row.text"), F.lit("")))).cast("bigint"))
     on = F.col("row.doc_id").eqNullSafe(F.col("_d")) & F.col("row.source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
     d = d.join(plan, on)
-    same = Window.partitionBy("_d", "_s", "_z").orderBy("row.text")
-    single = d.where(F.col("n") == 1).withColumn("_i", F.lit(0))
-    many = d.where(F.col("n") > 1).withColumn("_i", F.row_number().over(same) - 1)
-    d = single.unionByName(many).withColumn("_copies", F.col("whole") + (F.col("_i") < F.col("extra")).cast("bigint"))
-    d = d.where(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
+    single = d.where(F.col("n") == 1).select("row", (F.col("whole") + F.col("extra")).alias("_copies"))
+    held = d.where(F.col("n") > 1).groupBy("row", "_d", "_s", "_z", "whole", "extra").agg(F.count(F.lit(1)).alias("_m"))
+    same = Window.partitionBy("_d", "_s", "_z").orderBy("row.text", F.to_json("row"))
+    before = F.coalesce(F.sum("_m").over(same.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    more = F.greatest(F.lit(0), F.least(F.col("_m"), F.col("extra") - before))
+    many = held.select("row", (F.col("whole") * F.col("_m") + more).alias("_copies"))
+    d = single.unionByName(many).where(F.col("_copies") > 0)
+    d = d.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_copies - 1) div {COPIES}"))))
+    d = d.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(COPIES).cast("bigint"), F.col("_copies") - F.col("_b") * COPIES))))
     return d.select("row.*")

@@ -305,6 +305,22 @@ def test_pivot_keeps_words():
         assert 10 * p1 + 25 * p2 == pytest.approx(18) and any(abs(p - round(p)) < 1e-9 for p in (p1, p2))
 
 
+def test_mix_of_a_row_repeated_over_a_third_of_the_table(spark):
+    rows = [(7, "s", "one two three", 1)] * 400 + [(7, "s", "six five four", 1)] * 5 + [(None, "s", "a b c", 2)] * 3
+    rows += [(100 + i, "t" if i % 2 else "s", "w " * (1 + i % 5), i) for i in range(800)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string, n int")
+    want = Counter()
+    for r in mix.mix_plan(d).collect():
+        want[(r.doc_id, r.source, r.size)] += r.copies
+    once, again = (Counter((r.doc_id, r.source, r.text, r.n) for r in mix.mix_documents(d).collect()) for _ in range(2))
+    assert once == again
+    got = Counter()
+    for (i, source, text, _), n in once.items():
+        got[(i, source, len(text.split()))] += n
+    assert got == +want
+    assert max(n for (i, *_), n in once.items() if i is not None and i >= 100) <= 2
+
+
 # -- packing -------------------------------------------------------------------
 def _packed(rows, docs):
     from tokenizers import Tokenizer
