@@ -47,8 +47,8 @@ def main() -> int:
         for op in re.findall(r"[A-J]\d+", q.ops):
             by_id.setdefault(op, []).append(name)
     print("# Coverage of SURVEY §2\n")
-    print("Generated by `scripts/coverage_report.py`. Queries are checked against their DuckDB oracle "
-          "(`q_syntax_*` against a brute-force loop); test-only items name their test.\n")
+    print("Generated by `scripts/coverage_report.py`. Queries are checked against their DuckDB oracle; "
+          "test-only items name their test.\n")
     print("| id | operator | registered queries | other evidence |")
     print("|---|---|---|---|")
     missing = []
