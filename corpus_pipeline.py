@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rewardlake.llm import mix, pack, secrets, simhash, toxicity
-from rewardlake.llm.common import fresh, read_table, staged
+from rewardlake.llm.common import cut_lineage, fresh, read_table, staged
 
 #: texts that score at least this are toxic
 TOXIC = 0.3
@@ -29,15 +29,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each SimHash component.  Of rows
-    that share that id the one with the smallest text stays; rows without an
-    id cannot be named and stay."""
-    found = simhash.simhash_components(docs.select("doc_id", "text"), WORDS, BITS)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id")
-    [nth] = fresh(docs, "nth")
-    one = named.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return one.where(F.col(nth) == 1).select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each group of near copies: the one of the smallest id
+    (rows without an id come last), of its smallest fingerprint and text.
+    Groups are of fingerprints, so unlike texts that share an id, or have
+    none, are judged each on its own."""
+    prints = cut_lineage(docs.select("doc_id", simhash.fingerprint(F.col("text"), WORDS).alias("fingerprint"))
+                         .groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")))
+    groups = simhash.fingerprint_components(prints.withColumn("node", F.col("fingerprint")), BITS, "node")
+    first = groups.groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("fingerprint").alias("fp"))).alias("d"))
+    key, wanted, nth = fresh(docs, "key", "wanted", "nth")
+    first = first.select(F.struct(F.col("d.id").alias("id"), F.col("d.fp").alias("fp")).alias(wanted))
+    # a struct as key: null ids meet like any other; repeated rows go before the shuffle, which serves window and join
+    held = docs.withColumn(key, F.struct(F.col("doc_id").alias("id"), simhash.fingerprint(F.col("text"), WORDS).alias("fp")))
+    rest = [F.col(c) for c in docs.columns if c != "text"]
+    one = held.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy("text", F.xxhash64(*rest)))).where(F.col(nth) == 1)
+    return one.join(first, F.col(key) == F.col(wanted)).select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
