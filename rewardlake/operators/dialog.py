@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..constants import HISTORY_SEPARATOR  # noqa: F401
 
+from ..functions.feedback import feedback_message
 from ..functions.text import truthy
 from .joins import join_back
 from .sequence import chunked_scan
@@ -172,6 +173,49 @@ def unnest_turns(nested: DataFrame) -> DataFrame:
     return nested.select("instance_id", F.explode("turns").alias("t")).select("instance_id", "t.*")
 
 
+def multi_turn_record(turns: DataFrame, checks: DataFrame, max_turns: int, finals: DataFrame | None = None) -> DataFrame:
+    """H2 with both levels: one record per run with ``num_turns,
+    stopped_early, final_aggregate_score`` and its kept turns, each with
+    output, feedback (null where none was given), aggregate score and the
+    results of its verifiers in config order.
+
+    ``checks`` has one row per (instance, turn, configured verifier):
+    ``ord, name, status, score, pass_threshold`` (and ``details``, ``stdout``
+    where recorded).  ``finals`` is ``(instance_id, final_aggregate_score)``;
+    without it the last kept turn's score stands in.  Groups are bounded by
+    the configured verifiers and by ``max_turns``; null ids form one run."""
+    key = F.struct(F.col("instance_id").alias("id"), F.col("turn").cast("bigint").alias("turn"))
+    keyed = checks.withColumn("instance_id", key)
+    passed = F.coalesce((F.col("status") == "ok") & (F.col("score") >= F.col("pass_threshold")), F.lit(False))
+    results = keyed.groupBy("instance_id").agg(
+        F.sort_array(F.collect_list(F.struct("ord", "name", "status", "score", passed.alias("passed")))).alias("_r"))
+    told = feedback_message(keyed).join(results, "instance_id").withColumnRenamed("instance_id", "_key")
+    kept = replay_early_exit(turns, max_turns).withColumn("_key", key).join(told, "_key", "left")
+    results_of = F.transform(F.coalesce("_r", F.array()), lambda r: F.struct(
+        r["name"].alias("name"), r["status"].alias("status"), r["score"].alias("score"), r["passed"].alias("passed")))
+    turn = F.struct("turn", "output", F.when(F.col("has_feedback"), F.col("feedback")).alias("feedback"),
+                    "aggregate_score", results_of.alias("verifier_results"))
+    record = kept.groupBy("instance_id").agg(
+        F.count(F.lit(1)).alias("num_turns"), F.bool_or("exits").alias("stopped_early"),
+        F.max_by("aggregate_score", "turn").alias("_last"), F.sort_array(F.collect_list(turn)).alias("turns"))
+    if finals is None:
+        score = F.col("_last")
+    else:
+        final = finals.select(F.struct(F.col("instance_id").alias("id")).alias("_id"), "final_aggregate_score")
+        record = record.join(final, F.struct(F.col("instance_id").alias("id")) == F.col("_id"), "left")
+        score = F.col("final_aggregate_score")
+    return record.select("instance_id", "num_turns", "stopped_early", score.alias("final_aggregate_score"), "turns")
+
+
+def unnest_record(record: DataFrame) -> DataFrame:
+    """H3 with both levels: one row per (run, turn, verifier result); a turn
+    without results keeps one row."""
+    head = ["instance_id", "num_turns", "stopped_early", "final_aggregate_score"]
+    t = record.select(*head, F.explode("turns").alias("t")).select(*head, "t.*")
+    t = t.withColumn("v", F.explode_outer("verifier_results"))
+    return t.select(*head, "turn", "output", "feedback", "aggregate_score", "v.name", "v.status", "v.score", "v.passed")
+
+
 # ------------------------------------------------------------- D8
 def run_summary(instances: DataFrame, turns: DataFrame, max_turns: int, finals: DataFrame | None = None) -> DataFrame:
     """Run summary over the *dataset*: instances whose run produced no

@@ -34,17 +34,21 @@ def job_outcome(jobs: DataFrame) -> DataFrame:
                        .otherwise(F.lit("job_failed")).alias("error"), "test_output")
 
 
-def test_outcome(outcomes: DataFrame, resolved: Column) -> DataFrame:
+def test_outcome(outcomes: DataFrame, resolved: Column, grading_error: Column | None = None) -> DataFrame:
     """The unit-test verifier's ladder: a job error -> error; no test
     output -> error ('K8s Job timed out' or 'No test output captured from
-    pod logs'); otherwise ok with score 1.0 if resolved else 0.0."""
+    pod logs'); a failed grading (``grading_error`` not null) -> error with its
+    message; otherwise ok with score 1.0 if resolved else 0.0."""
+    failed = grading_error if grading_error is not None else F.lit(None).cast("string")
     has_error = F.coalesce(F.col("error") != "", F.lit(False))
     no_output = ~F.coalesce(F.col("test_output") != "", F.lit(False))
-    status = F.when(has_error | no_output, F.lit("error")).otherwise(F.lit("ok"))
+    wrong = has_error | no_output | failed.isNotNull()
+    status = F.when(wrong, F.lit("error")).otherwise(F.lit("ok"))
     message = (F.when(has_error, F.col("error"))
                .when(no_output, F.when(F.col("timed_out"), F.lit("K8s Job timed out"))
-                     .otherwise(F.lit("No test output captured from pod logs"))))
-    score = F.when(has_error | no_output, F.lit(0.0)).when(resolved, F.lit(1.0)).otherwise(F.lit(0.0))
+                     .otherwise(F.lit("No test output captured from pod logs")))
+               .otherwise(failed))
+    score = F.when(wrong, F.lit(0.0)).when(resolved, F.lit(1.0)).otherwise(F.lit(0.0))
     return outcomes.select("instance_id", status.alias("status"), score.alias("score"), message.alias("message"))
 
 

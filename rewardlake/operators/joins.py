@@ -138,6 +138,17 @@ def grade_tests(tests: DataFrame) -> DataFrame:
                  F.sum(F.when(~f2p, 1).otherwise(0)).cast("bigint").alias("p2p_total")))
 
 
+def grade_predictions(tests: DataFrame, predictions: DataFrame) -> DataFrame:
+    """C8 for whole predictions ``(instance_id, model_patch, error)``:
+    ``patch_exists`` is a non-empty patch; an empty patch, a grading error
+    and an instance without observed tests are unresolved."""
+    graded = grade_tests(tests).select("instance_id", F.col("resolved").alias("_ok"))
+    exists = F.coalesce(F.col("model_patch") != "", F.lit(False))
+    return (predictions.join(graded, "instance_id", "left")
+            .select("instance_id", exists.alias("patch_exists"),
+                    (exists & F.col("error").isNull() & F.coalesce("_ok", F.lit(False))).alias("resolved"), "error"))
+
+
 # ---------------------------------------------------------------- C10
 def patches_generated(dataset: DataFrame, stored: DataFrame) -> DataFrame:
     """Dataset rows that have a stored prediction (semi join)."""

@@ -106,6 +106,22 @@ def run_results(results: DataFrame) -> DataFrame:
                 safe_ratio(F.col("resolved_instances"), F.col("evaluated")).alias("resolve_rate")))
 
 
+def run_result_ids(results: DataFrame) -> DataFrame:
+    """The id lists of D7 as a long table ``(list_name, instance_id)``: errors
+    by the truthy rule, resolved strictly TRUE among the evaluated.  Narrow:
+    no shuffle."""
+    name = F.when(F.col("is_error"), F.lit("error_ids")).when(F.col("is_resolved"), F.lit("resolved_ids"))
+    return eval_flags(results).select(name.alias("list_name"), "instance_id").where(F.col("list_name").isNotNull())
+
+
+def completion_results(samples: DataFrame) -> DataFrame:
+    """D10's per-sample results, each with the id list it belongs to: a sample
+    passed iff its ``result`` is 'passed'."""
+    passed = F.coalesce(F.col("result") == "passed", F.lit(False))
+    return samples.select("task_id", "result", passed.alias("passed"),
+                          F.when(passed, F.lit("passed_ids")).otherwise(F.lit("failed_ids")).alias("list_name"))
+
+
 # ---------------------------------------------------------------- D9 / A12
 RUN_METRIC_KEYS = ("total_instances", "patches_generated", "generation_errors",
                    "evaluated", "completion_rate", "resolved", "resolve_rate")

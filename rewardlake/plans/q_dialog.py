@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import dialog as DG
+from ..sources import files as FS
 from ..sources.fixtures import fixture
 from ..sources.tables import table
+from ..streaming.runner import new_area
 from . import duck as D
 from .registry import query
 
@@ -169,6 +172,72 @@ def q_unnest_turns(spark, sf_dir):
     return DG.unnest_turns(DG.nest_turns(fixture(spark, sf_dir, "turn_runs")))
 
 
+def _turn_checks(turns):
+    """Two intermediate verifiers of every recorded turn."""
+    n = F.length("output")
+    checks = F.array(
+        F.struct(F.lit(0).alias("ord"), F.lit("format_check").alias("name"),
+                 F.when(n % 7 == 0, F.lit("error")).otherwise(F.lit("ok")).alias("status"),
+                 ((n % 4).cast("double") / 4).alias("score"), F.lit(0.5).alias("pass_threshold")),
+        F.struct(F.lit(1).alias("ord"), F.lit("size_check").alias("name"), F.lit("ok").alias("status"),
+                 F.col("aggregate_score").alias("score"), F.lit(0.75).alias("pass_threshold")))
+    return turns.select("instance_id", "turn", F.explode(checks).alias("c")).select("instance_id", "turn", "c.*")
+
+
+_RECORD_SQL = f"""
+, {_KEPT_SQL},
+checks as (
+  select instance_id, cast(turn as bigint) as turn, 0 as ord, 'format_check' as name,
+    case when length(output) % 7 = 0 then 'error' else 'ok' end as status,
+    cast(length(output) % 4 as double) / 4 as score, cast(0.5 as double) as pass_threshold from turn_runs
+  union all
+  select instance_id, cast(turn as bigint), 1, 'size_check', 'ok', aggregate_score, cast(0.75 as double) from turn_runs),
+judged as (select *, status = 'ok' and score >= pass_threshold as passed from checks),
+told as (
+  select instance_id, turn, 'Your solution was evaluated. Here is the feedback:' || chr(10) || chr(10)
+    || string_agg('[' || name || '] ' || case when status <> 'ok' then upper(status)
+         else case when passed then 'PASSED' else 'FAILED' end || ' (score: ' || printf('%.2f', score) || ')' end,
+       chr(10) order by ord) || chr(10) || chr(10)
+    || case when bool_and(passed) then 'All checks passed.'
+            else 'Please revise your solution to address the issues above.' end as feedback
+  from judged group by instance_id, turn),
+runs as (select instance_id, count(*) as num_turns, bool_or(exits) as stopped_early from kept group by instance_id)
+select k.instance_id, r.num_turns, r.stopped_early,
+  case when f.resolved then cast(1.0 as double) when not f.resolved then cast(0.0 as double) end as final_aggregate_score,
+  k.turn, k.output, case when k.has_feedback then t.feedback end as feedback, k.aggregate_score,
+  j.name, j.status, j.score, j.passed
+from kept k join runs r on r.instance_id = k.instance_id
+join told t on t.instance_id = k.instance_id and t.turn = k.turn
+join judged j on j.instance_id = k.instance_id and j.turn = k.turn
+left join final_results f on f.instance_id = k.instance_id
+"""
+
+
+def _record(spark, sf_dir):
+    turns = fixture(spark, sf_dir, "turn_runs")
+    finals = fixture(spark, sf_dir, "final_results").select(
+        "instance_id", F.when(F.col("resolved"), F.lit(1.0)).otherwise(F.lit(0.0)).alias("final_aggregate_score"))
+    return DG.multi_turn_record(turns, _turn_checks(turns), MAX_TURNS, finals)
+
+
+@query("q_multi_turn_record", ops="H2, H3, E3, G21", views=("turn_runs", "final_results"), oracle=_RECORD_SQL)
+def q_multi_turn_record(spark, sf_dir):
+    return DG.unnest_record(_record(spark, sf_dir))
+
+
+@query("q_sink_multi_turn", ops="A8, H2, H3", views=("turn_runs", "final_results"), oracle=_RECORD_SQL)
+def q_sink_multi_turn(spark, sf_dir):
+    root, record = new_area(spark, "sink-multi-turn"), _record(spark, sf_dir)
+    results = record.select("instance_id", F.lit(None).cast("string").alias("error"), F.lit(True).alias("patch_exists"),
+                            F.lit(None).cast("boolean").alias("resolved"))
+    outputs = record.select("instance_id", F.element_at("turns", -1)["output"].alias("model_patch"),
+                            F.lit("agent-model").alias("model_name_or_path"))
+    FS.write_artifacts(results, outputs, None, root, "run-1", record)
+    kind = T.StructType([f for f in record.schema if f.name != "instance_id"])
+    stored = spark.read.parquet(f"{root}/multi_turn").select("instance_id", F.from_json("multi_turn", kind).alias("m"))
+    return DG.unnest_record(stored.select("instance_id", "m.*"))
+
+
 @query("q_run_summary", ops="D8, E3, E4, B11, C6", views=("turn_runs", "final_results"), oracle=f"""
 , {_KEPT_SQL}, {_OUTCOMES_SQL},
 r as (select o.*, num_turns = 0 as is_error, coalesce(f.resolved, false) as resolved

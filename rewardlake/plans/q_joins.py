@@ -123,6 +123,21 @@ def q_grade_tests(spark, sf_dir):
     return J.grade_tests(fixture(spark, sf_dir, "tests"))
 
 
+@query("q_grade_predictions", ops="C8", views=("tests",), oracle="""
+select o_orderkey as instance_id, o_orderkey % 10 <> 0 as patch_exists,
+  o_orderkey % 10 <> 0 and o_orderkey % 13 <> 0 and coalesce(t.ok, false) as resolved,
+  case when o_orderkey % 13 = 0 then 'no report' end as error
+from orders left join (select instance_id, bool_and(coalesce(status = 'PASSED', false)) as ok from tests
+  group by instance_id) t on t.instance_id = o_orderkey
+""")
+def q_grade_predictions(spark, sf_dir):
+    key = F.col("o_orderkey")
+    patch = F.when(key % 10 == 0, F.lit("")).otherwise(F.concat(F.lit("diff "), key.cast("string")))
+    predictions = table(spark, sf_dir, "orders").select(
+        key.alias("instance_id"), patch.alias("model_patch"), F.when(key % 13 == 0, F.lit("no report")).alias("error"))
+    return J.grade_predictions(fixture(spark, sf_dir, "tests"), predictions)
+
+
 @query("q_patches_generated", ops="C10", views=("tasks", "instance_results"), oracle="""
 select count(*) as patches_generated from tasks t
 where exists (select 1 from instance_results r where r.instance_id = t.instance_id)

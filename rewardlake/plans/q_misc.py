@@ -201,3 +201,21 @@ def q_test_outcome(spark, sf_dir):
     # grading of a captured log: the run resolved the task when its output
     # reports one of the two top priorities
     return JB.test_outcome(o, F.col("test_output").isin("1-URGENT", "2-HIGH"))
+
+
+@query("q_graded_outcome", ops="B14", views=("jobs",), oracle=f"""
+select instance_id, case when e <> '' or coalesce(test_output, '') = '' or g is not null then 'error' else 'ok' end as status,
+  cast(case when e <> '' or coalesce(test_output, '') = '' or g is not null then 0.0
+       when test_output in ('1-URGENT', '2-HIGH') then 1.0 else 0.0 end as double) as score,
+  case when e <> '' then e when coalesce(test_output, '') = '' then
+    (case when timed_out then 'K8s Job timed out' else 'No test output captured from pod logs' end) else g end as message
+from (select *, coalesce(case when timed_out then 'timed_out' when succeeded then null else 'job_failed' end, '') as e,
+        case when test_output = '3-MEDIUM' then 'no report for 3-MEDIUM' end as g
+      from ({_JOB_SQL}) j) x
+""")
+def q_graded_outcome(spark, sf_dir):
+    o = JB.job_outcome(fixture(spark, sf_dir, "jobs"))
+    log = F.col("test_output")
+    # logs of this kind hold no report, so grading them fails
+    failed = F.when(log == "3-MEDIUM", F.concat(F.lit("no report for "), log))
+    return JB.test_outcome(o, log.isin("1-URGENT", "2-HIGH"), failed)

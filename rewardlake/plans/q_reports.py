@@ -81,6 +81,15 @@ def q_run_results(spark, sf_dir):
     return R.run_results(fixture(spark, sf_dir, "instance_results"))
 
 
+@query("q_run_result_ids", ops="D7 id lists", views=("instance_results",), oracle=f"""
+select 'error_ids' as list_name, instance_id from ({_FLAGS_SQL}) f where is_error
+union all
+select 'resolved_ids', instance_id from ({_FLAGS_SQL}) f where is_resolved
+""")
+def q_run_result_ids(spark, sf_dir):
+    return R.run_result_ids(fixture(spark, sf_dir, "instance_results"))
+
+
 _METRICS_SQL = f"""
 with f as ({_FLAGS_SQL.replace('from instance_results', ', coalesce(patch_exists, false) as has_patch from instance_results')}),
 w as (

@@ -152,6 +152,16 @@ def q_completion_report(spark, sf_dir):
             .withColumn("pass_rate", R.safe_ratio(F.col("passed"), F.col("total"))))
 
 
+@query("q_completion_results", ops="D10 id lists", views=("code_samples", "problems"), oracle=f"""
+select s.task_id, s.result, coalesce(s.result = 'passed', false) as passed,
+  case when s.result = 'passed' then 'passed_ids' else 'failed_ids' end as list_name
+from code_samples s join {_PROBLEMS_LAST} p on p.task_id = s.task_id
+""")
+def q_completion_results(spark, sf_dir):
+    s = fixture(spark, sf_dir, "code_samples").select("task_id", "result")
+    return R.completion_results(J.samples_with_problems(s, fixture(spark, sf_dir, "problems")))
+
+
 # ------------------------------------------------------------- job logs
 def _preds_sql(model: str) -> str:
     raw = D.between("logs", T.PREDS_START, T.PREDS_END)

@@ -92,7 +92,7 @@ def write_text_list(df: DataFrame, column: str, path: str) -> None:
 
 
 def write_artifacts(results: DataFrame, predictions: DataFrame, logs: DataFrame | None, root: str,
-                    run_id: str) -> None:
+                    run_id: str, records: DataFrame | None = None) -> None:
     """A run's per-instance artifacts as one table per kind, partitioned
     by ``run_id`` (never one folder per instance):
 
@@ -101,21 +101,29 @@ def write_artifacts(results: DataFrame, predictions: DataFrame, logs: DataFrame
       there is none
     * ``pod_logs``     -- only instances with non-empty logs
     * ``trajectories`` -- only logs that carry a non-empty trajectory block
+    * ``multi_turn``   -- where given, each run's nested record as JSON
+
+    A run id written again replaces that run's rows of every kind that has
+    rows again.
     """
     from ..functions.text import log_trajectory
     base = root.rstrip("/")
     tag = F.lit(run_id).alias("run_id")
     (predictions.select(tag, "instance_id", "model_patch", "model_name_or_path")
-     .write.mode("append").partitionBy("run_id").parquet(f"{base}/predictions"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{base}/predictions"))
     report = F.when(F.col("resolved").isNotNull(),
                     F.to_json(F.struct("resolved", "patch_exists"))
                     ).otherwise(F.to_json(F.struct(F.col("error").alias("error")), {"ignoreNullFields": "false"}))
     (results.select(tag, "instance_id", report.alias("report"))
-     .write.mode("append").partitionBy("run_id").parquet(f"{base}/reports"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{base}/reports"))
     if logs is not None:
         kept = logs.join(results.select("instance_id"), "instance_id", "left_semi")
         (kept.filter(F.col("logs").isNotNull() & (F.col("logs") != "")).select(tag, "instance_id", "logs")
-         .write.mode("append").partitionBy("run_id").parquet(f"{base}/pod_logs"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{base}/pod_logs"))
         traj = log_trajectory(F.col("logs"))
         (kept.select(tag, "instance_id", traj.alias("trajectory")).filter(F.col("trajectory") != "")
-         .write.mode("append").partitionBy("run_id").parquet(f"{base}/trajectories"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{base}/trajectories"))
+    if records is not None:
+        nested = F.to_json(F.struct(*[c for c in records.columns if c != "instance_id"]), {"ignoreNullFields": "false"})
+        (records.select(tag, "instance_id", nested.alias("multi_turn"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{base}/multi_turn"))

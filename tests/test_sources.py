@@ -151,3 +151,28 @@ def test_no_local_scratch_on_a_cluster():
     sc = SimpleNamespace(master="yarn", getCheckpointDir=lambda: None)
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None)))
+
+
+def test_artifacts_written_again_replace_those_of_the_run(spark, tmp_dir):
+    from rewardlake.operators.dialog import multi_turn_record, unnest_record
+
+    res = spark.createDataFrame([("a", None, True, True)], "instance_id string, error string, patch_exists boolean, resolved boolean")
+    preds = spark.createDataFrame([("a", "p", "m")], "instance_id string, model_patch string, model_name_or_path string")
+    turns = spark.createDataFrame([("a", 0, "x", False, 0.25), ("a", 1, "y", True, 1.0), ("a", 2, "z", False, 0.0), (None, 0, "n", False, 0.5)],
+                                  "instance_id string, turn int, output string, all_passed boolean, aggregate_score double")
+    checks = spark.createDataFrame([("a", 0, 1, "size", "ok", 0.25, 0.5), ("a", 0, 0, "form", "timeout", 0.0, 0.5), ("a", 1, 0, "form", "ok", 1.0, 0.5)],
+                                   "instance_id string, turn int, ord int, name string, status string, score double, pass_threshold double")
+    record = multi_turn_record(turns, checks, 3)
+    for run in ("run-1", "run-1", "run-2"):
+        FS.write_artifacts(res, preds, None, f"{tmp_dir}/again", run, record)
+    stored = spark.read.parquet(f"{tmp_dir}/again/multi_turn")
+    assert sorted(r.run_id for r in stored.where("instance_id = 'a'").collect()) == ["run-1", "run-2"]
+    assert spark.read.parquet(f"{tmp_dir}/again/predictions").count() == 2
+    run = json.loads(stored.where("instance_id = 'a' and run_id = 'run-1'").first().multi_turn)
+    assert run["num_turns"] == 2 and run["stopped_early"] and run["final_aggregate_score"] == 1.0
+    first, last = run["turns"]
+    assert [v["name"] for v in first["verifier_results"]] == ["form", "size"]
+    assert "[form] TIMEOUT\n[size] FAILED (score: 0.25)" in first["feedback"] and last["feedback"] is None
+    flat = unnest_record(record).collect()
+    assert sorted((str(r.instance_id), r.turn, str(r.name)) for r in flat) == [
+        ("None", 0, "None"), ("a", 0, "form"), ("a", 0, "size"), ("a", 1, "form")]
