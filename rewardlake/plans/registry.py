@@ -48,6 +48,6 @@ def load_all() -> dict[str, Query]:
     # importing the modules registers their queries
     from . import (  # noqa: F401
         q_reports, q_scoring, q_joins, q_text, q_patch, q_dialog, q_rollout,
-        q_misc, q_stream, q_sinks,
+        q_misc, q_stream, q_sinks, q_sources,
     )
     return REGISTRY
