@@ -6,15 +6,19 @@ inner product with it reaches the threshold, and a list decoder finds them
 block by block, dropping prefixes that cannot reach it any more.  Vectors
 that share a label and a filter are compared in double precision.
 
-The code is planned from the number of vectors of the largest label: caps
-hold about ``CAP`` vectors, and there are so many filters that a pair at the
-threshold shares ``meet`` of them on average.
+A label of up to ``WHOLE`` vectors of a length is one bucket: all its pairs
+are compared.  For larger ones the code is planned from the number of vectors
+of the largest: caps hold about ``CAP`` vectors, and there are so many
+independent rotations that a pair at the threshold shares no filter with a
+chance of at most ``MISS``, from the share of simulated pairs that miss in
+one rotation.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -29,8 +33,10 @@ from .components import connected_components
 
 ship_by_value(__name__)
 
-#: vectors a cap should hold, members of a block of a bucket
-CAP, BLOCK = 48, 1024
+#: vectors a cap should hold, members of a block of a bucket, vectors of a label that are all compared
+CAP, BLOCK, WHOLE = 256, 1024, 16384
+#: chance that a pair at the threshold shares no filter, rotations at most (caps grow first), pairs simulated
+MISS, ROTATIONS, PAIRS = 0.001, 64, 4000
 #: vectors decoded at once
 PIECE = 256
 
@@ -60,20 +66,58 @@ class Code:
         return out
 
 
-def plan_code(rows: int, dim: int, cosine: float, meet: float = 18.0, rotations: int = 2) -> Code:
-    """Parameters for ``rows`` vectors a label (see the module's text).  The
-    projections of random unit vectors are taken as normal; the result only
-    steers work and recall, verification is exact."""
+def cap_threshold(share: float, dim: int) -> float:
+    """The inner product that a random unit vector has with a fixed one, or a
+    larger one, with chance ``share``."""
+    angle = np.linspace(0, math.pi, 200_001)
+    mass = np.cumsum(np.sin(angle) ** (dim - 2)) if dim > 2 else angle
+    return math.cos(np.interp(share, mass / mass[-1], angle))
+
+
+def miss_rate(code: Code, dim: int, cosine: float, pairs: int = PAIRS, draws: int = 16) -> tuple[float, float]:
+    """Share of random pairs at ``cosine`` that share no filter of ``code``,
+    over several draws of it, and the filters a vector passes on average."""
+    rng = np.random.default_rng([code.seed, dim])
+    missed = hits = 0
+    for draw in range(draws):
+        u, v = rng.standard_normal((2, pairs // draws, dim))
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        v -= (u * v).sum(axis=1, keepdims=True) * u
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        v = cosine * u + math.sqrt(max(0.0, 1 - cosine * cosine)) * v
+        one = Code(code.rotations, code.blocks, code.words, code.threshold, code.seed + 1 + draw)
+        books = one.books(dim)
+        for a, b in zip(decode(u, one, books), decode(v, one, books), strict=True):
+            hits += len(a)
+            missed += not len(np.intersect1d(a, b, assume_unique=True))
+    return missed / (pairs // draws * draws), hits / (pairs // draws * draws)
+
+
+def plan_code(rows: int, dim: int, cosine: float, miss: float = MISS) -> Code | None:
+    """Parameters for ``rows`` vectors a label (see the module's text), or
+    None if all pairs are to be compared.  A rotation has so many filters
+    that a pair shares about one on average; caps are widened until
+    ``ROTATIONS`` are enough.  Rotations are drawn alike and on their own, so
+    a pair misses all with the power of the chance to miss one, whatever the
+    data; the chance is taken two standard errors high."""
     normal = NormalDist()
-    share = min(0.2, CAP / max(rows, 1))
-    a = normal.inv_cdf(1 - share)
-    xs = np.linspace(a, a + 6, 2001)
-    density = np.exp(-xs * xs / 2) / math.sqrt(2 * math.pi)
-    tail = np.array([1 - normal.cdf((a - cosine * x) / math.sqrt(1 - cosine * cosine)) for x in xs])
-    both = float((density * tail).sum() * (xs[1] - xs[0]))
-    filters = meet / both / rotations
-    blocks = max(2, min(dim, round(math.log(filters) / math.log(64))))
-    return Code(rotations, blocks, max(2, math.ceil(filters ** (1 / blocks))), a / math.sqrt(dim))
+    cosine, cap = min(cosine, 1 - 1e-9), CAP
+    while dim > 1 and cosine > 0 and cap < 0.2 * rows:
+        a = normal.inv_cdf(1 - cap / rows)
+        xs = np.linspace(a, a + 6, 2001)
+        density = np.exp(-xs * xs / 2) / math.sqrt(2 * math.pi)
+        tail = np.array([1 - normal.cdf((a - cosine * x) / math.sqrt(1 - cosine * cosine)) for x in xs])
+        filters = 1 / max(float((density * tail).sum() * (xs[1] - xs[0])), 1e-12)
+        blocks = min(dim, max(2, math.ceil(math.log(filters) / math.log(1 << 20))))
+        words = max(2, math.ceil(filters ** (1 / blocks)))
+        threshold = cap_threshold(cap / rows, dim)
+        lost, _ = miss_rate(Code(1, blocks, words, threshold), dim, cosine)
+        lost += 2 * math.sqrt(lost * (1 - lost) / PAIRS) + 1 / PAIRS
+        rotations = math.ceil(math.log(miss) / math.log(lost)) if lost < 1 else ROTATIONS + 1
+        if rotations <= ROTATIONS:
+            return Code(rotations, blocks, words, threshold)
+        cap *= 2
+    return None
 
 
 def decode(unit: np.ndarray, code: Code, books) -> list[np.ndarray]:
@@ -104,7 +148,7 @@ def decode(unit: np.ndarray, code: Code, books) -> list[np.ndarray]:
     return np.split(fid, np.searchsorted(row, np.arange(1, len(unit))))
 
 
-def _postings(code: Code):
+def _postings(codes: dict[int, Code]):
     def run(batches):
         books = {}
         for batch in batches:
@@ -117,8 +161,8 @@ def _postings(code: Code):
                 for dim, at in by_dim.items():
                     x = np.array([vecs[i] for i in at], np.float64)
                     if dim not in books:
-                        books[dim] = code.books(dim)
-                    hits = decode(x / np.linalg.norm(x, axis=1, keepdims=True), code, books[dim])
+                        books[dim] = codes[dim].books(dim)
+                    hits = decode(x / np.linalg.norm(x, axis=1, keepdims=True), codes[dim], books[dim])
                     took = np.repeat(np.array(at), [len(h) for h in hits])
                     if not len(took):
                         continue
@@ -191,7 +235,7 @@ def _verify(cosine: float):
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding",
-                 label_col: str = "label", code: Code | None = None, block: int = BLOCK) -> DataFrame:
+                 label_col: str = "label", code: Code | None = None, block: int = BLOCK, whole: int = WHOLE) -> DataFrame:
     """``<id>, n_links, component_id, kept`` for every row.
 
     Two vectors link if their labels are equal and not null and their cosine
@@ -201,7 +245,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     link; equal vectors are one class (each links with all others of it), so
     copies are never expanded into pairs; rows with a null id count as links
     of others and get their class's component; an empty table gives an empty
-    result; other columns are not read.
+    result; other columns are not read.  Of a label with up to ``whole``
+    different vectors of a length all pairs are compared; of a larger one
+    those that share a filter of ``code`` (if not given: one planned for the
+    length's largest label).
     """
     rows = vectors.select(F.col(id_col), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
     usable = F.col("label").isNotNull() & F.coalesce(
@@ -211,13 +258,21 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     classes = rows.where(F.col("vec").isNotNull()).groupBy("label", "vec").agg(
         F.min(id_col).alias("cid"), F.count(F.lit(1)).alias("copies"))
     classes = cut_lineage(classes.where(F.col("cid").isNotNull()))
-    if code is None:
-        per = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")) \
-                     .agg(F.max("n").alias("n"), F.max("d").alias("d")).first()
-        code = plan_code(per["n"] or 1, per["d"] or 1, cosine)
-    kind = dict(classes.dtypes)["label"]
-    postings = classes.mapInArrow(
-        _postings(code), f"label {kind}, dim int, filter bigint, cid bigint, copies bigint, vec array<double>, filters array<bigint>")
+    classes = classes.withColumn("dim", F.size("vec"))
+    # at most a row for every ``whole`` classes
+    large = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > whole)
+    codes = {r["dim"]: code or plan_code(r["n"], r["dim"], cosine) for r in large.groupBy("dim").agg(F.max("n").alias("n")).collect()}
+    codes = {dim: c for dim, c in codes.items() if c}
+    names = ["label", "dim", "filter", "cid", "copies", "vec", "filters"]
+    rest, parts = classes, []
+    if codes:
+        large = F.broadcast(large.where(F.col("dim").isin(*codes)).select("label", "dim"))
+        kind = dict(classes.dtypes)["label"]
+        rest = classes.join(large, ["label", "dim"], "left_anti")
+        parts.append(classes.join(large, ["label", "dim"], "left_semi").mapInArrow(
+            _postings(codes), f"label {kind}, dim int, filter bigint, cid bigint, copies bigint, vec array<double>, filters array<bigint>"))
+    parts.append(rest.withColumn("filter", F.lit(0).cast("bigint")).withColumn("filters", F.array("filter")).select(names))
+    postings = reduce(DataFrame.unionByName, parts)
     units = bucket_units(cut_lineage(postings), ["label", "dim", "filter"], "cid", block)
     found = cut_lineage(units.groupBy("label", "dim", "filter", "_i", "_j").applyInArrow(
         _verify(cosine), "cid bigint, links bigint, parent bigint"))

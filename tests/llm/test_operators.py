@@ -260,6 +260,39 @@ def test_near_vectors(spark):
     assert caps.near_vectors(d.where("vec_id < 0")).count() == 0
 
 
+def _pairs_at(rng, n, dim, cosine):
+    u, v = rng.standard_normal((2, n, dim))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    v -= (u * v).sum(axis=1, keepdims=True) * u
+    return u, cosine * u + math.sqrt(1 - cosine ** 2) * v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("rows", [20_000, 300_000, 3_000_000])
+def test_near_vectors_recall_at_large_labels(rows):
+    code = caps.plan_code(rows, 64, 0.93)
+    u, v = _pairs_at(np.random.default_rng(8), 1500, 64, 0.93)
+    books = code.books(64)
+    met = [bool(np.intersect1d(a, b).size) for a, b in zip(caps.decode(u, code, books), caps.decode(v, code, books), strict=True)]
+    assert np.mean(met) > 0.99
+
+
+def test_near_vectors_whole_label_and_filters(spark):
+    u, v = _pairs_at(np.random.default_rng(9), 1500, 24, 0.932)
+    d = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(np.vstack([u, v]))], "vec_id bigint, embedding array<double>, label int")
+    x = np.vstack([u, v]) / np.linalg.norm(np.vstack([u, v]), axis=1, keepdims=True)
+    want = (x @ x.T >= 0.93).sum(axis=1) - 1
+    for whole, least in ((caps.WHOLE, 1.0), (1000, 0.99)):
+        got = {r.vec_id: r.n_links for r in caps.near_vectors(d, whole=whole).collect()}
+        links = np.array([got[i] for i in range(len(x))])
+        assert (links <= want).all() and links.sum() >= least * want.sum()
+
+
+def test_near_vectors_plan_of_short_vectors():
+    assert caps.plan_code(100_000, 1, 0.93) is None
+    code = caps.plan_code(100_000, 3, 0.93)
+    assert code is None or caps.miss_rate(code, 3, 0.93)[0] < 0.01
+
+
 # -- mixing --------------------------------------------------------------------
 def test_targets(spark):
     sizes = {"a": 10, "b": 1000, "c": 500, None: 40}
