@@ -25,8 +25,8 @@ from .labelled import training_sample
 
 ship_by_value(__name__)
 
-#: labelled documents used, lines of one of them used for training (scoring reads all), texts scored at once
-SAMPLE, LINES, PIECE = 6000, 256, 256
+#: labelled documents used, labelled lines after which no further document is used, texts scored at once
+SAMPLE, ROWS, PIECE = 6000, 500_000, 256
 OWN = ("length", "upper", "signs", "exclaims", "bars", "digits", "repeats", "stutter", "stops", "capital", "word", "short", "again")
 SHARED = (1, 2, 3, 4, 6, 7, 8)
 SIZE = len(OWN) + 2 * len(SHARED) + 3
@@ -51,24 +51,27 @@ def line_features(lines: list[bytes]) -> list[list[float]]:
     return out
 
 
-def document_features(raws: list[bytes], most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all lines, line lengths, and lines per document.  A text
-    has at least one line; ``most`` bounds the lines taken per text."""
+def own_features(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all lines themselves, line lengths, and lines per
+    document.  A text has at least one line."""
     feats, lengths, counts = [], [], []
     for raw in raws:
         lines = raw.split(b"\n")
-        lines = lines if most is None else lines[:most]
         feats += line_features(lines)
         lengths += [len(x) + 1 for x in lines]
         counts.append(len(lines))
-    x, n = np.array(feats, np.float64).reshape(-1, len(OWN)), np.array(counts, np.int64)
+    return np.array(feats, np.float64).reshape(-1, len(OWN)), np.array(lengths, np.float64), np.array(counts, np.int64)
+
+
+def with_neighbours(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All features of lines from their own, ``n`` lines a document."""
     first = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(int)
     last = first + n - 1
     prev, nxt = np.roll(x[:, SHARED], 1, axis=0), np.roll(x[:, SHARED], -1, axis=0)
     edge = np.zeros((len(x), 2))
     prev[first], nxt[last] = 0, 0
     edge[first, 0], edge[last, 1] = 1, 1
-    return np.hstack([x, prev, nxt, edge, np.ones((len(x), 1))]), np.array(lengths, np.float64), n
+    return np.hstack([x, prev, nxt, edge, np.ones((len(x), 1))])
 
 
 @dataclass
@@ -81,35 +84,55 @@ class Chain:
     scale: tuple[float, float]
 
 
+def _scan(mats: np.ndarray) -> np.ndarray:
+    """Row vectors f[k] = f[k - 1] @ mats[k] from an even start, each scaled
+    to sum 1.  Pieces of about the root of the length run side by side, so a
+    long sequence takes few steps."""
+    n = len(mats)
+    size = max(1, int(np.ceil(np.sqrt(n))))
+    pieces = -(-n // size)
+    a = np.concatenate([mats, np.broadcast_to(np.eye(2), (pieces * size - n, 2, 2))]).reshape(pieces, size, 2, 2)
+    whole = a[:, 0]
+    for k in range(1, size):
+        whole = whole @ a[:, k]
+        whole /= whole.sum(axis=(1, 2), keepdims=True)
+    f, at = np.empty((pieces, 2)), np.full(2, 0.5)
+    for c in range(pieces):
+        f[c] = at
+        at = at @ whole[c]
+        at /= at.sum()
+    out = np.empty((pieces, size, 2))
+    for k in range(size):
+        f = f[:, :1] * a[:, k, 0] + f[:, 1:] * a[:, k, 1]
+        f /= f.sum(axis=1, keepdims=True)
+        out[:, k] = f
+    return out.reshape(-1, 2)[:n]
+
+
 def marginals(score: np.ndarray, counts: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """P(good) of every line, and the expected label-pair counts, by
-    forward-backward.  Documents of similar length are run side by side."""
-    good, pairs = np.zeros(len(score)), np.zeros((2, 2))
-    first = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(int)
+    forward-backward.  All documents are one sequence: a document's first
+    line forgets what was before, its last line what comes after."""
+    if not len(score):
+        return np.zeros(0), np.zeros((2, 2))
+    last = np.cumsum(counts) - 1
+    first = last - counts + 1
     trans = np.exp(step)
-    for group in np.unique(np.ceil(np.log2(counts))) if len(counts) else ():
-        docs = np.nonzero(np.ceil(np.log2(counts)) == group)[0]
-        t = int(counts[docs].max())
-        at = first[docs][:, None] + np.arange(t)[None, :]
-        real = np.arange(t)[None, :] < counts[docs][:, None]
-        s = np.clip(np.where(real, score[np.where(real, at, 0)], 0.0), -30, 30)
-        local = np.stack([np.ones_like(s), np.exp(s)], axis=2)  # bad, good
-        fwd, bwd = np.zeros((len(docs), t, 2)), np.ones((len(docs), t, 2))
-        fwd[:, 0] = local[:, 0] / local[:, 0].sum(axis=1, keepdims=True)
-        for k in range(1, t):
-            a = (fwd[:, k - 1] @ trans) * local[:, k]
-            fwd[:, k] = np.where(real[:, k, None], a / a.sum(axis=1, keepdims=True), fwd[:, k - 1])
-        for k in range(t - 2, -1, -1):
-            b = (bwd[:, k + 1] * local[:, k + 1]) @ trans.T
-            bwd[:, k] = np.where(real[:, k + 1, None], b / b.sum(axis=1, keepdims=True), 1.0)
-        m = fwd * bwd
-        m /= m.sum(axis=2, keepdims=True)
-        good[at[real]] = m[:, :, 1][real]
-        if t > 1:
-            both = fwd[:, :-1, :, None] * trans[None, None] * (local * bwd)[:, 1:, None, :]
-            both /= both.sum(axis=(2, 3), keepdims=True)
-            pairs += (both * real[:, 1:, None, None]).sum(axis=(0, 1))
-    return good, pairs
+    s = np.clip(score, -30, 30)
+    local = np.stack([np.ones_like(s), np.exp(s)], axis=1)  # bad, good
+    ahead = trans[None] * local[:, None, :]
+    ahead[first] = local[first][:, None, :]
+    back = np.ones((len(s), 2, 2))
+    back[:-1] = local[1:, :, None] * trans.T[None]
+    back[last] = 1
+    fwd, bwd = _scan(ahead), _scan(back[::-1])[::-1]
+    m = fwd * bwd
+    inner = np.ones(len(s), bool)
+    inner[first] = False
+    at = np.nonzero(inner)[0]
+    both = fwd[at - 1][:, :, None] * trans[None] * (local * bwd)[at][:, None, :]
+    both /= both.sum(axis=(1, 2), keepdims=True)
+    return m[:, 1] / m.sum(axis=1), both.sum(axis=0)
 
 
 def train_chain(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, start: Chain | None = None, steps: int = 120,
@@ -149,32 +172,62 @@ def _scale(mean: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 0.0), b
 
 
-def fit_chain(raws: list[bytes], y: np.ndarray, rounds: int = 3) -> Chain:
-    """Line labels, chain and scale from labelled texts."""
-    if not raws:
+def fit_chain(own: np.ndarray, lengths: np.ndarray, counts: np.ndarray, y: np.ndarray, rounds: int = 3) -> Chain:
+    """Line labels, chain and scale from the own features of all lines of
+    labelled documents."""
+    if not len(y):
         return Chain(np.zeros(SIZE), np.zeros((2, 2)), (1.0, 0.0))
-    x, lengths, counts = document_features(raws, LINES)
-    of = np.repeat(np.arange(len(raws)), counts)
+    x = with_neighbours(own, counts)
+    of = np.repeat(np.arange(len(y)), counts)
     labels = y[of].astype(float)
     chain = None
     for _ in range(rounds):
         chain = train_chain(x, counts, labels, chain)
         good, _ = marginals(x @ chain.emit, counts, chain.step)
-        worst = np.full(len(raws), 2.0)
+        worst = np.full(len(y), 2.0)
         np.minimum.at(worst, of, good)
         labels = np.where(y[of] == 1, 1.0, ((good > 0.5) & (good > worst[of])).astype(float))
     mean = document_means(good, lengths, counts)
     return Chain(chain.emit, chain.step, _scale(mean, y))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
-    """Fit on at most ``sample`` labelled documents that are not held out; of
-    one of them at most ``LINES`` lines are used, and only features of those
-    lines would be larger than the texts, so the texts themselves come."""
+def _line_tables(batches):
+    for batch in batches:
+        for y, text in zip(batch.column("y").to_pylist(), batch.column("text"), strict=True):
+            x, lengths, _ = own_features([text.as_buffer().to_pybytes()])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([y], pa.int32()), pa.array([x.ravel()], pa.list_(pa.float64())), pa.array([lengths], pa.list_(pa.float64()))],
+                ["y", "x", "lengths"])
+
+
+def whole_documents(rows: list[tuple], most: int) -> list:
+    """Ids of the documents ``(id, y, lines)`` up to the one that reaches
+    ``most`` lines, and of the first one of each label."""
+    out, lines, seen = [], 0, set()
+    for doc, y, n in rows:
+        if lines < most or y not in seen:
+            out.append(doc)
+        lines += n
+        seen.add(y)
+    return out
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = ROWS) -> Chain:
+    """Fit on all lines of at most ``sample`` labelled documents that are not
+    held out; of long documents fewer are used, so that with the last of them
+    the lines reach ``most``.  The lines' own features are computed in tasks
+    and come to the driver, not the texts."""
     rows = training_sample(docs, labels, "quality", sample)
-    cut = F.substring_index(F.col("text"), "\n", LINES)
-    table = rows.select(cut.cast("binary").alias("text"), "y").toArrow()
-    return fit_chain(table.column("text").to_pylist(), np.array(table.column("y").to_pylist(), int))
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    known = [tuple(r) for r in rows.select("doc_id", "y", lines).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    use = whole_documents(known, most)
+    if len(use) < len(known):
+        picked = rows.sparkSession.createDataFrame([(i,) for i in use], rows.select("doc_id").schema)
+        rows = rows.join(F.broadcast(picked), "doc_id", "left_semi")
+    table = rows.select("y", "text").mapInArrow(_line_tables, "y int, x array<double>, lengths array<double>").toArrow()
+    flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    counts = np.array([len(x) for x in table.column("lengths")], np.int64)
+    return fit_chain(flat("x").reshape(-1, len(OWN)), flat("lengths"), counts, np.array(table.column("y").to_pylist(), int))
 
 
 def score_quality(docs: DataFrame, chain: Chain, out: str = "score") -> DataFrame:
@@ -199,7 +252,8 @@ def score_quality(docs: DataFrame, chain: Chain, out: str = "score") -> DataFram
 def _scores(raws: list[bytes], chain: Chain) -> np.ndarray:
     if not raws:
         return np.zeros(0)
-    x, lengths, counts = document_features(raws)
+    own, lengths, counts = own_features(raws)
+    x = with_neighbours(own, counts)
     good, _ = marginals(x @ chain.emit, counts, chain.step)
     a, b = chain.scale
     return 1 / (1 + np.exp(-np.clip(a * document_means(good, lengths, counts) + b, -30, 30)))

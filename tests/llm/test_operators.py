@@ -435,6 +435,48 @@ def test_quality(spark, odd_docs, no_docs, labels):
     assert quality.score_quality(no_docs, quality.fit_quality(no_docs, labels)).count() == 0
 
 
+def test_quality_trains_on_all_lines(spark, labels):
+    rng = np.random.default_rng(11)
+    clean = lambda n: "\n".join("The " + " ".join(rng.choice(["river", "house", "green", "walks", "near"], 9)) + "." for _ in range(n))
+    junk = lambda n: "\n".join("BUY | " * 4 + "!!! 99$$ 000" for _ in range(n))
+    rows = [(r.doc_id, r.quality) for r in labels.collect()]
+    docs = spark.createDataFrame([(i, clean(600) if q else clean(300) + "\n" + junk(300)) for i, q in rows], "doc_id bigint, text string")
+    for most in (quality.ROWS, 6000):
+        scored = quality.score_quality(docs, quality.fit_quality(docs, labels, most=most)).collect()
+        want = dict(rows)
+        assert all((r.score > 0.5) == bool(want[r.doc_id]) for r in scored)
+
+
+def test_quality_bound_takes_whole_documents():
+    rows = [("a", 1, 5), ("b", 1, 9), ("c", 1, 2), ("d", 0, 50), ("e", 0, 1)]
+    assert quality.whole_documents(rows, 10) == ["a", "b", "d"]
+    assert quality.whole_documents(rows, 10 ** 6) == ["a", "b", "c", "d", "e"]
+
+
+def test_marginals_of_a_long_document():
+    rng = np.random.default_rng(12)
+    step, score = 2 * rng.standard_normal((2, 2)), 8 * rng.standard_normal(3001)
+    counts = np.array([1, 2500, 500])
+    good, pairs = quality.marginals(score, counts, step)
+    at, both = 0, 0.0
+    for n in counts:
+        s, trans = np.stack([np.ones(n), np.exp(score[at:at + n])], axis=1), np.exp(step)
+        f, b = s / s.sum(axis=1, keepdims=True), np.ones((n, 2))
+        for k in range(1, n):
+            f[k] = (f[k - 1] @ trans) * s[k]
+            f[k] /= f[k].sum()
+        for k in range(n - 2, -1, -1):
+            b[k] = trans @ (s[k + 1] * b[k + 1])
+            b[k] /= b[k].sum()
+        m = f * b
+        assert good[at:at + n] == pytest.approx(m[:, 1] / m.sum(axis=1))
+        for k in range(1, n):
+            p = f[k - 1][:, None] * trans * (s[k] * b[k])[None]
+            both = both + p / p.sum()
+        at += n
+    assert pairs == pytest.approx(both)
+
+
 def test_marginals_are_exact():
     from itertools import product
     rng = np.random.default_rng(6)
