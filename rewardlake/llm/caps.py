@@ -244,7 +244,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     with a null label, link with nothing; vectors of different lengths never
     link; equal vectors are one class (each links with all others of it), so
     copies are never expanded into pairs; rows with a null id count as links
-    of others and get their class's component; an empty table gives an empty
+    of others, hold components together and get their component's id, the
+    smallest of its rows' that is not null; unlike vectors of one id are judged each on its own; an empty table gives an empty
     result; other columns are not read.  Of a label with up to ``whole``
     different vectors of a length all pairs are compared; of a larger one
     those that share a filter of ``code`` (if not given: one planned for the
@@ -256,20 +257,21 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
         & F.exists("vec", lambda v: v != 0), F.lit(False))
     rows = cut_lineage(rows.withColumn("vec", F.when(usable, F.transform("vec", lambda v: v + F.lit(0.0)))))
     classes = rows.where(F.col("vec").isNotNull()).groupBy("label", "vec").agg(
-        F.min(id_col).alias("cid"), F.count(F.lit(1)).alias("copies"))
-    classes = cut_lineage(classes.where(F.col("cid").isNotNull()))
-    classes = classes.withColumn("dim", F.size("vec"))
+        F.min(id_col).alias("name"), F.count(F.lit(1)).alias("copies"))
+    # the checkpoint fixes the classes' own ids
+    classes = cut_lineage(classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("dim", F.size("vec")))
+    members = classes.select("label", "dim", "cid", "copies", "vec")
     # at most a row for every ``whole`` classes
     large = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > whole)
     codes = {r["dim"]: code or plan_code(r["n"], r["dim"], cosine) for r in large.groupBy("dim").agg(F.max("n").alias("n")).collect()}
     codes = {dim: c for dim, c in codes.items() if c}
     names = ["label", "dim", "filter", "cid", "copies", "vec", "filters"]
-    rest, parts = classes, []
+    rest, parts = members, []
     if codes:
         large = F.broadcast(large.where(F.col("dim").isin(*codes)).select("label", "dim"))
         kind = dict(classes.dtypes)["label"]
-        rest = classes.join(large, ["label", "dim"], "left_anti")
-        parts.append(classes.join(large, ["label", "dim"], "left_semi").mapInArrow(
+        rest = members.join(large, ["label", "dim"], "left_anti")
+        parts.append(members.join(large, ["label", "dim"], "left_semi").mapInArrow(
             _postings(codes), f"label {kind}, dim int, filter bigint, cid bigint, copies bigint, vec array<double>, filters array<bigint>"))
     parts.append(rest.withColumn("filter", F.lit(0).cast("bigint")).withColumn("filters", F.array("filter")).select(names))
     postings = reduce(DataFrame.unionByName, parts)
@@ -278,9 +280,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
         _verify(cosine), "cid bigint, links bigint, parent bigint"))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     joined = connected_components(found.where(F.col("cid") != F.col("parent")), "cid", "parent")
-    named = classes.join(links, "cid", "left").join(joined.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "label", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component", "cid").alias("component_id"))
+    joined = classes.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.struct(F.coalesce("component", "cid")))
+    # a component is called after the smallest id of its rows; the struct has this small side shuffled anew
+    names = joined.groupBy("root").agg(F.min("name").alias("component_id"))
+    named = joined.join(links, "cid", "left").join(names, "root").select(
+        "label", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = rows.join(named, ["label", "vec"], "left")
     component = F.coalesce("component_id", F.col(id_col))
     return out.select(F.col(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),

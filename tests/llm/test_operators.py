@@ -287,6 +287,17 @@ def test_near_vectors_whole_label_and_filters(spark):
         assert (links <= want).all() and links.sum() >= least * want.sum()
 
 
+def test_near_vectors_null_and_shared_ids(spark):
+    at = lambda deg: [math.cos(math.radians(deg)), math.sin(math.radians(deg))]
+    rows = [(5, at(0), 0), (None, at(15), 0), (None, at(15), 0), (3, at(30), 0), (9, at(100), 0), (9, at(200), 0), (8, at(205), 0),
+            (None, at(300), 0)]
+    d = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    for whole in (caps.WHOLE, 1):
+        got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in caps.near_vectors(d, whole=whole).collect())
+        assert got == [(0, 0, 0, True), (0, 3, 3, False), (0, 3, 3, False), (3, 2, 3, True), (5, 2, 3, False),
+                       (8, 1, 8, True), (9, 0, 9, True), (9, 1, 8, False)]
+
+
 def test_near_vectors_plan_of_short_vectors():
     assert caps.plan_code(100_000, 1, 0.93) is None
     code = caps.plan_code(100_000, 3, 0.93)
