@@ -15,7 +15,7 @@ from .q_reports import _BUCKET_SQL
 from .registry import query
 
 _RAW_STEPS = ["episode", "event_id", "ts", "action", "exit_code", "stdout"]
-FILES_PER_DROP = 4  # files (writer tasks) per staged drop = files per micro-batch
+FILES_PER_DROP = 4  # files (writer tasks) per staged drop at least; a micro-batch reads the files of one drop
 
 
 @query("q_stream_episodes", ops="J2, E7, D13", views=("steps",), oracle=f"""
@@ -38,8 +38,8 @@ def q_stream_episodes(spark, sf_dir):
     # half of the steps of every 20 minutes arrive up to half an hour late:
     # out of order, but within the watermark
     late = F.when(F.col("event_id") % 2 == 0, F.expr("interval 30 minutes")).otherwise(F.expr("interval 0 minutes"))
-    stage_drops(raw.withColumn("_arrives", F.col("ts") + late), f"{area}/in", "_arrives", 3, key="episode",
-                files_per_drop=FILES_PER_DROP)
+    files = stage_drops(raw.withColumn("_arrives", F.col("ts") + late), f"{area}/in", "_arrives", 3, key="episode",
+                        files_per_drop=FILES_PER_DROP)
     # a heartbeat past the last step moves the watermark over it
     last = spark.read.parquet(f"{area}/in_src").agg(F.max("ts").alias("ts"))
     last.select(F.lit(None).cast("bigint").alias("episode"), F.lit(-1).cast("bigint").alias("event_id"),
@@ -47,7 +47,7 @@ def q_stream_episodes(spark, sf_dir):
                 F.lit(0).alias("exit_code"), F.lit("").alias("stdout")) \
         .coalesce(1).write.mode("append").parquet(f"{area}/in")
     ss = stream_session(spark)
-    stream = (ss.readStream.schema(raw.schema).option("maxFilesPerTrigger", FILES_PER_DROP)
+    stream = (ss.readStream.schema(raw.schema).option("maxFilesPerTrigger", files)
               .parquet(f"{area}/in"))
     run_append(ST.episode_stream(stream), f"{area}/out", f"{area}/ckpt")
     return spark.read.parquet(f"{area}/out")
@@ -65,10 +65,10 @@ from (select {_BUCKET_SQL} as b from instance_results) t
 def q_stream_report(spark, sf_dir):
     area = new_area(spark, "report")
     res = fixture(spark, sf_dir, "instance_results").withColumn(
-        "k", F.substring("instance_id", 7, 1 << 20).cast("bigint"))
-    stage_drops(res, f"{area}/in", "k", 3, key="instance_id", files_per_drop=FILES_PER_DROP)
+        "k", F.substring("instance_id", 7, 1 << 20).try_cast("bigint"))
+    files = stage_drops(res, f"{area}/in", "k", 3, key="instance_id", files_per_drop=FILES_PER_DROP)
     ss = stream_session(spark)
-    stream = (ss.readStream.schema(res.schema).option("maxFilesPerTrigger", FILES_PER_DROP)
+    stream = (ss.readStream.schema(res.schema).option("maxFilesPerTrigger", files)
               .parquet(f"{area}/in"))
     run_complete(ST.running_report(stream), f"{area}/out", f"{area}/ckpt")
     return spark.read.parquet(f"{area}/out")
@@ -84,9 +84,9 @@ def q_stream_intake(spark, sf_dir):
     logs = fixture(spark, sf_dir, "logs")
     # one prediction per job log, keyed by the instance it was written for
     p = T.log_predictions("logs", F.col("instance_id"), F.lit("agent-model"))
-    preds = logs.select("instance_id", F.substring("instance_id", 7, 1 << 20).cast("bigint").alias("k"),
+    preds = logs.select("instance_id", F.substring("instance_id", 7, 1 << 20).try_cast("bigint").alias("k"),
                         p["model_name_or_path"].alias("model_name_or_path"))
-    stage_drops(preds, f"{area}/in", "k", 3, fmt="json", key="instance_id", files_per_drop=FILES_PER_DROP)
+    files = stage_drops(preds, f"{area}/in", "k", 3, fmt="json", key="instance_id", files_per_drop=FILES_PER_DROP)
     # a writer that re-sends some predictions: duplicates across drops
     stage_drops(preds.filter(F.col("k") % 5 == 0), f"{area}/in", "k", 1, fmt="json", key="instance_id",
                 files_per_drop=FILES_PER_DROP)
@@ -96,6 +96,6 @@ def q_stream_intake(spark, sf_dir):
         return fixture(ss, sf_dir, "instance_results").filter(F.col("error").isNull())
 
     stream = (ss.readStream.schema("instance_id string, k long, model_name_or_path string")
-              .option("maxFilesPerTrigger", FILES_PER_DROP).json(f"{area}/in"))
+              .option("maxFilesPerTrigger", files).json(f"{area}/in"))
     run_intake(stream.select("instance_id", "model_name_or_path"), completed, f"{area}/out", f"{area}/ckpt")
     return spark.read.parquet(f"{area}/out").select("instance_id", "model_name_or_path")

@@ -8,6 +8,7 @@ the stream reads one drop per micro-batch and writes its sink there too.
 from __future__ import annotations
 
 import json
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,10 @@ from ..session import scratch_path
 from .episodes import new_predictions
 
 
+#: staged bytes a file of a drop should hold
+FILE_BYTES = 64 << 20
+
+
 def stream_session(spark: SparkSession) -> SparkSession:
     """A sibling session (same SparkContext, own SQL settings) for running a
     stateful stream: its state is split into one partition per core
@@ -37,29 +42,35 @@ def new_area(spark: SparkSession, name: str) -> str:
 
 
 def stage_drops(df: DataFrame, folder: str, order_col: str, drops: int = 3, fmt: str = "parquet",
-                key: str | None = None, files_per_drop: int = 4) -> None:
+                key: str | None = None, files_per_drop: int = 4, file_bytes: int = FILE_BYTES) -> int:
     """Write ``df`` as ``drops`` successive file drops split at quantiles of
-    ``order_col`` (so later drops hold later rows).  Each drop is written by
-    ``files_per_drop`` tasks, hash-partitioned by ``key`` so that one key's
-    rows of a drop sit in one file (a stream reading ``files_per_drop``
-    files per micro-batch then sees every key in order).  The input is
-    written once to ``folder + "_src"`` (a table in the shared checkpoint
-    folder) so the quantiles and the drops read it instead of recomputing
-    its plan.  Only the split points reach the driver."""
+    ``order_col`` (so later drops hold later rows; rows without an order value
+    are in the first).  Each drop is written by ``files_per_drop`` tasks, or
+    as many as its share of the staged bytes needs at ``file_bytes`` a file,
+    hash-partitioned by ``key`` so that one key's rows of a drop sit in one
+    file; a stream reading the returned number of files per micro-batch then
+    sees every key in order.  The input is written once to ``folder +
+    "_src"`` (a table in the shared checkpoint folder) so the quantiles and
+    the drops read it instead of recomputing its plan.  Only the split points
+    and sizes reach the driver."""
     df.write.mode("overwrite").parquet(folder + "_src")
     df = df.sparkSession.read.parquet(folder + "_src")
-    qs = [i / drops for i in range(1, drops)]
-    cuts = df.agg(F.percentile_approx(F.col(order_col), qs, 10000).alias("q")).first()["q"] if drops > 1 else []
-    bounds = [None, *cuts, None]
-    for i in range(drops):
-        lo, hi = bounds[i], bounds[i + 1]
+    at = F.col(order_col)
+    qs = [i / drops for i in range(1, drops)] or [0.5]
+    known = df.agg(F.percentile_approx(at, qs, 10000).alias("q"), F.count(F.lit(1)).alias("n"), F.count(at).alias("dated")).first()
+    size = df.select("_metadata.file_path", "_metadata.file_size").distinct().agg(F.sum("file_size").alias("b")).first()["b"] or 0
+    share = (known["n"] - known["dated"] + known["dated"] / drops) / max(1, known["n"])
+    files = max(files_per_drop, math.ceil(size * share / file_bytes))
+    bounds = [None, *((known["q"] or []) if drops > 1 else []), None]
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
         part = df
         if lo is not None:
-            part = part.filter(F.col(order_col) > F.lit(lo))
+            part = part.filter(at > F.lit(lo))
         if hi is not None:
-            part = part.filter(F.col(order_col) <= F.lit(hi))
-        part = part.repartition(files_per_drop, key) if key else part.repartition(files_per_drop)
+            part = part.filter((at <= F.lit(hi)) | at.isNull() if lo is None else at <= F.lit(hi))
+        part = part.repartition(files, key) if key else part.repartition(files)
         part.write.mode("append").format(fmt).save(folder)
+    return files
 
 
 def run_append(stream: DataFrame, out: str, checkpoint: str, fmt: str = "parquet") -> list[dict]:

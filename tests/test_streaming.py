@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from rewardlake.operators import rollout as RO
 from rewardlake.sources.fixtures import fixture
 from rewardlake.streaming import episodes as ST
-from rewardlake.streaming.runner import late_rows_dropped, new_area, run_append, run_intake
+from rewardlake.streaming.runner import late_rows_dropped, new_area, run_append, run_intake, stage_drops
 from tests.conftest import SF_SMALL
 
 
@@ -52,6 +52,23 @@ def _reducer_rows(progress):
                 if op["operatorName"] == "applyInPandasWithState" or "Group" in op["operatorName"] or "flatMap" in op["operatorName"])
 
 
+def test_drops_hold_rows_without_an_order_value(spark):
+    d = spark.range(60).select("id", F.when(F.col("id") % 3 > 0, F.col("id")).alias("k"))
+    for name, rows, least in (("some", d, 4), ("all", d.withColumn("k", F.lit(None).cast("bigint")), 4), ("none", d.where("id < 0"), 4)):
+        area = new_area(spark, name)
+        assert stage_drops(rows, f"{area}/in", "k", 3, key="id") == least
+        assert spark.read.schema(rows.schema).parquet(f"{area}/in").count() == rows.count()
+    area = new_area(spark, "sized")
+    assert stage_drops(d, f"{area}/in", "k", 3, key="id", file_bytes=200) > 4
+
+
+def test_a_step_without_time_counts_as_the_first(spark):
+    base = 1_700_000_000
+    out, _ = _run(spark, "null-ts", [[(1, 2, None, "run", 1, "abc"), (1, 1, base, "run", 0, "x")],
+                                     [(1, 3, base + 60, "submit", 0, "")], _beat(base + 9000), _beat(base + 9001)])
+    assert out == [(1, 3, 1, 4, "submit")]
+
+
 def test_forced_submit_and_idle_timeout(spark):
     base = 1_700_000_000
     rows = [(1, i, base + i, "bash", 0, "x") for i in range(1, 106)]   # never submits -> forced at the cap
