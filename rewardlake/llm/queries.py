@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import caps, licenses, mix, pack, quality, secrets, shards, simhash, sketch, toxicity
+from . import (
+    bitslice, caps, licenses, mix, negatives, pack, quality, secrets, shards, simhash, sketch, toxicity, whitening,
+)
 from .common import read_table
 from .labelled import held_out
 
@@ -100,6 +102,24 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding; every seventh has its label moved on."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0,
+                                    positives=5, negatives=5, low=80, scale=256, label=moved)
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows by integer inner product for every hundredth embedding."""
+    return bitslice.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of all embeddings."""
+    d = whitening.whiten(read_table(spark, sf_dir, "embeddings"), components=4, scale=256)
+    return d.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_secrets": op2_secrets,
@@ -111,7 +131,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_vectors": op8_near_vectors,
     "op9_simhash": op9_simhash,
     "op10_pack": op10_pack,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_top_k": op12_top_k,
+    "op13_whitening": op13_whitening,
 }
 
 
-ORACLES: dict[str, str] = {}
+def _whole_vectors(scale: int, extra: str) -> str:
+    """Rows of ``embeddings`` with a whole vector, scaled and rounded down."""
+    return f"""SELECT vec_id{extra}, list_transform(embedding, lambda c: CAST(floor({scale} * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+        FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0"""
+
+
+_DOT = "CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda t: t[1] * t[2])) AS BIGINT)"
+
+ORACLES: dict[str, str] = {
+    "op11_hard_negatives": f"""
+    WITH v AS ({_whole_vectors(256, ", CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label")} AND label IS NOT NULL),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, {_DOT} AS score
+          FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE a.vec_id % 100 = 0),
+    p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT p.anchor_id, p.id AS positive_id,
+           CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank,
+           n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+    FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same
+         AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+    QUALIFY rank <= 5""",
+    "op12_top_k": f"""
+    WITH v AS ({_whole_vectors(1024, "")}),
+    s AS (SELECT a.vec_id AS query_id, b.vec_id, {_DOT} AS score
+          FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE a.vec_id % 100 = 0)
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM s QUALIFY rank <= 10""",
+}
