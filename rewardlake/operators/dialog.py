@@ -19,8 +19,7 @@ from ..constants import HISTORY_SEPARATOR  # noqa: F401
 from ..functions.feedback import feedback_message
 from ..functions.text import truthy
 from .joins import join_back
-from .sequence import chunked_scan
-
+from .machines import Machine, scan
 
 
 def conversation_array(messages: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -40,32 +39,33 @@ def turn_index(messages: DataFrame, key: str = "conv_id") -> DataFrame:
                     F.floor((F.col("n_messages") - prefix) / 2).cast("bigint").alias("turn_index"))
 
 
-def attempt_blocks(messages: DataFrame, key: str = "conv_id", chunk_turns: int = 1 << 12) -> DataFrame:
+#: E2 as a state machine: ``first``/``second`` are the prefix (two messages
+#: if the first is a system message), ``answered`` follows an attempt
+ATTEMPTS = Machine(
+    ("first", "second", "open", "answered"), ("system", "assistant", "user", "other"),
+    moves={("first", "system"): "second"}
+    | {("first", i): "open" for i in ("assistant", "user", "other")}
+    | {("second", i): "open" for i in ("system", "assistant", "user", "other")}
+    | {(s, "assistant"): "answered" for s in ("open", "answered")}
+    | {("answered", i): "open" for i in ("system", "user", "other")},
+    counts={"attempt": {("open", "assistant"): 1, ("answered", "assistant"): 1}})
+
+
+def attempt_blocks(messages: DataFrame, key: str = "conv_id") -> DataFrame:
     """After the prefix, each assistant message opens attempt k (from 1)
     and a user message right after it is that attempt's feedback; other
     messages are skipped.  Returns the attempt and feedback rows only.
 
-    Two chunked scans (``sequence.chunked_scan``, chunks of ``chunk_turns``
-    turns): the first gives each message its position, the previous role and
-    the conversation's first role; the second counts attempts.  The second
-    reuses the (conversation, chunk) partitioning of the first, so the
-    messages are shuffled once.
+    One associative scan (``machines.scan``): the messages move once, into
+    range partitions by (conversation, turn), so a conversation of any length
+    is spread; no window.
     """
     m = messages.select(key, "turn", "role", "text")
-    first = chunked_scan(m, [key], ["turn"], F.floor(F.col("turn") / F.lit(chunk_turns)),
-                         sums={"_n": F.lit(1)}, lags={"prev_role": "role"}, firsts={"first_role": "role"},
-                         keep_chunk="_ck")
-    idx = F.col("_n") - 1
-    start = F.when(F.col("first_role") == "system", F.lit(2)).otherwise(F.lit(1))
-    after = idx >= start
-    is_attempt = after & (F.col("role") == "assistant")
-    is_feedback = (after & (F.col("role") == "user") & (F.col("prev_role") == "assistant") & (idx - 1 >= start))
-    flagged = first.withColumn("_att", is_attempt).withColumn("_fb", is_feedback)
-    counted = chunked_scan(flagged, [key], ["turn"], "_ck",
-                           sums={"attempt": F.when(F.col("_att"), 1).otherwise(0)})
-    return (counted.filter(F.col("_att") | F.col("_fb"))
-            .select(key, "turn", F.when(F.col("_att"), F.lit("attempt")).otherwise(F.lit("feedback")).alias("kind"),
-                    F.col("attempt").cast("bigint").alias("attempt"), "text"))
+    role = F.when(F.col("role").isin("system", "assistant", "user"), F.col("role")).otherwise(F.lit("other"))
+    s = scan(m, [key], ["turn"], ATTEMPTS, role, state="_state")
+    kind = F.when((F.col("role") == "assistant") & F.col("_state").isin("open", "answered"), F.lit("attempt")) \
+        .when((F.col("role") == "user") & (F.col("_state") == "answered"), F.lit("feedback"))
+    return s.select(key, "turn", kind.alias("kind"), "attempt", "text").filter(F.col("kind").isNotNull())
 
 
 def history_text(messages: DataFrame, key: str = "conv_id") -> DataFrame:

@@ -169,6 +169,55 @@ def tracking_rows(results: DataFrame, run_id: str, params: dict[str, str],
     return metrics.unionByName(prow)
 
 
+#: params of every run, then those of its strategy, then those of a multi-turn run
+RUN_PARAMS = ("strategy", "model_name", "dataset", "split", "run_id", "num_workers", "instance_limit", "max_turns")
+STRATEGY_PARAMS = {"naive": ("max_tokens", "temperature")}
+AGENT_PARAMS = ("agent_config", "step_limit", "cost_limit")
+TURN_PARAMS = ("intermediate_verifiers", "aggregator")
+
+
+def tracked_params(configs: DataFrame) -> DataFrame:
+    """The params of many runs as ``(run_id, key, value)``, from one
+    config row a run: those of every run, of its strategy and, beyond one
+    turn, of the multi-turn loop; a param without a value is left out, and so
+    is a column that the configs do not have."""
+    multi = F.col("max_turns").cast("int") > 1
+    when = {**{k: F.lit(True) for k in RUN_PARAMS},
+            **{k: F.col("strategy") == s for s, ks in STRATEGY_PARAMS.items() for k in ks},
+            **{k: ~F.col("strategy").isin(*STRATEGY_PARAMS) for k in AGENT_PARAMS},
+            **{k: multi for k in TURN_PARAMS}}
+    have = [k for k in when if k in configs.columns]
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), F.when(when[k], F.col(k).cast("string")).alias("value")) for k in have])
+    return (configs.select("run_id", F.explode(entries).alias("e")).select("run_id", "e.*")
+            .filter(F.col("value").isNotNull()))
+
+
+def tracked_runs(results: DataFrame, configs: DataFrame) -> DataFrame:
+    """A12 + D9 for many runs at once: the long tracking rows of every run in
+    ``configs`` (a run without results has zero counts).  ``results`` has a
+    ``run_id``; the evaluation metrics come only for runs that evaluate: of
+    several turns, or agent runs with ``run_eval``."""
+    f = results.select("run_id", truthy(F.col("error")).alias("is_error"),
+                       F.coalesce(F.col("patch_exists"), F.lit(False)).alias("has_patch"), F.col("resolved"))
+    evaluated = ~F.col("is_error") & F.col("resolved").isNotNull()
+    counts = f.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("total_instances"), count_where(F.col("has_patch")).alias("patches_generated"),
+        count_where(F.col("is_error")).alias("generation_errors"), count_where(evaluated).alias("evaluated"),
+        count_where(evaluated & F.col("resolved")).alias("resolved"))
+    multi = F.col("max_turns").cast("int") > 1
+    judges = F.coalesce(multi | ((F.col("strategy") == "agent") & F.col("run_eval")), F.lit(False))
+    wide = configs.select("run_id", judges.alias("_judges")).join(counts, "run_id", "left")
+    wide = wide.select("run_id", "_judges", *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c)
+                                              for c in ("total_instances", "patches_generated", "generation_errors", "evaluated", "resolved")])
+    wide = wide.select("*", safe_ratio(F.col("evaluated"), F.col("total_instances")).alias("completion_rate"),
+                       safe_ratio(F.col("resolved"), F.col("evaluated")).alias("resolve_rate"))
+    metrics = (wide.unpivot(["run_id", "_judges"], list(RUN_METRIC_KEYS), "key", "num_value")
+               .filter(F.col("_judges") | F.col("key").isin(*RUN_METRIC_KEYS[:3])))
+    params = tracked_params(configs).withColumnRenamed("value", "str_value")
+    return (metrics.select("run_id", F.lit("metric").alias("kind"), "key", "num_value", F.lit(None).cast("string").alias("str_value"))
+            .unionByName(params.select("run_id", F.lit("param").alias("kind"), "key", F.lit(None).cast("double").alias("num_value"), "str_value")))
+
+
 # ---------------------------------------------------------------- A8
 def artifact_plan(results: DataFrame, logs: DataFrame | None = None) -> DataFrame:
     """Which per-instance artifacts a run writes, one row per file.

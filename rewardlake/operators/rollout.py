@@ -18,6 +18,7 @@ from ..constants import MAX_RETRIES, MAX_STEPS
 
 from ..functions.patch import files_changed, patch_lines
 from .joins import join_back
+from .machines import Machine, scan
 
 ADV_EPS = 1e-9        # our choice; the trainer's epsilon is not in the reference
 
@@ -47,6 +48,23 @@ def cut_episodes(steps: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
                     .alias("forced_submit")))
 
 
+#: An episode runs until its first submit
+EPISODES = Machine(("running", "ended"), ("submit", "bash"), moves={("running", "submit"): "ended"},
+                   counts={"step": {("running", "submit"): 1, ("running", "bash"): 1}})
+
+
+def cut_log(log: DataFrame, order: list[str], max_steps: int = MAX_STEPS) -> DataFrame:
+    """E7 for a log without step numbers ``(episode, action, <order>...)``:
+    every row up to the first submit or the step cap, numbered, in one
+    associative scan (``machines.scan``) whatever an episode's length."""
+    action = F.when(F.col("action") == "submit", F.lit("submit")).otherwise(F.lit("bash"))
+    s = scan(log, ["episode"], order, EPISODES, action, state="_state")
+    submit = F.coalesce(F.col("action") == "submit", F.lit(False))
+    kept = s.filter((F.col("_state") == "running") & (F.col("step") <= max_steps)).drop("_state")
+    return kept.select("*", (submit | (F.col("step") == max_steps)).alias("is_terminal"),
+                       (~submit & (F.col("step") == max_steps)).alias("forced_submit"))
+
+
 def episode_summary(steps: DataFrame, patches: DataFrame, graded: DataFrame,
                     max_steps: int = MAX_STEPS) -> DataFrame:
     """The summary a finished episode logs.

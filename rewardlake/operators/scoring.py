@@ -84,6 +84,8 @@ def normalise_outcomes(results: DataFrame, config: DataFrame,
     * a run longer than the verifier's timeout becomes (timeout, 0.0)
     * a verifier exception (recorded status 'error') becomes (error, 0.0)
     * the configured threshold overwrites the one the result carried
+    * where the results have ``details``: what the error said and its type,
+      and the limit that a timed-out run went over
     ``timeouts`` is ``(name, timeout_seconds)``.
     """
     cfg = (validate_config(config).select("name", F.col("pass_threshold").alias("cfg_threshold")))
@@ -94,9 +96,15 @@ def normalise_outcomes(results: DataFrame, config: DataFrame,
               .when(F.col("status") == "error", F.lit("error"))
               .otherwise(F.col("status")))
     score = F.when(over | (F.col("status") == "error"), F.lit(0.0)).otherwise(F.col("score"))
+    notes = []
+    if "details" in results.columns:
+        failed = ~over & (F.col("status") == "error")
+        notes = [F.when(failed, F.get_json_object("details", "$.error")).alias("error_message"),
+                 F.when(failed, F.get_json_object("details", "$.error_type")).alias("error_type"),
+                 F.when(over, F.coalesce(F.col("timeout_seconds"), F.lit(DEFAULT_TIMEOUT))).alias("limit_seconds")]
     return j.select("instance_id", "name", status.alias("status"), score.alias("score"),
                     F.coalesce(F.col("cfg_threshold"), F.col("pass_threshold")).alias("pass_threshold"),
-                    "wall_clock_seconds")
+                    "wall_clock_seconds", *notes)
 
 
 # ------------------------------------------------------------- aggregators

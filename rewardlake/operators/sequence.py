@@ -4,10 +4,12 @@ scan they share.
 Rules used throughout:
 
 * Only order-dependent work uses an ordered window.  Where one key may be
-  huge (a user's events, a customer's orders, an episode's steps) the
-  window is partitioned by (key, order-range chunk) and what a row needs from
-  earlier chunks comes from a small per-chunk table (``chunked_scan``), so a
-  hot key is spread over many tasks.
+  huge, either the window is partitioned by (key, order-range chunk) and what
+  a row needs from earlier chunks comes from a small per-chunk table
+  (``chunked_scan``, for order values that spread, such as positions), or the
+  rows go through an associative scan over range partitions
+  (``machines.scan``: an episode's steps, a user's events), which also spreads
+  a key that is hot inside one day.
 * Whatever is order-*independent* (first terminal position, totals, means)
   is a ``groupBy`` (map-side partial aggregation) joined back, because AQE
   splits a skewed join partition but cannot split a window partition.
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import join_back
+from .machines import Machine, scan
 
 
 def first_n(df: DataFrame, order: str, n: int) -> DataFrame:
@@ -127,27 +130,30 @@ def prefix_until(df: DataFrame, key: str, order: list[str], stop: Column) -> Dat
             .drop("_first_stop"))
 
 
-def streaks(df: DataFrame, key: str, order: list[str], is_fail: Column, chunk: Column) -> DataFrame:
+#: a success opens a new island: failures with one count of successes before them are consecutive
+ISLANDS = Machine(("run",), ("fail", "ok"), counts={"island": {("run", "ok"): 1}})
+
+
+def streaks(df: DataFrame, key: str, order: list[str], is_fail: Column) -> DataFrame:
     """E10 gaps-and-islands: length of every run of consecutive failures.
 
-    Island id = running count of successes up to the row (a chunked running
-    sum, see ``running_sum``); the failures that share an island are
-    consecutive, and a run that crosses chunks still shares its island id.
+    Island id = running count of successes up to the row, by an associative
+    scan (``machines.scan``), so a key that is hot inside one day or even one
+    second is spread; the failures that share an island are consecutive.
     Returns ``(key, island, run_length)`` for islands with failures.
     """
-    tagged = df.select(key, *order, is_fail.alias("_fail"), chunk.alias("_c"))
-    islands = running_sum(tagged, [key], order, F.col("_c"),
-                          F.when(F.col("_fail"), F.lit(0)).otherwise(F.lit(1)), "island")
-    return (islands.filter(F.col("_fail")).groupBy(key, "island")
+    fail = F.coalesce(is_fail, F.lit(False))
+    tagged = df.select(key, *order, F.when(fail, F.lit("fail")).otherwise(F.lit("ok")).alias("_i"))
+    islands = scan(tagged, [key], order, ISLANDS, F.col("_i"))
+    return (islands.filter(F.col("_i") == "fail").groupBy(key, "island")
             .agg(F.count(F.lit(1)).alias("run_length")))
 
 
-def breaker(df: DataFrame, key: str, order: list[str], is_fail: Column, chunk: Column,
-            limit: int = 10) -> DataFrame:
+def breaker(df: DataFrame, key: str, order: list[str], is_fail: Column, limit: int = 10) -> DataFrame:
     """Per key, the longest run of consecutive failures and whether the
     breaker trips (``limit`` in a row; a success resets the counter)."""
     keys = df.select(key).distinct()
-    runs = (streaks(df, key, order, is_fail, chunk).groupBy(key)
+    runs = (streaks(df, key, order, is_fail).groupBy(key)
             .agg(F.max("run_length").alias("max_streak")))
     return (keys.join(runs, key, "left")
             .select(key, F.coalesce(F.col("max_streak"), F.lit(0)).cast("bigint").alias("max_streak"),

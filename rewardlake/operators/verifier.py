@@ -7,16 +7,16 @@ pass_threshold, wall_clock_seconds, details)``.  Two forms:
 * ``ColumnVerifier``: a ``DataFrame -> DataFrame`` built from Column
   expressions (stays in the JVM; preferred).
 * ``PythonVerifier``: a per-row Python check run through ``mapInPandas`` in
-  Arrow batches.  Every row is isolated: an exception becomes an ``error``
-  result (score 0.0, message in ``details``) and a run longer than the
-  verifier's limit becomes ``timeout`` (score 0.0), as the safe wrapper of
-  the reference records them.
+  Arrow batches.  Every row is isolated in a child process of the worker
+  (``guard.py``): an exception, a lack of memory or a process that ends
+  becomes an ``error`` result (score 0.0, type and message in ``details``),
+  and a check that is still running at the verifier's limit is killed and
+  becomes ``timeout`` (score 0.0); the rows after it get a new process.
 """
 
 from __future__ import annotations
 
 import json
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_FINAL_VERIFIERS
+from .guard import Guard, Outcome
 
 RESULT_SCHEMA = ("instance_id string, name string, status string, score double, pass_threshold double, "
                  "wall_clock_seconds double, details string")
@@ -49,36 +50,45 @@ class ColumnVerifier:
                           if "details" in out.columns else F.lit("{}").alias("details"))
 
 
+def checked_result(outcome: Outcome) -> tuple[str, float, dict]:
+    """Status, score and details recorded for a guarded check."""
+    if outcome.kind == "ok":
+        return outcome.value
+    if outcome.kind == "timeout":
+        return "timeout", 0.0, {"timeout": outcome.value}
+    kind, message = outcome.value if outcome.kind == "raised" else ("ProcessDied", outcome.value)
+    return "error", 0.0, {"error": message, "error_type": kind}
+
+
 @dataclass(frozen=True)
 class PythonVerifier:
-    """``check(row: dict) -> (status, score, details: dict)``."""
+    """``check(row: dict) -> (status, score, details: dict)``, stopped after
+    ``timeout_seconds`` and held to ``memory_mb`` more than the worker has."""
     name: str
     mode: str
     check: Callable[[dict], tuple[str, float, dict]]
     pass_threshold: float = 1.0
     timeout_seconds: float = 60.0
+    memory_mb: int | None = 2048
 
     def run(self, contexts: DataFrame) -> DataFrame:
-        name, check, thr, limit = self.name, self.check, self.pass_threshold, self.timeout_seconds
+        name, check, thr, limit, memory = self.name, self.check, self.pass_threshold, self.timeout_seconds, self.memory_mb
+
+        def one(rec: dict) -> tuple[str, float, str]:
+            status, score, details = check(rec)
+            return status, float(score), json.dumps(details, default=str)
 
         def batches(it):
-            for pdf in it:
-                rows = []
-                for rec in pdf.to_dict("records"):
-                    start = time.monotonic()
-                    try:
-                        status, score, details = check(rec)
-                        took = time.monotonic() - start
-                        if took > limit:
-                            status, score, details = "timeout", 0.0, {"timeout": limit}
-                    except Exception as exc:  # noqa: BLE001 - per-row isolation is the point
-                        took = time.monotonic() - start
-                        status, score, details = "error", 0.0, {"error": str(exc),
-                                                                "error_type": type(exc).__name__}
-                    rows.append((rec["instance_id"], name, status, float(score), thr, took,
-                                 json.dumps(details, default=str)))
-                yield pd.DataFrame(rows, columns=["instance_id", "name", "status", "score", "pass_threshold",
-                                                  "wall_clock_seconds", "details"])
+            with Guard(one, limit, memory) as guard:
+                for pdf in it:
+                    rows = []
+                    recs = pdf.to_dict("records")
+                    for rec, outcome in zip(recs, guard.map(recs), strict=True):
+                        status, score, details = checked_result(outcome)
+                        details = details if isinstance(details, str) else json.dumps(details)
+                        rows.append((rec["instance_id"], name, status, score, thr, outcome.seconds, details))
+                    yield pd.DataFrame(rows, columns=["instance_id", "name", "status", "score", "pass_threshold",
+                                                      "wall_clock_seconds", "details"])
 
         return contexts.mapInPandas(batches, RESULT_SCHEMA)
 

@@ -8,6 +8,7 @@ from ..operators import joins as J
 from ..operators import rollout as RO
 from ..operators import sequence as SQ
 from ..sources.fixtures import fixture
+from ..sources.tables import table
 from . import duck as D
 from .registry import query
 
@@ -36,6 +37,19 @@ def q_episode_cut(spark, sf_dir):
     return c.select("episode", F.col("step").cast("bigint").alias("step"), "action", "is_terminal", "forced_submit")
 
 
+@query("q_step_machine", ops="E7", views=("steps",), oracle=f"""
+, {_TERM_SQL}
+select c.episode, s.event_id, cast(c.step as bigint) as step, c.action, c.is_terminal, c.forced_submit
+from cut c join steps s on s.episode = c.episode and s.step = c.step
+""")
+def q_step_machine(spark, sf_dir):
+    """E7 on the raw event log: one scan numbers and ends the episodes."""
+    e = table(spark, sf_dir, "events")
+    action = F.when(F.col("event_type") == "purchase", F.lit("submit")).otherwise(F.lit("bash"))
+    log = e.select(F.col("user_id").alias("episode"), "event_id", "ts", action.alias("action"))
+    return RO.cut_log(log, ["ts", "event_id"]).select("episode", "event_id", "step", "action", "is_terminal", "forced_submit")
+
+
 def _episode_patches(spark, sf_dir):
     p = fixture(spark, sf_dir, "patches")
     return p.select(F.substring("instance_id", 7, 1 << 20).cast("bigint").alias("episode"), "patch")

@@ -131,6 +131,27 @@ def q_safe_outcome(spark, sf_dir):
     return S.normalise_outcomes(_vr(spark, sf_dir), _cfg(spark, sf_dir), timeouts)
 
 
+@query("q_outcome_notes", ops="B13", views=("noted_results", "verifier_config"), oracle="""
+select r.instance_id, r.name,
+  case when over then 'timeout' else r.status end as status,
+  case when over or r.status = 'error' then cast(0.0 as double) else r.score end as score,
+  c.pass_threshold, r.wall_clock_seconds,
+  case when not over and r.status = 'error' and r.instance_id % 15 <> 0 then 'cannot read ' || r.instance_id end as error_message,
+  case when not over and r.status = 'error' and r.instance_id % 15 <> 0
+       then case when r.instance_id % 10 = 0 then 'OSError' else 'ValueError' end end as error_type,
+  case when over then t.timeout_seconds end as limit_seconds
+from noted_results r join verifier_config c on c.name = r.name
+join (values ('ast_check', cast(120.0 as double)), ('swe_test', cast(60.0 as double)))
+  as t(name, timeout_seconds) on t.name = r.name,
+lateral (select r.wall_clock_seconds > t.timeout_seconds as over) o
+""")
+def q_outcome_notes(spark, sf_dir):
+    """Normalised outcomes that keep the type and message of errors."""
+    timeouts = spark.createDataFrame(list(S.VERIFIER_TIMEOUTS.items()),
+                                     "name string, timeout_seconds double")
+    return S.normalise_outcomes(fixture(spark, sf_dir, "noted_results"), _cfg(spark, sf_dir), timeouts)
+
+
 def _recorded(spark, sf_dir):
     return fixture(spark, sf_dir, "recorded_results")
 

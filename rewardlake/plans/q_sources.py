@@ -4,15 +4,18 @@ F2, F3, I1)."""
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from ..operators import scoring as S
 from ..operators import verifier as V
 from ..shipping import ship_by_value
 from ..sources import files as FS
+from ..sources import store as ST
 from ..sources.fixtures import fixture
 from ..sources.tables import table
-from ..streaming.runner import new_area
+from ..streaming.runner import new_area, run_append
 from .q_joins import _PROMPTS_LOADED
 from .registry import query
 
@@ -73,6 +76,48 @@ def q_artifact_manifest(spark, sf_dir):
     return m.select(F.regexp_replace("key", "/[^/]+$", "").alias("folder"), "length")
 
 
+def _store_files(spark, sf_dir, cond=None):
+    """Files of a prediction store: most hold a prediction, some folders
+    have another name, broken JSON, a list, no id or no prediction at all."""
+    d = table(spark, sf_dir, "documents")
+    d = d if cond is None else d.where(cond)
+    kind, name = F.col("doc_id") % 10, F.concat(F.lit("inst__"), F.col("doc_id").cast("string"))
+    record = F.to_json(F.struct(F.when(kind != 7, name).alias("instance_id"), F.col("text").alias("model_patch"),
+                                F.concat(F.lit("model-"), F.col("lang")).alias("model_name_or_path")))
+    content = F.when(kind == 8, F.lit('{"instance_id": "inst__')).when(kind == 5, F.lit('["inst__0"]')).otherwise(record)
+    return d.select(F.when(kind == 6, F.concat(F.lit("copy-"), name)).otherwise(name).alias("folder"),
+                    F.when(kind == 9, F.lit("notes.json")).otherwise(F.lit(ST.FILE)).alias("file"), content.alias("content"))
+
+
+_STORED_SQL = """
+select 'inst__' || doc_id as instance_id, text as model_patch, 'model-' || lang as model_name_or_path
+from documents where doc_id % 10 not in (5, 7, 8, 9)
+"""
+
+
+@query("q_prediction_store", ops="A4", oracle=_STORED_SQL)
+def q_prediction_store(spark, sf_dir):
+    """A store of one folder an instance, listed and read in tasks."""
+    path = new_area(spark, "store")
+    ST.write_store(_store_files(spark, sf_dir), path)
+    return ST.read_store(spark, path, prefixes=("inst__", "copy-")).drop("source_file")
+
+
+@query("q_store_stream", ops="A4, J1", oracle=f"""
+select s.*, cast(substr(instance_id, 7) as bigint) % 3 = 0 as second_run from ({_STORED_SQL}) s
+""")
+def q_store_stream(spark, sf_dir):
+    """The store as a stream, run twice: the second run reads only the files
+    that were written after the first."""
+    area = new_area(spark, "store-stream")
+    for run, cond in enumerate((F.col("doc_id") % 3 != 0, F.col("doc_id") % 3 == 0)):
+        ST.write_store(_store_files(spark, sf_dir, cond), f"{area}/store")
+        time.sleep(0.05)                               # the files' time is over
+        stream = ST.stream_store(spark, f"{area}/store", settle_ms=1).drop("source_file")
+        run_append(stream.withColumn("second_run", F.lit(run == 1)), f"{area}/out", f"{area}/ckpt")
+    return spark.read.parquet(f"{area}/out")
+
+
 def _even_length(row: dict) -> tuple[str, float, dict]:
     """A per-row check: fails on some patches, skips others."""
     n = len(row["patch"])
@@ -109,6 +154,42 @@ def q_verifier_run(spark, sf_dir):
             .join(config.select("name", "ord", "run_intermediate", "run_final"), "name"))
 
 
+#: seconds and memory of a checked program
+RUN_SECONDS, RUN_MB = 3.0, 128
+
+
+def _run_program(row: dict) -> tuple[str, float, dict]:
+    """Runs a program's function: a value of 0 or more passes."""
+    space: dict = {}
+    exec(row["patch"], space)  # noqa: S102 - in the guarded child process
+    value = space["f"]()
+    return "ok", float(value >= 0), {"value": value}
+
+
+@query("q_guarded_run", ops="I1, I2, B13", views=("programs",), oracle=f"""
+select instance_id, case when pos % 1999 = 7 then 'timeout'
+    when pos % 251 = 9 or pos % 127 = 5 or pos % 113 = 4 or pos % 11 = 3 then 'error' else 'ok' end as status,
+  cast(case when pos % 1999 = 7 or pos % 251 = 9 or pos % 127 = 5 or pos % 113 = 4 or pos % 11 = 3 or pos % 7 = 2
+       then 0.0 else 1.0 end as double) as score,
+  case when pos % 1999 = 7 then null when pos % 251 = 9 then 'MemoryError' when pos % 127 = 5 or pos % 113 = 4 then 'ProcessDied'
+       when pos % 11 = 3 then 'IndexError' end as error_type,
+  case when pos % 1999 = 7 then null when pos % 251 = 9 then '' when pos % 127 = 5 then 'the check process ended with status 3'
+       when pos % 113 = 4 then 'the check process was ended by signal 11' when pos % 11 = 3 then 'list index out of range' end as error_message,
+  case when pos % 1999 = 7 then cast({RUN_SECONDS} as double) end as limit_seconds,
+  not (pos % 1999 = 7 or pos % 251 = 9 or pos % 127 = 5 or pos % 113 = 4 or pos % 11 = 3 or pos % 7 = 2) as passed
+from programs
+""")
+def q_guarded_run(spark, sf_dir):
+    """Every program is run: one that never ends, eats memory or ends its
+    process gives one row of its own, and its neighbours are unharmed."""
+    check = V.PythonVerifier("run", "dynamic", _run_program, 1.0, timeout_seconds=RUN_SECONDS, memory_mb=RUN_MB)
+    results = S.with_passed(check.run(fixture(spark, sf_dir, "programs").select("instance_id", "patch")))
+    note = {"error_type": "string", "error_message": "string", "limit_seconds": "double"}
+    paths = {"error_type": "$.error_type", "error_message": "$.error", "limit_seconds": "$.timeout"}
+    return results.select("instance_id", "status", "score", "passed",
+                          *[F.get_json_object("details", paths[n]).cast(k).alias(n) for n, k in note.items()])
+
+
 @query("q_validated", ops="B15", views=("verifier_results",), oracle="""
 select instance_id, name, pass_threshold, score as weight from verifier_results
 """)

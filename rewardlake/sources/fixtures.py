@@ -7,8 +7,8 @@ Spark and on DuckDB, so the Spark plan and the oracle start from identical
 inputs.  On Spark the base tables are registered as temp views named per data
 folder and the view SQL is analysed immediately, so the returned DataFrame is
 bound to the files of the ``sf_dir`` it was built for.  Two views (``steps``, ``turn_runs``) number
-rows per user / conversation; on Spark they are built with a chunked running
-count instead of ``row_number`` so a hot key is not numbered by one task
+rows per user / conversation; on Spark they are built with an associative
+scan instead of ``row_number`` so a hot key is not numbered by one task
 (``BUILDERS``); the oracle keeps the SQL, and both give the same rows.
 """
 
@@ -78,6 +78,27 @@ union all
 select doc_id as instance_id, 'swe_test' as name, cast(1 as int) as pos, 'error' as status, cast(0.0 as double) as score,
   cast(0.5 as double) as pass_threshold, '{}' as details
 from labels where doc_id % 3 = 0
+"""),
+    # results with what the safe wrapper noted on errors
+    "noted_results": (("labels",), """
+select doc_id as instance_id, case when doc_id % 2 = 0 then 'ast_check' else 'swe_test' end as name,
+  case when doc_id % 5 = 0 then 'error' when doc_id % 7 = 0 then 'skipped' else 'ok' end as status,
+  cast(quality as double) as score, cast(1.0 as double) as pass_threshold, cast(doc_id % 130 as double) as wall_clock_seconds,
+  case when doc_id % 15 = 0 then '{}' when doc_id % 5 = 0 then concat('{"error":"cannot read ', cast(doc_id as string),
+    '","error_type":"', case when doc_id % 10 = 0 then 'OSError' else 'ValueError' end, '"}') else '{"n":1}' end as details
+from labels
+"""),
+    # programs that a check runs: some never end, some take all memory, some end the process
+    "programs": (("documents",), """
+select concat('inst__', cast(doc_id as string)) as instance_id, doc_id as pos, concat('import os', chr(10), 'def f():', chr(10), case
+    when doc_id % 1999 = 7 then concat('    while True:', chr(10), '        pass')
+    when doc_id % 251 = 9 then concat('    held = []', chr(10), '    while True:', chr(10), '        held.append(bytearray(1 << 25))')
+    when doc_id % 127 = 5 then '    os._exit(3)'
+    when doc_id % 113 = 4 then '    os.kill(os.getpid(), 11)'
+    when doc_id % 11 = 3 then '    return [][0]'
+    when doc_id % 7 = 2 then '    return -1'
+    else concat('    return ', cast(length(text) as string)) end) as patch
+from documents
 """),
     "verifier_config": ((), """
 select * from (values
@@ -234,30 +255,30 @@ def view_sql(name: str) -> str:
 
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``steps`` with the step number as a chunked running count (one chunk
-    per day of ``ts``) instead of ``row_number`` over the whole user: a user
-    holding a third of all events is numbered by many tasks.  Same rows as
-    the view's SQL."""
-    from ..operators.sequence import running_sum
+    """``steps`` with the step number from an associative scan instead of
+    ``row_number`` over the whole user: a user holding a third of all events,
+    even on one day, is numbered by many tasks.  Same rows as the view's
+    SQL."""
+    from ..operators.machines import NUMBERING, scan
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
-    numbered = running_sum(ev, ["user_id"], ["ts", "event_id"], F.to_date("ts"), F.lit(1), "_n")
+    numbered = scan(ev, ["user_id"], ["ts", "event_id"], NUMBERING)
     return numbered.select(
-        F.col("user_id").alias("episode"), F.col("_n").cast("int").alias("step"), "event_id", "ts",
+        F.col("user_id").alias("episode"), F.col("n").cast("int").alias("step"), "event_id", "ts",
         F.when(F.col("event_type") == "purchase", F.lit("submit")).otherwise(F.lit("bash")).alias("action"),
         F.when(F.col("event_type") == "error", F.lit(1)).otherwise(F.lit(0)).alias("exit_code"),
         F.col("props").alias("stdout"))
 
 
 def _turn_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``turn_runs`` with the turn number as a chunked running count over the
+    """``turn_runs`` with the turn number from an associative scan over the
     assistant messages of a conversation.  Same rows as the view's SQL."""
-    from ..operators.sequence import running_sum
+    from ..operators.machines import NUMBERING, scan
     c = (table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
          .select("conv_id", "turn", "text"))
-    numbered = running_sum(c, ["conv_id"], ["turn"], F.floor(F.col("turn") / F.lit(1 << 12)), F.lit(1), "_n")
+    numbered = scan(c, ["conv_id"], ["turn"], NUMBERING)
     n = F.length("text")
     return numbered.select(
-        F.col("conv_id").alias("instance_id"), (F.col("_n") - 1).cast("int").alias("turn"),
+        F.col("conv_id").alias("instance_id"), (F.col("n") - 1).cast("int").alias("turn"),
         F.col("text").alias("output"), (n % 3 == 0).alias("all_passed"),
         ((n % 5).cast("double") / 4).alias("aggregate_score"))
 

@@ -29,7 +29,7 @@ def test_breaker_across_chunks(spark):
     seq = [("u1", i, i >= 3 and i < 15) for i in range(20)] + [("u2", i, i % 2 == 0) for i in range(10)]
     df = spark.createDataFrame(seq, "u string, t long, fail boolean")
     got = {r.u: (r.max_streak, r.tripped)
-           for r in SQ.breaker(df, "u", ["t"], F.col("fail"), F.floor(F.col("t") / 8), 10).collect()}
+           for r in SQ.breaker(df, "u", ["t"], F.col("fail"), 10).collect()}
     assert got == {"u1": (12, True), "u2": (1, False)}
 
 
@@ -50,14 +50,32 @@ def test_chunked_scan_lag_and_sums_cross_chunks(spark):
     assert got == want
 
 
-def test_attempt_blocks_independent_of_chunking(spark):
+def test_attempt_blocks_independent_of_partitioning(spark):
     from rewardlake.operators.dialog import attempt_blocks
     from rewardlake.sources.tables import table
     from tests.conftest import SF_SMALL
     conv = table(spark, SF_SMALL, "conversations")
-    a = sorted(tuple(r) for r in attempt_blocks(conv, chunk_turns=1).collect())
-    b = sorted(tuple(r) for r in attempt_blocks(conv).collect())
-    assert a == b and a
+    got = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts, merge in (("1", "true"), ("60", "false")):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merge)
+        got.append(sorted(tuple(r) for r in attempt_blocks(conv).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got[0] == got[1] and got[0]
+
+
+def test_attempt_blocks_cases(spark):
+    from rewardlake.operators.dialog import attempt_blocks
+    talks = {1: "system user assistant user assistant", 2: "user assistant user user assistant system user", 3: "assistant",
+             4: "system assistant assistant user", 5: "user", 6: "tool assistant none user"}
+    rows = [(k, t, None if r == "none" else r, f"{k}.{t}") for k, talk in talks.items() for t, r in enumerate(talk.split())]
+    got = sorted((r.conv_id, r.turn, r.kind, r.attempt) for r in attempt_blocks(
+        spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).collect())
+    assert got == [(1, 2, "attempt", 1), (1, 3, "feedback", 1), (1, 4, "attempt", 2),
+                   (2, 1, "attempt", 1), (2, 2, "feedback", 1), (2, 4, "attempt", 2),
+                   (4, 2, "attempt", 1), (4, 3, "feedback", 1), (6, 1, "attempt", 1)]
 
 
 def test_prefix_until_keeps_rows_before_first_stop(spark):

@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from rewardlake.operators import rollout as RO
 from rewardlake.sources.fixtures import fixture
 from rewardlake.streaming import episodes as ST
-from rewardlake.streaming.runner import late_rows_dropped, new_area, run_append, run_intake, stage_drops
+from rewardlake.streaming.runner import late_rows_dropped, new_area, run_append, run_intake, stage_drops, stream_session
 from tests.conftest import SF_SMALL
 
 
@@ -36,7 +36,7 @@ def _run(spark, name, drops, **settings):
         (spark.createDataFrame(rows, STEP).withColumn("ts", F.timestamp_seconds("t")).drop("t")
          .coalesce(1).write.mode("append").parquet(f"{area}/in"))
     sch = spark.read.parquet(f"{area}/in").schema
-    stream = spark.readStream.schema(sch).option("maxFilesPerTrigger", 1).parquet(f"{area}/in")
+    stream = stream_session(spark).readStream.schema(sch).option("maxFilesPerTrigger", 1).parquet(f"{area}/in")
     progress = run_append(ST.episode_stream(stream, **settings), f"{area}/out", f"{area}/ckpt")
     out = [(r.episode, r.steps, r.nonzero_exits, r.total_output_chars, r.end_reason)
            for r in spark.read.parquet(f"{area}/out").collect()]
@@ -48,8 +48,7 @@ def _beat(t):
 
 
 def _reducer_rows(progress):
-    return next(op["numRowsTotal"] for op in progress[-1]["stateOperators"]
-                if op["operatorName"] == "applyInPandasWithState" or "Group" in op["operatorName"] or "flatMap" in op["operatorName"])
+    return next(op["numRowsTotal"] for op in progress[-1]["stateOperators"] if "transformWithState" in op["operatorName"])
 
 
 def test_drops_hold_rows_without_an_order_value(spark):
@@ -87,6 +86,39 @@ def test_a_closed_episode_does_not_start_again(spark):
     assert got == [(1, 1, 1, 1, "timeout")]
 
 
+def test_the_end_of_an_episode_follows_event_time_only(spark):
+    """A pause ends an episode whether the steps after it come in the same
+    micro-batch, later or out of order."""
+    base = 1_700_000_000
+    steps = [(1, 1, base, "bash", 1, "a"), (1, 2, base + 100, "bash", 1, "bb"), (1, 3, base + 500, "bash", 0, "c"),
+             (1, 4, base + 510, "submit", 0, "")]
+    beats = [_beat(base + 9_000), _beat(base + 9_001)]
+    for name, drops in {"one": [steps], "each": [[s] for s in steps], "odd": [steps[2:], steps[:1], steps[1:2]]}.items():
+        got, _ = _run(spark, f"t-order-{name}", [*drops, *beats], watermark="1 hour", idle_ms=200_000)
+        assert got == [(1, 2, 2, 3, "timeout")], name
+
+
+def test_episode_end_cases():
+    def steps(*at, submit=()):
+        return [(t * 1000, i, 1, 0, i in submit) for i, t in enumerate(at)]
+    end = ST.episode_end
+    assert end([], 10, 5, 3) is None
+    assert end(steps(1, 2, submit=(1,)), 1, 5, None) is None       # the submit is not final yet
+    assert end(steps(1, 2, submit=(1,)), 2, 5, None)[1] == "submit"
+    assert end(steps(1, 2, 3), 3, 3, None)[1] == "forced" and end(steps(1, 2, 3), 3, 4, None) is None
+    assert end(steps(1, 2), 5, 9, 3)[1] == "timeout" and end(steps(1, 2), 4, 9, 3) is None
+    assert len(end(steps(1, 2, 6), 6, 9, 3)[0]) == 2               # a pause before the last step
+    assert end(steps(1, 2, 5), 6, 9, 3) is None                    # a pause of just the limit is none
+    assert end([(1500, 0, 1, 0, True)], 1, 5, None) is None and end([(1500, 0, 1, 0, True)], 2, 5, None)[1] == "submit"
+
+
+def test_long_running_episodes_keep_bounded_state(spark):
+    drops = [[(1, 1000 * d + i, 100 * d + i, "bash", 0, "x") for i in range(50)] for d in range(1, 7)]
+    got, progress = _run(spark, "t-bound", [*drops, _beat(90_000), _beat(90_001)], max_steps=20, watermark="1 hour")
+    assert got == [(1, 20, 0, 19, "forced")]
+    assert max(op["numRowsTotal"] for p in progress for op in p["stateOperators"] if "transformWithState" in op["operatorName"]) < 100
+
+
 def test_steps_out_of_order_within_the_watermark_count(spark):
     drops = [[(1, 10, 100, "bash", 0, "a"), (1, 11, 200, "bash", 0, "bb"), (1, 12, 300, "bash", 0, "c"),
               (2, 20, 100, "bash", 1, "x")],                                # episode 2 never submits
