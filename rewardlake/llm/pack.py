@@ -12,8 +12,13 @@ from __future__ import annotations
 
 import gc
 import struct
+import sys
+import types
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,72 +31,176 @@ ship_by_value(__name__)
 WINDOW, OPEN, END_ID = 2048, 32, 1
 #: the shortest head worth cutting off to fill a window; tasks that meet in a node of the tree
 LEAST_CUT, FAN_IN = 16, 16
-#: entries of the word caches of a task; pieces and bytes of an output batch
+#: words that a worker keeps; pieces and bytes of an output batch
 CACHE, ROWS, BYTES = 300_000, 1024, 2 << 20
+#: bytes of text whose words are numbered together, texts compared when a task starts
+SLICE, OWN_SAMPLE = 4 << 20, 8
+#: letters, digits, signs and scripts on which word by word is compared with the whole
+SAMPLE = "Plain Words, it's 3rd-rate! Äpfel über naïve ça x <|endoftext|> λόγος 中文 12,5%\u00a0next\u2003one \u0301alone"
 
 PIECES = ("doc_id {id}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, "
           "offset bigint, node int")
 
 
-class Words:
-    """Token ids (little-endian 32-bit) of white-space separated words, cached.
+class Pool:
+    """Token ids of keys, one after the other in one array.  Beyond ``cache``
+    keys the half that was asked for least often goes."""
+
+    def __init__(self, cache: int):
+        self.cache = cache
+        self.known: dict = {}                             # key -> place, in order of place
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.sizes, self.hits = (np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    @staticmethod
+    def _longer(a: np.ndarray, n: int) -> np.ndarray:
+        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a)), a.dtype)])
+
+    def _shrink(self) -> None:
+        n = len(self.known)
+        keep = np.sort(np.argsort(-self.hits[:n], kind="stable")[:self.cache // 2])
+        keys = list(self.known)
+        self.known = {keys[p]: i for i, p in enumerate(keep)}
+        ids, ends = self.gather(keep)
+        self.used = len(ids)
+        self.ids[:self.used] = ids
+        self.hits[:len(keep)] = self.hits[keep] // 2
+        self.sizes[:len(keep)] = self.sizes[keep]
+        self.starts[:len(keep)] = ends - self.sizes[:len(keep)]
+
+    def _put(self, keys: list, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        at, to = len(self.known), len(self.known) + len(keys)
+        self.ids = self._longer(self.ids, self.used + len(ids))
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.starts, self.sizes, self.hits = (self._longer(a, to) for a in (self.starts, self.sizes, self.hits))
+        self.sizes[at:to], self.starts[at:to], self.hits[at:to] = sizes, self.used + np.cumsum(sizes) - sizes, 0
+        self.used += len(ids)
+        self.known.update(zip(keys, range(at, to), strict=True))
+        return np.arange(at, to)
+
+    def places(self, keys: list, makers) -> np.ndarray:
+        """Places of different keys; ``makers(unknown keys)`` gives numbers of
+        them, their ids and their sizes.  Places hold until the next call."""
+        if len(self.known) > self.cache:
+            self._shrink()
+        get = self.known.get
+        out = np.fromiter([get(k, -1) for k in keys], np.int64, len(keys))
+        new = np.nonzero(out < 0)[0]
+        for at, ids, sizes in makers([keys[i] for i in new]):
+            out[new[at]] = self._put([keys[i] for i in new[at]], ids, sizes)
+        self.hits[out] += 1
+        return out
+
+    def gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the places one after the other, and where each ends."""
+        sizes = self.sizes[place]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.starts[place] - ends + sizes, sizes) + np.arange(total)], ends
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
 
-    Words of letters, digits and signs below U+0180 are split and lower-cased
-    here as the tokenizer's own settings say and go to its BPE model piece by
-    piece; anything else is encoded by the whole tokenizer.  No setting of
-    the tokenizer looks across ASCII white space, so word by word equals the
-    whole text (``check`` compares the two on a sample when a task starts).
+
+class Words:
+    """Token ids of white-space separated words, kept in a pool.
+
+    A batch of texts is split at ASCII white space and its words are numbered
+    by Arrow; only those of its words that are not in the pool are tokenized,
+    and the ids of all texts are gathered from the pool at once.  Words of
+    letters, digits and signs below U+0180 are split and lower-cased here as
+    the default tokenizer's own settings say and go to its BPE model piece by
+    piece; the others are encoded by the whole tokenizer in one call.  No
+    setting of it looks across ASCII white space, so word by word equals the
+    whole text.  ``agrees`` compares the two on a fixed sample and on texts of
+    the task's own; where they differ, whole texts are encoded.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
         import regex
         from tokenizers import Tokenizer
 
-        self.cache = cache
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.plain = regex.compile("[\\x21-\\x7e\\xa1-\\xac\\xae-\\u012f\\u0131-\\u0148\\u014a-\\u017f]+")
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.plain = regex.compile("[\\x21-\\x7e\\xa1-\\xac\\xae-\\u012f\\u0131-\\u0148\\u014a-\\u017f]+").fullmatch
+        self.split = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        sample = "Plain Words, it's 3rd-rate! Äpfel über naïve ça x <|endoftext|> λόγος 中文 12,5%"
-        own = b"".join(map(self.word, sample.encode().split()))
-        self.whole = own != self.pack(self.tokenizer.encode(sample, add_special_tokens=False).ids)
-
-    @staticmethod
-    def pack(ids) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def part(self, p: str) -> bytes:
-        r = self.parts.get(p)
-        if r is None:
-            if len(self.parts) >= self.cache:
-                self.parts.clear()
-            shown = p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode()))
-            r = self.parts[p] = self.pack([t.id for t in self.model.tokenize(shown)])
-        return r
-
-    def word(self, w: bytes) -> bytes:
-        text = w.decode("utf-8", "replace")
-        if self.plain.fullmatch(text) and "<|" not in text:
-            r = b"".join(map(self.part, self.split(text.lower())))
-        else:
-            r = self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if len(self.words) >= self.cache:
-            self.words.clear()
-        self.words[w] = r
-        return r
-
-    def ids(self, text: bytes | None) -> bytes:
-        if not text:
-            return b""
-        if self.whole:
-            return self.pack(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
-        get, make = self.words.get, self.word
-        return b"".join([r if (r := get(w)) is not None else make(w) for w in text.split()])
+        self.words, self.pieces = Pool(cache), Pool(cache)
+        self.whole = not self.agrees([SAMPLE])
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def agrees(self, texts: list[str]) -> bool:
+        ids, ends = self.by_word(pa.array([t.encode() for t in texts], pa.binary()))
+        return [ids[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)] == self.encode(texts)
+
+    def _pieces(self, pieces: list[str]):
+        tokenize, letter = self.model.tokenize, self.letters.__getitem__
+        shown = [p if p.isascii() else "".join(map(letter, p.encode())) for p in pieces]
+        yield np.arange(len(pieces)), *_flat([[t.id for t in tokenize(s)] for s in shown])
+
+    def _words(self, words: list[bytes]):
+        texts = [w.decode("utf-8", "replace") for w in words]
+        # of ASCII, what can be printed is plain
+        plain = np.fromiter([(t.isascii() and t.isprintable() or self.plain(t) is not None) and "<|" not in t for t in texts],
+                            bool, len(texts))
+        own, odd = np.nonzero(plain)[0], np.nonzero(~plain)[0]
+        if len(own):
+            pieces = self.split("\n".join([texts[i] for i in own]).lower())
+            different = dict.fromkeys(pieces)
+            different.pop("\n", None)
+            place = self.pieces.places(list(different), self._pieces)
+            number = dict(zip(different, place.tolist(), strict=True)) | {"\n": -1}
+            at = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+            word = np.cumsum(at < 0)
+            found = at >= 0
+            ids, _ = self.pieces.gather(at[found])
+            sizes = np.bincount(word[found], self.pieces.sizes[at[found]], len(own)).astype(np.int64)
+            yield own, ids, sizes
+        if len(odd):
+            yield odd, *_flat(self.encode([texts[i] for i in odd]))
+
+    def by_word(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, b"").cast(pa.large_string(), safe=False))
+        words = lists.flatten().cast(pa.large_binary()).dictionary_encode()
+        place = self.words.places(words.dictionary.to_pylist(), self._words)
+        ids, ends = self.words.gather(place[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64))
+        upto = np.cumsum(lists.value_lengths().to_numpy())
+        return ids, np.concatenate([[0], ends]).astype(np.int64)[upto]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all (binary) texts one after the other, and where each ends."""
+        if not self.whole:
+            return self.by_word(texts)
+        found = self.encode([(t or b"").decode("utf-8", "replace") for t in texts.to_pylist()])
+        return np.array(list(chain.from_iterable(found)), np.uint32), np.cumsum([len(f) for f in found], dtype=np.int64)
+
+
+def kept_words(path: str, cache: int) -> Words:
+    """The worker process's own ``Words`` of a tokenizer: it outlives a task
+    (the code that travels with a task does not), so the next one starts warm."""
+    home = sys.modules.setdefault("_rewardlake_words", types.ModuleType("_rewardlake_words"))
+    kept = vars(home).setdefault("kept", {})
+    if (path, cache) not in kept:
+        kept.clear()
+        kept[path, cache] = Words(path, cache)
+    return kept[path, cache]
+
+
+def text_slices(texts: pa.Array):
+    """Pieces of a text column of about ``SLICE`` bytes each, or one text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+    start = 0
+    while start < len(texts):
+        before = sizes[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, before + SLICE, "right")))
+        yield start, texts.slice(start, stop - start)
+        start = stop
 
 
 class Packer:
@@ -176,20 +285,29 @@ def _pack_task(path: str | None, window: int, open_windows: int, least_cut: int,
         end = struct.pack("<I", END_ID)
         kind = None
         for batch in batches:
-            words = words or Words(path or default_tokenizer(), cache)
             kind = batch.schema.field("doc_id").type
-            rows, held = [], 0
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = words.ids(text.as_buffer().to_pybytes() if text.is_valid else None) + end
-                done = packer.put(doc, 0, ids, len(ids) // 4)
-                rows += _rows(done, seq, node)
-                seq += len(done)
-                held += len(ids)
-                if len(rows) >= ROWS or held >= BYTES:
-                    yield _batch(rows, kind)
-                    rows, held = [], 0
+            texts = batch.column("text").cast(pa.binary() if pa.types.is_string(batch.schema.field("text").type) else pa.large_binary())
+            if words is None:
+                words = kept_words(path or default_tokenizer(), cache)
+                if not words.whole:
+                    own = [t.decode("utf-8", "replace") for t in texts.slice(0, OWN_SAMPLE).to_pylist() if t]
+                    words.whole = not words.agrees(own)
+            docs, rows, held = batch.column("doc_id").to_pylist(), [], 0
+            for first, part in text_slices(texts):
+                ids, ends = words.ids(part)
+                begin = 0
+                for doc, stop in zip(docs[first:first + len(part)], ends.tolist(), strict=True):
+                    one = ids[begin:stop].tobytes() + end
+                    begin = stop
+                    done = packer.put(doc, 0, one, len(one) // 4)
+                    rows += _rows(done, seq, node)
+                    seq += len(done)
+                    held += len(one)
+                    if len(rows) >= ROWS or held >= BYTES:
+                        yield _batch(rows, kind)
+                        rows, held = [], 0
             yield _batch(rows, kind)
-        words = batch = None  # the worker lives on: give back what the caches and batches took
+        batch = texts = ids = None  # the worker lives on: give back what the batches took
         gc.collect()
         pa.default_memory_pool().release_unused()
         if kind is not None:
@@ -226,7 +344,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int =
     A document is its token ids and then ``END_ID``; each of its ids lies in
     one piece, a sequence's pieces lie gapless from offset 0.  ``tokenizer``
     is a file every executor can read (default: the public word BPE);
-    ``cache`` bounds the entries of a task's two word caches, nothing else.  All
+    ``cache`` bounds the words a worker keeps, nothing else.  All
     sequences but one are filled to ``window`` less ``least_cut`` or more.
 
     Defined cases: null and empty texts are the end id alone; texts longer
