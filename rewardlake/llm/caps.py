@@ -6,19 +6,18 @@ inner product with it reaches the threshold, and a list decoder finds them
 block by block, dropping prefixes that cannot reach it any more.  Vectors
 that share a label and a filter are compared in double precision.
 
-A label of up to ``WHOLE`` vectors of a length is one bucket: all its pairs
-are compared.  For larger ones the code is planned from the number of vectors
-of the largest: caps hold about ``CAP`` vectors, and there are so many
-independent rotations that a pair at the threshold shares no filter with a
-chance of at most ``MISS``, from the share of simulated pairs that miss in
-one rotation.
+The code is planned from the number of vectors of the largest label, by one
+formula for every size: caps hold ``CAP`` vectors or a ``SHARE`` of them, and
+there are so many independent rotations that a pair at the threshold shares no
+filter with a chance of at most ``MISS``, from the share of simulated pairs
+that miss in one rotation.  A vector that passes fewer than ``LEAST`` filters
+posts none; it is compared with all of its label instead, in blocks.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -27,14 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship_by_value
-from .blocks import bucket_units
+from .blocks import bucket_units, on_keys
 from .common import cut_lineage
 from .components import connected_components
 
 ship_by_value(__name__)
 
-#: vectors a cap should hold, members of a block of a bucket, vectors of a label that are all compared
-CAP, BLOCK, WHOLE = 256, 1024, 16384
+#: vectors a cap should hold, or share of a label if that is less, members of a block of a bucket
+CAP, SHARE, BLOCK = 256, 1 / 16, 1024
+#: filters below which a vector is compared with its whole label
+LEAST = 3
 #: chance that a pair at the threshold shares no filter, rotations at most (caps grow first), pairs simulated
 MISS, ROTATIONS, PAIRS = 0.001, 64, 4000
 #: vectors decoded at once
@@ -95,28 +96,29 @@ def miss_rate(code: Code, dim: int, cosine: float, pairs: int = PAIRS, draws: in
 
 def plan_code(rows: int, dim: int, cosine: float, miss: float = MISS) -> Code | None:
     """Parameters for ``rows`` vectors a label (see the module's text), or
-    None if all pairs are to be compared.  A rotation has so many filters
-    that a pair shares about one on average; caps are widened until
-    ``ROTATIONS`` are enough.  Rotations are drawn alike and on their own, so
-    a pair misses all with the power of the chance to miss one, whatever the
-    data; the chance is taken two standard errors high."""
+    None where no code can tell vectors apart (one dimension, a threshold of
+    0 or less).  A rotation has so many filters that a pair shares about one
+    on average; caps are widened until ``ROTATIONS`` are enough.  Rotations
+    are drawn alike and on their own, so a pair misses all with the power of
+    the chance to miss one, whatever the data; the chance is taken two
+    standard errors high."""
     normal = NormalDist()
-    cosine, cap = min(cosine, 1 - 1e-9), CAP
-    while dim > 1 and cosine > 0 and cap < 0.2 * rows:
-        a = normal.inv_cdf(1 - cap / rows)
+    cosine, share = min(cosine, 1 - 1e-9), min(SHARE, CAP / max(rows, 1))
+    while dim > 1 and cosine > 0 and share < 0.5:
+        a = normal.inv_cdf(1 - share)
         xs = np.linspace(a, a + 6, 2001)
         density = np.exp(-xs * xs / 2) / math.sqrt(2 * math.pi)
         tail = np.array([1 - normal.cdf((a - cosine * x) / math.sqrt(1 - cosine * cosine)) for x in xs])
         filters = 1 / max(float((density * tail).sum() * (xs[1] - xs[0])), 1e-12)
         blocks = min(dim, max(2, math.ceil(math.log(filters) / math.log(1 << 20))))
         words = max(2, math.ceil(filters ** (1 / blocks)))
-        threshold = cap_threshold(cap / rows, dim)
+        threshold = cap_threshold(share, dim)
         lost, _ = miss_rate(Code(1, blocks, words, threshold), dim, cosine)
         lost += 2 * math.sqrt(lost * (1 - lost) / PAIRS) + 1 / PAIRS
         rotations = math.ceil(math.log(miss) / math.log(lost)) if lost < 1 else ROTATIONS + 1
         if rotations <= ROTATIONS:
             return Code(rotations, blocks, words, threshold)
-        cap *= 2
+        share *= 2
     return None
 
 
@@ -148,7 +150,9 @@ def decode(unit: np.ndarray, code: Code, books) -> list[np.ndarray]:
     return np.split(fid, np.searchsorted(row, np.arange(1, len(unit))))
 
 
-def _postings(codes: dict[int, Code]):
+def _postings(codes: dict[int, Code | None], least: int):
+    """A row for every filter that a vector passes; one with filter -1 for a
+    vector that passes fewer than ``least``."""
     def run(batches):
         books = {}
         for batch in batches:
@@ -160,16 +164,16 @@ def _postings(codes: dict[int, Code]):
                     by_dim.setdefault(len(v), []).append(i)
                 for dim, at in by_dim.items():
                     x = np.array([vecs[i] for i in at], np.float64)
-                    if dim not in books:
-                        books[dim] = codes[dim].books(dim)
-                    hits = decode(x / np.linalg.norm(x, axis=1, keepdims=True), codes[dim], books[dim])
-                    took = np.repeat(np.array(at), [len(h) for h in hits])
-                    if not len(took):
-                        continue
-                    rows = part.take(pa.array(took))
+                    hits = [np.zeros(0, np.int64)] * len(at)
+                    if codes[dim]:
+                        if dim not in books:
+                            books[dim] = codes[dim].books(dim)
+                        hits = decode(x / np.linalg.norm(x, axis=1, keepdims=True), codes[dim], books[dim])
+                    hits = [h if len(h) >= least else np.array([-1]) for h in hits]
+                    rows = part.take(pa.array(np.repeat(np.array(at), [len(h) for h in hits])))
                     lists = [h for h in hits for _ in range(len(h))]
                     yield pa.RecordBatch.from_arrays(
-                        [rows.column("label"), pa.array(np.full(len(took), dim, np.int32)),
+                        [rows.column("label"), pa.array(np.full(len(lists), dim, np.int32)),
                          pa.array(np.concatenate(hits)), rows.column("cid"), rows.column("copies"),
                          rows.column("vec"), pa.array(lists, pa.list_(pa.int64()))],
                         ["label", "dim", "filter", "cid", "copies", "vec", "filters"])
@@ -234,8 +238,66 @@ def _verify(cosine: float):
     return run
 
 
+def _search(cosine: float):
+    """Links of the vectors without filters (right) with a block of their
+    label (left): a link of two of them is counted for each from its own
+    side, any other one for both here."""
+    schema = pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("parent", pa.int64())])
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        flat = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        x = flat.reshape(table.num_rows, -1)
+        return x, np.linalg.norm(x, axis=1)
+
+    def run(rows: pa.Table, few: pa.Table) -> pa.Table:
+        out = [[np.empty(0, np.int64)] * 3]
+        if rows.num_rows and few.num_rows:
+            (x, nx), (y, ny) = matrix(rows), matrix(few)
+            ids, mine = rows.column("cid").to_numpy(), few.column("cid").to_numpy()
+            copies, own = rows.column("copies").to_numpy(), few.column("copies").to_numpy()
+            alone = rows.column("few").to_numpy(zero_copy_only=False).astype(bool)
+            parent, links = np.full(len(x), -1), np.zeros(len(x), np.int64)
+            for s in range(0, len(y), PIECE):
+                part = slice(s, s + PIECE)
+                near = (y[part] @ x.T) / (ny[part, None] * nx[None, :]) >= cosine
+                near &= mine[part, None] != ids[None, :]
+                links += np.where(alone, 0, own[part] @ near.astype(np.int64))
+                up = mine[part].copy()
+                for k, hit in enumerate(near):
+                    # an edge to a row that another vector has reached, and from each row not reached yet
+                    known = np.nonzero(hit & (parent >= 0))[0]
+                    if len(known):
+                        up[k] = ids[known[0]]
+                    parent[hit & (parent < 0)] = mine[s + k]
+                out.append([mine[part], near.astype(np.int64) @ copies, up])
+            met = parent >= 0
+            out.append([ids[met], links[met], parent[met]])
+        return pa.Table.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+    return run
+
+
+def _whole_label(members: DataFrame, postings: DataFrame, cosine: float, block: int) -> DataFrame:
+    """Links of the vectors without filters, each compared with its label in
+    blocks of ``block`` rows by ``block`` such vectors."""
+    none = postings.where(F.col("filter") < 0).select("label", "dim", "cid", "copies", "vec")
+    size = none.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("_few"))
+    rows = on_keys(members, size, ["label", "dim"])                # labels that have such vectors
+    n = members.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("_all"))
+    none = on_keys(none, on_keys(n, size, ["label", "dim"]), ["label", "dim"])
+    part = lambda salt, of: F.pmod(F.xxhash64("cid", F.lit(salt)), F.ceil(F.col(of) / block)).cast("int")
+    to = lambda of: F.explode(F.sequence(F.lit(0), F.ceil(F.col(of) / block).cast("int") - 1))
+    rows = on_keys(rows, n, ["label", "dim"]).withColumn("_i", part(3, "_all")).withColumn("_j", to("_few"))
+    none = none.withColumn("_j", part(4, "_few")).withColumn("_i", to("_all"))
+    marked = rows.join(postings.where(F.col("filter") < 0).select(F.col("cid").alias("_cid")), F.col("cid") == F.col("_cid"), "left") \
+        .withColumn("few", F.col("_cid").isNotNull())
+    key = ["label", "dim", "_i", "_j"]
+    side = lambda d, *more: d.select(*[F.col(c).alias(c) for c in (*key, "cid", "copies", "vec", *more)])
+    return side(marked, "few").groupBy(*key).cogroup(side(none).groupBy(*key)) \
+        .applyInArrow(_search(cosine), "cid bigint, links bigint, parent bigint")
+
+
 def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding",
-                 label_col: str = "label", code: Code | None = None, block: int = BLOCK, whole: int = WHOLE) -> DataFrame:
+                 label_col: str = "label", code: Code | None = None, block: int = BLOCK, least: int = LEAST) -> DataFrame:
     """``<id>, n_links, component_id, kept`` for every row.
 
     Two vectors link if their labels are equal and not null and their cosine
@@ -245,11 +307,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     link; equal vectors are one class (each links with all others of it), so
     copies are never expanded into pairs; rows with a null id count as links
     of others, hold components together and get their component's id, the
-    smallest of its rows' that is not null; unlike vectors of one id are judged each on its own; an empty table gives an empty
-    result; other columns are not read.  Of a label with up to ``whole``
-    different vectors of a length all pairs are compared; of a larger one
-    those that share a filter of ``code`` (if not given: one planned for the
-    length's largest label).
+    smallest of its rows' that is not null; unlike vectors of one id are
+    judged each on its own; an empty table gives an empty result; other
+    columns are not read.  Compared are vectors that share a filter of
+    ``code`` (if not given: one planned for the length's largest label), and
+    one that passes fewer than ``least`` filters with all of its label.
     """
     rows = vectors.select(F.col(id_col), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
     usable = F.col("label").isNotNull() & F.coalesce(
@@ -261,29 +323,21 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     # the checkpoint fixes the classes' own ids
     classes = cut_lineage(classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("dim", F.size("vec")))
     members = classes.select("label", "dim", "cid", "copies", "vec")
-    # at most a row for every ``whole`` classes
-    large = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > whole)
-    codes = {r["dim"]: code or plan_code(r["n"], r["dim"], cosine) for r in large.groupBy("dim").agg(F.max("n").alias("n")).collect()}
-    codes = {dim: c for dim, c in codes.items() if c}
-    names = ["label", "dim", "filter", "cid", "copies", "vec", "filters"]
-    rest, parts = members, []
-    if codes:
-        large = F.broadcast(large.where(F.col("dim").isin(*codes)).select("label", "dim"))
-        kind = dict(classes.dtypes)["label"]
-        rest = members.join(large, ["label", "dim"], "left_anti")
-        parts.append(members.join(large, ["label", "dim"], "left_semi").mapInArrow(
-            _postings(codes), f"label {kind}, dim int, filter bigint, cid bigint, copies bigint, vec array<double>, filters array<bigint>"))
-    parts.append(rest.withColumn("filter", F.lit(0).cast("bigint")).withColumn("filters", F.array("filter")).select(names))
-    postings = reduce(DataFrame.unionByName, parts)
-    units = bucket_units(cut_lineage(postings), ["label", "dim", "filter"], "cid", block)
-    found = cut_lineage(units.groupBy("label", "dim", "filter", "_i", "_j").applyInArrow(
-        _verify(cosine), "cid bigint, links bigint, parent bigint"))
+    # a row for every vector length comes to the driver
+    most = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()
+    codes = {r["dim"]: code or plan_code(r["n"], r["dim"], cosine) for r in most}
+    kind = dict(classes.dtypes)["label"]
+    postings = cut_lineage(members.mapInArrow(
+        _postings(codes, least), f"label {kind}, dim int, filter bigint, cid bigint, copies bigint, vec array<double>, filters array<bigint>"))
+    units = bucket_units(postings.where(F.col("filter") >= 0), ["label", "dim", "filter"], "cid", block)
+    found = units.groupBy("label", "dim", "filter", "_i", "_j").applyInArrow(_verify(cosine), "cid bigint, links bigint, parent bigint")
+    found = cut_lineage(found.unionByName(_whole_label(members, postings, cosine, block)))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     joined = connected_components(found.where(F.col("cid") != F.col("parent")), "cid", "parent")
-    joined = classes.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.struct(F.coalesce("component", "cid")))
-    # a component is called after the smallest id of its rows; the struct has this small side shuffled anew
+    joined = classes.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("component", "cid"))
+    # a component is called after the smallest id of its rows
     names = joined.groupBy("root").agg(F.min("name").alias("component_id"))
-    named = joined.join(links, "cid", "left").join(names, "root").select(
+    named = on_keys(joined.join(links, "cid", "left"), names, ["root"]).select(
         "label", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = rows.join(named, ["label", "vec"], "left")
     component = F.coalesce("component_id", F.col(id_col))

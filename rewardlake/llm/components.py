@@ -3,8 +3,9 @@
 A large star links every larger neighbour of a node to the smallest node of
 its neighbourhood, a small star does so with the smaller neighbours; a few
 alternations turn every component into one star around its smallest node.
-Only aggregates and equi-joins on the edge table, cut by a reliable
-checkpoint each round; nothing is collected but a count and a checksum.
+Only aggregates and equi-joins on the edge table (on wrapped keys, so that
+the star around a large component's smallest node can be split), cut by a
+reliable checkpoint each round; nothing is collected but a count and a checksum.
 """
 
 from __future__ import annotations
@@ -12,18 +13,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import on_keys
 from .common import cut_lineage
 
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    return both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return on_keys(both, low, ["u"]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     low = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(low, "u").where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = on_keys(e, low, ["u"]).where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 

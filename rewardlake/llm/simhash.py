@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..shipping import ship_by_value
-from .blocks import bucket_units
+from .blocks import bucket_units, on_keys
 from .common import cut_lineage
 from .components import connected_components
 
@@ -33,8 +33,8 @@ SEED, BITS, BYTES = 42, 64, 8
 BLOCK = 2048
 #: shingles whose bits are unpacked at once
 PIECE = 1 << 16
-#: distinct fingerprints up to which three-byte sets keep chance meetings rare
-SMALL_INDEX = 1 << 24
+#: positional bytes of a posted set (n fingerprints meet one by chance in about n / 2^21 places; blocks bound the work)
+POSTED = 3
 
 
 def text_fingerprint(text: bytes | None, words: int) -> int:
@@ -112,12 +112,11 @@ def _forest_udf(max_bits: int):
     kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
     @arrow_udf("array<struct<a:bigint,b:bigint>>")
-    def forest(fps: pa.Array, ids: pa.Array) -> pa.Array:
+    def forest(fps: pa.Array) -> pa.Array:
         out = []
-        for i in range(len(fps)):
-            f = np.asarray(fps[i].values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
-            n = np.asarray(ids[i].values.to_numpy(zero_copy_only=False), np.int64)
-            out.append([{"a": a, "b": b} for a, b in unit_forest(f, n, max_bits)])
+        for one in fps:
+            f = np.asarray(one.values.to_numpy(zero_copy_only=False), np.int64)
+            out.append([{"a": a, "b": b} for a, b in unit_forest(f.view(np.uint64), f, max_bits)])
         return pa.array(out, kind)
     return forest
 
@@ -127,22 +126,24 @@ def fingerprint_components(prints: DataFrame, max_bits: int = 3, id_col: str = "
     """Add ``component_id``: the smallest id reachable over links of at most
     ``max_bits`` differing bits.  ``prints`` should be cheap to read twice.
 
-    Equal fingerprints form one class first.  Rows without an id take part
-    in links through other rows only; they get their class's component.
+    The nodes are the fingerprints themselves, named by ids only at the end:
+    rows without an id hold their component together like any other, and
+    unlike rows that share an id are judged each on its own.  A component
+    without any id has none.
     """
-    classes = prints.groupBy(fp_col).agg(F.min(id_col).alias("_rep")).where(F.col("_rep").isNotNull())
-    classes = cut_lineage(classes)
-    shared = BYTES - max_bits
-    size = 3 if classes.count() <= SMALL_INDEX else shared
-    sets = index_sets(shared, min(size, shared))
-    postings = classes.select(F.col(fp_col).alias("_fp"), "_rep", F.explode(_posting_keys(F.col(fp_col), sets)).alias("_key"))
+    fp = F.col(fp_col)
+    classes = cut_lineage(prints.where(fp.isNotNull()).groupBy(fp.alias("_fp")).agg(F.min(id_col).alias("_id")))
+    sets = index_sets(BYTES - max_bits, min(POSTED, BYTES - max_bits))
+    postings = classes.select("_fp", F.explode(_posting_keys(F.col("_fp"), sets)).alias("_key"))
     units = bucket_units(postings, ["_key"], "_fp", block)
-    lists = units.groupBy("_key", "_i", "_j").agg(F.collect_list(F.struct("_fp", "_rep")).alias("m"))
-    links = lists.select(F.inline(_forest_udf(max_bits)(F.col("m._fp"), F.col("m._rep"))))
-    found = connected_components(links)
-    named = classes.join(found, classes["_rep"] == found["node"], "left") \
-                   .select(F.col(fp_col), F.coalesce("component", "_rep").alias("component_id"))
-    return prints.join(named, fp_col, "left")
+    lists = units.groupBy("_key", "_i", "_j").agg(F.collect_list("_fp").alias("m"))
+    found = connected_components(lists.select(F.inline(_forest_udf(max_bits)(F.col("m")))))
+    joined = classes.join(found, classes["_fp"] == found["node"], "left") \
+                    .select("_fp", "_id", F.coalesce("component", "_fp").alias("_root"))
+    names = joined.groupBy("_root").agg(F.min("_id").alias("component_id"))
+    named = on_keys(joined, names, ["_root"]).select("_fp", "component_id")
+    # rows of one fingerprint may be many
+    return on_keys(prints, named.withColumnRenamed("_fp", fp_col), [fp_col], "left")
 
 
 def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 3, id_col: str = "doc_id",
@@ -151,8 +152,9 @@ def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 3, id_co
 
     Defined cases: null, empty and white-space texts have fingerprint 0 and
     link like any other; texts of fewer than ``words`` words are one shingle;
-    repeated rows share a class; null ids get their class's component (null
-    if no row of it has an id); an empty table gives an empty result; other
+    repeated rows share a class; null ids get their component's id (null if
+    no row of it has one) and hold it together; unlike texts of one id are
+    judged each on its own; an empty table gives an empty result; other
     columns are not read.
     """
     prints = docs.select(F.col(id_col), fingerprint(F.col(text_col), words).alias("fingerprint"))

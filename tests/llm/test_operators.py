@@ -8,11 +8,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rewardlake.llm import (
-    caps, components, licenses, mix, pack, quality, queries, secrets, shards, simhash, sketch, toxicity,
+    blocks, caps, components, licenses, mix, pack, quality, queries, secrets, shards, simhash, sketch, toxicity,
 )
 from rewardlake.llm.common import quantile_bounds, range_chunk
 
@@ -222,6 +223,68 @@ def test_simhash_components(spark, odd_docs, no_docs):
     assert simhash.simhash_components(no_docs).count() == 0
 
 
+def test_simhash_null_bridges_and_shared_ids(spark):
+    """Rows without an id hold a component together; unlike rows of one id
+    do not weld theirs."""
+    rows = [(1, 0), (None, 7), (2, 63)]
+    d = spark.createDataFrame(rows, "doc_id bigint, fingerprint bigint")
+    got = {r.fingerprint: r.component_id for r in simhash.fingerprint_components(d).collect()}
+    assert got == {0: 1, 7: 1, 63: 1}
+    f1, f2 = 0x0F0F0F0F0F0F0F0F, 0x7FFF000000000000
+    rows = [(5, f1), (5, f2), (3, f1 ^ 1), (9, f2 ^ 1), (None, 0x00FF00FF00FF00FF)]
+    got = {r.fingerprint: r.component_id for r in simhash.fingerprint_components(
+        spark.createDataFrame(rows, "doc_id bigint, fingerprint bigint")).collect()}
+    assert got == {f1: 3, f1 ^ 1: 3, f2: 5, f2 ^ 1: 5, 0x00FF00FF00FF00FF: None}
+
+
+def test_simhash_query(spark, docs):
+    """The registered query against brute force over whole texts."""
+    import xxhash
+    fps = {}
+    for r in docs:
+        w = (r.text or "").encode().lower().split()
+        shingles = [b" ".join(w[i:i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+        ones = np.zeros(64, int)
+        for x in shingles:
+            h = xxhash.xxh64_intdigest(x, 42)
+            ones += [h >> b & 1 for b in range(64)]
+        fps[r.doc_id] = sum(1 << b for b in range(64) if 2 * ones[b] > len(shingles))
+    ids = sorted(fps)
+    root = _roots(len(ids), [(i, j) for i in range(len(ids)) for j in range(i) if (fps[ids[i]] ^ fps[ids[j]]).bit_count() <= 3])
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op9_simhash(spark, SF).collect()}
+    assert got == {ids[i]: (f"{fps[ids[i]]:016x}", ids[root[i]]) for i in range(len(ids))}
+
+
+def _biggest_task(df):
+    """Share of rows in the fullest partition under small skew-join limits."""
+    spark = df.sparkSession
+    counts = [r["c"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("x").alias("c")).collect()]
+    return max(counts) / sum(counts), sum(counts)
+
+
+def test_hot_buckets_and_stars_are_split(spark):
+    """A third of the rows under one key: the joins with the key's own
+    aggregate are split."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    d = spark.range(300_000).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 20_000).alias("k"), F.col("id").alias("m"),
+                                    F.sha2(F.col("id").cast("string"), 512).alias("x"))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        units = blocks.bucket_units(d, ["k"], "m", 1 << 20)
+        share, n = _biggest_task(units)
+        assert n == 300_000 and share < 0.25
+        facts = d.groupBy("k").agg(F.min("m").alias("least"))
+        share, n = _biggest_task(blocks.on_keys(d, facts, ["k"]).withColumn("x", F.concat("x", "least")))
+        assert n == 300_000 and share < 0.25
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_simhash_bits(spark):
     import xxhash
     assert spark.sql("select xxhash64('a b c') x").first()["x"] % 2 ** 64 == xxhash.xxh64_intdigest(b"a b c", 42)
@@ -281,19 +344,60 @@ def test_near_vectors_whole_label_and_filters(spark):
     d = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(np.vstack([u, v]))], "vec_id bigint, embedding array<double>, label int")
     x = np.vstack([u, v]) / np.linalg.norm(np.vstack([u, v]), axis=1, keepdims=True)
     want = (x @ x.T >= 0.93).sum(axis=1) - 1
-    for whole, least in ((caps.WHOLE, 1.0), (1000, 0.99)):
-        got = {r.vec_id: r.n_links for r in caps.near_vectors(d, whole=whole).collect()}
+    # by filters, by filters and whole labels in about equal parts, and all of it by whole labels
+    code = caps.plan_code(len(x), 24, 0.93)
+    mean = int(np.mean([len(h) for h in caps.decode(x, code, code.books(24))]))
+    for few, least in ((caps.LEAST, 0.99), (mean, 0.99), (10 ** 6, 1.0)):
+        got = {r.vec_id: r.n_links for r in caps.near_vectors(d, least=few, block=700).collect()}
         links = np.array([got[i] for i in range(len(x))])
         assert (links <= want).all() and links.sum() >= least * want.sum()
 
 
+def test_near_vectors_query(spark, tmp_path):
+    """The registered query over a table of near copies against all pairs,
+    and how many of its vectors go through filters."""
+    given = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()
+    rng = np.random.default_rng(11)
+    rows = [(r.vec_id, r.embedding, r.label) for r in given]
+    for k in range(1500):
+        i, v, n = rows[rng.integers(0, 200)]
+        w = np.array(v) + rng.normal(size=len(v)) * rng.choice([0.0, 0.01, 0.035, 0.045])
+        rows.append((10_000 + k, [float(c) for c in w], n))
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    e = spark.read.parquet(f"{tmp_path}/embeddings.parquet").collect()
+    x = np.array([r.embedding for r in e], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label, ids = np.array([r.label for r in e]), np.array([r.vec_id for r in e])
+    order = np.argsort(ids)
+    x, label, ids = x[order], label[order], ids[order]
+    near = (x @ x.T >= 0.93) & (label[:, None] == label[None, :]) & ~np.eye(len(x), dtype=bool)
+    root = _roots(len(x), list(zip(*np.nonzero(near), strict=True)))
+    got = {r.vec_id: r for r in queries.op8_near_vectors(spark, str(tmp_path)).collect()}
+    links = np.array([got[i].n_links for i in ids])
+    assert near.sum() > 5000 and (links <= near.sum(axis=1)).all() and links.sum() >= 0.999 * near.sum()
+    assert np.mean([got[ids[k]].component_id == ids[root[k]] for k in range(len(ids))]) >= 0.999
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+    code = caps.plan_code(int(np.bincount(label).max()), x.shape[1], 0.93)
+    assert np.mean([len(h) >= caps.LEAST for h in caps.decode(x, code, code.books(x.shape[1]))]) > 0.9
+
+
+@pytest.mark.parametrize("rows", [1, 20, 200, 2000, 16_384, 16_385])
+def test_near_vectors_plan_of_every_label_size(rows):
+    code = caps.plan_code(rows, 64, 0.93)
+    u, v = _pairs_at(np.random.default_rng(rows), 800, 64, 0.93)
+    hits = [caps.decode(m, code, code.books(64)) for m in (u, v)]
+    met = [bool(np.intersect1d(a, b).size) for a, b in zip(*hits, strict=True)]
+    few = [len(a) < caps.LEAST or len(b) < caps.LEAST for a, b in zip(*hits, strict=True)]
+    assert np.mean(np.array(met) | np.array(few)) > 0.995
+
+
 def test_near_vectors_null_and_shared_ids(spark):
     at = lambda deg: [math.cos(math.radians(deg)), math.sin(math.radians(deg))]
     rows = [(5, at(0), 0), (None, at(15), 0), (None, at(15), 0), (3, at(30), 0), (9, at(100), 0), (9, at(200), 0), (8, at(205), 0),
             (None, at(300), 0)]
     d = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
-    for whole in (caps.WHOLE, 1):
-        got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in caps.near_vectors(d, whole=whole).collect())
+    for few in (caps.LEAST, 0, 1000):
+        got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in caps.near_vectors(d, least=few).collect())
         assert got == [(0, 0, 0, True), (0, 3, 3, False), (0, 3, 3, False), (3, 2, 3, True), (5, 2, 3, False),
                        (8, 1, 8, True), (9, 0, 9, True), (9, 1, 8, False)]
 
@@ -401,12 +505,37 @@ def test_pack(spark, docs, odd_docs, no_docs):
     assert pack.pack_documents(no_docs).count() == 0
 
 
-def test_words_equal_the_tokenizer():
-    words = pack.Words(pack.default_tokenizer())
+def test_words_equal_the_tokenizer(docs):
+    words = pack.Words(pack.default_tokenizer(), cache=500)        # emptied many times
     assert not words.whole
-    for t in ("İstanbul ŉ ſ ÀÉ x y z \x1c\x1d á Σας <|endoftext|> it's I'M 12345", "日本語 emoji 😀👍🏽 tab\tand\x0bvt\x85nel",
-              "don''t '''s 's'S ﬁ ½ ²", "combining ́ alone ẹ́ <|startoftext|>x", ""):
-        assert words.ids(t.encode()) == words.pack(words.tokenizer.encode(t, add_special_tokens=False).ids)
+    texts = ["İstanbul ŉ ſ ÀÉ x y z \x1c\x1d á Σας <|endoftext|> it's I'M 12345", "日本語 emoji 😀👍🏽 tab\tand\x0bvt\x85nel",
+             "don''t '''s 's'S ﬁ ½ ²", "combining ́ alone ẹ́ <|startoftext|>x", "", " ", None, " lead trail ", *(r.text for r in docs)]
+    for part in (texts[:9], texts, texts[5:7], []):
+        ids, ends = words.ids(pa.array([None if t is None else t.encode() for t in part], pa.binary()))
+        got = [ids[a:b].tolist() for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+        assert got == [words.tokenizer.encode(t or "", add_special_tokens=False).ids for t in part]
+    broken = [b"ab\xff \xc3 x\xe4\xb8", b"\xf0\x9f\x98"]
+    ids, ends = words.ids(pa.array(broken, pa.binary()))
+    assert ids[:ends[0]].tolist() == words.tokenizer.encode(broken[0].decode("utf-8", "replace"), add_special_tokens=False).ids
+
+
+def test_words_fall_back_to_whole_texts():
+    class Joined:                                                  # a tokenizer that looks across white space
+        def encode_batch_fast(self, texts, add_special_tokens):
+            return [type("E", (), {"ids": [len(t)]})() for t in texts]
+    words = pack.Words(pack.default_tokenizer())
+    words.tokenizer = Joined()
+    assert not words.agrees(["two words"])
+    words.whole = True
+    ids, ends = words.ids(pa.array([b"two words", None, b"x"], pa.binary()))
+    assert ids.tolist() == [9, 0, 1] and ends.tolist() == [1, 2, 3]
+
+
+def test_text_slices_are_bounded():
+    texts = pa.array([b"x" * n for n in (0, 10, 9 << 20, 3, 2 << 20, 3 << 20)] + [None], pa.binary())
+    got = [(at, len(t)) for at, t in pack.text_slices(texts)]
+    assert got == [(0, 2), (2, 1), (3, 2), (5, 2)]
+    assert list(pack.text_slices(texts.slice(0, 0))) == []
 
 
 # -- classifiers ---------------------------------------------------------------
