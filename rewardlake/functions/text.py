@@ -172,10 +172,15 @@ def log_trajectory(logs) -> Column:
 
 
 def log_predictions(logs, instance_id: Column, model_name: Column) -> Column:
-    """Prediction struct from the preds JSON block: the record under the
+    """Prediction struct from the preds JSON block of a log."""
+    return block_predictions(between_markers(logs, PREDS_START, PREDS_END), instance_id, model_name)
+
+
+def block_predictions(block: Column, instance_id: Column, model_name: Column) -> Column:
+    """Prediction struct from a preds JSON block: the record under the
     instance's own id (which must carry ``instance_id``), else the only
     record, else an empty prediction; bad JSON -> empty prediction."""
-    preds = F.from_json(between_markers(logs, PREDS_START, PREDS_END), PREDS_SCHEMA)
+    preds = F.from_json(block, PREDS_SCHEMA)
     own = F.element_at(preds, instance_id)
     has_own = F.coalesce(F.map_contains_key(preds, instance_id), F.lit(False))
     only = F.element_at(F.map_values(preds), 1)
@@ -204,6 +209,31 @@ def log_prediction(logs, instance_id: Column, model_name: Column, extraction: Co
                   log_predictions(logs, instance_id, model_name)).otherwise(raw)
 
 
+#: the blocks of a job log and their markers
+LOG_BLOCKS = {"preds": (PREDS_START, PREDS_END), "patch": (PATCH_START, PATCH_END),
+              "eval": (EVAL_START, EVAL_END), "traj": (TRAJ_START, TRAJ_END)}
+
+
+def log_marks(logs) -> Column:
+    """Where every marker of a log first stands (0: nowhere), as one struct
+    ``<block>_start, <block>_end, applied, failed``; extractions slice by it."""
+    c = col_(logs)
+    at = {f"{b}_{side}": m for b, pair in LOG_BLOCKS.items() for side, m in zip(("start", "end"), pair, strict=True)}
+    return F.struct(*[F.instr(c, m).alias(n) for n, m in (at | {"applied": APPLIED, "failed": APPLY_FAILED}).items()])
+
+
+def marked_block(logs, marks: Column, block: str) -> Column:
+    """G11 from ``log_marks``: as ``between_markers`` of the block's markers."""
+    s, e = marks[f"{block}_start"], marks[f"{block}_end"]
+    body = s + F.lit(len(LOG_BLOCKS[block][0]))
+    return F.when((s > 0) & (e >= body), py_strip(col_(logs).substr(body, e - body))).otherwise(F.lit(""))
+
+
+def marked_status(marks: Column) -> Column:
+    """G30 from ``log_marks``."""
+    return F.when(marks["failed"] > 0, F.lit("failed")).when(marks["applied"] > 0, F.lit("applied")).otherwise(F.lit("unknown"))
+
+
 def apply_status(logs) -> Column:
     """Patch-apply marker in the job log."""
     logs = col_(logs)

@@ -89,6 +89,33 @@ def q_diff_lines(spark, sf_dir):
         "text")
 
 
+_PER_FILE_SQL = f"""
+, {_DIFF_LINES_SQL}
+select instance_id, file, count(*) filter (where kind = '+') as added, count(*) filter (where kind = '-') as removed,
+  max(new_lineno) as last_line
+from dl where file is not null group by instance_id, file
+"""
+_PER_FILE = "file, count_if(kind = '+') as added, count_if(kind = '-') as removed, max(new_lineno) as last_line"
+
+
+@query("q_table_lines", ops="E8, G9, I1", views=("patches",), oracle=_PER_FILE_SQL)
+def q_table_lines(spark, sf_dir):
+    """The Arrow table function in SQL: lines added and removed per file."""
+    OP.register_functions(spark)
+    return spark.sql(f"""
+        select key as instance_id, {_PER_FILE} from patch_lines(table(select instance_id, patch from {{patches}}))
+        where file is not null group by key, file""", patches=fixture(spark, sf_dir, "patches"))
+
+
+@query("q_lateral_lines", ops="E8, I1", views=("patches",), oracle=_PER_FILE_SQL)
+def q_lateral_lines(spark, sf_dir):
+    """The same by a lateral join with the function of one patch."""
+    OP.register_functions(spark)
+    return spark.sql(f"""
+        select instance_id, {_PER_FILE} from {{patches}} p, lateral patch_lines_of(p.patch) l
+        where file is not null group by instance_id, file""", patches=fixture(spark, sf_dir, "patches"))
+
+
 @query("q_hunk_text", ops="G9, E8", views=("patches",), oracle=f"""
 , {_DIFF_LINES_SQL}
 select instance_id, file, hunk_pos, min(new_lineno) as new_start, count(*) as n_lines,

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import variant as V
 from ..operators import answers as AN
 from ..operators import joins as J
+from ..operators import logs as LG
 from ..operators import reports as R
 from ..sources.fixtures import fixture
 from ..sources.tables import table
@@ -234,14 +236,25 @@ select 'raw-agent', instance_id, instance_id, {D.between('logs', T.PATCH_START,
 from logs
 """)
 def q_logs_dispatch(spark, sf_dir):
-    lg = fixture(spark, sf_dir, "logs")
-    parts = []
-    for agent, extraction in AGENTS:
-        p = T.log_prediction("logs", F.col("instance_id"), F.lit("agent-model"), F.lit(extraction))
-        parts.append(lg.select(F.lit(agent).alias("agent"), "instance_id", p.alias("p")).select(
-            "agent", "instance_id", F.col("p.instance_id").alias("pred_instance_id"),
-            "p.model_patch", "p.model_name_or_path"))
-    return parts[0].unionByName(parts[1])
+    return LG.dispatch(fixture(spark, sf_dir, "logs"), dict(AGENTS)).drop("apply_status")
+
+
+MORE_AGENTS = {"mini": "preds_json:preds.json", "mini-v2": "preds_json:out/preds.json", "raw-agent": "raw_patch", "diff": "git_diff"}
+
+
+@query("q_logs_agents", ops="G13, G11, G12, G30", views=("logs",), oracle=f"""
+select agent, instance_id, apply_status,
+  case when json then pred_instance_id else instance_id end as pred_instance_id,
+  case when json then model_patch else patch end as model_patch,
+  case when json then model_name_or_path else 'agent-model' end as model_name_or_path
+from (select instance_id, {D.between('logs', T.PATCH_START, T.PATCH_END)} as patch, {_preds_sql("'agent-model'")},
+        case when strpos(logs, {D.lit(T.APPLY_FAILED)}) > 0 then 'failed'
+             when strpos(logs, {D.lit(T.APPLIED)}) > 0 then 'applied' else 'unknown' end as apply_status from logs) l,
+  (values ('mini', true), ('mini-v2', true), ('raw-agent', false), ('diff', false)) as a(agent, json)
+""")
+def q_logs_agents(spark, sf_dir):
+    """Four agents' predictions and the apply status from one scan."""
+    return LG.dispatch(fixture(spark, sf_dir, "logs"), MORE_AGENTS)
 
 
 @query("q_apply_marker", ops="G30", views=("logs",), oracle=f"""
@@ -514,3 +527,42 @@ def q_label_parse(spark, sf_dir):
     lbl = F.expr(_LABEL.replace("as varchar", "as string"))
     parsed = F.from_json(lbl, "instance_id string")
     return e.select("event_id", F.coalesce(parsed["instance_id"], F.lit("unknown")).alias("instance_id"))
+
+
+@query("q_label_variant", ops="H5, H4, G12", oracle="""
+select event_id, case when event_id % 4 = 0 then 'inst__' || user_id when event_id % 4 = 1 then 'user-' || user_id
+    when event_id % 4 = 2 and event_id % 3 = 0 then 'map-' || event_id else 'unknown' end as instance_id,
+  case when event_id % 4 = 1 then cast(event_id as bigint) end as pos,
+  case when event_id % 4 = 3 then null when event_id % 4 = 2 and event_id % 3 > 0 then 'other'
+       when event_id % 4 = 1 then 'instance_id, pos' else 'instance_id' end as fields
+from events
+""")
+def q_label_variant(spark, sf_dir):
+    """Labels that come as JSON text, structs, maps and broken text, in one
+    VARIANT column."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    nth = F.col("event_id") % 4
+    user, event = F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    text = e.where(nth == 0).select("event_id", F.concat(F.lit('{"instance_id": "inst__'), user, F.lit('"}')).alias("label"))
+    struct = e.where(nth == 1).select("event_id", F.struct(F.concat(F.lit("user-"), user).alias("instance_id"),
+                                                          F.col("event_id").cast("bigint").alias("pos")).alias("label"))
+    key = F.when(F.col("event_id") % 3 == 0, F.lit("instance_id")).otherwise(F.lit("other"))
+    maps = e.where(nth == 2).select("event_id", F.create_map(key, F.concat(F.lit("map-"), event)).alias("label"))
+    broken = e.where(nth == 3).select("event_id", F.lit("not json").alias("label"))
+    rows = V.union_labels(text, struct, maps, broken)
+    label = F.col("label")
+    return rows.select("event_id", V.label_id(label).alias("instance_id"), V.label_field(label, "pos", "bigint").alias("pos"),
+                       F.array_join(F.array_sort(F.map_keys(V.label_object(label))), ", ").alias("fields"))
+
+
+@query("q_label_fields", ops="H4, H5", views=("tasks",), oracle="""
+select unnest(['instance_id', 'pos', 'repo', 'problem_statement', 'split']) as field,
+  unnest(['STRING', 'BIGINT', 'STRING', 'STRING', 'STRING']) as type,
+  unnest([count(instance_id), count(pos), count(repo), count(problem_statement), count(split)]) as n
+from tasks
+""")
+def q_label_fields(spark, sf_dir):
+    """Which fields the written training labels (H4) have, and their types."""
+    record = F.to_json(F.struct("instance_id", "pos", "repo", "problem_statement", "split"))
+    labels = fixture(spark, sf_dir, "tasks").select(record.alias("label"))
+    return V.label_fields(labels.select(V.as_label(labels, "label").alias("label")))
