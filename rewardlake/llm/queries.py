@@ -45,7 +45,7 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] < secrets.KINDS.index("random"))
     counts = [F.size(_of_kind(i)).cast("bigint").alias(f"n_{k}") for i, k in enumerate(secrets.KINDS)]
     return d.select("doc_id", *counts, F.sha2(secrets.spans_text(base).cast("binary"), 256).alias("base_sha256"),
-                    secrets.spans_text(F.col("spans")).alias("spans"))
+                    secrets.spans_text(F.col("spans")).alias("spans"), "base_judged", "base_random")
 
 
 def _of_kind(kind: int):

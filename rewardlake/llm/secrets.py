@@ -1,15 +1,20 @@
 """Secret scan: fixed patterns, and a battery of randomness tests.
 
-Patterns give the base spans.  Every other long run of key characters with
-both letters and digits is a candidate: its encoding is inferred from the
-characters it uses, and under the hypothesis that it is random three
-p-values are taken -- chi-squared uniformity over the encoding's alphabet,
-the runs test about the middle symbol, and the lag-one serial correlation --
-and combined.  Over the candidates of the whole corpus the tokens that are
+Patterns give the base spans.  What the patterns leave of every long run of
+key characters is a candidate if it has both letters and digits (a run that
+mixes the signs of two encodings is split at the rarer ones), and so is the
+value in every base span, whose verdict is told but which stays a span.  A
+candidate's encoding is inferred from the characters it uses, and under the
+hypothesis that it is random three p-values are taken -- chi-squared
+uniformity over the encoding's alphabet, the runs test about the middle
+symbol, and the lag-one serial correlation -- and combined.  Over the
+candidates of the whole corpus the tokens that are
 *not* random are rejected with a weighted Benjamini-Hochberg procedure: a
 token's weight grows with its length, because the tests tell more about long
 tokens, so at most the level's share of the rejected ones are random.  What
-stays and is long enough for the tests to tell anything is a secret.
+stays and is long enough for the tests to tell anything is a secret.  The
+bound is on random tokens lost, not on the share of false secrets among those
+kept: short identifiers that look random stay.
 """
 
 from __future__ import annotations
@@ -100,10 +105,35 @@ def weight(length: int) -> float:
     return math.sqrt(length / 20)
 
 
-def find(raw: bytes | None) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, float, float]]]:
-    """Base spans (kind, start, end) and candidates (start, end, p / weight,
-    weight) of a whole text, in code points.  Whole-text byte scans decide
-    which patterns have to run at all."""
+def judged(token: str) -> tuple[float, float] | None:
+    """p / weight and weight of a token; None if it has no encoding, not both
+    letters and digits, or is too short to be judged."""
+    token = token.rstrip("=")
+    if not (any(c in DIGITS for c in token) and any(c.isalpha() for c in token)):
+        return None
+    encoding = infer_encoding(token)
+    if not encoding or len(token) < encoding[2]:
+        return None
+    w = weight(len(token))
+    return battery(token, encoding[1]) / w, w
+
+
+def parts(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """A run as one token, or, where it mixes the signs of base64 and
+    base64url, split at the rarer kind of sign (at all of them if both are as
+    many)."""
+    run = text[start:end]
+    one, other = len(re.findall(r"[+/]", run)), len(re.findall(r"[-_]", run))
+    if not one or not other:
+        return [(start, end)]
+    signs = "+/-_" if one == other else "+/" if one < other else "-_"
+    return [(start + m.start(), start + m.end()) for m in re.finditer(f"[^{re.escape(signs)}]+", run)]
+
+
+def find(raw: bytes | None) -> tuple[list[tuple[str, int, int, tuple | None]], list[tuple[int, int, float, float]]]:
+    """Base spans (kind, start, end, verdict on its value) and candidates
+    (start, end, p / weight, weight) of a whole text, in code points.
+    Whole-text byte scans decide which patterns have to run at all."""
     raw = raw or b""
     low = raw.lower()
     wanted = [any(w in low for w in WORDS), b"AKIA" in raw, raw.translate(_HEX_BYTES).find(b"\x01" * LEAST["hex"]) >= 0,
@@ -111,36 +141,44 @@ def find(raw: bytes | None) -> tuple[list[tuple[str, int, int]], list[tuple[int,
     if not any(wanted):
         return [], []
     text = raw.decode("utf-8", "replace")
-    base: list[tuple[str, int, int]] = []
+    base: list[tuple] = []
     if wanted[0]:
-        base += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= LEAST["assign"]]
+        base += [("assign", m.start(), m.end(), judged(m.group(2))) for m in ASSIGN.finditer(text) if len(m.group(2)) >= LEAST["assign"]]
     if wanted[1]:
-        base += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
+        base += [("access", m.start(), m.end(), judged(m.group())) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
     if wanted[2]:
-        base += [("hex", m.start(), m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= LEAST["hex"]]
+        base += [("hex", m.start(), m.end(), judged(m.group())) for m in HEX.finditer(text) if m.end() - m.start() >= LEAST["hex"]]
     base.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     more: list[tuple[int, int, float, float]] = []
     if wanted[3]:
+        # the base spans as a union, in order
+        held: list[list[int]] = []
+        for _, s, e, _ in base:
+            if held and s <= held[-1][1]:
+                held[-1][1] = max(held[-1][1], e)
+            else:
+                held.append([s, e])
         ahead = 0
         for m in TOKEN.finditer(text):
-            s, e = m.span()
-            while ahead < len(base) and base[ahead][2] <= s:
+            at, end = m.span()
+            while ahead < len(held) and held[ahead][1] <= at:
                 ahead += 1
-            if any(b[1] < e and s < b[2] for b in base[ahead:ahead + 8]):
-                continue
-            token = m.group().rstrip("=")
-            if not (any(c in DIGITS for c in token) and any(c.isalpha() for c in token)):
-                continue
-            encoding = infer_encoding(token)
-            if encoding and len(token) >= encoding[2]:
-                w = weight(len(token))
-                more.append((s, e, battery(token, encoding[1]) / w, w))
+            free, k = [], ahead
+            while k < len(held) and held[k][0] < end:
+                free.append((at, held[k][0]))
+                at, k = held[k][1], k + 1
+            free.append((at, end))
+            for s, e in (p for f in free if f[1] - f[0] >= 20 for p in parts(text, *f)):
+                verdict = judged(text[s:e])
+                if verdict:
+                    more.append((s, e, *verdict))
     return base, more
 
 
-_FOUND = "struct<base:array<struct<start:bigint,kind:int,end:bigint>>,more:array<struct<start:bigint,end:bigint,x:double,w:double>>>"
+_FOUND = ("struct<base:array<struct<start:bigint,kind:int,end:bigint,x:double,w:double>>,"
+          "more:array<struct<start:bigint,end:bigint,x:double,w:double>>>")
 _FOUND_ARROW = pa.struct([
-    ("base", pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))),
+    ("base", pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("x", pa.float64()), ("w", pa.float64())]))),
     ("more", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("x", pa.float64()), ("w", pa.float64())])))])
 
 
@@ -155,7 +193,7 @@ def _find(text: Column) -> Column:
         out = []
         for raw in _raw(texts):
             base, more = find(raw)
-            out.append({"base": [{"start": s, "kind": KINDS.index(k), "end": e} for k, s, e in base],
+            out.append({"base": [{"start": s, "kind": KINDS.index(k), "end": e, "x": v and v[0], "w": v and v[1]} for k, s, e, v in base],
                         "more": [{"start": s, "end": e, "x": x, "w": w} for s, e, x, w in more]})
         return pa.array(out, _FOUND_ARROW)
     return run(F.coalesce(text, F.lit("")))
@@ -165,7 +203,10 @@ def random_cut(found: DataFrame, held: str = "found") -> float:
     """Weighted Benjamini-Hochberg over all candidates: the largest value of
     p / weight (weights of mean 1) that is rejected, taken over log-spaced
     bins; -1 if none is.  One row per bin reaches the driver."""
-    c = found.select(F.inline(f"{held}.more"))
+    # the values of base spans that could be judged are candidates too
+    x_and_w = lambda m: F.struct(m["x"].alias("x"), m["w"].alias("w"))
+    own = F.filter(f"{held}.base", lambda m: m["x"].isNotNull())
+    c = found.select(F.inline(F.concat(F.transform(f"{held}.more", x_and_w), F.transform(own, x_and_w))))
     edge = F.ceil(F.log10(F.greatest("x", F.lit(10.0 ** FLOOR))) * BINS).cast("int")
     bins = c.groupBy(edge.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")).collect()
     total, mean = sum(r["n"] for r in bins), sum(r["w"] for r in bins) / max(1, sum(r["n"] for r in bins))
@@ -181,23 +222,30 @@ def random_cut(found: DataFrame, held: str = "found") -> float:
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` but ``text``, and ``spans``: array of (start,
     kind, end) in code points, end exclusive, by start and then kind, where
-    ``kind`` indexes ``KINDS`` (the last is the battery's).
-
-    Defined cases: null and empty texts have no spans; repeated rows are
-    scanned alike; an input column named ``spans`` is replaced; without
-    candidates nothing is rejected.  The texts are read once.
+    ``kind`` indexes ``KINDS`` (the last is the battery's); ``base_judged`` and
+    ``base_random``: how many base spans have a value that the battery could
+    judge, and how many of these it did not reject.
+
+    Defined cases: null and empty texts have no spans; texts of any length
+    are scanned whole, also a single run; repeated rows are scanned alike;
+    input columns named like the new ones are replaced; without candidates
+    nothing is rejected; an empty table gives an empty result.  The texts are
+    read once.
     """
-    rest = [c for c in docs.columns if c not in ("text", "spans")]
+    rest = [c for c in docs.columns if c not in ("text", "spans", "base_judged", "base_random")]
     [held] = fresh(docs, "found")
     found = cut_lineage(docs.select(*rest, _find(F.col("text")).alias(held)))
     cut = random_cut(found.select(held), held)
-    return found.select(*rest, _kept(F.col(held), cut).alias("spans"))
+    count = lambda test: F.size(F.filter(F.col(held)["base"], test)).cast("bigint")
+    return found.select(*rest, _kept(F.col(held), cut).alias("spans"), count(lambda b: b["x"].isNotNull()).alias("base_judged"),
+                        count(lambda b: F.coalesce(b["x"] > cut, F.lit(False))).alias("base_random"))
 
 
 def _kept(found: Column, cut: float) -> Column:
     added = F.transform(F.filter(found["more"], lambda m: m["x"] > cut), lambda m: F.struct(
         m["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), m["end"].alias("end")))
-    return F.sort_array(F.concat(found["base"], added))
+    base = F.transform(found["base"], lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end")))
+    return F.sort_array(F.concat(base, added))
 
 
 def spans_text(spans: Column) -> Column:
@@ -219,7 +267,7 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
         out = []
         for raw in _raw(texts):
             base, more = find(raw)
-            spans = sorted([(s, e) for _, s, e in base] + [(s, e) for s, e, x, _ in more if x > cut])
+            spans = sorted([(s, e) for _, s, e, _ in base] + [(s, e) for s, e, x, _ in more if x > cut])
             if raw is None or not spans:
                 out.append(None if raw is None else raw.decode("utf-8", "replace"))
                 continue

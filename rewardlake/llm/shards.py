@@ -57,7 +57,10 @@ def shard_documents(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8,
     crc), null ids first.  ``grown_shard`` is the shard under ``grown``
     (default: one more shard of the first weight).
 
-    Defined cases: null text counts as empty; repeated rows are counted
+    The law is ``key``: the id and the number of shards decide.  One
+    exception: a row without an id has no key, so its text stands in for it
+    (else all such rows would be one hot shard); it too moves into a new
+    shard only.  Defined cases: null text counts as empty; repeated rows are counted
     first (one row per distinct record, so a record that makes up a third
     of the table is one row in the shuffle) and numbered one after another;
     an empty table gives an empty result; other columns are not read.

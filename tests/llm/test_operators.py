@@ -177,6 +177,50 @@ def test_secrets(spark, docs, odd_docs, no_docs):
     assert {r.text for r in red.where("doc_id = 8").collect()} == {'[SECRET]" é [SECRET]', "twice the same id"}
 
 
+def test_runs_of_mixed_signs_and_beside_base_spans_are_judged():
+    key = "9f8A7sQ2kLmZ0xYvB4nT6cRpW3eHj5Ud"
+    for text, want in ((f"svc-name/{key}", key), (f"sk-live/{key} x", key), (f"a/b+c/{key}-x", f"a/b+c/{key}"),
+                       (f"x_y/{key}==", key + "=="), (key, key)):
+        base, more = secrets.find(text.encode())
+        assert not base and [text[s:e] for s, e, *_ in more] == [want]
+    text = f"{key}/token={key}Zz9"                                  # the value is the base span's, the head is judged alone
+    base, more = secrets.find(text.encode())
+    assert [b[:3] for b in base] == [("assign", 33, len(text))] and base[0][3] is not None
+    assert [text[s:e] for s, e, *_ in more] == [key + "/"]
+    assert secrets.parts("a-b_c/d", 0, 7) == [(0, 5), (6, 7)] and secrets.parts("a-b/c", 0, 5) == [(0, 1), (2, 3), (4, 5)]
+
+
+def test_base_values_are_judged_and_stay(spark):
+    rng = np.random.default_rng(12)
+    chars = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+    texts = [f'password = "{"".join(rng.choice(chars, 40))}"' for _ in range(60)] + [f"token={'xy01' * 12}" for _ in range(60)] + ["secret: short-one"]
+    rows = secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    rows.sort(key=lambda r: r.doc_id)
+    assert all(len(r.spans) == 1 for r in rows) and [r.base_judged for r in rows] == [1] * 120 + [0]
+    assert sum(r.base_random for r in rows[:60]) >= 54 and sum(r.base_random for r in rows[60:]) == 0
+
+
+IDENTIFIERS = ["com.example.service.v2.UserAccountControllerTest2024", "getUserProfileByAccountId2InternalHandler", "node_modules/react-dom/cjs/react-dom.development.js",
+               "iso8859encodingtable1234", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "aaaaaaaaaaaaaaaaaaaa1111111111111111", "the-quick-brown-fox-jumps-over-13-lazy-dogs-again",
+               "release-2024-05-17-build-000123-linux-x86_64", "00000000000000000000000000000001", "/usr/local/lib/python3/site-packages/numpy/core",
+               "0123456789abcdef0123456789abcdef", "test_case_number_17_of_the_second_suite_for_parsing"]
+
+
+def test_precision_and_recall_on_planted_tokens(spark):
+    """What the README states: random tokens found, structured ones kept."""
+    rng = np.random.default_rng(13)
+    keys = [(a, n) for _, a, n in secrets.ENCODINGS if n < 40]
+    planted = ["".join(rng.choice(list(a), 44)) for a, _ in keys for _ in range(40)]
+    planted = [t for t in planted if any(c.isdigit() for c in t) and any(c.isalpha() for c in t)]
+    rows = secrets.scan_secrets(spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate([*planted, *(IDENTIFIERS * 20)])],
+                                                      "doc_id int, text string")).collect()
+    rows.sort(key=lambda r: r.doc_id)
+    found = [bool(r.spans) for r in rows]
+    recall = np.mean(found[:len(planted)])
+    false = {IDENTIFIERS[i % len(IDENTIFIERS)] for i, f in enumerate(found[len(planted):]) if f}
+    assert recall > 0.9 and len(false) <= 3, (recall, false)
+
+
 def test_battery_tells_random_from_structured():
     rng = np.random.default_rng(1)
     alphabet = secrets.ENCODINGS[5][1]
