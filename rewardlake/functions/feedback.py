@@ -12,6 +12,9 @@ DETAILS = ("error string, errors array<struct<file:string,line:int,offset:int,me
            "patch_successfully_applied boolean, tests_status map<string,string>")
 
 
+#: verifiers with feedback of their own
+OWN_WORDING = ("ast_check", "swe_test")
+
 #: splits a double into two halves of 26 bits, whose products are exact
 _SPLIT = float((1 << 27) + 1)
 
@@ -110,9 +113,12 @@ def feedback_message(ordered: DataFrame) -> DataFrame:
     ``score``, ``pass_threshold`` and, where recorded, ``details`` (JSON) and
     ``stdout``."""
     has = set(ordered.columns)
-    details = F.from_json(F.col("details") if "details" in has else F.lit(None).cast("string"), DETAILS)
     stdout = F.col("stdout") if "stdout" in has else F.lit(None).cast("string")
     status, score, limit = F.col("status"), F.col("score"), F.col("pass_threshold")
+    # only what did not pass is worded from its details
+    worded = F.col("name").isin(*OWN_WORDING) & ~_passed(status, score, limit)
+    noted = F.when(worded, F.col("details") if "details" in has else F.lit(None).cast("string"))
+    details = F.when(noted.isNotNull(), F.from_json(noted, DETAILS))
     g = (ordered.withColumn("_details", details)
          .withColumn("_line", format_feedback(F.col("name"), status, score, limit, F.col("_details"), stdout))
          .groupBy("instance_id")

@@ -1,7 +1,7 @@
 """Joins and keyed dedupe.
 
-All joins are equi-joins on string/bigint ids.  Only a side with a checked
-row count is broadcast (``small_side``); everything else is left to the
+All joins are equi-joins on string/bigint ids.  Callers may have a side of a checked
+row count broadcast (``small_side``); the library leaves its joins to the
 planner and AQE (sort-merge with runtime broadcast conversion and skew-split
 when a key is hot).
 """
@@ -169,6 +169,17 @@ def resolve_alias(df: DataFrame, name_col: str, out: str = "subset") -> DataFram
             .drop("alias_name", "alias_subset"))
 
 
+def returned_or_error(tasks: DataFrame, results: DataFrame, error: str = "Worker batch failed") -> DataFrame:
+    """F1 + B11: one row for every task: its result, or an error row with an
+    unresolved result where no batch returned one."""
+    fields = [c for c in results.columns if c not in ("instance_id", "error", "resolved")]
+    j = tasks.select("instance_id").join(results.withColumn("_returned", F.lit(True)), "instance_id", "left")
+    returned = F.coalesce("_returned", F.lit(False))
+    return j.select("instance_id", *fields, returned.alias("returned"),
+                    F.when(returned, F.col("error")).otherwise(F.lit(error)).alias("error"),
+                    F.when(returned, F.col("resolved")).otherwise(F.lit(False)).alias("resolved"))
+
+
 def union_results(*batches: DataFrame) -> DataFrame:
     """results of all batches; a lost batch simply contributes no rows
     (found later by a left join from the task table)."""

@@ -34,11 +34,9 @@ def with_passed(results: DataFrame) -> DataFrame:
         "passed", passed(F.col("status"), F.col("score"), F.col("pass_threshold")))
 
 
-def validate_config(config: DataFrame) -> DataFrame:
-    """Thresholds outside [0, 1] and negative weights fail the job.
-
-    The checks are a filter (not a projected column), so they run even when
-    a later ``select`` prunes the checked columns."""
+def config_problem(config: DataFrame) -> Column:
+    """What is wrong with a row's threshold (outside [0, 1])
+    or weight (negative); null where nothing is."""
     t = F.col("pass_threshold")
     problem = F.when((t < 0) | (t > 1), F.concat(F.lit("pass_threshold must be in [0.0, 1.0], got "),
                                                   t.cast("string")))
@@ -47,6 +45,21 @@ def validate_config(config: DataFrame) -> DataFrame:
         problem = F.coalesce(problem, F.when(w < 0, F.concat(F.lit("Weight for '"), F.col("name"),
                                                              F.lit("' must be non-negative, got "),
                                                              w.cast("string"))))
+    return problem
+
+
+def config_problems(config: DataFrame) -> DataFrame:
+    """B15 as a report: the rows that ``validate_config`` refuses, each with
+    its ``problem``."""
+    return config.withColumn("problem", config_problem(config)).filter(F.col("problem").isNotNull())
+
+
+def validate_config(config: DataFrame) -> DataFrame:
+    """Thresholds outside [0, 1] and negative weights fail the job.
+
+    The checks are a filter (not a projected column), so they run even when
+    a later ``select`` prunes the checked columns."""
+    problem = config_problem(config)
     return config.filter(F.when(problem.isNotNull(), F.raise_error(problem).cast("boolean"))
                          .otherwise(F.lit(True)))
 

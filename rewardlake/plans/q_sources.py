@@ -8,6 +8,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from ..operators import joins as J
 from ..operators import scoring as S
 from ..operators import verifier as V
 from ..shipping import ship_by_value
@@ -76,6 +77,32 @@ def q_artifact_manifest(spark, sf_dir):
     return m.select(F.regexp_replace("key", "/[^/]+$", "").alias("folder"), "length")
 
 
+_BATCHES_SQL = """
+b as (select r.*, cast(substr(instance_id, 7) as bigint) as k, cast(substr(instance_id, 7) as bigint) % 40 as n from instance_results r),
+lost as (select distinct n from b where k % 1700 = 901)
+"""
+
+
+@query("q_batch_results", ops="F1, B11, F4", views=("instance_results",), oracle=f"""
+, {_BATCHES_SQL}
+select b.instance_id, case when l.n is null then cast(b.n as varchar) end as batch, l.n is null as returned,
+  case when l.n is null then b.error else 'Worker batch failed' end as error,
+  case when l.n is null then b.resolved else false end as resolved
+from b left join lost l on l.n = b.n
+""")
+def q_batch_results(spark, sf_dir):
+    """Results left as files by worker batches; a batch with a line that was
+    cut off is lost whole and its tasks become error rows."""
+    r, path = fixture(spark, sf_dir, "instance_results"), new_area(spark, "batches")
+    k = F.substring("instance_id", 7, 1 << 20).cast("bigint")
+    line = F.to_json(F.struct("instance_id", "error", "patch_exists", "resolved"), {"ignoreNullFields": "false"})
+    cut = F.when(k % 1700 == 901, F.left(line, F.length(line) - 5)).otherwise(line)
+    (r.select((k % 40).cast("string").alias("batch"), cut.alias("value")).repartition("batch")
+     .write.partitionBy("batch").text(path))
+    whole, _ = FS.read_batches(spark, path, "instance_id string, error string, patch_exists boolean, resolved boolean")
+    return J.returned_or_error(r, whole.drop("patch_exists")).select("instance_id", "batch", "returned", "error", "resolved")
+
+
 def _store_files(spark, sf_dir, cond=None):
     """Files of a prediction store: most hold a prediction, some folders
     have another name, broken JSON, a list, no id or no prediction at all."""
@@ -199,6 +226,21 @@ def q_validated(spark, sf_dir):
     return S.validate_config(r).select("instance_id", "name", "pass_threshold", "weight")
 
 
+@query("q_config_problems", ops="B15", views=("verifier_results",), oracle="""
+select instance_id, name, case when t < 0 or t > 1 then 'pass_threshold must be in [0.0, 1.0], got ' || t
+    else 'Weight for ' || chr(39) || name || chr(39) || ' must be non-negative, got ' || w end as problem
+from (select instance_id, name, cast(instance_id % 8 as double) / 4 - 0.5 as t, score - cast(instance_id % 3 as double) / 4 as w
+      from verifier_results) r
+where t < 0 or t > 1 or w < 0
+""")
+def q_config_problems(spark, sf_dir):
+    """The thresholds and weights that validation refuses, and why."""
+    r = fixture(spark, sf_dir, "verifier_results")
+    config = r.select("instance_id", "name", ((F.col("instance_id") % 8).cast("double") / 4 - 0.5).alias("pass_threshold"),
+                      (F.col("score") - (F.col("instance_id") % 3).cast("double") / 4).alias("weight"))
+    return S.config_problems(config).select("instance_id", "name", "problem")
+
+
 @query("q_aggregators", ops="D4, D1-D3", views=("verifier_results",), oracle="""
 select instance_id, avg(e) as mean, min(e) as min, sum(e) / count(*) as weighted_sum
 from (select instance_id, case when status = 'ok' then score else cast(0.0 as double) end as e from verifier_results) r

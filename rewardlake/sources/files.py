@@ -53,6 +53,21 @@ def completed_ids(spark: SparkSession, root: str) -> DataFrame:
     return read_prediction_store(spark, root).select("instance_id").distinct()
 
 
+def read_batches(spark: SparkSession, root: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """the results that worker batches left as JSON lines in
+    ``<root>/batch=<id>/``, as one table with ``batch``, and the lost batches
+    ``(batch, broken)``.  A batch that holds a line that is no record of
+    ``schema`` (cut off, not JSON) is lost whole: none of its rows count."""
+    rows = (spark.read.schema(f"{schema}, {CORRUPT} string, batch string").option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", CORRUPT).json(root))
+    first = schema.split()[0]
+    # counting a field as well keeps the reader parsing whole records
+    state = rows.groupBy("batch").agg(F.count(CORRUPT).alias("broken"), F.count(first).alias("_read"))
+    lost = state.filter(F.col("broken") > 0).select("batch", "broken")
+    whole = rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT).join(lost.select("batch"), "batch", "left_anti")
+    return whole, lost
+
+
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """One row per log file with its whole text."""
     return (spark.read.text(path, wholetext=True)
@@ -103,27 +118,27 @@ def write_artifacts(results: DataFrame, predictions: DataFrame, logs: DataFrame
     * ``trajectories`` -- only logs that carry a non-empty trajectory block
     * ``multi_turn``   -- where given, each run's nested record as JSON
 
-    A run id written again replaces that run's rows of every kind that has
-    rows again.
+    A run id written again replaces that run's rows of every kind written,
+    also by none.
     """
     from ..functions.text import log_trajectory
-    base = root.rstrip("/")
-    tag = F.lit(run_id).alias("run_id")
-    (predictions.select(tag, "instance_id", "model_patch", "model_name_or_path")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{base}/predictions"))
+    spark = results.sparkSession
+    folder = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(run_id)
+
+    def write(kind: str, rows: DataFrame) -> None:
+        # into the run's own partition, which also an empty table replaces
+        rows.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{kind}/run_id={folder}")
+
+    write("predictions", predictions.select("instance_id", "model_patch", "model_name_or_path"))
     report = F.when(F.col("resolved").isNotNull(),
                     F.to_json(F.struct("resolved", "patch_exists"))
                     ).otherwise(F.to_json(F.struct(F.col("error").alias("error")), {"ignoreNullFields": "false"}))
-    (results.select(tag, "instance_id", report.alias("report"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{base}/reports"))
+    write("reports", results.select("instance_id", report.alias("report")))
     if logs is not None:
         kept = logs.join(results.select("instance_id"), "instance_id", "left_semi")
-        (kept.filter(F.col("logs").isNotNull() & (F.col("logs") != "")).select(tag, "instance_id", "logs")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{base}/pod_logs"))
+        write("pod_logs", kept.filter(F.col("logs").isNotNull() & (F.col("logs") != "")).select("instance_id", "logs"))
         traj = log_trajectory(F.col("logs"))
-        (kept.select(tag, "instance_id", traj.alias("trajectory")).filter(F.col("trajectory") != "")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{base}/trajectories"))
+        write("trajectories", kept.select("instance_id", traj.alias("trajectory")).filter(F.col("trajectory") != ""))
     if records is not None:
         nested = F.to_json(F.struct(*[c for c in records.columns if c != "instance_id"]), {"ignoreNullFields": "false"})
-        (records.select(tag, "instance_id", nested.alias("multi_turn"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{base}/multi_turn"))
+        write("multi_turn", records.select("instance_id", nested.alias("multi_turn")))

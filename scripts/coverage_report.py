@@ -14,7 +14,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 TEST_ONLY = {
     "A2": "tests/test_sources.py::test_json_array",
     "A3": "tests/test_sources.py::test_prompt_jsonl (blank lines, empty text, duplicates, malformed line raises)",
-    "A4": "tests/test_sources.py::test_prediction_store",
+    "A4": "tests/test_sources.py::test_prediction_store, tests/test_stores.py (listing, reading, stream)",
+    "A12": "tests/test_stores.py (replacement, abort, recorded failure, compaction)",
     "A5": "no code: readers/writers take s3a:// and hdfs:// URIs directly",
     "A6": "tests/test_sources.py::test_logs_wholetext",
     "A7": "tests/test_sources.py::test_jsonl_and_summary_sinks",
@@ -24,10 +25,11 @@ TEST_ONLY = {
     "A11": "tests/test_sources.py::test_manifest_and_text_list",
     "B10": "tests/test_verifier.py::test_column_verifier_and_set",
     "B15": "tests/test_scoring.py::test_threshold_validation, test_bad_threshold_fails_even_when_pruned",
-    "C11": "operators/joins.small_side (size-checked broadcast), used by every config join",
+    "C11": "operators/joins.small_side (size-checked broadcast) for callers; the library leaves config joins to the planner",
     "D4": "tests/test_scoring.py::test_weights (unknown aggregator raises)",
     "F3": "tests/test_verifier.py::test_column_verifier_and_set",
-    "I1": "tests/test_verifier.py (Column and Arrow Python verifiers, per-row error capture)",
+    "I1": "tests/test_verifier.py (killed checks, memory limit, per-row error capture)",
+    "I2": "tests/test_verifier.py::test_hanging_parse_is_stopped",
     "I3": "operators/scoring.AGGREGATORS (Column factories), used by q_agg_*",
     "I4": "functions/text.code_fence, functions/patch.extract_diff (Column -> Column extractors)",
     "I5": "every operator is DataFrame -> DataFrame (composes with df.transform)",

@@ -176,3 +176,42 @@ def test_artifacts_written_again_replace_those_of_the_run(spark, tmp_dir):
     flat = unnest_record(record).collect()
     assert sorted((str(r.instance_id), r.turn, str(r.name)) for r in flat) == [
         ("None", 0, "None"), ("a", 0, "form"), ("a", 0, "size"), ("a", 1, "form")]
+
+
+def test_a_rerun_without_rows_of_a_kind_leaves_none(spark, tmp_dir):
+    res = spark.createDataFrame([("a", None, True, True)], "instance_id string, error string, patch_exists boolean, resolved boolean")
+    preds = spark.createDataFrame([("a", "p", "m")], "instance_id string, model_patch string, model_name_or_path string")
+    logs = spark.createDataFrame([("a", "some text")], "instance_id string, logs string")
+    root = f"{tmp_dir}/rerun"
+    for run in ("run=1/x", "run-2"):
+        FS.write_artifacts(res, preds, logs, root, run)
+    FS.write_artifacts(res, preds, logs.withColumn("logs", F.lit("")), root, "run=1/x")
+    assert [r.run_id for r in spark.read.parquet(f"{root}/pod_logs").collect()] == ["run-2"]
+    assert sorted(r.run_id for r in spark.read.parquet(f"{root}/predictions").collect()) == ["run-2", "run=1/x"]
+
+
+def test_a_batch_with_a_broken_line_is_lost_whole(spark, tmp_dir):
+    from rewardlake.operators import joins as J
+
+    lines = {"1": ['{"instance_id": "a", "error": null, "resolved": true}', '{"instance_id": "b", "error": "x", "resolved": null}'],
+             "2": ['{"instance_id": "c", "error": null, "resolved": true}', '{"instance_id": "d", "err'], "w-3": ["not json"],
+             "4": ['{"instance_id": "e"}'], "5": []}
+    for batch, rows in lines.items():
+        os.makedirs(f"{tmp_dir}/b/batch={batch}")
+        with open(f"{tmp_dir}/b/batch={batch}/part.json", "w") as f:
+            f.writelines(f"{r}\n" for r in rows)
+    whole, lost = FS.read_batches(spark, f"{tmp_dir}/b", "instance_id string, error string, resolved boolean")
+    assert sorted((r.batch, r.broken) for r in lost.collect()) == [("2", 1), ("w-3", 1)]
+    tasks = spark.createDataFrame([(i,) for i in "abcdef"], "instance_id string")
+    got = {r.instance_id: (r.batch, r.returned, r.error, r.resolved) for r in J.returned_or_error(tasks, whole).collect()}
+    gone = (None, False, "Worker batch failed", False)
+    assert got == {"a": ("1", True, None, True), "b": ("1", True, "x", None), "c": gone, "d": gone, "e": ("4", True, None, None), "f": gone}
+
+
+def test_a_table_written_anew_has_its_new_schema(spark, tmp_dir):
+    from rewardlake.sources.tables import table
+
+    spark.range(3).write.parquet(f"{tmp_dir}/region.parquet")
+    assert table(spark, tmp_dir, "region").columns == ["id"] and table(spark, tmp_dir, "region").count() == 3
+    spark.range(4).selectExpr("id as a", "'x' as b").write.mode("overwrite").parquet(f"{tmp_dir}/region.parquet")
+    assert table(spark, tmp_dir, "region").columns == ["a", "b"] and table(spark, tmp_dir, "region").count() == 4
