@@ -58,13 +58,12 @@ def read_batches(spark: SparkSession, root: str, schema: str) -> tuple[DataFrame
     ``<root>/batch=<id>/``, as one table with ``batch``, and the lost batches
     ``(batch, broken)``.  A batch that holds a line that is no record of
     ``schema`` (cut off, not JSON) is lost whole: none of its rows count."""
-    rows = (spark.read.schema(f"{schema}, {CORRUPT} string, batch string").option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", CORRUPT).json(root))
-    first = schema.split()[0]
-    # counting a field as well keeps the reader parsing whole records
-    state = rows.groupBy("batch").agg(F.count(CORRUPT).alias("broken"), F.count(first).alias("_read"))
-    lost = state.filter(F.col("broken") > 0).select("batch", "broken")
-    whole = rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT).join(lost.select("batch"), "batch", "left_anti")
+    lines = spark.read.schema("value string, batch string").text(root).filter(F.btrim("value") != "")
+    record = F.from_json("value", f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    rows = lines.select("batch", record.alias("r"))
+    broken = F.col("r").isNull() | F.col(f"r.{CORRUPT}").isNotNull()
+    lost = rows.groupBy("batch").agg(F.count_if(broken).alias("broken")).filter(F.col("broken") > 0)
+    whole = rows.join(lost.select("batch"), "batch", "left_anti").select("r.*", "batch").drop(CORRUPT)
     return whole, lost
 
 
