@@ -201,22 +201,26 @@ def _line_tables(batches):
 
 
 def whole_documents(rows: list[tuple], most: int) -> list:
-    """Ids of the documents ``(id, y, lines)`` up to the one that reaches
-    ``most`` lines, and of the first one of each label."""
+    """Ids of documents ``(id, y, lines)`` with ``most`` lines together: one
+    after the other, each that still fits; of a label that would have none
+    the document of the fewest lines."""
     out, lines, seen = [], 0, set()
     for doc, y, n in rows:
-        if lines < most or y not in seen:
+        if lines + n <= most:
             out.append(doc)
-        lines += n
-        seen.add(y)
+            lines += n
+            seen.add(y)
+    for y in sorted({y for _, y, _ in rows} - seen):
+        out.append(min((r for r in rows if r[1] == y), key=lambda r: r[2])[0])
     return out
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = ROWS) -> Chain:
     """Fit on all lines of at most ``sample`` labelled documents that are not
-    held out; of long documents fewer are used, so that with the last of them
-    the lines reach ``most``.  The lines' own features are computed in tasks
-    and come to the driver, not the texts."""
+    held out, which have at most ``most`` lines together: a document too long
+    for what is left is passed over for the next one, never cut
+    (``whole_documents``).  The lines' own features are computed in tasks and
+    come to the driver, not the texts."""
     rows = training_sample(docs, labels, "quality", sample)
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     known = [tuple(r) for r in rows.select("doc_id", "y", lines).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]

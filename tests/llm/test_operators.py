@@ -215,10 +215,10 @@ def test_precision_and_recall_on_planted_tokens(spark):
     rows = secrets.scan_secrets(spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate([*planted, *(IDENTIFIERS * 20)])],
                                                       "doc_id int, text string")).collect()
     rows.sort(key=lambda r: r.doc_id)
-    found = [bool(r.spans) for r in rows]
-    recall = np.mean(found[:len(planted)])
-    false = {IDENTIFIERS[i % len(IDENTIFIERS)] for i, f in enumerate(found[len(planted):]) if f}
-    assert recall > 0.9 and len(false) <= 3, (recall, false)
+    recall = np.mean([bool(r.spans) for r in rows[:len(planted)]])
+    false = {IDENTIFIERS[i % len(IDENTIFIERS)] for i, r in enumerate(rows[len(planted):])
+             if any(s.kind == secrets.KINDS.index("random") for s in r.spans)}
+    assert recall > 0.9 and false <= {"iso8859encodingtable1234", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"}, (recall, false)
 
 
 def test_battery_tells_random_from_structured():
@@ -633,7 +633,8 @@ def test_quality_trains_on_all_lines(spark, labels):
 
 def test_quality_bound_takes_whole_documents():
     rows = [("a", 1, 5), ("b", 1, 9), ("c", 1, 2), ("d", 0, 50), ("e", 0, 1)]
-    assert quality.whole_documents(rows, 10) == ["a", "b", "d"]
+    assert quality.whole_documents(rows, 10) == ["a", "c", "e"]
+    assert quality.whole_documents(rows, 1) == ["e", "c"] and quality.whole_documents([], 5) == []
     assert quality.whole_documents(rows, 10 ** 6) == ["a", "b", "c", "d", "e"]
 
 
