@@ -13,6 +13,7 @@ from ..operators import scoring as S
 from ..operators import verifier as V
 from ..shipping import ship_by_value
 from ..sources import files as FS
+from ..sources import listing as LS
 from ..sources import store as ST
 from ..sources.fixtures import fixture
 from ..sources.tables import table
@@ -55,8 +56,8 @@ def q_read_prompts(spark, sf_dir):
 def _log_files(spark, sf_dir):
     """One folder and text file per job log."""
     path = new_area(spark, "logs")
-    lg = fixture(spark, sf_dir, "logs").select("instance_id", F.col("logs").alias("value"))
-    lg.repartition("instance_id").write.partitionBy("instance_id").text(path)
+    folder = F.concat(F.lit("instance_id="), F.coalesce("instance_id", F.lit("__HIVE_DEFAULT_PARTITION__")))
+    LS.write_lines(fixture(spark, sf_dir, "logs").select(folder.alias("folder"), F.col("logs").alias("value")), path, "log.txt")
     return path
 
 

@@ -1,8 +1,8 @@
 """File sources and sinks of a run's artifacts.
 
 Everything is a Spark reader or writer on a path (local, HDFS or object
-store URI alike); nothing is opened with Python file APIs and nothing
-passes through the driver.
+store URI alike), but for trees of many small files (A10), which tasks
+list (``listing.py``); nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import last_wins
 from ..functions.text import truthy
+from .listing import found_files
 
 PROBLEM_SCHEMA = "task_id string, prompt string, test string, entry_point string"
 PROMPT_SCHEMA = "instance_id string, text_inputs string"
@@ -89,14 +90,18 @@ def write_summary(summary: DataFrame, path: str) -> None:
 def artifact_manifest(spark: SparkSession, root: str, prefix: str) -> DataFrame:
     """A10: files below an instance sub-directory (any depth), skipping the
     top-level bulk files, with their object-store key ``prefix/<relative
-    path>``.  Only path and length are read, never the content."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
-    whole = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-             .select("path", "length"))
-    rel = F.expr(f"substring(path, {len(whole) + 2})")  # what follows the qualified root and its slash
-    return (files.select(rel.alias("rel"), "length")
-            .filter(F.instr(F.col("rel"), "/") > 0)
+    path>``.  Only path and length are read, never the content.  Tasks list
+    the tree; Spark's binary source lists what they cannot open."""
+    found = found_files(spark, root, enter=lambda name: True)
+    if found is not None:
+        files = found[0].select(F.expr("substring(rel, 2)").alias("rel"), F.col("size").alias("length"))
+    else:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+        whole = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+        # what follows the qualified root and its slash
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+                 .select(F.expr(f"substring(path, {len(whole) + 2})").alias("rel"), "length"))
+    return (files.filter(F.instr(F.col("rel"), "/") > 0)
             .select(F.concat(F.lit(prefix.rstrip("/") + "/"), F.col("rel")).alias("key"), "rel", "length"))
 
 

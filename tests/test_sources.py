@@ -215,3 +215,39 @@ def test_a_table_written_anew_has_its_new_schema(spark, tmp_dir):
     assert table(spark, tmp_dir, "region").columns == ["id"] and table(spark, tmp_dir, "region").count() == 3
     spark.range(4).selectExpr("id as a", "'x' as b").write.mode("overwrite").parquet(f"{tmp_dir}/region.parquet")
     assert table(spark, tmp_dir, "region").columns == ["a", "b"] and table(spark, tmp_dir, "region").count() == 4
+
+
+def _many(root):
+    """A tree of small files with odd names, hidden and empty ones."""
+    for i in range(40):
+        _write(f"{root}/inst {i}%20é+[1]/log.txt", f"log {i}\n" * (i % 3))
+    _write(f"{root}/top.txt", "top")
+    _write(f"{root}/_SUCCESS", "x")
+    _write(f"{root}/a/.hidden.txt", "x")
+    _write(f"{root}/a/_part", "x")
+    _write(f"{root}/a/k1/in.txt", "xx")
+    _write(f"{root}/b/c/d/e/deep.txt", "xyz")
+    _write(f"{root}/b/_c/d/hidden.txt", "xyz")
+    _write(f"{root}/.b/hidden.txt", "xyz")
+
+
+def test_manifest_of_many_folders_is_listed_in_tasks(spark, tmp_dir):
+    root = f"{tmp_dir}/run (2)"
+    _many(root)
+    m = FS.artifact_manifest(spark, root, "p")
+    assert m.inputFiles() == []                          # the driver holds none of the tree
+    # what Spark's own source lists
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length").collect()
+    whole = {r.path.removeprefix(f"file:{root}/"): r.length for r in listed}
+    got = {r.rel: r.length for r in m.collect()}
+    assert got == {k: n for k, n in whole.items() if "/" in k} and got["b/c/d/e/deep.txt"] == 3 and len(got) == 28
+
+
+def test_folders_of_lines(spark, tmp_dir):
+    from rewardlake.sources.listing import write_lines
+
+    rows = spark.createDataFrame([("k=a", "1"), ("k=b", None), ("k=a", "2é"), ("k=c", "")], "folder string, value string").coalesce(1)
+    assert write_lines(rows, f"file://{tmp_dir}/out", "log.txt") == 3
+    found = {f: open(f"{tmp_dir}/out/{f}/log.txt").read() for f in ("k=a", "k=b", "k=c")}
+    assert found == {"k=a": "1\n2é\n", "k=b": "\n", "k=c": "\n"}
+    assert write_lines(rows.limit(0), f"{tmp_dir}/none", "log.txt") == 0 and os.path.isdir(f"{tmp_dir}/none")
