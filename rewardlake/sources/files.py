@@ -1,8 +1,8 @@
 """File sources and sinks of a run's artifacts.
 
 Everything is a Spark reader or writer on a path (local, HDFS or object
-store URI alike), but for trees of many small files (A10), which tasks
-list (``listing.py``); nothing passes through the driver.
+store URI alike), but for trees of many small files (A6, A10), which tasks
+list and open (``listing.py``); nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import last_wins
 from ..functions.text import truthy
-from .listing import found_files
+from .listing import found_files, read_found
 
 PROBLEM_SCHEMA = "task_id string, prompt string, test string, entry_point string"
 PROMPT_SCHEMA = "instance_id string, text_inputs string"
@@ -69,7 +69,12 @@ def read_batches(spark: SparkSession, root: str, schema: str) -> tuple[DataFrame
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """One row per log file with its whole text."""
+    """One row per log file with its whole text.  ``path`` is a file, a
+    folder or a pattern; tasks list and read it.  What they cannot open, and
+    patterns of more than ``*`` and ``?``, Spark's text source reads."""
+    found = found_files(spark, path, enter=lambda name: "=" in name)
+    if found is not None:
+        return read_found(*found).select("path", F.col("content").cast("string").alias("logs"))
     return (spark.read.text(path, wholetext=True)
             .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("logs")))
 

@@ -2,7 +2,7 @@
 
 Spark's file sources look at every folder of a pattern on the driver, one
 after the other.  Here a task lists a folder piece by piece, what it holds is
-dealt over all tasks, and they list the folders below.
+dealt over all tasks, and they list the folders below and read the files.
 What counts as a file is what Spark's sources take: no hidden name, not empty.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,13 +20,18 @@ from pyspark.sql import functions as F
 
 from .shared import filesystem, put
 
-#: rows of one Arrow batch
-BATCH = 2000
+#: rows, and bytes of file content, of one Arrow batch
+BATCH, BYTES = 2000, 8 << 20
 #: levels of a tree whose folders are dealt over the tasks; what lies deeper is listed by the task that holds its folder
 LEVELS = 2
 
 FOUND = "rel string, size bigint, folder boolean"
 _FOUND = pa.schema([("rel", pa.string()), ("size", pa.int64()), ("folder", pa.bool_())])
+_READ = pa.schema([("path", pa.string()), ("content", pa.binary())])
+#: what a path's URI writes as %XX
+_QUOTED = re.compile(r"[\x00-\x20\"#%<>?\[\\\]^`{|}\x7f-\xa0  -     　]")
+#: compressed forms of Hadoop's own, which only Spark's reader opens
+_FOREIGN = (".snappy", ".lz4")
 
 Row = tuple[str, int, bool]
 
@@ -166,6 +172,38 @@ def found_files(spark: SparkSession, path: str, enter: Callable[[str], bool]) ->
     return _looked(found, root, _files(enter)), whole, root
 
 
+def _content(fs: pafs.FileSystem, path: str) -> bytes:
+    if path.endswith(_FOREIGN):
+        raise ValueError(f"{path}: a form of compression that only Spark's text source reads")
+    with fs.open_input_stream(path) as f:
+        data = f.read()
+    return zlib.decompress(data) if path.endswith(".deflate") else data
+
+
+def read_found(found: DataFrame, whole: str, root: str) -> DataFrame:
+    """``path`` (as a URI) and ``content`` of files that ``found_files`` found."""
+    def name(rel: str) -> str:
+        return _QUOTED.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), whole + rel)
+
+    def batch(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_READ)], schema=_READ)
+
+    def run(batches):
+        fs, base = filesystem(root)
+        for b in batches:
+            rows, held = [], 0
+            for rel in b.column("rel").to_pylist():
+                data = _content(fs, base + rel)
+                rows.append((name(rel), data))
+                held += len(data)
+                if held >= BYTES or len(rows) == BATCH:
+                    yield batch(rows)
+                    rows, held = [], 0
+            yield batch(rows)
+
+    return found.select("rel").repartition(spread(found.sparkSession)).mapInArrow(run, "path string, content binary")
+
+
 def write_lines(lines: DataFrame, root: str, file: str) -> int:
     """Write ``(folder, value)`` rows as ``<root>/<folder>/<file>``, a line a
     row (null: an empty one); the number of files.  A task has the rows of a

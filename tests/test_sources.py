@@ -251,3 +251,34 @@ def test_folders_of_lines(spark, tmp_dir):
     found = {f: open(f"{tmp_dir}/out/{f}/log.txt").read() for f in ("k=a", "k=b", "k=c")}
     assert found == {"k=a": "1\n2é\n", "k=b": "\n", "k=c": "\n"}
     assert write_lines(rows.limit(0), f"{tmp_dir}/none", "log.txt") == 0 and os.path.isdir(f"{tmp_dir}/none")
+
+
+def test_logs_of_many_folders_are_read_in_tasks(spark, tmp_dir):
+    import gzip
+
+    root = f"{tmp_dir}/run (2)"
+    _many(root)
+    with gzip.open(f"{root}/a/z.gz", "wb") as f:
+        f.write(b"zipped\n" * 3)
+    parted = f"{tmp_dir}/parted"
+    for k in range(3):
+        _write(f"{parted}/k={k}/in.txt", f"{k}")
+    for path in (parted, f"{root}/*", f"file:{root}/inst*/log.txt", f"{root}/*/?og.txt", f"{root}/top.txt", f"{root}/b/c/d/e/", root,
+                 f"{root}/[ab]*"):
+        rows = FS.read_logs(spark, path)
+        assert "[" in path or rows.inputFiles() == []    # the driver holds none of the tree
+        own = spark.read.text(path, wholetext=True).select("_metadata.file_path", "value")
+        got = sorted(map(tuple, rows.collect()))
+        assert got == sorted(map(tuple, own.collect())) and got, path
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        FS.read_logs(spark, f"{root}/none*").collect()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        FS.read_logs(spark, f"{root}/none").collect()
+
+
+def test_log_bytes_are_kept(spark, tmp_dir):
+    os.makedirs(f"{tmp_dir}/logs/a")
+    with open(f"{tmp_dir}/logs/a/log.txt", "wb") as f:
+        f.write(b"\xff\x00\r\n\xc3")
+    [r] = FS.read_logs(spark, f"{tmp_dir}/logs/*").select(F.hex(F.col("logs").cast("binary")).alias("h")).collect()
+    assert r.h == "FF000D0AC3"
