@@ -150,7 +150,7 @@ def found_files(spark: SparkSession, path: str, enter: Callable[[str], bool]) ->
     folders whose name ``enter`` takes count too.  With it the root that
     ``rel`` goes on from, in full and as tasks open it.  None if there is
     nothing or tasks cannot open it: that is left to Spark's own sources."""
-    if re.search(r"[\[\]{}\\]", path):
+    if re.search(r"[\[\]{}\\]", path) or path.endswith(_FOREIGN):
         return None
     literal, pattern = re.match(r"([^*?]*)(?:/([^/]*[*?].*))?$", path, re.S).groups() if "/" in path else (path, None)
     at = None if re.search("[*?]", literal) else _located(spark, literal or "/")

@@ -282,3 +282,10 @@ def test_log_bytes_are_kept(spark, tmp_dir):
         f.write(b"\xff\x00\r\n\xc3")
     [r] = FS.read_logs(spark, f"{tmp_dir}/logs/*").select(F.hex(F.col("logs").cast("binary")).alias("h")).collect()
     assert r.h == "FF000D0AC3"
+
+
+@pytest.mark.parametrize("form, end", [("gzip", "gz"), ("bzip2", "bz2"), ("deflate", "deflate"), ("snappy", "snappy")])
+def test_compressed_logs(spark, tmp_dir, form, end):
+    spark.createDataFrame([("log",)], "value string").coalesce(1).write.option("compression", form).text(f"{tmp_dir}/c")
+    [r] = FS.read_logs(spark, f"{tmp_dir}/c/*.{end}").collect()
+    assert r.logs == "log\n"
